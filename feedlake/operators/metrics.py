@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from feedlake.functions import expressions as E
 from feedlake.functions.ordering import previous_in_slices
 
-ONE = F.lit(1)
+ONE = "*"
 # Popularity windows and their length in hours.
 WINDOWS = {"24h": 24, "7d": 168, "30d": 720}
 
@@ -20,6 +20,11 @@ def cutoff(impressions: DataFrame, column: str = "mostrado_en") -> Column:
     return impressions.agg(F.max(column).alias("corte")).scalar()
 
 
+def mean_of(value: Column, digits: int = 2) -> Column:
+    """Mean of a measure kept with ``digits`` decimals; rounding the sum makes it independent of row order."""
+    return F.round(F.sum(value), digits) / F.count(value)
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     parts = [df.agg(F.count(ONE).alias("filas")).select(F.lit(name).alias("tabla"), "filas")
              for name, df in tables.items()]
@@ -169,7 +174,7 @@ def content_metrics(events: DataFrame) -> DataFrame:
     return events.groupBy("contenido_id").agg(
         F.count(ONE).alias("eventos"), F.countDistinct("usuario_id").alias("usuarios"),
         F.count_if(kind == "vista").alias("vistas"), F.count_if(kind == "clic").alias("clics"),
-        F.round(F.avg(F.when(kind == "vista", F.col("segundos"))), 4).alias("segundos_medios"),
+        mean_of(F.when(kind == "vista", F.col("segundos"))).alias("segundos_medios"),
         F.max("ocurrido_en").alias("ultimo"))
 
 
@@ -214,7 +219,7 @@ def changed_fields(versions: DataFrame) -> DataFrame:
 def playback_rollup(telemetry: DataFrame, bucket: str = "1 hour") -> DataFrame:
     w = F.window("ocurrido_en", bucket)
     return telemetry.groupBy(w.alias("w"), "contenido_id").agg(
-        F.count(ONE).alias("latidos"), F.round(F.avg("buffer_ms"), 4).alias("buffer_medio"),
+        F.count(ONE).alias("latidos"), mean_of(F.col("buffer_ms")).alias("buffer_medio"),
         F.max("buffer_ms").alias("buffer_max"), F.count_if(F.col("calidad") == "sd").alias("latidos_sd")).select(
         F.col("w.start").cast("timestamp_ntz").alias("desde"), "contenido_id", "latidos", "buffer_medio", "buffer_max",
         "latidos_sd")

@@ -158,7 +158,8 @@ def _(d):
 @query("g16_content_metrics", """
     SELECT contenido_id, count(*) AS eventos, count(DISTINCT usuario_id) AS usuarios,
            count(*) FILTER (WHERE tipo_evento = 'vista') AS vistas, count(*) FILTER (WHERE tipo_evento = 'clic') AS clics,
-           round(avg(segundos) FILTER (WHERE tipo_evento = 'vista'), 4) AS segundos_medios, max(ocurrido_en) AS ultimo
+           round(sum(segundos) FILTER (WHERE tipo_evento = 'vista'), 2)
+           / count(*) FILTER (WHERE tipo_evento = 'vista') AS segundos_medios, max(ocurrido_en) AS ultimo
     FROM eventos GROUP BY 1""")
 def _(d):
     return M.content_metrics(d.eventos)
@@ -208,7 +209,7 @@ def _(d):
 
 
 @query("g21_playback_rollup", """
-    SELECT date_trunc('hour', ocurrido_en) AS desde, contenido_id, count(*) AS latidos, round(avg(buffer_ms), 4) AS buffer_medio,
+    SELECT date_trunc('hour', ocurrido_en) AS desde, contenido_id, count(*) AS latidos, round(sum(buffer_ms), 2) / count(*) AS buffer_medio,
            max(buffer_ms) AS buffer_max, count(*) FILTER (WHERE calidad = 'sd') AS latidos_sd FROM telemetria GROUP BY 1, 2""")
 def _(d):
     return M.playback_rollup(d.telemetria)
