@@ -320,6 +320,24 @@ def _sum_runs(key: str, dim_hint: str = "v"):
     return run
 
 
+def _unit_sums(weighted: DataFrame, key: str, salts: int) -> DataFrame:
+    """Sum of w * v per key as a unit vector (key, embedding); sums that cancel out are dropped."""
+    schema = f"{key} bigint, v array<double>, w double"
+    partial = (weighted.withColumn("salt", F.pmod(F.xxhash64("contenido_id"), F.lit(salts)))
+               .repartition(key, "salt").sortWithinPartitions(key)
+               .select(key, "v", "w").mapInPandas(_sum_runs(key), schema))
+    total = partial.repartition(key).sortWithinPartitions(key).mapInPandas(_sum_runs(key), schema)
+    return total.withColumn("__n", E.norm(F.col("v"))).filter(F.col("__n") > 1e-12).select(
+        key, F.transform("v", lambda x: x / F.col("__n")).alias("embedding"))
+
+
+def group_centroids(members: DataFrame, embeddings: DataFrame, key: str, salts: int = 16) -> DataFrame:
+    """Centroid of the vectors of each group's contents, as a unit vector."""
+    rows = members.select(F.col(key).cast("long").alias(key), "contenido_id").join(
+        embeddings.select("contenido_id", F.col("embedding").cast("array<double>").alias("v")), "contenido_id")
+    return _unit_sums(rows.withColumn("w", F.lit(1.0)), key, salts)
+
+
 def user_profiles(events: DataFrame, embeddings: DataFrame, users: DataFrame, minimum: int = 4, salts: int = 16,
                   weights: dict[str, float] | None = None) -> DataFrame:
     """Weighted centroid of what each consenting user consumed, as a unit vector.
@@ -334,15 +352,7 @@ def user_profiles(events: DataFrame, embeddings: DataFrame, users: DataFrame, mi
         F.count("*").alias("contenidos"), F.sum("n").alias("cantidad_eventos")).filter(F.col("contenidos") >= minimum)
     weighted = pairs.filter("w <> 0").join(enough.select("usuario_id"), "usuario_id", "left_semi").join(
         embeddings.select("contenido_id", F.col("embedding").cast("array<double>").alias("v")), "contenido_id")
-    schema = "usuario_id bigint, v array<double>, w double"
-    partial = (weighted.withColumn("salt", F.pmod(F.xxhash64("contenido_id"), F.lit(salts)))
-               .repartition("usuario_id", "salt").sortWithinPartitions("usuario_id")
-               .select("usuario_id", "v", "w").mapInPandas(_sum_runs("usuario_id"), schema))
-    total = (partial.repartition("usuario_id").sortWithinPartitions("usuario_id")
-             .mapInPandas(_sum_runs("usuario_id"), schema))
-    size = E.norm(F.col("v"))
-    unit = total.withColumn("__n", size).filter(F.col("__n") > 1e-12).select(
-        "usuario_id", F.transform("v", lambda x: x / F.col("__n")).alias("embedding"))
+    unit = _unit_sums(weighted, "usuario_id", salts)
     return unit.join(enough, "usuario_id").select("usuario_id", "embedding", "cantidad_eventos")
 
 

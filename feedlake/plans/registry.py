@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 def _load() -> None:
     import importlib
 
-    for module in ("catalog", "metrics", "ranking", "people", "quality", "vectors", "recommend",
+    for module in ("catalog", "metrics", "ranking", "people", "quality", "vectors", "recommend", "search", "lake", "stream",
                    ):
         importlib.import_module(f"feedlake.plans.{module}_queries")
 

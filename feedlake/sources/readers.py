@@ -20,7 +20,10 @@ def read_entity_csv(spark: SparkSession, path: str, schema: StructType | str) ->
 
 
 def write_entity_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    """Counterpart of ``read_entity_csv``; timestamps keep their microseconds."""
+    (df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True)
+     .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+     .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").csv(path))
 
 
 def read_documents(spark: SparkSession, path: str, schema: StructType | str, one_array_per_file: bool = False) -> DataFrame:
