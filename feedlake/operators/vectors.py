@@ -113,40 +113,40 @@ def _meeting_cells(queries: DataFrame, centres: np.ndarray, bounds, probes: int
 
 
 class _Bounds:
-    """How far a query may have to look, from per-cell sizes and radii."""
+    """How far a query may have to look, from figures per cell that are few whatever the table's size."""
 
     def __init__(self, cells: DataFrame, n_cells: int, k: int | None, angle: float | None):
-        rows = cells.groupBy("cell", "level").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect()
         self.k, self.angle = k, angle
         count, radius = np.zeros(n_cells, dtype="int64"), np.zeros(n_cells)
-        self.by_level: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for level in sorted({r.level for r in rows}):
-            n, far = np.zeros(n_cells, dtype="int64"), np.zeros(n_cells)
-            for r in rows:
-                if r.level <= level:
-                    n[r.cell] += r.n
-                    far[r.cell] = max(far[r.cell], r.r)
-            self.by_level[level] = (n, far)
-        for r in rows:
-            count[r.cell] += r.n
-            radius[r.cell] = max(radius[r.cell], r.r)
+        for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect():
+            count[r.cell], radius[r.cell] = r.n, r.r
         self.stats = {"count": count, "radius": radius}
+        self.reach: dict[int, np.ndarray] = {}
+        if k is not None and angle is None:
+            # The k + 1 rows of each cell and level nearest to the pivot: a query is at most its own angle to the
+            # pivot plus theirs away from k rows other than itself.
+            inner = top_per_group(cells.select("cell", "level", "angle"), ["cell", "level"], [F.col("angle").asc()],
+                                  k + 1, "n").collect()
+            for level in sorted({r.level for r in inner}):
+                far = np.full(n_cells, math.pi)
+                near: dict[int, list[float]] = {}
+                for r in inner:
+                    if r.level <= level:
+                        near.setdefault(r.cell, []).append(r.angle)
+                for cell, angles in near.items():
+                    if len(angles) > k:
+                        far[cell] = sorted(angles)[k]
+                self.reach[level] = far
 
     def limit(self, angles: np.ndarray, levels: np.ndarray) -> np.ndarray:
         if self.angle is not None:
             return np.full(len(angles), self.angle)
         out = np.full(len(angles), math.pi)
-        if self.k is None:
-            return out
         for level in np.unique(levels):
-            known = [v for v in self.by_level if v <= level]
-            if not known:
-                continue
-            n, far = self.by_level[max(known)]
-            enough = n > self.k  # one more than k, because a query may meet itself
-            if enough.any():
+            known = [v for v in self.reach if v <= level]
+            if known:
                 mine = levels == level
-                out[mine] = (angles[mine][:, enough] + far[enough]).min(axis=1)
+                out[mine] = np.minimum((angles[mine] + self.reach[max(known)]).min(axis=1), math.pi)
         return out
 
 
