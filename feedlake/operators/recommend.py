@@ -1,24 +1,32 @@
 """Collaborative, graph and hybrid recommendation over (group, item) edges.
 
-Counting how often two items share a group grows with the square of the group. Groups with up to
-``max_group`` items are expanded pair by pair. Larger groups are never expanded: each item keeps the list of
-large groups it belongs to (its signature), items with the same signature form a class, and what two items
-share through large groups is the intersection of their signatures. A top-k list needs, beyond the pairs
-seen in small groups, only the best few items of each class. Results are exact in both cases.
+Counting how often two items share a group grows with the square of the group. Ordinary groups are expanded
+pair by pair, in chunks of bounded size. The few largest groups are never expanded: an item keeps the list of
+large groups it belongs to (its signature), and what two items share through large groups is the product of
+their signatures. A top-k list needs, beyond the pairs met in ordinary groups, only the k best partners by that
+product, which are found block by block with one matrix product each. Results are exact in all cases.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.functions import expressions as E
-from feedlake.functions.ordering import number_in_slices, top_per_group
+from feedlake.functions.ordering import top_per_group
 from feedlake.session import cut_lineage
 
 MAX_GROUP = 500
+MAX_LARGE_GROUPS = 1024
+CHUNK = 1000
+BLOCK_ROWS = 4096
+# Scores are compared to nine decimals, so that equal quotients tie and the lower id goes first.
+RANK_SCALE = 1e9
 # Weight of each signal in the hybrid blend.
 HYBRID_WEIGHTS = {"popularidad": 0.2, "embedding": 0.3, "coocurrencia": 0.3, "grafo": 0.2}
 
@@ -30,17 +38,28 @@ def _edges(df: DataFrame, group: str, item: str) -> DataFrame:
 
 
 def _split(edges: DataFrame, max_group: int) -> tuple[DataFrame, DataFrame]:
-    """(edges of small groups, edges of large groups)."""
-    large = edges.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > max_group).select("g")
+    """(edges of ordinary groups, edges of large groups): at most ``MAX_LARGE_GROUPS`` are large, the largest ones."""
+    sizes = edges.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > max_group)
+    large = sizes.orderBy(F.col("n").desc(), F.col("g").asc()).limit(MAX_LARGE_GROUPS).select("g")
     return edges.join(large, "g", "left_anti"), edges.join(large, "g", "left_semi")
 
 
-def _pairs(small: DataFrame) -> DataFrame:
-    """(i, j, n) for i < j over groups whose size is bounded; counts are combined before the shuffle."""
-    lists = small.groupBy("g").agg(F.sort_array(F.collect_set("i")).alias("items"))
+def _pairs(ordinary: DataFrame) -> DataFrame:
+    """(i, j, n) for i < j. No task holds more than ``CHUNK`` items of a group at a time."""
+    sizes = ordinary.groupBy("g").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    lists = (ordinary.join(sizes, "g").withColumn("part", F.pmod(F.xxhash64("i"), F.col("parts")).cast("int"))
+             .groupBy("g", "parts", "part").agg(F.sort_array(F.collect_set("i")).alias("items")))
     left = lists.select(F.posexplode("items").alias("p", "i"), "items")
     rest = F.slice("items", F.col("p") + 2, F.greatest(F.size("items") - F.col("p") - 1, F.lit(0)))
-    return left.select("i", F.explode(rest).alias("j")).groupBy("i", "j").agg(F.count("*").alias("n"))
+    inside = left.select("i", F.explode(rest).alias("j"))
+    # Parts of one group meet each other once, lower part number first.
+    split = lists.filter("parts > 1")
+    ahead = split.filter("part < parts - 1").select("g", "items", F.explode(
+        F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("part"))
+    met = ahead.join(split.select("g", "part", F.col("items").alias("others")), ["g", "part"])
+    across = met.select(F.explode("items").alias("a"), "others").select("a", F.explode("others").alias("b")).select(
+        F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
+    return inside.unionByName(across).groupBy("i", "j").agg(F.count("*").alias("n"))
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
@@ -48,7 +67,7 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
 
 
 def _signatures(large: DataFrame) -> DataFrame:
-    """(i, sig): the large groups of an item. There are at most rows / max_group large groups."""
+    """(i, sig): the large groups of an item, at most ``MAX_LARGE_GROUPS``."""
     return large.groupBy("i").agg(F.sort_array(F.collect_set("g")).alias("sig"))
 
 
@@ -60,64 +79,126 @@ def _with_signature(df: DataFrame, sig: DataFrame, item: str, out: str) -> DataF
     return df.join(sig.select(F.col("i").alias(item), F.col("sig").alias(out)), item, "left")
 
 
-def top_cooccurring(df: DataFrame, group: str, item: str, k: int,
-                    score: Callable[[Column, Column, Column], Column], max_group: int = MAX_GROUP) -> DataFrame:
-    """Top ``k`` partners of every item: (i, j, n_ij, score, puesto), by score then lower partner id.
-
-    ``score(n_ij, n_i, n_j)`` must not fall when n_ij grows.
-    """
-    edges = _edges(df, group, item)
-    small, large = _split(edges, max_group)
-    n = edges.groupBy("i").agg(F.count("*").alias("n_i"))
-    ni, nj = n, n.select(F.col("i").alias("j"), F.col("n_i").alias("n_j"))
-    sig = _signatures(large)
-
-    near = _with_signature(_with_signature(_both_ways(_pairs(small)), sig, "i", "sa"), sig, "j", "sb").select(
-        "i", "j", (F.col("n") + _shared("sa", "sb")).alias("n_ij"))
-
-    one = F.lit(1.0)
-    ranked = sig.join(n, "i").select(F.col("i").alias("j"), "sig", score(one, one, F.col("n_i")).alias("w"))
-    best = top_per_group(ranked, ["sig"], [F.col("w").desc(), F.col("j").asc()], k + 1, "__p").select(
-        F.col("sig").alias("s2"), "j")
-    classes = sig.select("sig").distinct()
-    by_group = classes.select("sig", F.explode("sig").alias("h"))
-    linked = by_group.join(by_group.select(F.col("sig").alias("s2"), "h"), "h").select("sig", "s2").distinct()
-    far = (sig.join(linked, "sig").join(best, "s2").filter(F.col("i") != F.col("j"))
-           .select("i", "j", F.size(F.array_intersect("sig", "s2")).cast("long").alias("n_ij")))
-
-    pairs = near.unionByName(far).groupBy("i", "j").agg(F.max("n_ij").alias("n_ij"))
-    scored = pairs.join(ni, "i").join(nj, "j").select(
-        "i", "j", "n_ij", score(F.col("n_ij"), F.col("n_i"), F.col("n_j")).alias("score"))
-    return top_per_group(scored, ["i"], [F.col("score").desc(), F.col("j").asc()], k, "puesto")
-
-
-def cosine_score(n_ij: Column, n_i: Column, n_j: Column) -> Column:
-    return n_ij / F.sqrt((n_i * n_j).cast("double"))
-
+def _dense(lists: list[np.ndarray], values: list[np.ndarray] | None, names: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(lists), len(names)))
+    for r, row in enumerate(lists):
+        out[r, np.searchsorted(names, row)] = 1.0 if values is None else values[r]
+    return out
 
-def share_score(n_ij: Column, n_i: Column, n_j: Column) -> Column:
-    return n_ij / n_i
 
+def _through_large(left: DataFrame, right: DataFrame, k: int, skip: DataFrame | None = None,
+                   block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """For every ``key``, the ``k`` items with most weight through large groups: (key, j, n).
 
-def item_cooccurrence(events: DataFrame, k: int, max_group: int = MAX_GROUP) -> DataFrame:
+    ``left``: key, sig, w (a weight per group of sig). ``right``: j, sig, f. The rank is n * f, then lower j,
+    where n sums the weights of the shared groups. ``skip`` (key, j) lists items a key must not receive. Both
+    sides are cut in chunks of about ``block_rows`` by hash, and a block returns ``k`` rows per key.
+    """
+    def chunks(df: DataFrame) -> Column:
+        return df.agg(F.greatest(F.ceil(F.count("*") / block_rows).cast("int"), F.lit(1)).alias("n")).select("n").scalar()
+
+    nl, nr = chunks(left), chunks(right)
+    # The numbers of chunks come first as plain columns: a subquery may not sit inside a generator.
+    a = (left.withColumn("nl", nl).withColumn("nr", nr)
+         .withColumn("cl", F.pmod(F.xxhash64("key"), F.col("nl")).cast("int"))
+         .withColumn("cr", F.explode(F.sequence(F.lit(0), F.col("nr") - 1))).drop("nl", "nr"))
+    if skip is None:
+        a = a.withColumn("omit", F.array().cast("array<bigint>"))
+    else:
+        omit = (skip.withColumn("nr", nr).withColumn("cr", F.pmod(F.xxhash64("j"), F.col("nr")).cast("int"))
+                .groupBy("key", "cr").agg(F.collect_set("j").alias("omit")))
+        a = a.join(omit, ["key", "cr"], "left").withColumn(
+            "omit", F.coalesce("omit", F.array().cast("array<bigint>")))
+    b = (right.withColumn("nl", nl).withColumn("nr", nr)
+         .withColumn("cr", F.pmod(F.xxhash64("j"), F.col("nr")).cast("int"))
+         .withColumn("cl", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)))
+         .select("j", F.col("sig").alias("groups"), "f", F.col("cl").alias("bl"), F.col("cr").alias("br")))
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"key": np.zeros(0, "int64"), "j": np.zeros(0, "int64"), "n": np.zeros(0, "int64")})]
+        if len(x) and len(y):
+            y = y.sort_values("j").reset_index(drop=True)
+            js, f = y["j"].to_numpy(), y["f"].to_numpy()
+            names = np.unique(np.concatenate(list(x["sig"]) + list(y["groups"])))
+            h = _dense(list(y["groups"]), None, names)
+            for start in range(0, len(x), 512):
+                part = x.iloc[start:start + 512]
+                n = _dense(list(part["sig"]), list(part["w"]), names) @ h.T
+                rank = np.floor(n * f * RANK_SCALE + 0.5)
+                for r, omit in enumerate(part["omit"]):
+                    if len(omit):
+                        rank[r, np.searchsorted(js, np.asarray(omit))] = 0
+                order = np.argsort(-rank, axis=1, kind="stable")[:, :k]
+                r, c = np.repeat(np.arange(len(part)), order.shape[1]), order.ravel()
+                keep = rank[r, c] > 0
+                r, c = r[keep], c[keep]
+                out.append(pd.DataFrame({"key": part["key"].to_numpy()[r], "j": js[c], "n": n[r, c].astype("int64")}))
+        return pd.concat(out, ignore_index=True)
+
+    return a.groupBy("cl", "cr").cogroup(b.groupBy("bl", "br")).applyInPandas(best, "key bigint, j bigint, n bigint")
+
+
+def _rank_key(n: Column, f: Column) -> Column:
+    return F.floor(n * f * RANK_SCALE + 0.5)
+
+
+def top_cooccurring(df: DataFrame, group: str, item: str, k: int, factor: Callable[[Column], Column],
+                    score: Callable[[Column, Column, Column], Column], max_group: int = MAX_GROUP,
+                    block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Top ``k`` partners of every item: (i, j, n_ij, score, puesto).
+
+    For one item, partners are ranked by n_ij * factor(n_j), then lower partner id; ``score`` is what is reported
+    and must follow that order. Group and item are whole numbers.
+    """
+    edges = cut_lineage(_edges(df, group, item))
+    ordinary, large = _split(edges, max_group)
+    n = edges.groupBy("i").agg(F.count("*").alias("n_i"))
+    nj = n.select(F.col("i").alias("j"), F.col("n_i").alias("n_j"))
+    pairs = _both_ways(_pairs(ordinary))
+    large = cut_lineage(large)
+    if not large.isEmpty():
+        sig = cut_lineage(_signatures(large))
+        near = _with_signature(_with_signature(pairs, sig, "i", "sa"), sig, "j", "sb").select(
+            "i", "j", (F.col("n") + _shared("sa", "sb")).alias("n"))
+        # Items with one signature share one list; of each signature only its k + 1 best items can appear in lists.
+        classes = sig.groupBy("sig").agg(F.min("i").alias("key"))
+        left = classes.select("key", "sig", F.transform("sig", lambda _: F.lit(1.0)).alias("w"))
+        weighted = sig.join(n, "i").select(F.col("i").alias("j"), "sig", factor(F.col("n_i")).alias("f"))
+        right = top_per_group(weighted, ["sig"], [_rank_key(F.lit(1.0), F.col("f")).desc(), F.col("j").asc()], k + 1,
+                              "__p").drop("__p")
+        far = _through_large(left, right, k + 1, block_rows=block_rows)
+        lists = sig.join(classes, "sig").select("i", "key").join(far, "key").filter(F.col("i") != F.col("j"))
+        pairs = near.unionByName(lists.select("i", "j", "n")).groupBy("i", "j").agg(F.max("n").alias("n"))
+    scored = pairs.join(n, "i").join(nj, "j").select(
+        "i", "j", F.col("n").alias("n_ij"), score(F.col("n"), F.col("n_i"), F.col("n_j")).alias("score"),
+        _rank_key(F.col("n"), factor(F.col("n_j"))).alias("__r"))
+    return top_per_group(scored, ["i"], [F.col("__r").desc(), F.col("j").asc()], k, "puesto").drop("__r")
+
+
+def item_cooccurrence(events: DataFrame, k: int, max_group: int = MAX_GROUP, **options) -> DataFrame:
     """Neighbours by co-occurrence in users' histories, normalised by cosine."""
-    return top_cooccurring(events, "usuario_id", "contenido_id", k, cosine_score, max_group)
+    return top_cooccurring(
+        events, "usuario_id", "contenido_id", k, lambda n_j: 1.0 / F.sqrt(n_j.cast("double")),
+        lambda n_ij, n_i, n_j: n_ij / F.sqrt((n_i * n_j).cast("double")), max_group, **options)
 
 
-def graph_neighbours(views: DataFrame, k: int, max_group: int = MAX_GROUP) -> DataFrame:
+def graph_neighbours(views: DataFrame, k: int, max_group: int = MAX_GROUP, **options) -> DataFrame:
     """Neighbours by two hops through a shared reader; the score is the share of the item's own readers."""
-    return top_cooccurring(views, "usuario_id", "contenido_id", k, share_score, max_group)
+    return top_cooccurring(views, "usuario_id", "contenido_id", k, lambda n_j: F.lit(1.0),
+                           lambda n_ij, n_i, n_j: n_ij / n_i, max_group, **options)
 
 
-def related_tags(content_tags: DataFrame, k: int, max_group: int = MAX_GROUP) -> DataFrame:
-    """Tags that share the most contents."""
-    return top_cooccurring(content_tags, "contenido_id", "etiqueta", k, lambda n, a, b: n * F.lit(1.0), max_group)
+def related_tags(content_tags: DataFrame, tags: DataFrame, k: int, max_group: int = MAX_GROUP) -> DataFrame:
+    """Tags that share the most contents. ``tags`` numbers the tag names (etiqueta, etiqueta_id) in their order."""
+    numbered = content_tags.join(tags, "etiqueta").select("contenido_id", "etiqueta_id")
+    top = top_cooccurring(numbered, "contenido_id", "etiqueta_id", k, lambda n_j: F.lit(1.0),
+                          lambda n_ij, n_i, n_j: n_ij * F.lit(1.0), max_group)
+    a, b = tags.toDF("etiqueta", "i"), tags.toDF("etiqueta_afin", "j")
+    return top.join(a, "i").join(b, "j").select("etiqueta", "etiqueta_afin", F.col("n_ij").alias("comunes"), "puesto")
 
 
 def neighbour_table(sources: dict[str, DataFrame]) -> DataFrame:
     """Unified similar-items table from frames with (i, j, score), keyed by source."""
-    from functools import reduce
-
     parts = [df.select(F.col("i").alias("contenido_id"), F.col("j").alias("contenido_similar_id"),
                        F.lit(name).alias("origen"), F.round(F.greatest("score", F.lit(0.0)), 6).alias("score"))
              for name, df in sources.items()]
@@ -163,8 +244,6 @@ def graph_edges(events: DataFrame, contents: DataFrame, content_tags: DataFrame,
         rel(content_tags, content, "TIENE_ETIQUETA", node("E", "etiqueta")),
         rel(similar, content, "SIMILAR_A", node("C", "contenido_similar_id")),
     ]
-    from functools import reduce
-
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -201,41 +280,47 @@ def path_to(paths: DataFrame, target: str, max_hops: int = 6) -> DataFrame:
     return out
 
 
-def co_view_recommendations(views: DataFrame, k: int, max_group: int = MAX_GROUP, explain: bool = True) -> DataFrame:
+def co_view_recommendations(views: DataFrame, k: int, max_group: int = MAX_GROUP, explain: bool = True,
+                            block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per user, unseen contents by number of user-content-reader-content paths: (u, j, caminos, puesto, via).
 
-    Paths are counted as sum over the user's contents of the readers each shares with the candidate: items are
-    paired first, so users are never paired with users. Large readers enter through signatures: inside a class
-    every candidate gets the same number of paths, so the lowest unseen ids of the class are enough.
+    Paths are counted as the sum, over the user's contents, of the readers each shares with the candidate: items
+    are paired first, so users are never paired with users. Large readers enter through signatures.
     """
     edges = cut_lineage(_edges(views, "usuario_id", "contenido_id"))
-    small, large = _split(edges, max_group)
-    pairs = cut_lineage(_both_ways(_pairs(small)))
+    ordinary, large = _split(edges, max_group)
+    large = cut_lineage(large)
+    pairs = cut_lineage(_both_ways(_pairs(ordinary)))
     seen = edges.select(F.col("g").alias("u"), "i")
-    light = seen.join(pairs, "i").groupBy("u", "j").agg(F.sum("n").alias("n"))
-
-    sig = _signatures(large)
-    overlap = seen.join(large.select("i", F.col("g").alias("h")), "i").filter("u <> h").groupBy("u", "h").agg(
-        F.count("*").alias("o"))
-    class_groups = sig.select("sig").distinct().select("sig", F.explode("sig").alias("h"))
-    weight = overlap.join(class_groups, "h").groupBy("u", "sig").agg(F.sum("o").alias("hv"))
-    placed = number_in_slices(sig, ["sig"], F.floor(F.col("i") / 65536), "asc", [F.col("i").asc()], "pos")
-    own = seen.join(sig, "i").groupBy("u", "sig").agg(F.count("*").alias("m"))
-    prefix = weight.join(own, ["u", "sig"], "left").select(
-        "u", "sig", "hv", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k) + F.coalesce("m", F.lit(0)))).alias("pos"))
-    by_class = prefix.join(placed, ["sig", "pos"]).select("u", F.col("i").alias("j"), F.col("hv").alias("n"))
-    near = _with_signature(light, sig, "j", "sig").join(weight, ["u", "sig"], "left").select(
-        "u", "j", (F.col("n") + F.coalesce("hv", F.lit(0))).alias("n"))
-
-    scored = near.unionByName(by_class).groupBy("u", "j").agg(F.max("n").alias("caminos"))
-    unseen = scored.join(seen.select("u", F.col("i").alias("j")), ["u", "j"], "left_anti")
+    own = seen.select("u", F.col("i").alias("j"))
+    scored = seen.join(pairs, "i").groupBy("u", "j").agg(F.sum("n").alias("caminos"))
+    sig = None
+    if not large.isEmpty():
+        sig = cut_lineage(_signatures(large))
+        # What each user shares with each large reader: that reader's every content is reached so many times.
+        overlap = seen.join(large.select("i", F.col("g").alias("h")), "i").filter("u <> h").groupBy("u", "h").agg(
+            F.count("*").alias("o"))
+        taste = cut_lineage(overlap.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("h", "o"))).alias("t")).select(
+            "u", F.col("t.h").alias("hs"), F.col("t.o").cast("array<double>").alias("os")))
+        pool = sig.select(F.col("i").alias("j"), "sig", F.lit(1.0).alias("f"))
+        reached = own.join(sig.select(F.col("i").alias("j")), "j", "left_semi").select(F.col("u").alias("key"), "j")
+        far = _through_large(taste.select(F.col("u").alias("key"), F.col("hs").alias("sig"), F.col("os").alias("w")), pool, k,
+                             reached, block_rows).select(F.col("key").alias("u"), "j", F.col("n").alias("caminos"))
+        extra = F.aggregate(F.filter(F.arrays_zip("hs", "os"), lambda p: F.array_contains(F.col("sig"), p["hs"])),
+                            F.lit(0.0), lambda acc, p: acc + p["os"])
+        near = _with_signature(scored, sig, "j", "sig").join(taste, "u", "left").select(
+            "u", "j", (F.col("caminos") + F.coalesce(extra, F.lit(0.0)).cast("long")).alias("caminos"))
+        scored = near.unionByName(far).groupBy("u", "j").agg(F.max("caminos").alias("caminos"))
+    unseen = scored.join(own, ["u", "j"], "left_anti")
     top = top_per_group(unseen, ["u"], [F.col("caminos").desc(), F.col("j").asc()], k, "puesto")
     if not explain:
         return top
     # Explanation, only for what is shown: the content of the user's own list that brings most paths.
     steps = top.join(seen, "u").join(pairs, ["i", "j"], "left")
-    steps = _with_signature(_with_signature(steps, sig, "i", "sa"), sig, "j", "sb")
-    through = F.coalesce("n", F.lit(0)) + _shared("sa", "sb")
+    through = F.coalesce("n", F.lit(0))
+    if sig is not None:
+        steps = _with_signature(_with_signature(steps, sig, "i", "sa"), sig, "j", "sb")
+        through = through + _shared("sa", "sb")
     return steps.groupBy("u", "j", "caminos", "puesto").agg(
         F.max_by("i", F.struct(through.alias("t"), (-F.col("i")).alias("d"))).alias("via"))
 
@@ -296,8 +381,6 @@ def min_max(signal: DataFrame) -> DataFrame:
 
 def blend(signals: dict[str, DataFrame], weights: dict[str, float] | None = None) -> DataFrame:
     """Weighted sum of the strategies' own top lists (u, j, score), each scaled to 0..1."""
-    from functools import reduce
-
     w = weights or HYBRID_WEIGHTS
     parts = [min_max(df).select("u", "j", (F.col("s") * w[name]).alias("s")) for name, df in signals.items()]
     return reduce(DataFrame.unionByName, parts).groupBy("u", "j").agg(F.round(F.sum("s"), 6).alias("score"))
@@ -305,8 +388,6 @@ def blend(signals: dict[str, DataFrame], weights: dict[str, float] | None = None
 
 def reciprocal_rank_fusion(lists: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
     """Fuse ranked lists (q, j, puesto) by the sum of 1 / (constant + rank)."""
-    from functools import reduce
-
     every = reduce(DataFrame.unionByName, [df.select("q", "j", "puesto") for df in lists])
     fused = every.groupBy("q", "j").agg(
         F.round(F.sum(1.0 / (F.col("puesto") + constant)), 8).alias("score"), F.count("*").alias("listas"))

@@ -150,10 +150,11 @@ class _Bounds:
         return out
 
 
-def _meet(queries: DataFrame, base: DataFrame, sizes: np.ndarray, block_rows: int, fn, schema: str) -> DataFrame:
+def _meet(queries: DataFrame, n_queries: int, base: DataFrame, sizes: np.ndarray, block_rows: int, fn,
+          schema: str) -> DataFrame:
     """Bring queries and base rows together per (cell, part of the cell, query chunk), all of bounded size."""
     parts = F.create_map(*[x for c, n in enumerate(sizes) for x in (F.lit(c), F.lit(max(1, math.ceil(n / block_rows))))])
-    chunks = max(1, math.ceil(queries.select("id").distinct().count() / block_rows))
+    chunks = max(1, math.ceil(n_queries / block_rows))
     b = (base.withColumn("part", F.pmod(F.xxhash64("id"), parts[F.col("cell")]).cast("int"))
          .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))))
     q = (queries.withColumn("part", F.explode(F.sequence(F.lit(0), parts[F.col("cell")] - 1)))
@@ -227,7 +228,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, per_group: int | None =
     # The cap by group may discard near rows, so the distance of the k-th kept row is not known in advance.
     bounds = _Bounds(cells, len(centres), None if per_group else k, None)
     visits = _meeting_cells(q, centres, bounds, probes)
-    found = _meet(visits, cells, bounds.stats["count"], block_rows, _best_in_block(k, per_group), schema)
+    found = _meet(visits, q.count(), cells, bounds.stats["count"], block_rows, _best_in_block(k, per_group), schema)
     order = [F.col("sim").desc(), F.col("other").asc()]
     if per_group is not None:
         found = top_per_group(found, ["id", "grp"], order, per_group, "__g").drop("__g")
@@ -267,7 +268,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float, block_rows: int = B
     cells = _in_cells(base, centres)
     bounds = _Bounds(cells, len(centres), None, math.acos(max(-1.0, min(1.0, threshold))))
     visits = _meeting_cells(base, centres, bounds)
-    pairs = _meet(visits, cells, bounds.stats["count"], block_rows, above,
+    pairs = _meet(visits, base.count(), cells, bounds.stats["count"], block_rows, above,
                   "contenido_a bigint, contenido_b bigint, similitud double")
     return pairs.unionByName(member)
 

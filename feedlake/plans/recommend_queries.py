@@ -9,6 +9,7 @@ from feedlake.operators import recommend as R
 from feedlake.plans.catalog_queries import publishable
 from feedlake.plans.metrics_queries import FEATURES_SQL  # noqa: F401  (kept next to the serving queries)
 from feedlake.plans.registry import query
+from feedlake.session import cut_lineage
 from feedlake.plans.vectors_queries import FEED_SQL, LEVEL_SQL, NEIGHBOURS_SQL, neighbours, personal_feed
 from feedlake.sources.domain import AS_OF
 
@@ -20,18 +21,18 @@ def views(d):
 _VIO = "(SELECT DISTINCT usuario_id AS u, contenido_id AS i FROM eventos WHERE tipo_evento = 'vista')"
 
 
-def _pair_sql(source: str, score: str, k: int) -> str:
+def _pair_sql(source: str, score: str, k: int, factor: str = "1.0::DOUBLE") -> str:
     """Whole self-join of a (u, i) relation with a score; the check has no notion of large or small groups."""
     return f"""
-        SELECT i, j, n_ij, score, puesto FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) AS puesto FROM (
-            SELECT p.i, p.j, p.n_ij, {score} AS score FROM (
+        SELECT i, j, n_ij, score, puesto FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY r DESC, j) AS puesto FROM (
+            SELECT p.i, p.j, p.n_ij, {score} AS score, floor(p.n_ij * ({factor}) * 1000000000.0::DOUBLE + 0.5::DOUBLE) AS r FROM (
                 SELECT x.i, y.i AS j, count(*) AS n_ij FROM {source} x JOIN {source} y ON x.u = y.u AND x.i <> y.i GROUP BY 1, 2) p
             JOIN (SELECT i, count(*) AS n FROM {source} GROUP BY 1) a ON a.i = p.i
             JOIN (SELECT i AS j, count(*) AS n FROM {source} GROUP BY 1) b ON b.j = p.j)) WHERE puesto <= {k}"""
 
 
-COOC_SQL = _pair_sql("(SELECT DISTINCT usuario_id AS u, contenido_id AS i FROM eventos)",
-                     "n_ij / sqrt(CAST(a.n * b.n AS DOUBLE))", 10)
+_COSINE = ("n_ij / sqrt(CAST(a.n * b.n AS DOUBLE))", 10, "1.0::DOUBLE / sqrt(CAST(b.n AS DOUBLE))")
+COOC_SQL = _pair_sql("(SELECT DISTINCT usuario_id AS u, contenido_id AS i FROM eventos)", *_COSINE)
 GRAPH_SQL = _pair_sql(_VIO, "n_ij / CAST(a.n AS DOUBLE)", 10)
 COVIEW_SQL = f"""
     SELECT u, j, caminos, puesto FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY caminos DESC, j) AS puesto FROM (
@@ -106,8 +107,7 @@ def _(d):
     SELECT i AS etiqueta, j AS etiqueta_afin, n_ij AS comunes, puesto FROM ({_pair_sql(
         '(SELECT contenido_id AS u, etiqueta AS i FROM contenidos_etiquetas)', 'n_ij::DOUBLE', 5)})""")
 def _(d):
-    return R.related_tags(d.contenidos_etiquetas, 5).select(
-        F.col("i").alias("etiqueta"), F.col("j").alias("etiqueta_afin"), F.col("n_ij").alias("comunes"), "puesto")
+    return R.related_tags(d.contenidos_etiquetas, d.etiquetas, 5)
 
 
 @query("r06_cold_start_contents", f"""
@@ -127,7 +127,7 @@ def _(d):
 
 
 @query("r08_item_cooccurrence", _PAIR_OUT + "(" + _pair_sql(
-    "(SELECT DISTINCT usuario_id AS u, contenido_id AS i FROM cesta)", "n_ij / sqrt(CAST(a.n * b.n AS DOUBLE))", 10) + ")")
+    "(SELECT DISTINCT usuario_id AS u, contenido_id AS i FROM cesta)", *_COSINE) + ")")
 def _(d):
     return _rename(R.item_cooccurrence(d.cesta, 10))
 
@@ -190,6 +190,8 @@ def hybrid(d, n=20, k=10):
             agreed.select(F.col("usuario_id").alias("u")), "u", "left_semi").select(
             "u", "j", F.col("caminos").cast("double").alias("score")),
     }
+    # Each list is short (n rows per user) and comes from a long plan: written once, then blended.
+    signals = {name: cut_lineage(df) for name, df in signals.items()}
     mixed = R.blend(signals).join(people, "u", "left_semi").select(
         F.col("u").alias("usuario_id"), F.col("j").alias("contenido_id"), "score")
     levels = C.access_level_now(d.usuarios, d.suscripciones, d.planes, AS_OF).withColumnRenamed("nivel_acceso", "nivel")

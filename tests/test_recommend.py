@@ -5,8 +5,6 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import functions as F
-
 from feedlake.operators import recommend as R
 
 
@@ -44,9 +42,10 @@ def test_cooccurrence_equals_brute_force(spark, seed, max_group):
     n, size, _ = brute_pairs(edges)
     want = {}
     for i in size:
-        ranked = sorted(((-(n[a, b] / math.sqrt(size[a] * size[b])), b) for a, b in n if a == i))[:k]
+        ranked = sorted(((-math.floor(n[a, b] / math.sqrt(size[b]) * 1e9 + 0.5), b) for a, b in n if a == i))[:k]
         want.update({(i, p): (j, n[i, j]) for p, (_, j) in enumerate(ranked, 1)})
-    got = {(r.i, r.puesto): (r.j, r.n_ij) for r in R.item_cooccurrence(frame(spark, edges), k, max_group).collect()}
+    got = {(r.i, r.puesto): (r.j, r.n_ij) for r in R.item_cooccurrence(
+        frame(spark, edges), k, max_group, block_rows=7).collect()}
     assert got == want
 
 
@@ -73,10 +72,20 @@ def test_co_viewing_equals_brute_force(spark, max_group):
         for pos, (p, j) in enumerate(ranked, 1):
             via = min((-n[c, j], c) for c in own)[1]
             want[u, pos] = (j, -p, via)
-    rows = R.co_view_recommendations(frame(spark, edges), k, max_group).collect()
+    rows = R.co_view_recommendations(frame(spark, edges), k, max_group, block_rows=9).collect()
     assert {(r.u, r.puesto): (r.j, r.caminos, r.via) for r in rows} == want
 
 
+def test_more_big_groups_than_may_be_large(spark, monkeypatch):
+    """Beyond the limit of large groups, big groups are expanded in chunks; the result stays the same."""
+    monkeypatch.setattr(R, "MAX_LARGE_GROUPS", 1)
+    monkeypatch.setattr(R, "CHUNK", 6)
+    edges = skewed(11)
+    n, _, _ = brute_pairs(edges)
+    got = {(r.i, r.j): r.n_ij for r in R.graph_neighbours(frame(spark, edges), 1000, 3).collect()}
+    assert got == dict(n)
+
+
 def test_shortest_path_and_its_nodes(spark):
     e = spark.createDataFrame([("U1", "C1"), ("U2", "C1"), ("U2", "C2"), ("U3", "C2"), ("U9", "C9")], "origen string, destino string")
     paths = R.shortest_paths(e, "U1").cache()
@@ -121,4 +130,3 @@ def test_bridges_have_no_own_section(spark):
     contents = spark.createDataFrame([(1, 10), (2, 20), (3, 20)], "id long, seccion_id int")
     rows = {(r.contenido_id, r.seccion_destino): (r.lectores, r.caminos) for r in R.bridge_contents(views, contents).collect()}
     assert rows == {(1, 20): (1, 2), (2, 10): (1, 1), (3, 10): (1, 1)}
-    assert F is not None
