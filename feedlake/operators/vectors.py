@@ -59,18 +59,26 @@ def _angles(m: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(m @ centres.T, -1.0, 1.0))
 
 
-def choose_pivots(base: DataFrame, n: int | None = None) -> np.ndarray:
-    """One pivot per ``ROWS_PER_PIVOT`` rows, at most ``MAX_PIVOTS``, picked by the hash of their id."""
-    if n is None:
-        n = min(MAX_PIVOTS, math.ceil(base.count() / ROWS_PER_PIVOT))
-    if n == 0:
-        return np.zeros((0, 0))
-    rows = base.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(n).collect()
-    if not rows:
-        return np.zeros((0, 0))
+def choose_pivots(base: DataFrame, n: int) -> np.ndarray:
+    """``n`` vectors picked by the hash of their id; ``n`` is bounded by ``MAX_PIVOTS`` whatever the table's size."""
+    rows = base.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(min(n, MAX_PIVOTS)).collect()
     return _unit(pd.Series([np.asarray(r.v) for r in rows]))
 
 
+def _arrange(queries: DataFrame, base: DataFrame, k: int | None, angle: float | None = None,
+             centres: np.ndarray | None = None, probes: int | None = None):
+    """(queries once per cell to visit, base rows with their cell, rows per cell)."""
+    n = base.count()
+    if centres is None:
+        pivots = min(MAX_PIVOTS, math.ceil(n / ROWS_PER_PIVOT))
+        if pivots <= 1:  # one cell: nothing to skip
+            return queries.withColumn("cell", F.lit(0)), base.withColumn("cell", F.lit(0)), np.array([n])
+        centres = choose_pivots(base, pivots)
+    cells = _in_cells(base, centres)
+    bounds = _Bounds(cells, len(centres), k, angle)
+    return _meeting_cells(queries, centres, bounds, probes), cells, bounds.stats["count"]
+
+
 def _in_cells(base: DataFrame, centres: np.ndarray) -> DataFrame:
     """Base rows with their nearest pivot and the angle to it."""
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,16 +227,11 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, per_group: int | None =
                        F.lit(same_space).alias("own"))
     b = base.select(F.col("id").cast("long").alias("id"), "v", F.col("level").cast("int").alias("level"),
                     F.col("grp").cast("long").alias("grp"))
-    # Both sides are read several times below (pivots, cell sizes, search), so each is computed once.
+    # Both sides are read several times below (sizes, pivots, search), so each is computed once.
     q, b = cut_lineage(q), cut_lineage(b)
-    centres = choose_pivots(b) if centres is None else centres
-    if not len(centres):
-        return queries.sparkSession.createDataFrame([], schema + ", puesto bigint")
-    cells = _in_cells(b, centres)
     # The cap by group may discard near rows, so the distance of the k-th kept row is not known in advance.
-    bounds = _Bounds(cells, len(centres), None if per_group else k, None)
-    visits = _meeting_cells(q, centres, bounds, probes)
-    found = _meet(visits, q.count(), cells, bounds.stats["count"], block_rows, _best_in_block(k, per_group), schema)
+    visits, cells, sizes = _arrange(q, b, None if per_group else k, None, centres, probes)
+    found = _meet(visits, q.count(), cells, sizes, block_rows, _best_in_block(k, per_group), schema)
     order = [F.col("sim").desc(), F.col("other").asc()]
     if per_group is not None:
         found = top_per_group(found, ["id", "grp"], order, per_group, "__g").drop("__g")
@@ -246,7 +249,6 @@ def near_duplicates(embeddings: DataFrame, threshold: float, block_rows: int = B
         F.col("rep").alias("contenido_a"), F.col("contenido_id").alias("contenido_b"), F.lit(1.0).alias("similitud"))
     base = copies.select(F.col("rep").cast("long").alias("id"), F.col("embedding").alias("v"), F.lit(0).alias("level"))
     base = cut_lineage(base)
-    centres = choose_pivots(base)
 
     def above(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -263,12 +265,8 @@ def near_duplicates(embeddings: DataFrame, threshold: float, block_rows: int = B
                                  "similitud": pd.Series(dtype="float64")})
         return pd.concat(out, ignore_index=True)
 
-    if not len(centres):
-        return member
-    cells = _in_cells(base, centres)
-    bounds = _Bounds(cells, len(centres), None, math.acos(max(-1.0, min(1.0, threshold))))
-    visits = _meeting_cells(base, centres, bounds)
-    pairs = _meet(visits, base.count(), cells, bounds.stats["count"], block_rows, above,
+    visits, cells, sizes = _arrange(base, base, None, math.acos(max(-1.0, min(1.0, threshold))))
+    pairs = _meet(visits, base.count(), cells, sizes, block_rows, above,
                   "contenido_a bigint, contenido_b bigint, similitud double")
     return pairs.unionByName(member)
 

@@ -267,6 +267,19 @@ def _(d):
     return C.never_shown(d.contenidos, d.impresiones)
 
 
+@query("u02_recursive_union", """
+    SELECT seccion_raiz, profundidad, count(*) AS secciones FROM arbol GROUP BY 1, 2""")
+def _(d):
+    return C.section_tree(d.secciones).groupBy("seccion_raiz", "profundidad").agg(F.count("*").alias("secciones"))
+
+
+@query("u05_set_subtraction", """
+    SELECT DISTINCT usuario_id, contenido_id FROM impresiones EXCEPT SELECT usuario_id, contenido_id FROM vetos""")
+def _(d):
+    pairs = d.impresiones.select("usuario_id", "contenido_id").distinct()
+    return pairs.subtract(C.user_vetoes(d.preferencias, d.contenidos, d.contenidos_etiquetas))
+
+
 # ---- unions and scalar expressions ----------------------------------------------------------------
 
 @query("u01_labelled_counts", """

@@ -353,10 +353,11 @@ def _(d):
 
 
 @query("s10_insert_if_absent", """
-    SELECT usuario_id, 'vieja' AS origen FROM (SELECT DISTINCT id AS usuario_id FROM usuarios WHERE id % 2 = 0)
-    UNION ALL SELECT DISTINCT usuario_id, 'nueva' FROM eventos WHERE usuario_id NOT IN (SELECT id FROM usuarios WHERE id % 2 = 0)""")
+    SELECT usuario_id, 'vieja' AS origen FROM (SELECT DISTINCT id AS usuario_id FROM usuarios WHERE consentimiento_personalizacion)
+    UNION ALL SELECT DISTINCT usuario_id, 'nueva' FROM eventos
+        WHERE usuario_id NOT IN (SELECT id FROM usuarios WHERE consentimiento_personalizacion)""")
 def _(d):
-    old = d.usuarios.filter("id % 2 = 0").select(F.col("id").alias("usuario_id"), F.lit("vieja").alias("origen"))
+    old = d.usuarios.filter("consentimiento_personalizacion").select(F.col("id").alias("usuario_id"), F.lit("vieja").alias("origen"))
     new = d.eventos.select("usuario_id", F.lit("nueva").alias("origen"))
     return L.insert_if_absent(old, new, ["usuario_id"])
 

@@ -60,6 +60,17 @@ NEIGHBOURS_SQL = """
     WHERE puesto <= 10"""
 
 
+@query("j14_nearest_content_of_profile", f"""
+    SELECT usuario_id, contenido_id, similitud FROM (SELECT f.usuario_id, e.contenido_id,
+        round(list_cosine_similarity(f.embedding, e.embedding), 6) AS similitud, row_number() OVER (PARTITION BY f.usuario_id
+        ORDER BY round(list_cosine_similarity(f.embedding, e.embedding), 6) DESC, e.contenido_id) AS r
+    FROM ({PROFILE_SQL}) f, embeddings_c e WHERE e.contenido_id IN (SELECT id FROM contenidos)) WHERE r = 1""")
+def _(d):
+    every = d.contenidos.select(F.col("id").alias("contenido_id"), F.lit(0).alias("nivel_acceso"), "seccion_id")
+    found = V.nearest(V.as_queries(profiles(d), "usuario_id", "embedding"), V.as_base(d.embeddings, every), 1)
+    return found.select(F.col("id").alias("usuario_id"), F.col("other").alias("contenido_id"), F.col("sim").alias("similitud"))
+
+
 @query("x01_cosine_similarity", """
     SELECT e.contenido_id, round(list_cosine_similarity(e.embedding, q.embedding), 6) AS similitud,
            round(1 - list_cosine_similarity(e.embedding, q.embedding), 6) AS distancia

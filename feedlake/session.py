@@ -10,7 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def build_session(app: str = "feedlake", master: str | None = None, shuffle_partitions: int | None = None,
                   driver_memory: str | None = None) -> SparkSession:
-    """A session with the settings every job expects; the cluster's own values win where they are set."""
+    """A session with the settings every job expects.
+
+    ``shuffle_partitions`` is the number of partitions a shuffle starts with; adaptive execution merges the small
+    ones. On a cluster take the bytes of the largest shuffle divided by 128 MB, and not less than the cores.
+    Streaming state lives in RocksDB, outside the executors' heap.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -18,6 +23,8 @@ def build_session(app: str = "feedlake", master: str | None = None, shuffle_part
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass",
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
     if master:
         builder = builder.master(master)
@@ -56,9 +63,11 @@ def run_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise an intermediate result reliably, so that a lost executor does not replay the whole loop."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    """Write an intermediate result to the shared folder and go on from there.
+
+    A lost executor then repeats a read instead of the steps before, and later joins know the real size. The
+    files stay until the shared folder is cleaned, as a task that is retried may still need them.
+    """
+    path = run_folder(df.sparkSession, "step")
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
