@@ -79,20 +79,21 @@ def _with_signature(df: DataFrame, sig: DataFrame, item: str, out: str) -> DataF
     return df.join(sig.select(F.col("i").alias(item), F.col("sig").alias(out)), item, "left")
 
 
-def _dense(lists: list[np.ndarray], values: list[np.ndarray] | None, names: np.ndarray) -> np.ndarray:
+def _dense(lists: list[np.ndarray], values: list[np.ndarray], names: np.ndarray) -> np.ndarray:
+    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     out = np.zeros((len(lists), len(names)))
-    for r, row in enumerate(lists):
-        out[r, np.searchsorted(names, row)] = 1.0 if values is None else values[r]
+    out[rows, np.searchsorted(names, np.concatenate(lists))] = np.concatenate(values)
     return out
 
 
 def _through_large(left: DataFrame, right: DataFrame, k: int, skip: DataFrame | None = None,
                    block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """For every ``key``, the ``k`` items with most weight through large groups: (key, j, n).
+    """For every ``key``, the ``k`` items with the greatest product over shared features: (key, j, n).
 
-    ``left``: key, sig, w (a weight per group of sig). ``right``: j, sig, f. The rank is n * f, then lower j,
-    where n sums the weights of the shared groups. ``skip`` (key, j) lists items a key must not receive. Both
-    sides are cut in chunks of about ``block_rows`` by hash, and a block returns ``k`` rows per key.
+    ``left``: key, sig, w and ``right``: j, sig, w, f, where w has one weight per feature of sig. The rank is
+    n * f, then lower j, where n is the product of both weights summed over the features in common. ``skip``
+    (key, j) lists items a key must not receive. Both sides are cut in chunks of about ``block_rows`` by hash,
+    and a block returns ``k`` rows per key.
     """
     def chunks(df: DataFrame) -> Column:
         return df.agg(F.greatest(F.ceil(F.count("*") / block_rows).cast("int"), F.lit(1)).alias("n")).select("n").scalar()
@@ -112,7 +113,8 @@ def _through_large(left: DataFrame, right: DataFrame, k: int, skip: DataFrame |
     b = (right.withColumn("nl", nl).withColumn("nr", nr)
          .withColumn("cr", F.pmod(F.xxhash64("j"), F.col("nr")).cast("int"))
          .withColumn("cl", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)))
-         .select("j", F.col("sig").alias("groups"), "f", F.col("cl").alias("bl"), F.col("cr").alias("br")))
+         .select("j", F.col("sig").alias("groups"), F.col("w").alias("weights"), "f", F.col("cl").alias("bl"),
+                 F.col("cr").alias("br")))
 
     def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"key": np.zeros(0, "int64"), "j": np.zeros(0, "int64"), "n": np.zeros(0, "int64")})]
@@ -120,7 +122,7 @@ def _through_large(left: DataFrame, right: DataFrame, k: int, skip: DataFrame |
             y = y.sort_values("j").reset_index(drop=True)
             js, f = y["j"].to_numpy(), y["f"].to_numpy()
             names = np.unique(np.concatenate(list(x["sig"]) + list(y["groups"])))
-            h = _dense(list(y["groups"]), None, names)
+            h = _dense(list(y["groups"]), list(y["weights"]), names)
             for start in range(0, len(x), 512):
                 part = x.iloc[start:start + 512]
                 n = _dense(list(part["sig"]), list(part["w"]), names) @ h.T
@@ -128,9 +130,13 @@ def _through_large(left: DataFrame, right: DataFrame, k: int, skip: DataFrame |
                 for r, omit in enumerate(part["omit"]):
                     if len(omit):
                         rank[r, np.searchsorted(js, np.asarray(omit))] = 0
-                order = np.argsort(-rank, axis=1, kind="stable")[:, :k]
-                r, c = np.repeat(np.arange(len(part)), order.shape[1]), order.ravel()
-                keep = rank[r, c] > 0
+                if rank.shape[1] > k:  # nothing below a row's k-th value can be kept
+                    rank[rank < np.partition(rank, rank.shape[1] - k, axis=1)[:, [rank.shape[1] - k]]] = 0
+                r, c = np.nonzero(rank > 0)
+                order = np.lexsort((c, -rank[r, c], r))
+                r, c = r[order], c[order]
+                first = np.searchsorted(r, np.arange(len(part)))
+                keep = np.arange(len(r)) - first[r] < k
                 r, c = r[keep], c[keep]
                 out.append(pd.DataFrame({"key": part["key"].to_numpy()[r], "j": js[c], "n": n[r, c].astype("int64")}))
         return pd.concat(out, ignore_index=True)
@@ -162,8 +168,9 @@ def top_cooccurring(df: DataFrame, group: str, item: str, k: int, factor: Callab
             "i", "j", (F.col("n") + _shared("sa", "sb")).alias("n"))
         # Items with one signature share one list; of each signature only its k + 1 best items can appear in lists.
         classes = sig.groupBy("sig").agg(F.min("i").alias("key"))
-        left = classes.select("key", "sig", F.transform("sig", lambda _: F.lit(1.0)).alias("w"))
-        weighted = sig.join(n, "i").select(F.col("i").alias("j"), "sig", factor(F.col("n_i")).alias("f"))
+        ones = F.transform("sig", lambda _: F.lit(1.0)).alias("w")
+        left = classes.select("key", "sig", ones)
+        weighted = sig.join(n, "i").select(F.col("i").alias("j"), "sig", ones, factor(F.col("n_i")).alias("f"))
         right = top_per_group(weighted, ["sig"], [_rank_key(F.lit(1.0), F.col("f")).desc(), F.col("j").asc()], k + 1,
                               "__p").drop("__p")
         far = _through_large(left, right, k + 1, block_rows=block_rows)
@@ -280,36 +287,51 @@ def path_to(paths: DataFrame, target: str, max_hops: int = 6) -> DataFrame:
     return out
 
 
+def _features(rows: DataFrame, key: str) -> DataFrame:
+    """(key, sig, w) from rows (key, feature, weight); the number of features is bounded by the callers."""
+    packed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("feature", "weight"))).alias("t"))
+    return packed.select(key, F.col("t.feature").alias("sig"), F.col("t.weight").alias("w"))
+
+
 def co_view_recommendations(views: DataFrame, k: int, max_group: int = MAX_GROUP, explain: bool = True,
                             block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per user, unseen contents by number of user-content-reader-content paths: (u, j, caminos, puesto, via).
 
     Paths are counted as the sum, over the user's contents, of the readers each shares with the candidate: items
-    are paired first, so users are never paired with users. Large readers enter through signatures.
+    are paired first, so users are never paired with users. The largest readers and the most read contents do not
+    take part in that join. They are features, few in number: a user has one weight per feature (contents shared
+    with the reader; whether the content was read), a candidate another (whether the reader saw it; readers shared
+    with the content), and the paths through them are the product of the two.
     """
     edges = cut_lineage(_edges(views, "usuario_id", "contenido_id"))
     ordinary, large = _split(edges, max_group)
-    large = cut_lineage(large)
+    popular = edges.groupBy("i").agg(F.count("*").alias("n")).filter(F.col("n") > max_group).orderBy(
+        F.col("n").desc(), F.col("i").asc()).limit(MAX_LARGE_GROUPS).select("i")
+    large, popular = cut_lineage(large), cut_lineage(popular)
     pairs = cut_lineage(_both_ways(_pairs(ordinary)))
     seen = edges.select(F.col("g").alias("u"), "i")
     own = seen.select("u", F.col("i").alias("j"))
-    scored = seen.join(pairs, "i").groupBy("u", "j").agg(F.sum("n").alias("caminos"))
-    sig = None
-    if not large.isEmpty():
-        sig = cut_lineage(_signatures(large))
-        # What each user shares with each large reader: that reader's every content is reached so many times.
+    scored = seen.join(popular, "i", "left_anti").join(pairs, "i").groupBy("u", "j").agg(F.sum("n").alias("caminos"))
+    sig = None if large.isEmpty() else cut_lineage(_signatures(large))
+    if sig is not None or not popular.isEmpty():
+        # Readers get even feature numbers, contents odd ones.
         overlap = seen.join(large.select("i", F.col("g").alias("h")), "i").filter("u <> h").groupBy("u", "h").agg(
-            F.count("*").alias("o"))
-        taste = cut_lineage(overlap.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("h", "o"))).alias("t")).select(
-            "u", F.col("t.h").alias("hs"), F.col("t.o").cast("array<double>").alias("os")))
-        pool = sig.select(F.col("i").alias("j"), "sig", F.lit(1.0).alias("f"))
-        reached = own.join(sig.select(F.col("i").alias("j")), "j", "left_semi").select(F.col("u").alias("key"), "j")
-        far = _through_large(taste.select(F.col("u").alias("key"), F.col("hs").alias("sig"), F.col("os").alias("w")), pool, k,
-                             reached, block_rows).select(F.col("key").alias("u"), "j", F.col("n").alias("caminos"))
-        extra = F.aggregate(F.filter(F.arrays_zip("hs", "os"), lambda p: F.array_contains(F.col("sig"), p["hs"])),
-                            F.lit(0.0), lambda acc, p: acc + p["os"])
-        near = _with_signature(scored, sig, "j", "sig").join(taste, "u", "left").select(
-            "u", "j", (F.col("caminos") + F.coalesce(extra, F.lit(0.0)).cast("long")).alias("caminos"))
+            F.count("*").cast("double").alias("weight")).select("u", (F.col("h") * 2).alias("feature"), "weight")
+        read = seen.join(popular, "i", "left_semi").select(
+            "u", (F.col("i") * 2 + 1).alias("feature"), F.lit(1.0).alias("weight"))
+        held = large.select(F.col("i").alias("j"), (F.col("g") * 2).alias("feature"), F.lit(1.0).alias("weight"))
+        near_popular = pairs.join(popular, "i", "left_semi").select(
+            "j", (F.col("i") * 2 + 1).alias("feature"), F.col("n").cast("double").alias("weight"))
+        taste = cut_lineage(_features(overlap.unionByName(read), "u"))
+        pool = cut_lineage(_features(held.unionByName(near_popular), "j"))
+        reached = own.join(pool.select("j"), "j", "left_semi").select(F.col("u").alias("key"), "j")
+        far = _through_large(taste.withColumnRenamed("u", "key"), pool.withColumn("f", F.lit(1.0)), k, reached,
+                             block_rows).select(F.col("key").alias("u"), "j", F.col("n").alias("caminos"))
+        weights = pool.select("j", F.map_from_arrays("sig", "w").alias("m"))
+        through = F.aggregate(F.arrays_zip("sig", "w"), F.lit(0.0), lambda acc, p: acc + p["w"] * F.coalesce(
+            F.try_element_at(F.col("m"), p["sig"]), F.lit(0.0)))
+        near = scored.join(taste, "u", "left").join(weights, "j", "left").select(
+            "u", "j", (F.col("caminos") + F.coalesce(through, F.lit(0.0)).cast("long")).alias("caminos"))
         scored = near.unionByName(far).groupBy("u", "j").agg(F.max("caminos").alias("caminos"))
     unseen = scored.join(own, ["u", "j"], "left_anti")
     top = top_per_group(unseen, ["u"], [F.col("caminos").desc(), F.col("j").asc()], k, "puesto")
