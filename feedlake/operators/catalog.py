@@ -41,24 +41,29 @@ def publishable_contents(contents: DataFrame, types: DataFrame, sections: DataFr
     )
 
 
-def section_tree(sections: DataFrame) -> DataFrame:
-    """Depth, root and path of every section reachable from a root; cycles are never entered."""
+def _lineage(sections: DataFrame) -> DataFrame:
+    """(id, ids, nombres): every section with the chain from its root down to itself. Cycles have no root."""
     return sections.sparkSession.sql(
         """
-        WITH RECURSIVE arbol AS (
-            SELECT id, slug, nombre, seccion_padre_id, 1 AS profundidad, id AS seccion_raiz_id,
-                   nombre AS seccion_raiz, nombre AS camino
-            FROM {sections} WHERE seccion_padre_id IS NULL
+        WITH RECURSIVE linaje AS (
+            SELECT id, array(id) AS ids, array(nombre) AS nombres FROM {sections} WHERE seccion_padre_id IS NULL
             UNION ALL
-            SELECT h.id, h.slug, h.nombre, h.seccion_padre_id, a.profundidad + 1, a.seccion_raiz_id,
-                   a.seccion_raiz, concat(a.camino, ' > ', h.nombre)
-            FROM {sections} h JOIN arbol a ON a.id = h.seccion_padre_id
+            SELECT hija.id, array_append(l.ids, hija.id), array_append(l.nombres, hija.nombre)
+            FROM linaje l INNER JOIN {sections} hija ON hija.seccion_padre_id = l.id
         )
-        SELECT id AS seccion_id, slug, nombre, seccion_padre_id, profundidad, seccion_raiz_id, seccion_raiz, camino
-        FROM arbol
-        """,
-        sections=sections,
-    )
+        SELECT id, ids, nombres FROM linaje
+        """, sections=sections)
+
+
+def section_tree(sections: DataFrame) -> DataFrame:
+    """Depth, root and path of every section reachable from a root, all read off its chain."""
+    chain = _lineage(sections).select(
+        F.col("id").alias("seccion_id"), F.size("ids").alias("profundidad"),
+        F.element_at("ids", 1).alias("seccion_raiz_id"), F.element_at("nombres", 1).alias("seccion_raiz"),
+        F.array_join("nombres", " > ").alias("camino"))
+    own = sections.select(F.col("id").alias("seccion_id"), "slug", "nombre", "seccion_padre_id")
+    return own.join(chain, "seccion_id").select(
+        "seccion_id", "slug", "nombre", "seccion_padre_id", "profundidad", "seccion_raiz_id", "seccion_raiz", "camino")
 
 
 def outside_tree(contents: DataFrame, tree: DataFrame) -> DataFrame:
@@ -148,9 +153,9 @@ def access_level_at(facts: DataFrame, ts: str, subscriptions: DataFrame, plans:
     first, so a busy user neither multiplies rows nor lands in one task.
     """
     moments = facts.select("usuario_id", F.col(ts).alias("__t")).distinct()
-    span = moments.agg(F.date_trunc("month", F.min("__t")).cast("date").alias("lo"),
-                       F.date_trunc("month", F.max("__t")).cast("date").alias("hi"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+    span = facts.agg(F.struct(F.trunc(F.min(ts).cast("date"), "month").alias("lo"),
+                              F.trunc(F.max(ts).cast("date"), "month").alias("hi")).alias("span")).scalar()
+    lo, hi = span["lo"], span["hi"]
     p = plans.select(F.col("id").alias("plan_id"), "nivel_acceso")
     start = F.greatest(F.trunc(F.col("desde").cast("date"), "month"), lo)
     end = F.least(F.coalesce(F.trunc(F.col("hasta").cast("date"), "month"), hi), hi)
@@ -190,15 +195,7 @@ def consenting(users: DataFrame) -> DataFrame:
 
 def section_descendants(sections: DataFrame) -> DataFrame:
     """(ancestor, section) pairs over the whole tree, each section paired with itself too."""
-    return sections.sparkSession.sql(
-        """
-        WITH RECURSIVE linaje AS (
-            SELECT id, array(id) AS antepasados FROM {sections} WHERE seccion_padre_id IS NULL
-            UNION ALL
-            SELECT h.id, concat(a.antepasados, array(h.id)) FROM {sections} h JOIN linaje a ON a.id = h.seccion_padre_id
-        )
-        SELECT explode(antepasados) AS antepasado_id, id AS seccion_id FROM linaje
-        """, sections=sections)
+    return _lineage(sections).select(F.explode("ids").alias("antepasado_id"), F.col("id").alias("seccion_id"))
 
 
 def _veto_sections(preferences: DataFrame, descendants: DataFrame | None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedlake.functions import expressions as E
 from feedlake.functions.ordering import number_in_slices, top_per_group
 from feedlake.operators.metrics import decayed_clicks
+from feedlake.session import cut_lineage
 
 
 def _score_slice(score: Column, date: Column) -> Column:
@@ -30,7 +31,8 @@ def trending_by_section(impressions: DataFrame, publishable: DataFrame, days: in
     scored = publishable.join(recent, "contenido_id").select(
         "seccion_id", "seccion_slug", "contenido_id", "titulo", "tipo_contenido", "nivel_acceso", "fecha_publicacion",
         "impresiones", "clics", F.round("score_decaido", 6).alias("score"), F.lit(days * 24).alias("ventana_horas"))
-    return position_in_section(scored)
+    # One row per content from a scan of all impressions: written once, because numbering reads it twice.
+    return position_in_section(cut_lineage(scored))
 
 
 def top_global(scored: DataFrame, n: int) -> DataFrame:

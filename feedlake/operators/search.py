@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from feedlake.functions import expressions as E
 from feedlake.functions.ordering import top_per_group
+from feedlake.session import cut_lineage
 
-RRF_K = 60
+MAX_LISTED_TERMS = 2000
 
 
 def embedding_sources(contents: DataFrame, sections: DataFrame, content_tags: DataFrame) -> DataFrame:
@@ -42,24 +43,34 @@ def postings(docs: DataFrame, language: str | None = "spanish") -> DataFrame:
     return words.groupBy("id", E.stem(F.col("palabra")).alias("termino")).agg(F.count("*").alias("tf"))
 
 
+def _hits(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, termino, tf) of the searched terms only.
+
+    Up to ``MAX_LISTED_TERMS`` terms travel with the plan and the other words are dropped inside the row, before
+    any row is made of a word. A longer list is joined.
+    """
+    listed = [r.termino for r in wanted.limit(MAX_LISTED_TERMS + 1).collect()]
+    stems = F.transform(E.tokens(F.col("texto")), E.stem)
+    if len(listed) <= MAX_LISTED_TERMS:
+        words = docs.select("id", F.explode(F.filter(stems, lambda w: w.isin(listed))).alias("termino"))
+    else:
+        words = docs.select("id", F.explode(stems).alias("termino")).join(wanted, "termino", "left_semi")
+    return words.groupBy("id", "termino").agg(F.count("*").alias("tf"))
+
+
 def literal_search(docs: DataFrame, searches: DataFrame, k: int, language: str | None = "spanish",
                    index: DataFrame | None = None) -> DataFrame:
     """Top documents (q, j, score, puesto) of each search (q, texto).
 
     A document scores, for each term of the search, (1 + ln tf) * ln(1 + documents / documents with the term).
-    Only postings of the searched terms are shuffled.
+    The documents are read once: their postings for the searched terms are kept and used for both factors.
     """
     terms = searches.select("q", F.explode(E.tokens(F.col("texto"))).alias("palabra"))
     if language:
         terms = without_stop_words(terms, "palabra", language)
     terms = terms.select("q", E.stem(F.col("palabra")).alias("termino")).distinct()
     wanted = terms.select("termino").distinct()
-    if index is None:
-        words = docs.select("id", F.explode(E.tokens(F.col("texto"))).alias("palabra")).select(
-            "id", E.stem(F.col("palabra")).alias("termino"))
-        hits = words.join(wanted, "termino", "left_semi").groupBy("id", "termino").agg(F.count("*").alias("tf"))
-    else:
-        hits = index.join(wanted, "termino", "left_semi")
+    hits = cut_lineage(_hits(docs, wanted) if index is None else index.join(wanted, "termino", "left_semi"))
     total = docs.agg(F.count("*").alias("n")).scalar()
     idf = hits.groupBy("termino").agg(F.count("*").alias("df")).select(
         "termino", F.log(1.0 + total / F.col("df")).alias("idf"))
