@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,14 +92,26 @@ def session_key(user_id: Column, ts: Column) -> Column:
     return F.concat(F.lit("S-"), F.format_string("%06d", user_id), F.lit("-"), F.date_format(ts, "yyyyMMddHH"))
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Accented lower-case Latin letters and their base letters, derived from their Unicode decomposition."""
+    marked, plain = [], []
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if chr(code).islower() and len(parts) > 1 and all(unicodedata.category(c) == "Mn" for c in parts[1:]):
+            marked.append(chr(code))
+            plain.append(parts[0])
+    return "".join(marked), "".join(plain)
+
+
+def without_accents(text: Column) -> Column:
+    """Lower case with accents removed, whether a letter carries its accent or is followed by it."""
+    marked, plain = _plain_letters()
+    return F.regexp_replace(F.translate(F.lower(text), marked, plain), r"\p{Mn}", "")
+
+
 def slug(text: Column) -> Column:
     """Accents stripped, lower case, each non-alphanumeric character replaced by ``-``, dashes trimmed."""
-    plain = F.translate(
-        F.lower(text),
-        "áàäâãéèëêíìïîóòöôõúùüûñç",
-        "aaaaaeeeeiiiiooooouuuunc",
-    )
-    return F.regexp_replace(F.regexp_replace(plain, r"[^\p{L}\p{N}]", "-"), "^-+|-+$", "")
+    return F.regexp_replace(F.regexp_replace(without_accents(text), r"[^\p{L}\p{N}]", "-"), "^-+|-+$", "")
 
 
 def json_contains(doc: Column, pairs: dict[str, str]) -> Column:

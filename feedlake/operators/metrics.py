@@ -248,7 +248,7 @@ def plan_transitions(subscriptions: DataFrame, plans: DataFrame) -> DataFrame:
     """Counts of previous plan -> plan over each user's history; the first plan comes from ``inicio``."""
     p = plans.select(F.col("id").alias("plan_id"), F.col("codigo").alias("plan"))
     named = subscriptions.join(p, "plan_id").select("usuario_id", "desde", "id", "plan")
-    stepped = previous_in_slices(named, ["usuario_id"], F.year("desde"), ["desde", "id"], {"plan_previo": "plan"})
+    stepped = previous_in_slices(named, ["usuario_id"], F.trunc(F.col("desde").cast("date"), "month"), ["desde", "id"], {"plan_previo": "plan"})
     return stepped.groupBy(F.coalesce("plan_previo", F.lit("inicio")).alias("plan_previo"), "plan").agg(
         F.count(ONE).alias("cambios"), F.countDistinct("usuario_id").alias("usuarios"))
 

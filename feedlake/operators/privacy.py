@@ -15,7 +15,7 @@ MIN_SALT_LENGTH = 32
 def protect_users(users: DataFrame, hash_key: str, passphrase: str, salt: str) -> DataFrame:
     """Replace the clear e-mail by a keyed hash for lookups and a ciphertext; add the pseudonym."""
     check_salt(salt)
-    return (users.withColumn("email_hash", E.hmac_sha256(F.lower("email"), hash_key))
+    return (users.withColumn("email_hash", E.hmac_sha256(F.col("email"), hash_key))
             .withColumn("email_cifrado", E.encrypt_text(F.col("email"), passphrase))
             .withColumn("seudonimo", E.pseudonym(F.col("id"), salt)).drop("email"))
 

@@ -224,34 +224,57 @@ def source_diversity(neighbour_rows: DataFrame, contents: DataFrame) -> DataFram
 
 # ---- graph ------------------------------------------------------------------------------------------
 
+def _node(label: str, col: str) -> Column:
+    return F.concat(F.lit(label), F.col(col).cast("string"))
+
+
+def graph_nodes(users_with_plan: DataFrame, publishable: DataFrame, tree: DataFrame, tags: DataFrame) -> DataFrame:
+    """Nodes (nodo, etiqueta, propiedades as JSON). A user node holds country and plan and nothing that identifies."""
+    roots = tree.select("seccion_id", "seccion_raiz")
+
+    def nodes(df: DataFrame, name: Column, label: str, *props) -> DataFrame:
+        return df.select(name.alias("nodo"), F.lit(label).alias("etiqueta"), F.to_json(F.struct(*props)).alias("propiedades"))
+
+    return reduce(DataFrame.unionByName, [
+        nodes(users_with_plan, _node("U", "id"), "Usuario", F.col("id").alias("usuario_id"), "pais", "plan"),
+        nodes(publishable.join(roots, "seccion_id", "left"), _node("C", "contenido_id"), "Contenido", "contenido_id", "titulo",
+              "seccion", "seccion_raiz", F.col("tipo_contenido").alias("tipo"), "nivel_acceso", "fecha_publicacion"),
+        nodes(tree, _node("S", "seccion_id"), "Seccion", "slug", "nombre", F.col("seccion_raiz").alias("raiz")),
+        nodes(tags, _node("E", "etiqueta"), "Etiqueta", F.col("etiqueta").alias("nombre")),
+    ])
+
+
 def graph_edges(events: DataFrame, contents: DataFrame, content_tags: DataFrame, preferences: DataFrame,
                 similar: DataFrame) -> DataFrame:
-    """All relations as (origen, relacion, destino, veces, ultima_vez); nodes are prefixed by their label."""
-    none_ts, none_n = F.lit(None).cast("timestamp_ntz"), F.lit(1).cast("long")
+    """All relations, one row each: (origen, relacion, destino, veces, ultima_vez, completo, peso, fuente).
 
-    def node(label: str, col: str) -> Column:
-        return F.concat(F.lit(label), F.col(col).cast("string"))
+    ``peso`` is a tag's relevance or a similarity score, ``fuente`` the source of the similarity.
+    """
+    empty = {"veces": F.lit(1).cast("long"), "ultima_vez": F.lit(None).cast("timestamp_ntz"), "completo": F.lit(False),
+             "peso": F.lit(None).cast("double"), "fuente": F.lit(None).cast("string")}
 
-    def rel(df: DataFrame, a: Column, name: str, b: Column, n: Column = none_n, t: Column = none_ts) -> DataFrame:
-        return df.select(a.alias("origen"), F.lit(name).alias("relacion"), b.alias("destino"), n.alias("veces"),
-                         t.alias("ultima_vez"))
+    def rel(df: DataFrame, a: Column, name: str, b: Column, **props: Column) -> DataFrame:
+        values = {**empty, **props}
+        return df.select(a.alias("origen"), F.lit(name).alias("relacion"), b.alias("destino"),
+                         *[c.alias(n) for n, c in values.items()])
 
-    user, content = node("U", "usuario_id"), node("C", "contenido_id")
+    user, content = _node("U", "usuario_id"), _node("C", "contenido_id")
     seen = events.filter(F.col("tipo_evento").isin("vista", "completado")).groupBy("usuario_id", "contenido_id").agg(
-        F.count("*").alias("veces"), F.max("ocurrido_en").alias("ultima_vez"))
+        F.count("*").alias("veces"), F.max("ocurrido_en").alias("ultima_vez"),
+        F.max(F.col("tipo_evento") == "completado").alias("completo"))
     saved = events.filter(F.col("tipo_evento") == "guardado").select("usuario_id", "contenido_id").distinct()
     on_section = preferences.filter(F.col("seccion_id").isNotNull())
-    parts = [
-        rel(seen, user, "VIO", content, F.col("veces"), F.col("ultima_vez")),
+    return reduce(DataFrame.unionByName, [
+        rel(seen, user, "VIO", content, veces=F.col("veces"), ultima_vez=F.col("ultima_vez"), completo=F.col("completo")),
         rel(saved, user, "GUARDO", content),
-        rel(on_section.filter("tipo_preferencia = 'sigue'"), user, "SIGUE", node("S", "seccion_id")),
-        rel(on_section.filter("tipo_preferencia = 'no_interesa'"), user, "NO_LE_INTERESA", node("S", "seccion_id")),
-        rel(contents, node("U", "autor_id"), "ESCRIBIO", node("C", "id")),
-        rel(contents, node("C", "id"), "PERTENECE_A", node("S", "seccion_id")),
-        rel(content_tags, content, "TIENE_ETIQUETA", node("E", "etiqueta")),
-        rel(similar, content, "SIMILAR_A", node("C", "contenido_similar_id")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+        rel(on_section.filter("tipo_preferencia = 'sigue'"), user, "SIGUE", _node("S", "seccion_id")),
+        rel(on_section.filter("tipo_preferencia = 'no_interesa'"), user, "NO_LE_INTERESA", _node("S", "seccion_id")),
+        rel(contents, _node("U", "autor_id"), "ESCRIBIO", _node("C", "id")),
+        rel(contents, _node("C", "id"), "PERTENECE_A", _node("S", "seccion_id")),
+        rel(content_tags, content, "TIENE_ETIQUETA", _node("E", "etiqueta"), peso=F.col("relevancia").cast("double")),
+        rel(similar, content, "SIMILAR_A", _node("C", "contenido_similar_id"), peso=F.col("score").cast("double"),
+            fuente=F.col("origen")),
+    ])
 
 
 def shortest_paths(edges: DataFrame, source: str, max_hops: int = 6) -> DataFrame:

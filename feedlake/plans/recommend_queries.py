@@ -49,23 +49,39 @@ _PAIR_OUT = "SELECT i AS contenido_id, j AS contenido_similar_id, n_ij, round(sc
 
 
 @query("r01_graph_projection", f"""
-    SELECT 'U' || usuario_id AS origen, 'VIO' AS relacion, 'C' || contenido_id AS destino, count(*) AS veces FROM eventos
+    SELECT 'U' || usuario_id AS origen, 'VIO' AS relacion, 'C' || contenido_id AS destino, count(*) AS veces,
+           bool_or(tipo_evento = 'completado') AS completo, 0.0::DOUBLE AS peso, '' AS fuente FROM eventos
         WHERE tipo_evento = 'vista' GROUP BY 1, 2, 3
-    UNION ALL SELECT DISTINCT 'U' || usuario_id, 'GUARDO', 'C' || contenido_id, 1 FROM eventos WHERE tipo_evento = 'guardado'
+    UNION ALL SELECT DISTINCT 'U' || usuario_id, 'GUARDO', 'C' || contenido_id, 1, FALSE, 0, '' FROM eventos WHERE tipo_evento = 'guardado'
     UNION ALL SELECT 'U' || usuario_id, CASE tipo_preferencia WHEN 'sigue' THEN 'SIGUE' ELSE 'NO_LE_INTERESA' END,
-        'S' || seccion_id, 1 FROM preferencias WHERE seccion_id IS NOT NULL
-    UNION ALL SELECT 'U' || autor_id, 'ESCRIBIO', 'C' || id, 1 FROM contenidos
-    UNION ALL SELECT 'C' || id, 'PERTENECE_A', 'S' || seccion_id, 1 FROM contenidos
-    UNION ALL SELECT 'C' || contenido_id, 'TIENE_ETIQUETA', 'E' || etiqueta, 1 FROM contenidos_etiquetas
-    UNION ALL SELECT 'C' || i, 'SIMILAR_A', 'C' || j, 1 FROM ({GRAPH_SQL})""")
+        'S' || seccion_id, 1, FALSE, 0, '' FROM preferencias WHERE seccion_id IS NOT NULL
+    UNION ALL SELECT 'U' || autor_id, 'ESCRIBIO', 'C' || id, 1, FALSE, 0, '' FROM contenidos
+    UNION ALL SELECT 'C' || id, 'PERTENECE_A', 'S' || seccion_id, 1, FALSE, 0, '' FROM contenidos
+    UNION ALL SELECT 'C' || contenido_id, 'TIENE_ETIQUETA', 'E' || etiqueta, 1, FALSE, round(relevancia, 6), '' FROM contenidos_etiquetas
+    UNION ALL SELECT 'C' || i, 'SIMILAR_A', 'C' || j, 1, FALSE, round(score, 6), 'grafo' FROM ({GRAPH_SQL})""")
 def _(d):
-    return _graph(d).select("origen", "relacion", "destino", "veces")
-
+    similar = R.neighbour_table({"grafo": R.graph_neighbours(views(d), 10)})
+    edges = R.graph_edges(d.eventos, d.contenidos, d.contenidos_etiquetas, d.preferencias, similar)
+    return edges.select("origen", "relacion", "destino", "veces", "completo",
+                        F.round(F.coalesce("peso", F.lit(0.0)), 6).alias("peso"), F.coalesce("fuente", F.lit("")).alias("fuente"))
+
+
+@query("r01_graph_nodes", """
+    SELECT 'U' || u.id AS nodo, 'Usuario' AS etiqueta, CAST(json_object('usuario_id', u.id, 'pais', u.pais, 'plan',
+           coalesce(p.codigo, 'sin_plan')) AS VARCHAR) AS propiedades FROM usuarios u
+        LEFT JOIN suscripciones s ON s.usuario_id = u.id AND s.estado = 'activa' LEFT JOIN planes p ON p.id = s.plan_id
+    UNION ALL SELECT 'C' || contenido_id, 'Contenido', titulo || '/' || a.seccion_raiz || '/' || tipo_contenido
+        FROM publicables JOIN arbol a ON a.id = seccion_id
+    UNION ALL SELECT 'S' || id, 'Seccion', CAST(json_object('slug', slug, 'nombre', nombre, 'raiz', seccion_raiz) AS VARCHAR) FROM arbol
+    UNION ALL SELECT DISTINCT 'E' || etiqueta, 'Etiqueta', CAST(json_object('nombre', etiqueta) AS VARCHAR) FROM contenidos_etiquetas""")
+def _(d):
+    from feedlake.operators.privacy import users_with_plan
 
-def _graph(d):
-    similar = R.graph_neighbours(views(d), 10).select(
-        F.col("i").alias("contenido_id"), F.col("j").alias("contenido_similar_id"))
-    return R.graph_edges(d.eventos, d.contenidos, d.contenidos_etiquetas, d.preferencias, similar)
+    nodes = R.graph_nodes(users_with_plan(d.usuarios, d.suscripciones, d.planes), publishable(d), C.section_tree(d.secciones),
+                          d.etiquetas)
+    # Instants are written differently by the two engines, so contents are compared on three properties.
+    short = F.concat_ws("/", *[F.get_json_object("propiedades", f"$.{p}") for p in ("titulo", "seccion_raiz", "tipo")])
+    return nodes.withColumn("propiedades", F.when(F.col("etiqueta") == "Contenido", short).otherwise(F.col("propiedades")))
 
 
 @query("r02_co_viewing", f"""

@@ -76,13 +76,19 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", lateness: str = LATENES
 
 
 def sliding_trending(stream: DataFrame, length: str = "24 hours", step: str = "1 hour", lateness: str = LATENESS) -> DataFrame:
-    """Clicks and decayed clicks per content in overlapping windows; decay is measured from the window's end."""
-    w = F.window("ocurrido_en", length, step)
-    weight = F.when(F.col("tipo_evento") == "clic", E.efolding(F.col("w.end"), F.col("ocurrido_en"))).otherwise(0.0)
-    return (_timed(stream, lateness).withColumn("w", w)
-            .groupBy("w", "contenido_id").agg(
-                F.count("*").alias("eventos"), F.count_if(F.col("tipo_evento") == "clic").alias("clics"),
-                F.round(F.sum(weight), 6).alias("score"))
+    """Clicks and decayed clicks per content in overlapping windows; decay is measured from the window's end.
+
+    Events are first summed up per step. The decay factors into the part up to the end of the step and the part
+    from there on, so only one row per content and step is repeated for the overlapping windows, not every event.
+    """
+    clicked = F.col("tipo_evento") == "clic"
+    weight = F.when(clicked, E.efolding(F.col("p.end"), F.col("ocurrido_en"))).otherwise(0.0)
+    per_step = (_timed(stream, lateness).withColumn("p", F.window("ocurrido_en", step))
+                .groupBy("p", "contenido_id").agg(F.count("*").alias("n"), F.count_if(clicked).alias("c"), F.sum(weight).alias("s")))
+    later = E.efolding(F.col("w.end"), F.col("fin"))
+    return (per_step.select(F.window_time("p").alias("t"), F.col("p.end").alias("fin"), "contenido_id", "n", "c", "s")
+            .withColumn("w", F.window("t", length, step)).groupBy("w", "contenido_id").agg(
+                F.sum("n").alias("eventos"), F.sum("c").alias("clics"), F.round(F.sum(F.col("s") * later), 6).alias("score"))
             .select(F.col("w.start").alias("desde"), F.col("w.end").alias("hasta"), "contenido_id", "eventos", "clics", "score"))
 
 

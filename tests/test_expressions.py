@@ -36,8 +36,10 @@ def test_age_bands(spark, year, band):
     assert one(spark, E.age_band(F.lit(year).cast("int"))) == band
 
 
-def test_slug(spark):
-    assert one(spark, E.slug(F.lit("¡Política y Economía!"))) == "politica-y-economia"
+@pytest.mark.parametrize("text,want", [("¡Política y Economía!", "politica-y-economia"), ("Niño  Ö", "nino--o"),
+                                       ("e\u0301poca", "epoca"), ("Česká Ẽ", "ceska-e")])
+def test_slug(spark, text, want):
+    assert one(spark, E.slug(F.lit(text))) == want
 
 
 def test_encryption_round_trip_is_salted(spark):

@@ -1,7 +1,9 @@
 """Several micro-batches give the batch result; late and repeated rows behave as documented."""
 
 import datetime as dt
+import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from feedlake.streaming import events as T
@@ -75,3 +77,22 @@ def test_ingest_resumes_without_writing_twice(spark, tmp_path):
 def test_limit_keeps_only_busy_minutes(spark):
     df = spark.createDataFrame([(1, 3), (2, 9)], "usuario_id long, eventos long")
     assert [r.usuario_id for r in T.over_limit(df, 5).collect()] == [2]
+
+
+def test_sliding_windows_over_batches_equal_the_batch_result(spark, tmp_path):
+    src = str(tmp_path / "in")
+    rows = [(i, 1, i % 3, "clic" if i % 2 else "vista", at(i * 7)) for i in range(120)]
+    land(spark, src, [rows[:50], rows[50:90], rows[90:]])
+    out = T.run_to_folder(T.sliding_trending(stream(spark, src), "3 hours", "1 hour"), str(tmp_path / "out"))
+    got = {(r.desde, r.contenido_id): (r.eventos, r.clics, r.score) for r in out.collect()}
+    limit, want = rows[-1][4] - dt.timedelta(minutes=10), {}
+    for h in range(-3, 16):
+        lo = T0 + dt.timedelta(hours=h)
+        hi = lo + dt.timedelta(hours=3)
+        for c in range(3):
+            inside = [r for r in rows if r[2] == c and lo <= r[4] < hi]
+            if inside and hi <= limit:
+                clicks = [r for r in inside if r[3] == "clic"]
+                score = sum(math.exp(-(hi - r[4]).total_seconds() / 86400) for r in clicks)
+                want[lo, c] = (len(inside), len(clicks), pytest.approx(score, abs=1e-6))
+    assert got == want
