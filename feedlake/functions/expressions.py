@@ -175,7 +175,11 @@ def tokens(text: Column) -> Column:
 
 def stem(word: Column) -> Column:
     """Light suffix rule: plural endings dropped from words of five letters or more."""
-    return F.when(F.length(word) >= 5, F.regexp_replace(word, "(es|s)$", "")).otherwise(word)
+    size = F.length(word)
+    return (F.when(size < 5, word)
+            .when(word.endswith("es"), F.substring(word, F.lit(1), size - 2))
+            .when(word.endswith("s"), F.substring(word, F.lit(1), size - 1))
+            .otherwise(word))
 
 
 def dot(a: Column, b: Column) -> Column:
