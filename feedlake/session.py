@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,17 +43,13 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh temporary one only where it is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, one in the session's warehouse.
+
+    Both are shared by the driver and all executors; a machine's own temporary folder is never used.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir")
-    if configured:
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    folder = tempfile.mkdtemp(prefix="feedlake-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+        "spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/feedlake-steps"
 
 
 def run_folder(spark: SparkSession, name: str) -> str:

@@ -33,15 +33,16 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == WITHOUT_SQL
+    assert set(registry.jobs()) - set(registry.sql_texts()) == WITHOUT_SQL
+    assert set(registry.jobs()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.sql_texts()))
 def test_query_equals_sql(spark, con, name):
     df = registry.jobs()[name](spark, FOLDER)
     cols = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
-    rel = con.sql(entry.oracle_sql()[name])
+    rel = con.sql(registry.sql_texts()[name])
     names = rel.columns
     assert sorted(names) == cols
     want = sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in rel.fetchall()), key=repr)
