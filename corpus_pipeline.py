@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import jaccard, language, outliers
-from feedlake.llm.common import keep_ids, table
+from feedlake.llm import decontam, jaccard, language, outliers, pieces
+from feedlake.llm.common import drop_ids, keep_ids, table
 from feedlake.session import cut_lineage
 
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Drop documents without an identifiable language: no letters, or two languages equally near."""
@@ -26,10 +28,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
     return keep_ids(docs, jaccard.classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
+def drop_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Drop documents that hold a benchmark item, its parts in any order."""
+    return drop_ids(docs, decontam.leaks(docs, table(spark, folder, "benchmark")))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Token ids of what is left."""
+    return pieces.encode(docs, pieces.Model.load(MODEL))
+
+
 STAGES = [
     ("language", identify_language),
     ("quality", apply_quality_rules),
     ("near_copies", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("pieces", encode_pieces),
 ]
 
 #: Rank-order profiles and greedy tilings have no SQL form; the tests compare with brute force instead.

@@ -29,6 +29,12 @@ def keep_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi")
 
 
+def drop_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id (null included) is not in ``dropped``."""
+    ids = dropped.select(F.col("doc_id").alias("_dropped_id"))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_dropped_id"]), "left_anti")
+
+
 def let(value: Column, body) -> Column:
     """``body`` applied to ``value`` computed once: an expression used inside a lambda would run for each element."""
     return F.transform(F.array(value), body)[0]

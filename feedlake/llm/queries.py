@@ -11,10 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import jaccard, language, outliers
+from feedlake.llm import decontam, jaccard, language, outliers, pieces
 from feedlake.llm.common import fold, table
 
 
+#: Files of public tokenizers that the queries use; operators take paths or models.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
@@ -22,6 +30,10 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("held_out", held_out)
 
 
+def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode(table(spark, folder, "documents"), pieces.Model.load(f"{TOKENIZERS}/piece_bpe_32k.model"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.classes(table(spark, folder, "documents"))
 
@@ -32,7 +44,9 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_decontamination": op6_decontamination,
         "op7_language": op7_language,
+        "op8_sentencepiece": op8_sentencepiece,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_quality_rules": op10_quality_rules,
     }
