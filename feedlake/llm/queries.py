@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import decontam, jaccard, language, outliers, pieces
+from feedlake.llm import decontam, jaccard, language, outliers, pieces, toxicity
 from feedlake.llm.common import fold, table
 
 
@@ -19,6 +19,13 @@ from feedlake.llm.common import fold, table
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.fit(docs, labels.where(F.coalesce(fold(F.col("doc_id"), 5) != 0, F.lit(False))))
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return model.score(docs).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -44,6 +51,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op6_decontamination": op6_decontamination,
         "op7_language": op7_language,
         "op8_sentencepiece": op8_sentencepiece,
