@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import decontam, jaccard, language, outliers, pieces, toxicity
+from feedlake.llm import chat, decontam, jaccard, language, outliers, pieces, sql, toxicity
 from feedlake.llm.common import fold, table
+from feedlake.session import cut_lineage
 
 
 #: Files of public tokenizers that the queries use; operators take paths or models.
@@ -26,6 +27,13 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return model.score(docs).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    return chat.digests(cut_lineage(chat.format_conversations(turns.unionByName(extra))))
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -52,6 +60,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_chat": op2_chat,
         "op6_decontamination": op6_decontamination,
         "op7_language": op7_language,
         "op8_sentencepiece": op8_sentencepiece,
@@ -61,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat": sql.CHAT}
