@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import chat, decontam, jaccard, language, outliers, pieces, sql, toxicity
+from feedlake.llm import chat, decontam, jaccard, language, outliers, pieces, sql, toxicity, warc
 from feedlake.llm.common import fold, table
 from feedlake.session import cut_lineage
 
@@ -34,6 +34,10 @@ def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(cut_lineage(chat.format_conversations(turns.unionByName(extra))))
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.read(warc.archive(table(spark, folder, "pages"))).drop("url")
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_chat": op2_chat,
+        "op3_warc": op3_warc,
         "op6_decontamination": op6_decontamination,
         "op7_language": op7_language,
         "op8_sentencepiece": op8_sentencepiece,
@@ -70,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": sql.CHAT}
+    return {"op2_chat": sql.CHAT, "op3_warc": sql.WARC}

@@ -20,3 +20,15 @@ SELECT conv_id, count(*) AS n_turns,
        sum(length(r) + length(e) + 24)::BIGINT AS formatted_chars
 FROM formatted GROUP BY conv_id
 """
+
+WARC = """
+WITH p AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS hex FROM pages
+), last AS (SELECT hex, max(page_id) AS last FROM p GROUP BY hex)
+SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + (('0b' || substr(unhex(hex)::BIT::VARCHAR, 1 + 5 * k::INT, 5))::INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS NOT DISTINCT FROM last THEN NULL ELSE last END AS refers_to
+FROM p JOIN last USING (hex)
+"""
