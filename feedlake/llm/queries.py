@@ -11,13 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import chat, decontam, jaccard, language, outliers, pieces, sql, toxicity, warc
+from feedlake.llm import chat, decontam, jaccard, language, outliers, pieces, sql, tokenids, toxicity, warc
 from feedlake.llm.common import fold, table
 from feedlake.session import cut_lineage
 
 
 #: Files of public tokenizers that the queries use; operators take paths or models.
 TOKENIZERS = "/opt/tokenizers"
+END_ID = 2
 
 
 def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,6 +39,12 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read(warc.archive(table(spark, folder, "pages"))).drop("url")
 
 
+def op4_token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    with open(f"{TOKENIZERS}/byte_bpe_50k.json", encoding="utf-8") as file:
+        tokenizer = file.read()
+    return tokenids.read(cut_lineage(tokenids.write(table(spark, folder, "documents"), tokenizer, END_ID)))
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -66,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_chat": op2_chat,
         "op3_warc": op3_warc,
+        "op4_token_ids": op4_token_ids,
         "op6_decontamination": op6_decontamination,
         "op7_language": op7_language,
         "op8_sentencepiece": op8_sentencepiece,
