@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import chat, decontam, jaccard, language, outliers, pieces, sql, tokenids, toxicity, warc
+from feedlake.llm import chat, decontam, jaccard, language, outliers, pieces, sql, tokenids, toxicity, urls, warc
 from feedlake.llm.common import fold, table
 from feedlake.session import cut_lineage
 
@@ -45,6 +45,13 @@ def op4_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenids.read(cut_lineage(tokenids.write(table(spark, folder, "documents"), tokenizer, END_ID)))
 
 
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de")]
+
+
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"), URL_RULES)
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -74,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat": op2_chat,
         "op3_warc": op3_warc,
         "op4_token_ids": op4_token_ids,
+        "op5_url_filter": op5_url_filter,
         "op6_decontamination": op6_decontamination,
         "op7_language": op7_language,
         "op8_sentencepiece": op8_sentencepiece,
