@@ -12,7 +12,7 @@ its smallest doc_id. No pair of a class is listed:
    ``LEADERS`` leaders of the run, twice with different hashes; verified links are joined to groups.
 4. The token-group matrix holds which group has which shingle. A group whose union shares too few shingles with all
    others is finished. For the rest, each query's rarest shingles name the groups it may link to; members are held in
-   parts with the union of their shingles; a part is opened only if |query n union| reaches the overlap that a link needs.
+   parts with the union of their shingles (of each two groups it is enough to open the sets that share nearly all); a part is opened only if |query n union| reaches the overlap that a link needs.
    One link joins two groups, whatever their sizes.
 
 Steps 1 to 3 only save work; step 4 is exact for what they leave. Shingles are compared as 64-bit hashes.
@@ -195,18 +195,20 @@ def _shared(blocks: DataFrame) -> DataFrame:
     return counted.union(local).groupBy("owner").agg(F.sum("n").alias("shared"))
 
 
-SETS = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("tokens", pa.binary()), ("k0", pa.int64()), ("k1", pa.int64())])
-SETS_DDL = "key long, n long, sid binary, tokens binary, k0 long, k1 long"
+SETS = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("sid", pa.binary()), ("tokens", pa.binary()), ("central", pa.int64()),
+                  ("k0", pa.int64()), ("k1", pa.int64())])
+SETS_DDL = "key long, n long, sid binary, tokens binary, central long, k0 long, k1 long"
 
 
 def _sets(batches):
     for batch in batches:
         rows = []
-        for key, text, sid in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("sid").to_pylist()):
+        for key, text, sid, central in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("sid").to_pylist(),
+                                           batch.column("central").to_pylist()):
             tokens = shingles(text.as_py())
             if len(tokens) and digest(tokens) == sid:
                 keys = [int(mix(tokens * m).min().view(np.int64)) for m in _MUL[:2]]
-                rows.append((key, len(tokens), sid, tokens.tobytes(), *keys))
+                rows.append((key, len(tokens), sid, tokens.tobytes(), central, *keys))
         if rows:
             yield _batch(SETS, **dict(zip(SETS.names, zip(*rows))))
 
@@ -215,7 +217,8 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _stars(batches):
-    """Rows come sorted by group key: link each set to the first leader of its run that is similar."""
+    """Rows come sorted by group key, sets that share most with others first, as these make leaders that many are similar
+    to: link each set to the first leader of its run that is similar."""
     current, leaders = None, []
     for batch in batches:
         found = []
@@ -256,36 +259,51 @@ def _open(batches):
             yield _batch(LINKS, a=[x[0] for x in found], b=[x[1] for x in found])
 
 
-_READ_HASHES = "h long"
-
-
 def _explode(batches):
-    schema = pa.schema([("sid", pa.binary()), ("key", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("token", pa.int64())])
     for batch in batches:
-        for sid, key, component, n, tokens in zip(*(batch.column(c).to_pylist() for c in ("sid", "key", "component", "n", "tokens"))):
-            own = np.frombuffer(tokens, np.int64)
-            yield _batch(schema, sid=[sid] * len(own), key=[key] * len(own), component=[component] * len(own), n=[n] * len(own), token=own)
-
-
-def _across(sets: DataFrame) -> DataFrame:
-    """Links (a, b) between different groups of ``sets`` (key, n, sid, tokens, component), at least one for each two
-    groups that have any."""
-    tokens = sets.mapInArrow(_explode, "sid binary, key long, component long, n long, token long")
-    tokens = cut_lineage(tokens)
+        for part in (batch.slice(k, 200) for k in range(0, batch.num_rows, 200)):
+            own = [np.frombuffer(t, np.int64) for t in part.column("tokens").to_pylist()]
+            which = pa.array(np.repeat(np.arange(len(own)), [len(t) for t in own]))
+            names = ["sid", "key", "component", "n", "size"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(which) for c in names), pa.array(np.concatenate(own))], [*names, "token"])
+
+
+def _across(sets: DataFrame, exact: bool) -> DataFrame:
+    """Links (a, b) between different groups of ``sets`` (key, n, sid, tokens, component). Exact: at least one for each two
+    groups that have any. Otherwise only those of a set with the most central sets of the largest group that has one of its
+    rarest shingles, which joins what is left of large groups at a cost that grows with the number of sets.
+    """
+    sizes = sets.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    tokens = cut_lineage(sets.join(sizes, "component").select("sid", "key", "component", "n", "size", "tokens").mapInArrow(
+        _explode, "sid binary, key long, component long, n long, size long, token long"))
     matrix = tokens.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"),
                                          F.count(F.lit(1)).alias("times")).where("low < high").select("token", "times")
     by_set = Window.partitionBy("sid", "key")
     met = tokens.join(matrix, "token").withColumns({
         "common": F.count(F.lit(1)).over(by_set), "rank": F.row_number().over(by_set.orderBy("times", "token"))})
     need = F.ceil(F.col("n") * PERCENT / 100).cast("long")
+    # Of a set only its shingles that other groups have can be in a link: c of n. A link of sets of n and m needs 3 (n + m)
+    # <= 7 c in both, so m <= fits; if both had fits < n, each would be smaller than the other. One is "dense" then, and
+    # it is enough to hold all sets against the dense ones of other groups, those of the smaller group against the larger.
+    fits = F.floor((7 * F.col("common") - 3 * F.col("n")) / 3)
     prefix = cut_lineage(met.where((F.col("common") >= need) & (F.col("rank") <= F.col("common") - need + 1))
-                         .select("token", "sid", "key", "component"))
-    groups = prefix.select("token", F.col("component").alias("other")).distinct()
-    pairs = cut_lineage(prefix.join(groups, "token").where("component < other").select("sid", "key", "other").distinct())
-    sizes = sets.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+                         .select("token", "sid", "key", "component", "n", "size", "common", fits.alias("fits"), (fits >= F.col("n")).alias("dense")))
+    groups = prefix.where("dense").groupBy("token", F.col("component").alias("other")).agg(
+        F.min("n").alias("least"), F.max("fits").alias("most"), F.first("size").alias("other_size"))
+    dense = prefix.where("dense").select("sid", "key", "component", (F.col("common") / F.col("n")).alias("share")).distinct()
+    if not exact:
+        groups = groups.groupBy("token").agg(F.max_by(F.struct("other", "least", "most", "other_size"), F.struct("other_size", "other")).alias("g")).select("token", "g.*")
+        best = Window.partitionBy("component").orderBy(F.desc("share"), "sid", "key")
+        dense = dense.withColumn("place", F.row_number().over(best)).where(F.col("place") <= PART)
+    smaller = F.struct("size", "component") < F.struct(F.col("other_size").alias("size"), F.col("other").alias("component"))
+    pairs = prefix.join(groups, "token").where((F.col("component") != F.col("other")) & (F.col("least") <= F.col("fits"))
+                                               & (F.col("most") >= F.col("n")) & (smaller | ~F.col("dense")))
+    pairs = cut_lineage(pairs.select("sid", "key", "other").distinct())
+    opened = sets.join(dense.select("sid", "key"), ["sid", "key"], "left_semi")
+    parts = opened.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     asked = pairs.groupBy(F.col("other").alias("component")).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("salts"))
-    plan = sizes.join(asked, "component")
-    members = sets.join(plan, "component").select(
+    plan = parts.join(asked, "component")
+    members = opened.join(plan, "component").select(
         "component", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part"),
         F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("query"), "key", "tokens")
     queries = (pairs.join(sets.select("sid", "key", "tokens"), ["sid", "key"]).withColumnRenamed("other", "component")
@@ -315,15 +333,15 @@ def classes(docs: DataFrame) -> DataFrame:
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) * 15 / 100))
     shared = _shared(cut_lineage(rows.mapInArrow(candidates, BLOCKS_DDL)))
     possible = cut_lineage(profile.where("n > 0").join(shared, F.col("key") == F.col("owner")).where(F.col("shared") >= need)
-                           .select("key", "n", "sid"))
-    first = possible.groupBy("sid").agg(F.min("key").alias("key"))
+                           .select("key", "n", "sid", F.floor(1000 * F.col("shared") / F.col("n")).alias("central")))
+    first = possible.groupBy("sid").agg(F.min("key").alias("key"), F.max("central").alias("central"))
     sets = cut_lineage(rows.join(first, "key").mapInArrow(_sets, SETS_DDL))
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stars = None
     for k, seed in (("k0", 1), ("k1", 2)):
-        run = sets.select(F.col(k).alias("group"), F.xxhash64("sid", F.lit(seed)).alias("spread"), "key", "tokens")
-        found = run.repartitionByRange(parts, "group", "spread").sortWithinPartitions("group", "spread").mapInArrow(_stars, "a long, b long")
+        run = sets.select(F.col(k).alias("group"), F.xxhash64("sid", F.lit(seed)).alias("spread"), "central", "key", "tokens")
+        found = run.repartitionByRange(parts, "group", "spread").sortWithinPartitions("group", F.desc("central"), "spread").mapInArrow(_stars, "a long, b long")
         stars = found if stars is None else stars.union(found)
     # A doc_id with several texts links them all.
     groups = cut_lineage(connected(stars.union(sets.select("key", F.col("key").alias("b")))))
@@ -341,10 +359,12 @@ def classes(docs: DataFrame) -> DataFrame:
     least = grouped.groupBy("component").agg(F.ceil(F.min("n") * PERCENT / 100).alias("need"))
     open_groups = least.join(touched, F.col("component") == F.col("owner")).where("shared >= need").select("component")
     left = cut_lineage(grouped.join(open_groups, "component").select("key", "n", "sid", "tokens", "component"))
-    across = _across(left)
-    final = connected(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(across))
+    for exact in (False, True):
+        found = _across(left, exact)
+        groups = cut_lineage(connected(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)))
+        left = cut_lineage(left.drop("component").join(groups, F.col("key") == F.col("node")).drop("node"))
 
-    named = first.join(final, F.col("key") == F.col("node")).select("sid", "component")
+    named = first.join(groups, F.col("key") == F.col("node")).select("sid", "component")
     of_doc = possible.join(named, "sid").groupBy("key").agg(F.min("component").alias("component"))
     return profile.join(of_doc, "key", "left").select(
         F.when(F.col("key") != NULL_ID, F.col("key")).alias("doc_id"), F.col("n").alias("n_shingles"),
