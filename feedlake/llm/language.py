@@ -4,137 +4,146 @@ A profile is the list of a language's ``PROFILE`` most frequent letter n-grams (
 underscore on both sides). A document's own most frequent n-grams are compared with each profile: an n-gram costs the
 difference of its two ranks, or ``PROFILE`` if the language does not list it; the nearest language wins.
 
-Profiles are counted over all training rows: each task counts words, then n-grams of distinct words, and flushes bounded
-dictionaries, so a language that holds a third of the rows is summed from partial counts. Only the profiles (``PROFILE``
-strings a language) reach the driver.
+An n-gram is held as one 63-bit number, 21 bits a character from the top, so numbers sort like the strings; counting is a
+sort of numbers. Profiles are counted over all training rows: each task adds up counts by language and hands them on when it
+holds many, so a language that holds a third of the rows is summed from partial counts. Only the profiles (``PROFILE``
+numbers a language) reach the driver.
 
-Null, empty or letterless text: ``und`` with score 0. Ties of ranks go by the n-gram, ties of distances by the language's
+Null, empty or letterless text: ``und`` with score 0. Ties of ranks go by the n-gram's characters, ties of distances by the language's
 name. Nothing learned (empty table, or no known language): every row is ``und``. Repeated rows are predicted one by one.
 Texts are used whole. Only doc_id, text and the training language are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
+import sys
+from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER, PROFILE = 3, 400
-LETTERS = re.compile(r"[^\W\d_]+")
-#: Entries held by a task before it hands its counts on; a limit on memory, nothing is dropped.
-FLUSH = 200_000
-
-
-def grams(word: str) -> list[str]:
-    padded = f"_{word}_"
-    return [padded[i:i + n] for n in range(1, ORDER + 1) for i in range(len(padded) - n + 1) if padded[i:i + n] != "_"]
-
-
-class GramCache:
-    """n-grams of words, kept for words met before; emptied when full."""
-
-    def __init__(self):
-        self.known: dict[str, list[str]] = {}
-
-    def __call__(self, word: str) -> list[str]:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= FLUSH:
-                self.known.clear()
-            found = grams(word)
-            if len(word) <= 40:
-                self.known[word] = found
-        return found
-
-
-def count_grams(text: str, gram_of) -> Counter:
-    counts: Counter = Counter()
-    for word, n in Counter(LETTERS.findall(text.lower())).items():
-        if n == 1:
-            counts.update(gram_of(word))
-        else:
-            for g in gram_of(word):
-                counts[g] += n
-    return counts
-
-
-def ranked(counts: Counter) -> list[str]:
-    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:PROFILE]]
+BITS, PAD = 21, ord("_")
+FAR = 10**9
+#: Counts held by a task before it hands them on; a limit on memory, nothing is dropped.
+FLUSH = 1_000_000
+_LETTER: list[np.ndarray] = []
+
+
+def letters() -> np.ndarray:
+    """Which code points are part of words: letters and number signs other than decimal digits."""
+    if not _LETTER:
+        _LETTER.append(np.array([c.isalnum() and not c.isdecimal() for c in map(chr, range(sys.maxunicode + 1))]))
+    return _LETTER[0]
+
+
+def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted n-grams of a whole text as numbers, and how often each occurs."""
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    letter = letters()[points]
+    # One pad before, between and after words.
+    padded = np.r_[PAD, np.where(letter, points, PAD)[letter | np.r_[False, letter[:-1]]] if len(points) else points, PAD]
+    if len(padded) > 2 and padded[-2] == PAD:
+        padded = padded[:-1]
+    keys, inner = [], np.zeros(len(padded), bool)
+    gram = padded << (BITS * (ORDER - 1))
+    keys.append(gram[padded != PAD])
+    for n in range(1, ORDER):
+        # Grams with a pad inside would span two words.
+        inner = inner[:-1] | (padded[n - 1:-1] == PAD if n > 1 else False)
+        gram = gram[:-1] | (padded[n:] << (BITS * (ORDER - 1 - n)))
+        keys.append(gram[~inner])
+    if not len(keys[0]):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    found = np.sort(np.concatenate(keys))
+    first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+    return found[first], np.diff(np.r_[first, len(found)])
+
+
+def ranked(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Most frequent first, equals by their characters."""
+    return grams[np.argsort(-counts, kind="stable")[:PROFILE]]
+
+
+def number(gram: str) -> int:
+    return sum(ord(c) << (BITS * (ORDER - 1 - k)) for k, c in enumerate(gram))
+
+
+class Profiles:
+    """Ranks of all languages, one row of a matrix for each n-gram that any of them lists; unlisted ranks are far away."""
+
+    def __init__(self, profiles: dict[str, list[int]]):
+        self.names = sorted(profiles)
+        listed = [np.array(profiles[name], np.int64) for name in self.names]
+        self.grams = np.unique(np.concatenate(listed)) if listed else np.empty(0, np.int64)
+        self.rank = np.full((len(self.grams) + 1, len(self.names)), FAR)
+        for k, own in enumerate(listed):
+            self.rank[np.searchsorted(self.grams, own), k] = np.arange(len(own))
+
+    def distances(self, own: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.grams, own)
+        at[(at == len(self.grams)) | (self.grams[np.minimum(at, len(self.grams) - 1)] != own)] = len(self.grams)
+        cost = np.abs(self.rank[at] - np.arange(len(own))[:, None])
+        return np.where(cost >= FAR // 2, PROFILE, cost).sum(axis=0)
 
 
 def _count_batches(batches):
-    words: dict[str, Counter] = defaultdict(Counter)
-    found: dict[str, Counter] = defaultdict(Counter)
-
-    def fold():
-        for lang, counts in words.items():
-            into = found[lang]
-            for word, n in counts.items():
-                for g in grams(word):
-                    into[g] += n
-        words.clear()
+    found: dict[str, list] = defaultdict(list)
+    held = 0
 
     def flush():
-        rows = [(lang, g, n) for lang, counts in found.items() for g, n in counts.items()]
+        for lang, parts in found.items():
+            grams, which = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+            n = np.bincount(which, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
         found.clear()
-        if rows:
-            lang, g, n = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(g), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-            words[lang].update(LETTERS.findall(text.as_py().lower()))
-            if sum(map(len, words.values())) > FLUSH:
-                fold()
-                if sum(map(len, found.values())) > FLUSH:
-                    yield from flush()
-    fold()
+            grams, counts = gram_counts(text.as_py())
+            if len(grams):
+                found[lang].append((grams, counts))
+                held += len(grams)
+            if held > FLUSH:
+                yield from flush()
+                held = 0
     yield from flush()
 
 
-def learn(rows: DataFrame) -> dict[str, list[str]]:
+def learn(rows: DataFrame) -> dict[str, list[int]]:
     """Profile of each language in ``rows`` (text, lang); rows without text or language teach nothing."""
     counted = rows.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull()).mapInArrow(
-        _count_batches, "lang string, gram string, n long")
+        _count_batches, "lang string, gram long, n long")
     total = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE)
-    profiles: dict[str, list[str]] = {}
+    profiles: dict[str, list[int]] = {}
     for r in top.orderBy("lang", "rank").toLocalIterator():
         profiles.setdefault(r["lang"], []).append(r["gram"])
     return profiles
 
 
-def identify(text: str | None, ranks: dict[str, dict[str, int]], gram_of=grams) -> tuple[str, float]:
+def identify(text: str | None, profiles: Profiles) -> tuple[str, float]:
     """Nearest language and how much nearer it is than the next one: 1 - nearest / next distance."""
-    own = ranked(count_grams(text, gram_of)) if text else []
-    if not own or not ranks:
+    own = ranked(*gram_counts(text))
+    if not len(own) or not profiles.names:
         return "und", 0.0
-    distances = []
-    for lang, rank in ranks.items():
-        get = rank.get
-        total = 0
-        for i, g in enumerate(own):
-            r = get(g)
-            total += PROFILE if r is None else abs(r - i)
-        distances.append((total, lang))
-    distances.sort()
-    nearest, lang = distances[0]
-    limit = distances[1][0] if len(distances) > 1 else PROFILE * len(own)
-    return lang, (1.0 - nearest / limit if limit else 0.0)
-
-
-def predict(docs: DataFrame, profiles: dict[str, list[str]]) -> DataFrame:
+    cost = profiles.distances(own)
+    order = np.argsort(cost, kind="stable")
+    nearest = int(cost[order[0]])
+    limit = int(cost[order[1]]) if len(order) > 1 else PROFILE * len(own)
+    return profiles.names[order[0]], (1.0 - nearest / limit if limit else 0.0)
+
+
+def predict(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
     """doc_id, lang_pred and score of every row."""
-    ranks = {lang: {g: i for i, g in enumerate(p)} for lang, p in sorted(profiles.items())}
+    ranks = Profiles(profiles)
 
     def run(batches):
-        gram_of = GramCache()
         for batch in batches:
-            out = [identify(t.as_py(), ranks, gram_of) for t in batch.column("text")]
+            out = [identify(t.as_py(), ranks) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())],
                 ["doc_id", "lang_pred", "score"])

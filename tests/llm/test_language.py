@@ -1,9 +1,11 @@
 """Rank-order profiles."""
 
 import random
+import re
+from collections import Counter
 
 from feedlake.llm import language
-from tests.llm.helpers import docs, odd_rows
+from tests.llm.helpers import LONG, docs, odd_rows
 
 EN = "the and of to in that is was for with house water morning people thing another should".split()
 DE = "der die und das ist nicht ein mit auf für haus wasser morgen leute schön sprechen über".split()
@@ -14,22 +16,38 @@ def text(words, seed, n=40):
     return " ".join(rng.choice(words) for _ in range(n))
 
 
+def plain_grams(body):
+    padded = [f"_{w}_" for w in re.findall(r"[^\W\d_]+", body.lower())]
+    return Counter(p[i:i + n] for p in padded for n in (1, 2, 3) for i in range(len(p) - n + 1) if p[i:i + n] != "_")
+
+
+def plain_profile(counts):
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:language.PROFILE]]
+
+
+def test_grams_equal_a_plain_count():
+    for body in ["Ab 12 b_AB!", "", "...", "a", "é日本 x²y", "12 a", "a 12", LONG[:500], "\n a\tb "]:
+        grams, counts = language.gram_counts(body)
+        assert dict(zip(grams.tolist(), counts.tolist())) == {language.number(g): n for g, n in plain_grams(body).items()}
+
+
 def test_profiles_equal_a_plain_count(spark):
     table = [(k, text(EN, k), "en", "s") for k in range(30)] + [(50 + k, text(DE, k), "de", "s") for k in range(30)]
     found = language.learn(docs(spark, table))
     for lang in ("en", "de"):
-        total = sum((language.count_grams(r[1], language.grams) for r in table if r[2] == lang), language.Counter())
-        assert found[lang] == language.ranked(total)
+        total = sum((plain_grams(r[1]) for r in table if r[2] == lang), Counter())
+        assert found[lang] == [language.number(g) for g in plain_profile(total)]
 
 
 def test_prediction_and_plain_distance(spark):
     table = [(k, text(EN, k), "en", "s") for k in range(30)] + [(50 + k, text(DE, k), "de", "s") for k in range(30)]
     profiles = language.learn(docs(spark, table))
+    plain = {lang: plain_profile(sum((plain_grams(r[1]) for r in table if r[2] == lang), Counter())) for lang in ("en", "de")}
     fresh = [(k, text(EN if k % 2 else DE, 1000 + k, 15)) for k in range(40)]
     found = {r.doc_id: r for r in language.predict(docs(spark, fresh), profiles).collect()}
     for k, body in fresh:
-        own = language.ranked(language.count_grams(body, language.grams))
-        cost = {lang: sum(abs(i - p.index(g)) if g in p else language.PROFILE for i, g in enumerate(own)) for lang, p in profiles.items()}
+        own = plain_profile(plain_grams(body))
+        cost = {lang: sum(abs(i - p.index(g)) if g in p else language.PROFILE for i, g in enumerate(own)) for lang, p in plain.items()}
         assert found[k].lang_pred == min(cost, key=cost.get) == ("en" if k % 2 else "de")
         assert abs(found[k].score - (1 - min(cost.values()) / max(cost.values()))) < 1e-12
 
@@ -47,5 +65,4 @@ def test_odd_rows_and_nothing_learned(spark):
 
 
 def test_ties_go_by_name():
-    ranks = {"b": {"_x": 0}, "a": {"_x": 0}}
-    assert language.identify("x", ranks) == ("a", 0.0)
+    assert language.identify("x", language.Profiles({"b": [language.number("_x")], "a": [language.number("_x")]})) == ("a", 0.0)
