@@ -14,8 +14,10 @@ give no files. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
+from collections import ChainMap
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from feedlake.session import cut_lineage, run_folder
 BLOCK_IDS, STEP, FILE_BYTES = 500_000, 256, 128_000_000
 MAGIC = b"HUFIDS01"
 #: Chunks between spaces that a Python worker remembers with their ids; a limit on memory only.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 _KNOWN: dict[str, dict[str, bytes]] = {}
 
 
@@ -37,60 +39,87 @@ class Encoder:
     """Ids of texts by the tokenizers library, as little-endian bytes of ``width``.
 
     The library cuts a byte-level text before each single space that stands between two characters other than white space,
-    and encodes the parts alone. So each chunk between such spaces is given to it once and remembered. Texts with other white
-    space around spaces, or with a special token, go to it whole.
+    and encodes the parts alone. So each chunk between such spaces is given to it once, many in one text, and remembered; the
+    ids that begin with a space tell where a chunk begins. Texts with other white space around spaces, or with a special
+    token, go to it whole.
     """
 
     def __init__(self, json_text: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json_text)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.type = np.dtype("<u2" if self.vocabulary <= 65536 else "<u4")
+        self.spaced = np.zeros(self.vocabulary, bool)
+        # The byte-level alphabet writes a space as U+0120.
+        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+        self.stops = dict(zip(".,;:!?", self.whole(list(".,;:!?"))))
         self.known = _KNOWN.setdefault(str(zlib.crc32(json_text.encode())), {})
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     def clean(chunk: str) -> bool:
         return bool(chunk) and not chunk[0].isspace() and not chunk[-1].isspace()
 
-    def learn(self, chunks: list[str]) -> None:
-        """Encode chunks with a space in front, many in one text, and remember the ids of each."""
-        if len(self.known) + len(chunks) > REMEMBERED:
-            self.known.clear()
-        for k in range(0, len(chunks), 256):
-            part = chunks[k:k + 256]
-            encoded = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
-            ids = np.array(encoded.ids, self.type)
-            starts = np.cumsum([0] + [len(c) + 1 for c in part])
-            # Parts of one character share its place, so a chunk begins at the first id that reaches beyond its start.
-            ends = np.array([b for _, b in encoded.offsets])
-            cuts = np.searchsorted(ends, starts, "right")
-            cuts[-1] = len(ids)
-            raw, size = ids.tobytes(), self.type.itemsize
-            for c, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist()):
-                self.known[c] = raw[a * size:b * size]
+    def learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks with a space in front. A stop behind a letter is a part of its own, so it is added to its word."""
+        stopped = [c for c in chunks if c[-1] in self.stops and len(c) > 1 and c[-2].isalpha()]
+        words = set(chunks)
+        words.difference_update(stopped)
+        words.update([c[:-1] for c in stopped])
+        out = self._encoded([c for c in words if c not in self.known])
+        known, stops = self.known, self.stops
+        out.update([(c, (out.get(c[:-1]) or known[c[:-1]]) + stops[c[-1]]) for c in stopped])
+        return out
+
+    def _encoded(self, chunks: list[str]) -> dict[str, bytes]:
+        out, size = {}, self.type.itemsize
+        parts = [chunks[k:k + 256] for k in range(0, len(chunks), 256)]
+        for k in range(0, len(parts), 64):
+            some = parts[k:k + 64]
+            for part, encoded in zip(some, self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in some], add_special_tokens=False)):
+                ids = np.array(encoded.ids, self.type)
+                cuts = np.flatnonzero(self.spaced[ids])
+                raw, cuts = ids.tobytes(), (np.append(cuts, len(ids)) * size).tolist()
+                if len(cuts) != len(part) + 1:
+                    raise ValueError("the tokenizer does not cut at spaces")
+                out.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(s in t for s in self.special) else t.split(" ") for t in texts]
-        fresh: set[str] = set()
-        for parts in split:
-            if parts:
-                fresh.update(parts[1:])
-        fresh.difference_update(self.known)
-        self.learn([c for c in fresh if self.clean(c)])
-        get, out = self.known.__getitem__, []
-        for text, parts in zip(texts, split):
-            try:
-                if parts is None or (len(parts) > 1 and not self.clean(parts[0])):
-                    out.append(self.whole(text))
-                else:
-                    out.append(self.whole(parts[0]) + b"".join(map(get, parts[1:])))
-            except KeyError:
-                out.append(self.whole(text))
+        """The first chunk of a text has no space in front and is encoded as it is."""
+        known, split, fresh = self.known, [], set()
+        for text in texts:
+            parts = None if any(s in text for s in self.special) else text.split(" ")
+            if parts and len(parts) > 1:
+                fresh.update(parts)
+            split.append(parts)
+        fresh = [c for c in fresh if c not in known and self.clean(c)]
+        if len(known) < REMEMBERED:
+            # What comes first is what comes often; later chunks are kept for this call only.
+            known.update(self.learn(fresh))
+            lookup = known
+        else:
+            lookup = ChainMap(self.learn(fresh), known)
+            lookup = {c: lookup[c] for c in set().union(*(p for p in split if p)) if c in lookup}
+        out, first, late = [b""] * len(texts), [], []
+        for k, (text, parts) in enumerate(zip(texts, split)):
+            if parts is not None and len(parts) > 1 and self.clean(parts[0]):
+                try:
+                    out[k] = b"".join(map(lookup.__getitem__, parts[1:]))
+                    first.append(k)
+                    continue
+                except KeyError:
+                    pass
+            late.append(k)
+        for k, ids in zip(first, self.whole([split[k][0] for k in first])):
+            out[k] = ids + out[k]
+        for k, ids in zip(late, self.whole([texts[k] for k in late])):
+            out[k] = ids
         return out
 
 
