@@ -77,9 +77,9 @@ def within_level(contents: DataFrame, level: int) -> DataFrame:
 
 def visible_count_by_user(contents: DataFrame, levels: DataFrame) -> DataFrame:
     """Contents each user's level opens, per content level first so that no user-content pair is built."""
-    per_level = contents.groupBy("nivel_acceso").agg(F.count(F.lit(1)).alias("n"))
-    steps = per_level.select(
-        F.explode(F.sequence(F.col("nivel_acceso"), F.lit(2))).alias("nivel"), "n")
+    per_level = contents.groupBy(F.col("nivel_acceso").alias("de")).agg(F.count(F.lit(1)).alias("n"))
+    # A handful of rows on either side: one for each level in use.
+    steps = levels.select(F.col("nivel_acceso").alias("nivel")).distinct().join(per_level, F.col("de") <= F.col("nivel"))
     opened = steps.groupBy("nivel").agg(F.sum("n").alias("contenidos_visibles"))
     return levels.join(opened, levels.nivel_acceso == opened.nivel, "left").select(
         "usuario_id", "nivel_acceso", F.coalesce("contenidos_visibles", F.lit(0)).alias("contenidos_visibles"))

@@ -9,12 +9,32 @@ from pyspark.sql import functions as F
 
 from feedlake.operators.catalog import publishable_filter
 
-# Roles, and the columns the analyst may read of the strategies table.
+# Roles, tables with own-row policies, and what each role may read; None stands for all columns.
 READERS = ("lector", "editor", "moderador", "api")
 ROLES = ("lector", "editor", "moderador", "api", "analista", "admin")
 OWN_ROW_TABLES = {"preferencias": "usuario_id", "impresiones": "usuario_id", "perfiles": "usuario_id", "usuarios": "id"}
-VISIBLE_COLUMNS = {("analista", "estrategias"): ["id", "codigo", "version", "motor", "activa"],
-                   ("analista", "usuarios"): []}
+CATALOGUE = ("contenidos", "secciones", "tipos_contenido", "etiquetas", "contenidos_etiquetas")
+ANALYTIC = ("dim_fecha", "dim_contenido", "dim_usuario_anonimizado", "dim_estrategia", "fact_consumo_diario",
+            "fact_impresiones_diario", "agg_popularidad", "usuarios_anonimizados")
+READER_GRANTS = dict.fromkeys((*CATALOGUE, "publicables", "preferencias", "impresiones"))
+GRANTS: dict[str, dict[str, list[str] | None]] = {
+    "lector": READER_GRANTS,
+    "editor": READER_GRANTS | dict.fromkeys(("versiones",)),
+    "moderador": READER_GRANTS | dict.fromkeys(("versiones", "moderaciones")),
+    "api": dict.fromkeys((*CATALOGUE, "publicables", "embeddings", "agg_popularidad", "preferencias", "usuarios", "impresiones")),
+    "analista": dict.fromkeys((*ANALYTIC, "rendimiento_estrategias", "secciones", "tipos_contenido"))
+    | {"estrategias": ["id", "codigo", "version", "motor", "activa"]},
+    "admin": dict.fromkeys((*CATALOGUE, *ANALYTIC, "publicables", "preferencias", "impresiones", "versiones", "moderaciones", "embeddings",
+                            "usuarios", "perfiles", "estrategias", "rendimiento_estrategias", "auditoria", "control_cargas")),
+}
+
+
+def granted_columns(role: str, table: str, columns: list[str]) -> list[str]:
+    """The columns of ``table`` that ``role`` may read: none without a grant."""
+    grants = GRANTS.get(role, {})
+    if table not in grants:
+        return []
+    return [c for c in columns if grants[table] is None or c in grants[table]]
 
 
 def row_predicate(table: str, role: str, user: int | None, level: int = 0, as_of=None) -> Column:
@@ -49,10 +69,9 @@ def split_writes(rows: DataFrame, declared: str, owner: str = "usuario_id") -> t
 
 
 def select_visible(df: DataFrame, table: str, role: str, columns: list[str]) -> DataFrame:
-    """Project the columns a role may read; asking for any other fails instead of hiding it."""
-    visible = VISIBLE_COLUMNS.get((role, table))
-    if visible is not None:
-        refused = [c for c in columns if c not in visible]
-        if refused or not columns:
-            raise PermissionError(f"{role} may not read {refused or table}")
+    """Project the columns a role may read; asking for any other fails instead of hiding it. What is not granted is refused."""
+    visible = granted_columns(role, table, df.columns)
+    refused = [c for c in columns if c not in visible]
+    if refused or not columns:
+        raise PermissionError(f"{role} may not read {refused or table}")
     return df.select(*columns)

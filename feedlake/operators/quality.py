@@ -114,27 +114,15 @@ KEYS: dict[str, list[list[str]]] = {
     "control_cargas": [["lote_id", "entidad"]],
 }
 
-# Rows every installation starts with.
-REFERENCE_ROWS = {"planes": 3, "tipos_contenido": 5, "estrategias": 5}
 
 
 def _rows(counts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-def check_rows(table: str, df: DataFrame, only_present: bool = False) -> DataFrame:
+def check_rows(table: str, df: DataFrame) -> DataFrame:
     """All row rules of a table in one pass: (tabla, regla, violaciones)."""
-    from pyspark.sql.types import StructType
-
     rules = ROW_RULES[table]
-    if only_present:
-        import re
-
-        words = {r: set(re.findall(r"[a-z_]+", re.sub(r"'[^']*'", "", p))) for r, p in rules.items()}
-        known = set(df.columns)
-        vocabulary = {"clic"} | {w for ws in words.values() for w in ws}
-        assert isinstance(df.schema, StructType)
-        rules = {r: p for r, p in rules.items() if words[r] & vocabulary <= known}
     row = df.agg(*[F.count_if(~F.coalesce(F.expr(p), F.lit(True))).alias(r) for r, p in rules.items()])
     pairs = F.array(*[F.struct(F.lit(r).alias("regla"), F.col(r).alias("violaciones")) for r in rules])
     return row.select(F.explode(pairs).alias("p")).select(F.lit(table).alias("tabla"), "p.regla", "p.violaciones")
@@ -234,12 +222,12 @@ def require_clean(report: DataFrame) -> DataFrame:
     return report
 
 
-def reference_completeness(frames: dict[str, DataFrame]) -> DataFrame:
-    counts = M.row_counts({name: frames[name] for name in REFERENCE_ROWS})
-    expected = F.lit(None).cast("int")
-    for name, n in REFERENCE_ROWS.items():
-        expected = F.when(F.col("tabla") == name, F.lit(n)).otherwise(expected)
-    return counts.select("tabla", "filas", expected.alias("esperadas"), (F.col("filas") == expected).alias("completo"))
+def unknown_codes(name: str, facts: DataFrame, code: str, listed: DataFrame) -> DataFrame:
+    """Codes that facts use, and the facts whose code is not listed: (tabla, usados, desconocidos). Counted by code first."""
+    used = facts.groupBy(F.col(code).alias("_code")).agg(F.count("*").alias("n"))
+    seen = used.join(listed.select(F.col("id").alias("_id")), F.col("_code") == F.col("_id"), "left")
+    return seen.agg(F.count("*").alias("usados"), F.coalesce(F.sum(F.when(F.col("_id").isNull(), F.col("n"))), F.lit(0)).alias("desconocidos")
+                    ).select(F.lit(name).alias("tabla"), "usados", "desconocidos")
 
 
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:

@@ -60,7 +60,7 @@ def session_order(events: DataFrame) -> DataFrame:
 def refresh_ranking(ranking: DataFrame, folder: str) -> DataFrame:
     """Rebuild a ranking as a new version next to the old one, check its key, then point to it.
 
-    Readers keep the previous version until the pointer file is replaced.
+    Readers keep the previous version until the new one is listed.
     """
     from feedlake.operators.metrics import duplicates
     from feedlake.sources.loading import publish_version

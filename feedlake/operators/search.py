@@ -9,8 +9,6 @@ from feedlake.functions import expressions as E
 from feedlake.functions.ordering import top_per_group
 from feedlake.session import cut_lineage
 
-MAX_LISTED_TERMS = 2000
-
 
 def embedding_sources(contents: DataFrame, sections: DataFrame, content_tags: DataFrame) -> DataFrame:
     """Text that stands for a content: section, title, standfirst and its tags in alphabetical order.
@@ -44,18 +42,10 @@ def postings(docs: DataFrame, language: str | None = "spanish") -> DataFrame:
 
 
 def _hits(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, termino, tf) of the searched terms only.
-
-    Up to ``MAX_LISTED_TERMS`` terms travel with the plan and the other words are dropped inside the row, before
-    any row is made of a word. A longer list is joined.
-    """
-    listed = [r.termino for r in wanted.limit(MAX_LISTED_TERMS + 1).collect()]
+    """(id, termino, tf) of the searched terms only."""
     stems = F.transform(E.tokens(F.col("texto")), E.stem)
-    if len(listed) <= MAX_LISTED_TERMS:
-        words = docs.select("id", F.explode(F.filter(stems, lambda w: w.isin(listed))).alias("termino"))
-    else:
-        words = docs.select("id", F.explode(stems).alias("termino")).join(wanted, "termino", "left_semi")
-    return words.groupBy("id", "termino").agg(F.count("*").alias("tf"))
+    words = docs.select("id", F.explode(stems).alias("termino"))
+    return words.join(wanted, "termino", "left_semi").groupBy("id", "termino").agg(F.count("*").alias("tf"))
 
 
 def literal_search(docs: DataFrame, searches: DataFrame, k: int, language: str | None = "spanish",

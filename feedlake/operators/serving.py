@@ -5,6 +5,8 @@ A ranking or set is stored as one row per member, never as one array per key, so
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,10 +75,16 @@ def live(rows: DataFrame, now) -> DataFrame:
 
 
 def publish(tables: dict[str, DataFrame], path: str) -> None:
-    """Replace the named serving tables and leave the others alone."""
+    """A new version of each named serving table; readers keep the one before until it is listed."""
+    from feedlake.sources.loading import publish_version
+
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/tabla={name}")
+        publish_version(df, f"{path}/{name}")
+
 
+def read_published(spark: SparkSession, path: str, tables: list[str]) -> DataFrame:
+    """The current versions of the named tables, one below the other."""
+    from feedlake.sources.loading import current_version
 
-def read_published(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", True).parquet(path)
+    parts = [spark.read.parquet(f"{path}/{name}/{current_version(spark, f'{path}/{name}')}").withColumn("tabla", F.lit(name)) for name in tables]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -242,8 +242,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float, block_rows: int = B
     """Pairs above ``threshold``: (contenido_a, contenido_b, similitud), the smaller id first.
 
     Exact copies are folded first. A group of n copies is listed as n - 1 pairs with its lowest id, and takes
-    part in other pairs through that id, so the result stays linear in the number of copies.
+    part in other pairs through that id, so the result stays linear in the number of copies. Zero vectors have no
+    direction and are in no pair.
     """
+    embeddings = embeddings.filter(F.exists("embedding", lambda x: x != 0))
     copies = embeddings.groupBy("embedding").agg(F.min("contenido_id").alias("rep"))
     member = embeddings.join(copies, "embedding").filter(F.col("contenido_id") != F.col("rep")).select(
         F.col("rep").alias("contenido_a"), F.col("contenido_id").alias("contenido_b"), F.lit(1.0).alias("similitud"))
@@ -290,7 +292,7 @@ def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
 
 # ---- profiles ------------------------------------------------------------------------------------------
 
-def _sum_runs(key: str, dim_hint: str = "v"):
+def _sum_runs(key: str):
     """Add the weighted vectors of consecutive rows with the same key; rows arrive sorted by the key."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_key, acc = None, None
@@ -298,7 +300,7 @@ def _sum_runs(key: str, dim_hint: str = "v"):
             if not len(pdf):
                 continue
             keys = pdf[key].to_numpy()
-            m = np.stack(pdf[dim_hint].to_numpy()).astype(np.float64) * pdf["w"].to_numpy()[:, None]
+            m = np.stack(pdf["v"].to_numpy()).astype(np.float64) * pdf["w"].to_numpy()[:, None]
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             sums, names = np.add.reduceat(m, starts, axis=0), keys[starts]
             done_keys, done = [], []

@@ -198,19 +198,17 @@ def _(d):
 
 
 @query("j08_access_level_at_instant", """
-    SELECT i.id, i.usuario_id, coalesce(max(p.nivel_acceso), 0) AS nivel_entonces FROM (
-        SELECT l_orderkey * 10 + l_linenumber AS id, o_custkey AS usuario_id, l_shipdate AS mostrado_en
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey) i
+    SELECT i.usuario_id, i.mostrado_en, i.hechos, coalesce(max(p.nivel_acceso), 0) AS nivel_entonces FROM (
+        SELECT o_custkey AS usuario_id, l_shipdate AS mostrado_en, count(*) AS hechos
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2) i
     LEFT JOIN suscripciones s ON s.usuario_id = i.usuario_id AND s.desde <= i.mostrado_en
          AND (s.hasta IS NULL OR i.mostrado_en < s.hasta)
-    LEFT JOIN planes p ON p.id = s.plan_id GROUP BY 1, 2""")
+    LEFT JOIN planes p ON p.id = s.plan_id GROUP BY 1, 2, 3""")
 def _(d):
     o = d.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("usuario_id"))
     facts = d.table("lineitem").join(o, "l_orderkey").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "usuario_id",
-        F.col("l_shipdate").alias("mostrado_en"))
-    out = C.access_level_at(facts, "mostrado_en", d.suscripciones, d.planes)
-    return out.groupBy("id", "usuario_id").agg(F.max("nivel_entonces").alias("nivel_entonces"))
+        "usuario_id", F.col("l_shipdate").alias("mostrado_en")).groupBy("usuario_id", "mostrado_en").agg(F.count("*").alias("hechos"))
+    return C.access_level_at(facts, "mostrado_en", d.suscripciones, d.planes)
 
 
 @query("j09_cross_store_enrichment", """
@@ -336,10 +334,10 @@ def _(d):
 
 
 @query("e06_slug", """
-    SELECT doc_id, regexp_replace(regexp_replace(strip_accents(lower(substring(text, 1, 60))), '[^\\p{L}\\p{N}]', '-', 'g'),
+    SELECT doc_id, regexp_replace(regexp_replace(strip_accents(lower(text)), '[^\\p{L}\\p{N}]', '-', 'g'),
            '^-+|-+$', '', 'g') AS slug FROM documents""")
 def _(d):
-    return d.table("documents").select("doc_id", E.slug(F.substring("text", 1, 60)).alias("slug"))
+    return d.table("documents").select("doc_id", E.slug(F.col("text")).alias("slug"))
 
 
 @query("e07_json_row", """

@@ -10,7 +10,8 @@ from feedlake.operators import metrics as M
 from feedlake.sources.schemas import gold_schema
 
 # The contract of an event, and the order in which rejections are reported.
-REQUIRED = ["usuario_id", "contenido_id", "tipo_evento", "ocurrido_en"]
+REQUIRED = ["evento_id", "usuario_id", "contenido_id", "tipo_evento", "ocurrido_en"]
+OPTIONAL = ["segundos"]
 BRONZE_COLUMNS = ["evento_id", "usuario_seudonimo", "sesion_id", "contenido_id", "tipo_evento", "ocurrido_en",
                   "dispositivo", "segundos", "lote"]
 
@@ -36,8 +37,9 @@ def write_lot(df: DataFrame, path: str) -> None:
 def silver_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Typed, validated and de-duplicated events, and the quarantine with a reason.
 
-    Values that do not parse become NULL and are rejected with the column's name. Of the copies of an event
-    in several lots the one of the latest lot stays; a partial aggregate picks it before any shuffle.
+    Rows without a required value and rows with one that does not parse go to the quarantine with the column's name.
+    Of the copies of an event the one of the latest lot stays, of several in one lot the latest and then the one with the
+    largest values; a partial aggregate picks it before any shuffle.
     """
     typed = raw.select(
         F.expr("try_cast(evento_id AS BIGINT)").alias("evento_id"),
@@ -45,14 +47,16 @@ def silver_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.expr("try_cast(contenido_id AS BIGINT)").alias("contenido_id"), "tipo_evento",
         F.expr("try_cast(ocurrido_en AS TIMESTAMP_NTZ)").alias("ocurrido_en"), "dispositivo",
         F.expr("try_cast(segundos AS DOUBLE)").alias("segundos"), "lote",
-        *[F.col(c).isNotNull().alias(f"__{c}") for c in REQUIRED])
+        *[F.col(c).isNotNull().alias(f"__{c}") for c in REQUIRED + OPTIONAL])
     reason = F.coalesce(*[
         F.when(F.col(c).isNull(), F.when(F.col(f"__{c}"), F.lit(f"formato {c}")).otherwise(F.lit(f"falta {c}")))
-        for c in REQUIRED])
-    marked = typed.withColumn("motivo_rechazo", reason).drop(*[f"__{c}" for c in REQUIRED])
+        for c in REQUIRED], *[F.when(F.col(c).isNull() & F.col(f"__{c}"), F.lit(f"formato {c}")) for c in OPTIONAL])
+    marked = typed.withColumn("motivo_rechazo", reason).drop(*[f"__{c}" for c in REQUIRED + OPTIONAL])
     good = marked.filter(F.col("motivo_rechazo").isNull())
-    rest = [c for c in good.columns if c not in ("evento_id", "motivo_rechazo")]
-    latest = good.groupBy("evento_id").agg(F.max_by(F.struct(*rest), "lote").alias("r")).select("evento_id", "r.*")
+    order = ["lote", "ocurrido_en"]
+    order += [c for c in good.columns if c not in ("evento_id", "motivo_rechazo", *order)]
+    latest = good.groupBy("evento_id").agg(F.max(F.struct(*order)).alias("r")).select(
+        "evento_id", *[F.col(f"r.{c}").alias(c) for c in good.columns if c not in ("evento_id", "motivo_rechazo")])
     return latest, marked.filter(F.col("motivo_rechazo").isNotNull())
 
 

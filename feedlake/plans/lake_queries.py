@@ -55,8 +55,8 @@ def _(d):
         "ocurrido_en TIMESTAMP_NTZ, dispositivo STRING"))
 
 
-_SILVER = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY evento_id ORDER BY lote DESC) AS r FROM lotes
-    WHERE usuario_id IS NOT NULL AND contenido_id IS NOT NULL) WHERE r = 1"""
+_SILVER = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY evento_id ORDER BY lote DESC, ocurrido_en DESC) AS r FROM lotes
+    WHERE motivo IS NULL) WHERE r = 1"""
 
 
 @query("l02_silver_events", f"""
@@ -68,16 +68,15 @@ def _(d):
 
 
 @query("l02_silver_quarantine", """
-    SELECT lote, CASE WHEN usuario_id IS NULL THEN 'falta usuario_id' ELSE 'formato contenido_id' END AS motivo_rechazo, count(*) AS filas
-    FROM lotes WHERE usuario_id IS NULL OR id_malo GROUP BY 1, 2""")
+    SELECT lote, motivo AS motivo_rechazo, count(*) AS filas FROM lotes WHERE motivo IS NOT NULL GROUP BY 1, 2""")
 def _(d):
     _, bad = L.silver_events(d.lotes)
     return bad.groupBy("lote", "motivo_rechazo").agg(F.count("*").alias("filas"))
 
 
 @query("l02_lot_balance", f"""
-    SELECT l.lote, count(*) AS recibidas, any_value(a.n) AS aceptadas, count(*) FILTER (WHERE usuario_id IS NULL OR id_malo) AS rechazadas,
-           count(*) - any_value(a.n) - count(*) FILTER (WHERE usuario_id IS NULL OR id_malo) AS repetidas
+    SELECT l.lote, count(*) AS recibidas, any_value(a.n) AS aceptadas, count(motivo) AS rechazadas,
+           count(*) - any_value(a.n) - count(motivo) AS repetidas
     FROM lotes l JOIN (SELECT lote, count(*) AS n FROM ({_SILVER}) GROUP BY 1) a ON a.lote = l.lote GROUP BY 1""")
 def _(d):
     good, bad = L.silver_events(d.lotes)
@@ -213,13 +212,18 @@ def _(d):
 
 @query("s12_publish_rankings", f"""
     SELECT 'rec:trending:global' AS clave, count(*) AS miembros FROM (SELECT * FROM ({TRENDING_SQL}) ORDER BY score DESC, contenido_id LIMIT 50)
-    UNION ALL SELECT 'rec:trending:seccion:' || seccion_slug, least(count(*), 20) FROM ({TRENDING_SQL}) GROUP BY 1""")
+    UNION ALL SELECT 'rec:trending:seccion:' || seccion_slug, least(count(*), 20) FROM ({TRENDING_SQL}) GROUP BY 1
+    UNION ALL SELECT 'usuario:' || usuario_id || ':vistos', count(DISTINCT contenido_id) FROM eventos GROUP BY usuario_id
+    UNION ALL SELECT 'usuario:' || usuario_id || ':features', 1 FROM ({FEATURES_SQL})
+    UNION ALL SELECT 'contenido:' || contenido_id || ':meta', 1 FROM publicables""")
 def _(d):
     path = run_folder(d.spark, "servicio")
     rank = trending(d)
-    V.publish({"trending_global": V.trending_global(rank, 50, AS_OF),
-               "trending_seccion": V.trending_by_section(rank, 20, AS_OF)}, path)
-    return V.read_published(d.spark, path).groupBy("clave").agg(F.count("*").alias("miembros"))
+    tables = {"trending_global": V.trending_global(rank, 50, AS_OF), "trending_seccion": V.trending_by_section(rank, 20, AS_OF),
+              "vistos": V.user_seen(d.eventos, AS_OF), "features": V.user_features(M.user_features(d.eventos, d.contenidos), AS_OF),
+              "meta": V.content_metadata(publishable(d), AS_OF)}
+    V.publish(tables, path)
+    return V.read_published(d.spark, path, list(tables)).groupBy("clave").agg(F.count("*").alias("miembros"))
 
 
 @query("t06_expiring_sets", f"""

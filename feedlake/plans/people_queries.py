@@ -124,12 +124,30 @@ def _(d):
 
 
 @query("n09_column_visibility", """
-    SELECT e.id, e.codigo, e.version, e.motor, e.activa, count(*) AS impresiones FROM estrategias e
-    JOIN impresiones i ON i.estrategia_id = e.id GROUP BY 1, 2, 3, 4, 5""")
-def _(d):
-    visible = P.select_visible(d.estrategias, "estrategias", "analista", ["id", "codigo", "version", "motor", "activa"])
-    used = d.impresiones.groupBy(F.col("estrategia_id").alias("id")).agg(F.count("*").alias("impresiones"))
-    return visible.join(used, "id")
+    WITH legibles AS (
+        SELECT r.rol, 'impresiones' AS tabla, count(*) AS filas, count(usuario_id) AS usuario_id, count(contenido_id) AS contenido_id
+        FROM impresiones, (VALUES ('lector'), ('editor'), ('moderador'), ('api'), ('admin')) r(rol) GROUP BY 1
+        UNION ALL SELECT r.rol, 'preferencias', count(*), count(usuario_id), NULL
+        FROM preferencias, (VALUES ('lector'), ('editor'), ('moderador'), ('api'), ('admin')) r(rol) GROUP BY 1
+        UNION ALL SELECT r.rol, 'versiones', count(*), NULL, count(contenido_id)
+        FROM versiones, (VALUES ('editor'), ('moderador'), ('admin')) r(rol) GROUP BY 1
+        UNION ALL SELECT r.rol, 'moderaciones', count(*), NULL, count(contenido_id)
+        FROM moderaciones, (VALUES ('moderador'), ('admin')) r(rol) GROUP BY 1)
+    SELECT rol, tabla, filas, usuario_id, contenido_id FROM legibles""")
+def _(d):
+    """What every role can read of four tables: values by column, null for a column that is refused or absent."""
+    parts = []
+    for table in ("impresiones", "preferencias", "versiones", "moderaciones"):
+        df = getattr(d, table)
+        for role in P.ROLES:
+            visible = P.granted_columns(role, table, df.columns)
+            if visible:
+                read = P.select_visible(df, table, role, visible)
+                count = lambda c, names=tuple(visible): F.count(c) if c in names else F.lit(None).cast("long")
+                parts.append(read.agg(F.count("*").alias("filas"), count("usuario_id").alias("usuario_id"),
+                                      count("contenido_id").alias("contenido_id")).select(
+                    F.lit(role).alias("rol"), F.lit(table).alias("tabla"), "filas", "usuario_id", "contenido_id"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 _IMAGE = "CAST(json_object('id', {0}.id, 'nombre', {0}.nombre, 'segmento', {0}.segmento) AS VARCHAR)"

@@ -125,13 +125,18 @@ def _(d):
 
 
 @query("p5_schema_contract", """
-    SELECT 'impresiones' AS tabla, c AS columna, t AS declarado, t AS encontrado, TRUE AS cumple, n AS filas
-    FROM (VALUES ('id', 'bigint'), ('mostrado_en', 'timestamp_ntz'), ('clic', 'boolean'), ('posicion', 'int')) v(c, t),
-         (SELECT count(*) AS n FROM impresiones)""")
+    SELECT 'suscripciones' AS tabla, c AS columna, d AS declarado, e AS encontrado, d = e AS cumple, n AS filas
+    FROM (VALUES ('id', 'bigint', 'bigint'), ('usuario_id', 'bigint', 'bigint'), ('plan_id', 'int', 'int'),
+                 ('desde', 'timestamp_ntz', 'timestamp_ntz'), ('hasta', 'timestamp_ntz', 'timestamp_ntz'), ('estado', 'string', 'int'),
+                 ('sobra', '-', 'string'), ('falta', 'date', '-')) v(c, d, e),
+         (SELECT count(*) AS n FROM suscripciones)""")
 def _(d):
-    contract = StructType.fromDDL("id BIGINT, mostrado_en TIMESTAMP_NTZ, clic BOOLEAN, posicion INT")
-    checked = Q.check_schema("impresiones", d.impresiones.select("id", "mostrado_en", "clic", "posicion"), contract)
-    return checked.withColumn("filas", d.impresiones.agg(F.count("*").alias("n")).scalar())
+    """The schema of a written table as its files state it, with a wrong, an unknown and a missing column planted."""
+    contract = StructType.fromDDL("id BIGINT, usuario_id BIGINT, plan_id INT, desde TIMESTAMP_NTZ, hasta TIMESTAMP_NTZ, estado STRING, falta DATE")
+    path = run_folder(d.spark, "esquema")
+    d.suscripciones.withColumns({"estado": F.length("estado"), "sobra": F.lit("x")}).write.parquet(path)
+    written = d.spark.read.parquet(path)
+    return Q.check_schema("suscripciones", written, contract).withColumn("filas", written.agg(F.count("*").alias("n")).scalar())
 
 
 @query("p6_required_fields", """
@@ -218,13 +223,19 @@ def _(d):
 
 
 @query("q10_code_completeness", """
-    SELECT 'planes' AS tabla, 3::BIGINT AS filas, 3 AS esperadas, TRUE AS completo, (SELECT count(*) FROM contenidos) AS contenidos
-    UNION ALL SELECT 'tipos_contenido', 5, 5, TRUE, (SELECT count(*) FROM contenidos)
-    UNION ALL SELECT 'estrategias', 5, 5, TRUE, (SELECT count(*) FROM contenidos)""")
+    SELECT 'planes' AS tabla, count(DISTINCT plan_id) AS usados, count(*) FILTER (plan_id NOT IN (SELECT id FROM planes)) AS desconocidos
+    FROM suscripciones
+    UNION ALL SELECT 'tipos_contenido', count(DISTINCT tipo_contenido_id),
+        count(*) FILTER (tipo_contenido_id NOT IN (SELECT id FROM tipos_contenido)) FROM contenidos
+    UNION ALL SELECT 'estrategias', count(DISTINCT e), count(*) FILTER (e NOT IN (SELECT id FROM estrategias))
+    FROM (SELECT CASE WHEN id % 500 = 0 THEN 99 ELSE estrategia_id END AS e FROM impresiones)""")
 def _(d):
-    report = Q.reference_completeness({"planes": d.planes, "tipos_contenido": d.tipos_contenido,
-                                       "estrategias": d.estrategias})
-    return report.withColumn("contenidos", d.contenidos.agg(F.count("*").alias("n")).scalar())
+    """Codes that the facts use against the code lists; a code that no list has is planted in some impressions."""
+    shown = d.impresiones.select(F.when(F.col("id") % 500 == 0, 99).otherwise(F.col("estrategia_id")).alias("estrategia_id"))
+    return reduce(DataFrame.unionByName, [
+        Q.unknown_codes("planes", d.suscripciones, "plan_id", d.planes),
+        Q.unknown_codes("tipos_contenido", d.contenidos, "tipo_contenido_id", d.tipos_contenido),
+        Q.unknown_codes("estrategias", shown, "estrategia_id", d.estrategias)])
 
 
 @query("q12_live_against_gold_ctr", """

@@ -7,7 +7,6 @@ from feedlake.operators import metrics as M
 from feedlake.operators import ranking as K
 from feedlake.operators import recommend as R
 from feedlake.plans.catalog_queries import publishable
-from feedlake.plans.metrics_queries import FEATURES_SQL  # noqa: F401  (kept next to the serving queries)
 from feedlake.plans.registry import query
 from feedlake.session import cut_lineage
 from feedlake.plans.vectors_queries import FEED_SQL, LEVEL_SQL, NEIGHBOURS_SQL, neighbours, personal_feed

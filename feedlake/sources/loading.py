@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -25,11 +26,15 @@ def require_empty(df: DataFrame, message: str) -> None:
 # ---- versions and pointers ------------------------------------------------------------------------
 
 def _point_to(spark: SparkSession, folder: str, version: str) -> None:
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/_current")
+    """Add a row to the list of versions. The list only grows, so a reader finds the version before or the new one, and a
+    failure at any time leaves what was published."""
+    spark.createDataFrame([(time.time_ns(), version)], "publicada long, version string").coalesce(1).write.mode("append").parquet(
+        f"{folder}/versiones")
 
 
 def current_version(spark: SparkSession, folder: str) -> str:
-    return spark.read.text(f"{folder}/_current").first()[0]
+    listed = spark.read.schema("publicada long, version string").parquet(f"{folder}/versiones")
+    return listed.orderBy(F.desc("publicada"), F.desc("version")).first()["version"]
 
 
 def publish_version(df: DataFrame, folder: str, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -82,9 +87,11 @@ def with_lookup(df: DataFrame, dim: DataFrame, code: str, dim_code: str = "codig
 
 
 def insert_if_absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Existing rows unchanged plus the new rows whose key is not there yet (one per key)."""
-    fresh = new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
-    return existing.unionByName(fresh)
+    """Existing rows unchanged plus the new rows whose key is not there yet; of several with one key the one with the
+    smallest values, column by column."""
+    rest = [c for c in new.columns if c not in keys]
+    one = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*") if rest else new.distinct()
+    return existing.unionByName(one.join(existing.select(*keys), keys, "left_anti"))
 
 
 # ---- month partitions ------------------------------------------------------------------------------

@@ -6,6 +6,8 @@ progress report counts them. Every job takes its checkpoint folder, so a restart
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -40,12 +42,19 @@ def _run(stream: DataFrame, checkpoint: str, path: str, mode: str = "append") ->
 def ingest(stream: DataFrame, accepted: str, rejected: str, checkpoint: str) -> None:
     """Validate and append: valid rows and rejected rows go to two folders, one directory per batch.
 
-    A batch that is replayed after a failure overwrites its own directory, so nothing is written twice.
+    A lot is named by the run (from its checkpoint) and the batch, so a batch replayed after a failure overwrites its own
+    directory, and a run with a new checkpoint, whose batches start at 0 again, never overwrites a lot of another run.
     """
+    run = f"{zlib.crc32(checkpoint.encode()):08x}"
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, bad = split_required(batch, REQUIRED)
-        good.write.mode("overwrite").parquet(f"{accepted}/lote={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{rejected}/lote={batch_id}")
+        batch = batch.persist()
+        try:
+            good, bad = split_required(batch, REQUIRED)
+            good.write.mode("overwrite").parquet(f"{accepted}/lote={run}-{batch_id}")
+            bad.write.mode("overwrite").parquet(f"{rejected}/lote={run}-{batch_id}")
+        finally:
+            batch.unpersist()
 
     query = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())

@@ -43,8 +43,9 @@ def test_column_policy_fails_loudly(spark):
     assert P.select_visible(df, "estrategias", "analista", ["id", "codigo"]).columns == ["id", "codigo"]
     with pytest.raises(PermissionError):
         P.select_visible(df, "estrategias", "analista", df.columns)
-    with pytest.raises(PermissionError):
-        P.select_visible(df, "usuarios", "analista", ["id"])
+    for role, table in (("analista", "usuarios"), ("analista", "impresiones"), ("lector", "otra"), ("nadie", "contenidos")):
+        with pytest.raises(PermissionError):
+            P.select_visible(df, table, role, ["id"])
 
 
 def test_plan_of_view_ignores_dates_and_keeps_users_without(spark):
@@ -90,3 +91,20 @@ def test_log_only_grows(spark, tmp_path):
     A.append_log(log, str(tmp_path / "log"))
     A.append_log(log, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_changes_at_one_instant_go_by_sequence(spark):
+    row = spark.createDataFrame([(1, "a")], "id long, nombre string")
+    changed = spark.createDataFrame([(1, "b")], "id long, nombre string")
+    none = row.filter(F.lit(False))
+    steps = [A.change_log(none, row, "s", "t", AS_OF), A.change_log(row, changed, "s", "t", AS_OF, sequence=1),
+             A.change_log(changed, none, "s", "t", AS_OF, sequence=2)]
+    assert A.state_at(steps[1].unionByName(steps[0]), "t", AS_OF).first().datos == '{"id":1,"nombre":"b"}'
+    assert A.state_at(steps[2].unionByName(steps[0]).unionByName(steps[1]), "t", AS_OF).count() == 0
+
+
+def test_images_keep_their_own_columns(spark):
+    before = spark.createDataFrame([(1, "a", 2)], "id long, nombre string, viejo int")
+    after = spark.createDataFrame([(1, "a")], "id long, nombre string")
+    log = A.change_log(before, after, "s", "t", AS_OF).first()
+    assert log.accion == "UPDATE" and '"viejo":2' in log.datos_anteriores

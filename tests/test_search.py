@@ -27,13 +27,6 @@ def test_stop_words_and_plurals(spark, docs):
     assert [j for j, _ in run(spark, docs, "árbol")] == [3]
 
 
-def test_listed_and_joined_terms_agree(spark, docs, monkeypatch):
-    want = run(spark, docs, "azul verde")
-    monkeypatch.setattr(S, "MAX_LISTED_TERMS", 0)
-    assert run(spark, docs, "azul verde") == want
-    assert run(spark, docs, "azul verde", index=S.postings(docs)) == want
-
-
 def test_the_end_of_a_long_text_counts(spark):
     long = spark.createDataFrame([(1, "relleno " * 50000 + "aguja")], "id long, texto string")
     assert [j for j, _ in run(spark, long, "aguja")] == [1]
