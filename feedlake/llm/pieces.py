@@ -17,6 +17,7 @@ the model cannot tell apart. Repeated rows are encoded one by one; only doc_id a
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 STRETCH = re.compile(r" +[^ ]*")
-#: Entries a task remembers; a limit on memory, nothing depends on it.
-REMEMBERED = 400_000
+#: Stretches a worker remembers; a limit on memory, nothing depends on it.
+REMEMBERED = 600_000
+_FOUND: dict[int, tuple[dict, dict, dict]] = {}
 
 
 class Model:
@@ -48,12 +50,19 @@ class Model:
         scores = sorted(s for _, s in pieces.values())
         self.tied = {a for a, b in zip(scores, scores[1:]) if a == b}
         self.begins = {p[:k] for p in self.usable for k in range(2, len(p) + 1)}
-        self._follows: dict[str, dict[str, bool]] = {}
-        self._known: dict[str, tuple[int, ...]] = {}
-        self._edges: dict[tuple[str, int], list] = {}
+        self.name = zlib.crc32(repr((sorted(pieces.items()), merges)).encode())
+        self._remember()
+
+    def _remember(self) -> None:
+        """What a worker has found out about this model serves its later tasks too."""
+        self._follows, self._known, self._edges = _FOUND.setdefault(self.name, ({}, {}, {}))
 
     def __getstate__(self):
-        return self.__dict__ | {"_follows": {}, "_known": {}, "_edges": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_follows", "_known", "_edges")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._remember()
 
     @classmethod
     def load(cls, path: str) -> "Model":
@@ -189,9 +198,8 @@ class Model:
             ids = known.get(stretch)
             if ids is None:
                 ids = tuple(i for part in self.stream(stretch) for i in part)
-                if len(stretch) <= 48:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
+                # What comes first is what comes often.
+                if len(stretch) <= 48 and len(known) < REMEMBERED:
                     known[stretch] = ids
             out.extend(ids)
         return out
