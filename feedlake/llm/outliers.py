@@ -6,7 +6,7 @@ deviations and repeats concentration steps (distances, the nearest share, mean a
 goes when its squared Mahalanobis distance to its group exceeds ``CUTOFF``.
 
 Everything is an aggregate of a few numbers a group, so a source that holds a third of all documents is summed in
-partial aggregates like any other. Groups with fewer than ``MIN_GROUP`` documents use the estimate of their language, and
+partial aggregates like any other. Estimates are broadcast when their number is counted to be small. Groups with fewer than ``MIN_GROUP`` documents use the estimate of their language, and
 small languages that of all documents.
 
 Null text: no words, so it fails the base rules. Null language or source: a group of its own. Repeated rows count
@@ -30,6 +30,8 @@ SYMBOLS = "#*$%&|<>"
 FEATURES = {"f_length": 0.08, "f_symbols": 0.06, "f_upper": 0.06, "f_punctuation": 0.06, "f_digits": 0.06}
 NAMES = list(FEATURES)
 SUBSET, STEPS, MIN_GROUP = 0.75, 3, 60
+#: Rows of some 300 bytes.
+BROADCAST_GROUPS = 20_000
 
 
 def chi_square_cdf(x: float, df: int) -> float:
@@ -114,6 +116,11 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.sqrt(F.col("n_digits") / chars).alias("f_digits"))
 
 
+def _sized(groups: DataFrame) -> DataFrame:
+    """A written table of groups, to be broadcast if it is counted to be small; else joined by Spark's choice."""
+    return F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
+
+
 def _grouped(stats: DataFrame) -> DataFrame:
     """Usable rows once for each level (language and source, language, all), with the level's key."""
     nothing = F.lit("")
@@ -160,7 +167,7 @@ def estimates(stats: DataFrame) -> DataFrame:
     rows, d = _grouped(stats), len(NAMES)
     medians = cut_lineage(rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), *(
         F.percentile_approx(c, 0.5).alias(f"m{i}") for i, c in enumerate(NAMES))))
-    spread = rows.join(medians, KEY).groupBy(*KEY).agg(F.first("n").alias("n"), *(F.first(f"m{i}").alias(f"m{i}") for i in range(d)), *(
+    spread = rows.join(_sized(medians), KEY).groupBy(*KEY).agg(F.first("n").alias("n"), *(F.first(f"m{i}").alias(f"m{i}") for i in range(d)), *(
         F.percentile_approx(F.abs(F.col(c) - F.col(f"m{i}")), 0.5).alias(f"s{i}") for i, c in enumerate(NAMES)))
     for i, c in enumerate(NAMES):
         for j in range(i + 1):
@@ -168,7 +175,7 @@ def estimates(stats: DataFrame) -> DataFrame:
             spread = spread.withColumn(f"c{i}{j}", F.pow(F.col(f"s{i}") * 1.4826, 2) + FEATURES[c] ** 2 if i == j else F.lit(0.0))
     current = cut_lineage(_with_whitening(spread))
     for _ in range(STEPS):
-        near = rows.join(current, KEY).select(*KEY, "n", *NAMES, _distance().alias("d2"))
+        near = rows.join(_sized(current), KEY).select(*KEY, "n", *NAMES, _distance().alias("d2"))
         limit = near.groupBy(*KEY).agg(F.percentile_approx("d2", SUBSET).alias("limit"))
         chosen = near.join(limit, KEY).where(F.col("d2") <= F.col("limit"))
         moments = chosen.groupBy(*KEY).agg(
@@ -184,7 +191,9 @@ def estimates(stats: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """One row a document: the base counts, base_failed, kept and distance2 (null where no group has an estimate)."""
     stats = cut_lineage(statistics(docs))
-    found = estimates(stats).where(F.col("n") >= F.when(F.col("level") == 2, 1).otherwise(MIN_GROUP))
+    current = estimates(stats)
+    small = current.count() <= BROADCAST_GROUPS
+    found = current.where(F.col("n") >= F.when(F.col("level") == 2, 1).otherwise(MIN_GROUP))
     lang = F.coalesce(F.concat(F.lit("v"), F.col("lang")), F.lit(""))
     source = F.coalesce(F.concat(F.lit("v"), F.col("source")), F.lit(""))
     out = stats.withColumns({"k_lang": lang, "k_source": source})
@@ -194,7 +203,8 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
             F.col("g_lang").alias(f"gl{level}"), F.col("g_source").alias(f"gs{level}"), *(F.col(c).alias(f"p{level}_{c}") for c in parts))
         on = (F.lit("") if level == 2 else F.col("k_lang")) == F.col(f"gl{level}")
         on &= (F.col("k_source") if level == 0 else F.lit("")) == F.col(f"gs{level}")
-        out = out.join(own, on, "left") if level < 2 else out.join(F.broadcast(own), on, "left")
+        # The last level is one row.
+        out = out.join(F.broadcast(own) if small or level == 2 else own, on, "left")
     d2 = F.coalesce(*(_distance(f"p{level}_") for level in range(3)))
     out = out.withColumn("distance2", d2)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
