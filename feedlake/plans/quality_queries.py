@@ -79,23 +79,35 @@ def _(d):
     return reduce(DataFrame.unionByName, [Q.check_rows(t, df) for t, df in frames.items()])
 
 
-@query("p2_key_rules", """
-    SELECT 'impresiones' AS tabla, 'unica_id_mostrado_en' AS regla, (SELECT count(*) FROM (SELECT id, mostrado_en
-        FROM impresiones GROUP BY 1, 2 HAVING count(*) > 1)) AS violaciones
-    UNION ALL SELECT 'contenidos_etiquetas', 'unica_contenido_id_etiqueta', (SELECT count(*) FROM (SELECT contenido_id, etiqueta
-        FROM contenidos_etiquetas GROUP BY 1, 2 HAVING count(*) > 1))
-    UNION ALL SELECT 'versiones_contenido', 'unica_contenido_id_numero_version', (SELECT count(*) FROM (SELECT contenido_id,
-        numero_version FROM versiones GROUP BY 1, 2 HAVING count(*) > 1))
-    UNION ALL SELECT 'eventos', 'unica_usuario_id_contenido_id', (SELECT count(*) FROM (SELECT usuario_id, contenido_id
-        FROM eventos GROUP BY 1, 2 HAVING count(*) > 1))
-    UNION ALL SELECT 'secciones', 'unica_slug', (SELECT count(*) FROM (SELECT slug FROM secciones GROUP BY 1 HAVING count(*) > 1))""")
+#: Checked keys: table, SQL source, frame, columns. Some subscriptions are planted twice.
+_KEYED = [
+    ("impresiones", "impresiones", lambda d: d.impresiones, [["id", "mostrado_en"]]),
+    ("contenidos_etiquetas", "contenidos_etiquetas", lambda d: d.contenidos_etiquetas, [["contenido_id", "etiqueta"]]),
+    ("versiones_contenido", "versiones", lambda d: d.versiones, [["id"], ["contenido_id", "numero_version"]]),
+    ("eventos", "eventos", lambda d: d.eventos, [["evento_id"], ["usuario_id", "contenido_id"]]),
+    ("secciones", "secciones", lambda d: d.secciones, [["id"], ["slug"]]),
+    ("usuarios", "usuarios", lambda d: d.usuarios, [["id"], ["email"]]),
+    ("suscripciones", "(SELECT * FROM suscripciones UNION ALL SELECT * FROM suscripciones WHERE id % 97 = 0)",
+     lambda d: d.suscripciones.unionByName(d.suscripciones.filter("id % 97 = 0")), [["id"]]),
+    ("contenidos", "contenidos", lambda d: d.contenidos, [["id"]]),
+    ("moderaciones", "moderaciones", lambda d: d.moderaciones, [["id"]]),
+    ("estrategias", "estrategias", lambda d: d.estrategias, [["id"], ["codigo", "version"]]),
+    ("planes", "planes", lambda d: d.planes, [["id"]]),
+    ("tipos_contenido", "tipos_contenido", lambda d: d.tipos_contenido, [["id"], ["codigo"]]),
+    ("consentimientos", "consentimientos", lambda d: d.consentimientos, [["id"]]),
+    ("comentarios", "comentarios", lambda d: d.comentarios, [["comentario_id", "orden"]]),
+    ("embeddings_contenido", "embeddings_c", lambda d: d.embeddings, [["contenido_id"]]),
+    ("fact_consumo_diario", f"({FACT_CONSUMPTION_SQL})", lambda d: M.daily_consumption(d.eventos), [["fecha_key", "contenido_key", "dispositivo"]]),
+    ("fact_impresiones_diario", f"({FACT_IMPRESSIONS_SQL})", lambda d: M.daily_impressions(d.impresiones),
+     [["fecha_key", "estrategia_key", "superficie"]]),
+]
+
+
+@query("p2_key_rules", " UNION ALL ".join(
+    f"SELECT '{table}' AS tabla, 'unica_{'_'.join(key)}' AS regla, (SELECT count(*) FROM (SELECT {', '.join(key)} FROM {source} "
+    f"GROUP BY ALL HAVING count(*) > 1)) AS violaciones" for table, source, _, keys in _KEYED for key in keys))
 def _(d):
-    return reduce(DataFrame.unionByName, [
-        Q.check_key("impresiones", d.impresiones, ["id", "mostrado_en"]),
-        Q.check_key("contenidos_etiquetas", d.contenidos_etiquetas, ["contenido_id", "etiqueta"]),
-        Q.check_key("versiones_contenido", d.versiones, ["contenido_id", "numero_version"]),
-        Q.check_key("eventos", d.eventos, ["usuario_id", "contenido_id"]),
-        Q.check_key("secciones", d.secciones, ["slug"])])
+    return reduce(DataFrame.unionByName, [Q.check_key(table, frame(d), key) for table, _, frame, keys in _KEYED for key in keys])
 
 
 @query("p3_one_active_subscription", """
@@ -106,22 +118,34 @@ def _(d):
     return Q.check_conditional_key("suscripciones", d.suscripciones, ["usuario_id"], both, "una_activa")
 
 
-@query("p4_foreign_keys", """
-    SELECT 'eventos' AS tabla, 'fk_contenido_id' AS regla, (SELECT count(*) FROM eventos WHERE contenido_id NOT IN
-        (SELECT id FROM contenidos WHERE estado = 'publicado')) AS violaciones
-    UNION ALL SELECT 'eventos', 'fk_usuario_id', (SELECT count(*) FROM eventos WHERE usuario_id NOT IN (SELECT id FROM usuarios))
-    UNION ALL SELECT 'contenidos', 'fk_seccion_id', (SELECT count(*) FROM contenidos WHERE seccion_id NOT IN (SELECT id FROM secciones))
-    UNION ALL SELECT 'impresiones', 'fk_estrategia_id', (SELECT count(*) FROM impresiones WHERE estrategia_id NOT IN
-        (SELECT id FROM estrategias))
-    UNION ALL SELECT 'embeddings', 'fk_contenido_id', (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT id FROM contenidos))""")
+_LIVE = ("(SELECT * FROM contenidos WHERE estado = 'publicado')", lambda d: d.contenidos.filter("estado = 'publicado'"))
+_USERS, _CONTENTS = ("usuarios", lambda d: d.usuarios), ("contenidos", lambda d: d.contenidos)
+_SECTIONS, _TYPES = ("secciones", lambda d: d.secciones), ("tipos_contenido", lambda d: d.tipos_contenido)
+#: Checked references: table, SQL source, frame, and the table that each column refers to.
+_REFERRING = [
+    ("eventos", "eventos", lambda d: d.eventos, {"contenido_id": _LIVE, "usuario_id": _USERS}),
+    ("contenidos", "contenidos", lambda d: d.contenidos, {"seccion_id": _SECTIONS, "tipo_contenido_id": _TYPES}),
+    ("impresiones", "impresiones", lambda d: d.impresiones, {"estrategia_id": ("estrategias", lambda d: d.estrategias), "usuario_id": _USERS,
+                                                             "contenido_id": _CONTENTS}),
+    ("embeddings", "embeddings_c", lambda d: d.embeddings, {"contenido_id": _CONTENTS}),
+    ("suscripciones", "suscripciones", lambda d: d.suscripciones, {"usuario_id": _USERS, "plan_id": ("planes", lambda d: d.planes)}),
+    ("preferencias", "preferencias", lambda d: d.preferencias, {"usuario_id": _USERS, "seccion_id": _SECTIONS}),
+    ("consentimientos", "consentimientos", lambda d: d.consentimientos, {"usuario_id": _USERS}),
+    ("contenidos_etiquetas", "contenidos_etiquetas", lambda d: d.contenidos_etiquetas, {"contenido_id": _CONTENTS}),
+    ("versiones_contenido", "versiones", lambda d: d.versiones, {"contenido_id": _CONTENTS, "editor_id": _USERS}),
+    ("moderaciones", "moderaciones", lambda d: d.moderaciones, {"contenido_id": _CONTENTS}),
+    ("secciones", "secciones", lambda d: d.secciones, {"seccion_padre_id": _SECTIONS}),
+    ("telemetria", "telemetria", lambda d: d.telemetria, {"contenido_id": _CONTENTS, "usuario_id": _USERS}),
+    ("busquedas", "busquedas", lambda d: d.busquedas, {"contenido_id": _CONTENTS}),
+]
+
+
+@query("p4_foreign_keys", " UNION ALL ".join(
+    f"SELECT '{table}' AS tabla, 'fk_{column}' AS regla, (SELECT count(*) FROM {source} WHERE {column} IS NOT NULL AND {column} NOT IN "
+    f"(SELECT id FROM {listed})) AS violaciones" for table, source, _, refs in _REFERRING for column, (listed, _) in refs.items()))
 def _(d):
-    live = d.contenidos.filter("estado = 'publicado'")
-    return reduce(DataFrame.unionByName, [
-        Q.check_foreign_key("eventos", d.eventos, "contenido_id", live),
-        Q.check_foreign_key("eventos", d.eventos, "usuario_id", d.usuarios),
-        Q.check_foreign_key("contenidos", d.contenidos, "seccion_id", d.secciones),
-        Q.check_foreign_key("impresiones", d.impresiones, "estrategia_id", d.estrategias),
-        Q.check_foreign_key("embeddings", d.embeddings, "contenido_id", d.contenidos)])
+    return reduce(DataFrame.unionByName, [Q.check_foreign_key(table, frame(d), column, listed(d))
+                                          for table, _, frame, refs in _REFERRING for column, (_, listed) in refs.items()])
 
 
 @query("p5_schema_contract", """
