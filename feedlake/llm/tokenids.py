@@ -17,7 +17,6 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from collections import ChainMap
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from feedlake.session import cut_lineage, run_folder
 BLOCK_IDS, STEP, FILE_BYTES = 500_000, 256, 128_000_000
 MAGIC = b"HUFIDS01"
 #: Chunks between spaces that a Python worker remembers with their ids; a limit on memory only.
-REMEMBERED = 800_000
+REMEMBERED = 1_000_000
 _KNOWN: dict[str, dict[str, bytes]] = {}
 
 
@@ -99,18 +98,17 @@ class Encoder:
                 fresh.update(parts)
             split.append(parts)
         fresh = [c for c in fresh if c not in known and self.clean(c)]
+        # What comes first is what comes often; later chunks are kept for this call only.
+        passing = self.learn(fresh)
         if len(known) < REMEMBERED:
-            # What comes first is what comes often; later chunks are kept for this call only.
-            known.update(self.learn(fresh))
-            lookup = known
-        else:
-            lookup = ChainMap(self.learn(fresh), known)
-            lookup = {c: lookup[c] for c in set().union(*(p for p in split if p)) if c in lookup}
+            known.update(passing)
+            passing = {}
+        known.update(passing)
         out, first, late = [b""] * len(texts), [], []
         for k, (text, parts) in enumerate(zip(texts, split)):
             if parts is not None and len(parts) > 1 and self.clean(parts[0]):
                 try:
-                    out[k] = b"".join(map(lookup.__getitem__, parts[1:]))
+                    out[k] = b"".join(map(known.__getitem__, parts[1:]))
                     first.append(k)
                     continue
                 except KeyError:
@@ -120,6 +118,8 @@ class Encoder:
             out[k] = ids + out[k]
         for k, ids in zip(late, self.whole([texts[k] for k in late])):
             out[k] = ids
+        for chunk in passing:
+            del known[chunk]
         return out
 
 
@@ -258,7 +258,7 @@ def tokenise(docs: DataFrame, json_text: str, end_id: int) -> DataFrame:
         encoder, seq, part = Encoder(json_text), 0, TaskContext.get().partitionId()
         end = np.array([end_id], encoder.type).tobytes()
         for batch in batches:
-            for b in (batch.slice(k, 1000) for k in range(0, batch.num_rows, 1000)):
+            for b in (batch.slice(k, 3000) for k in range(0, batch.num_rows, 3000)):
                 ids = [x + end for x in encoder.encode(b.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), pa.array([part] * len(ids), pa.int32()), pa.array(range(seq, seq + len(ids)), pa.int64()),
