@@ -3,7 +3,8 @@
 Each document becomes a vector of transformed statistics. For every language and source the estimator looks for the
 ``SUBSET`` share of documents whose covariance has the smallest determinant: it starts from medians and median absolute
 deviations and repeats concentration steps (distances, the nearest share, mean and covariance of that share). A document
-goes when its squared Mahalanobis distance to its group exceeds ``CUTOFF``.
+goes when its squared Mahalanobis distance to its group exceeds ``CUTOFF``. Before that each statistic is measured from the
+median of its language in units of the language's own tail, and shrunk as far as chance alone moves it in a short document.
 
 Everything is an aggregate of a few numbers a group, so a source that holds a third of all documents is summed in
 partial aggregates like any other. Estimates are broadcast when their number is counted to be small. Groups with fewer than ``MIN_GROUP`` documents use the estimate of their language, and
@@ -26,9 +27,17 @@ from feedlake.session import cut_lineage
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
-#: Transformed statistics and the least standard deviation assumed of each, so that a constant one cannot divide by zero.
-FEATURES = {"f_length": 0.08, "f_symbols": 0.06, "f_upper": 0.06, "f_punctuation": 0.06, "f_digits": 0.06}
+#: Statistics and what is added to the deviation of each, in units of the language's own scale: some 14 per cent of a variance
+#: of one. It is the tolerance of a statistic that is equal in most documents, such as a rate of digits.
+FEATURES = dict.fromkeys(("f_length", "f_symbols", "f_upper", "f_punctuation", "f_digits"), 0.4)
 NAMES = list(FEATURES)
+#: A statistic's scale is the deviation that this share of a language's documents stays within, read as a Gaussian's.
+TAIL, TAIL_Z = 0.9, 1.6449
+#: Least scales. Symbols and digits are often zero in more than that share: five characters a thousand are then 0.94 and 0.47 of it.
+LEAST = {"f_symbols": 0.075, "f_digits": 0.15}
+RESOLUTION = 0.001
+#: Words at which a rate varies by chance as much as between documents: deviations shrink by sqrt(n / (n + NOISE_WORDS)).
+NOISE_WORDS = 100
 SUBSET, STEPS, MIN_GROUP = 0.75, 3, 60
 #: Rows of some 300 bytes.
 BROADCAST_GROUPS = 20_000
@@ -105,7 +114,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace("text", r"[^\p{P}\p{S}]+", "")).alias("n_marks"),
         F.length(F.regexp_replace("text", r"[^0-9]+", "")).alias("n_digits"))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
-    return counts.select(
+    return _scaled(cut_lineage(counts.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
          ).alias("base_failed"),
@@ -113,7 +122,25 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.sqrt(F.col("n_symbols") / chars).alias("f_symbols"),
         F.sqrt(F.col("n_upper") / chars).alias("f_upper"),
         F.sqrt(F.greatest(F.col("n_marks") - F.col("n_symbols"), F.lit(0)) / chars).alias("f_punctuation"),
-        F.sqrt(F.col("n_digits") / chars).alias("f_digits"))
+        F.sqrt(F.col("n_digits") / chars).alias("f_digits"))))
+
+
+def _scaled(stats: DataFrame) -> DataFrame:
+    """Every statistic as deviation from its language's median, evened out over lengths, in units of the language's tail."""
+    language = F.coalesce(F.concat(F.lit("v"), F.col("lang")), F.lit("")).alias("g_lang")
+    usable = stats.where(~F.col("base_failed"))
+    centres = cut_lineage(usable.groupBy(language).agg(*(F.percentile_approx(c, 0.5).alias(f"m_{c}") for c in NAMES)))
+    share = F.sqrt(F.col("n_words") / (F.col("n_words") + NOISE_WORDS))
+
+    def deviations(rows: DataFrame) -> DataFrame:
+        # A language without a usable row has no centre, and its rows need none.
+        rows = rows.select("*", language).join(_sized(centres), "g_lang", "left")
+        return rows.withColumns({c: (F.col(c) - F.coalesce(f"m_{c}", F.lit(0.0))) * share for c in NAMES}).select("g_lang", *stats.columns)
+
+    scales = cut_lineage(deviations(usable).groupBy("g_lang").agg(*(
+        F.greatest(F.percentile_approx(F.abs(c), TAIL) / TAIL_Z, F.lit(LEAST.get(c, RESOLUTION))).alias(f"s_{c}") for c in NAMES)))
+    rows = deviations(stats).join(_sized(scales), "g_lang", "left")
+    return rows.withColumns({c: F.col(c) / F.coalesce(f"s_{c}", F.lit(1.0)) for c in NAMES}).select(*stats.columns)
 
 
 def _sized(groups: DataFrame) -> DataFrame:

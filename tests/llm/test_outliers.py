@@ -77,3 +77,12 @@ def test_empty_table_and_plan_without_python(spark):
     assert outliers.judge(docs(spark, [])).count() == 0
     plan = outliers.judge(docs(spark, rows()))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+def test_short_clean_documents_stay_and_rare_symbol_tables_go(spark):
+    rng = random.Random(9)
+    table = [(k, prose(k, rng.choice([20, 25, 40, 200, 400])), "en", "s") for k in range(400)]
+    # Every sixth word is followed by a bar: about 2.5 per cent of the characters are symbols.
+    table += [(900 + k, " ".join(w + (" |" if i % 6 == 5 else "") for i, w in enumerate(prose(700 + k, 300).split())), "en", "s") for k in range(8)]
+    found = {r.doc_id: r.kept for r in outliers.judge(docs(spark, table)).collect()}
+    assert not any(found[900 + k] for k in range(8))
+    assert sum(not found[k] for k in range(400)) <= 1
