@@ -29,12 +29,13 @@ MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
 #: Statistics and what is added to the deviation of each, in units of the language's own scale: some 14 per cent of a variance
 #: of one. It is the tolerance of a statistic that is equal in most documents, such as a rate of digits.
-FEATURES = dict.fromkeys(("f_length", "f_symbols", "f_upper", "f_punctuation", "f_digits"), 0.4)
+FEATURES = dict.fromkeys(("f_length", "f_symbols", "f_upper", "f_punctuation", "f_digits", "f_variety", "f_dup_lines", "f_repeat"), 0.4)
 NAMES = list(FEATURES)
 #: A statistic's scale is the deviation that this share of a language's documents stays within, read as a Gaussian's.
 TAIL, TAIL_Z = 0.9, 1.6449
 #: Least scales. Symbols and digits are often zero in more than that share: five characters a thousand are then 0.94 and 0.47 of it.
-LEAST = {"f_symbols": 0.075, "f_digits": 0.15}
+#: So are the shares of repeated lines and words: a quarter is one scale.
+LEAST = {"f_symbols": 0.075, "f_digits": 0.15, "f_variety": 0.01, "f_dup_lines": 0.25, "f_repeat": 0.25}
 RESOLUTION = 0.001
 #: Words at which a rate varies by chance as much as between documents: deviations shrink by sqrt(n / (n + NOISE_WORDS)).
 NOISE_WORDS = 100
@@ -107,13 +108,16 @@ def statistics(docs: DataFrame) -> DataFrame:
     counts = split.select(
         "doc_id", "lang", "source", F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.size(F.array_distinct("words")).alias("n_distinct"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("distinct"))).alias("lines"),
         _repeated(F.col("words")).alias("n_repeat_words"),
         F.length(F.regexp_replace("text", r"[^\p{Lu}]+", "")).alias("n_upper"),
         F.length(F.regexp_replace("text", r"[^\p{P}\p{S}]+", "")).alias("n_marks"),
         F.length(F.regexp_replace("text", r"[^0-9]+", "")).alias("n_digits"))
+    counts = counts.withColumn("n_dup_lines", (F.col("lines.n") - F.col("lines.distinct")).cast("long"))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
+    some = F.greatest(F.col("n_words"), F.lit(2))
     return _scaled(cut_lineage(counts.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
@@ -122,7 +126,11 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.sqrt(F.col("n_symbols") / chars).alias("f_symbols"),
         F.sqrt(F.col("n_upper") / chars).alias("f_upper"),
         F.sqrt(F.greatest(F.col("n_marks") - F.col("n_symbols"), F.lit(0)) / chars).alias("f_punctuation"),
-        F.sqrt(F.col("n_digits") / chars).alias("f_digits"))))
+        F.sqrt(F.col("n_digits") / chars).alias("f_digits"),
+        # The exponent of the growth of vocabulary: distinct words alone would fall with the length of the text.
+        (F.log(F.greatest(F.col("n_distinct"), F.lit(1))) / F.log(some)).alias("f_variety"),
+        (F.col("n_dup_lines") / F.greatest(F.col("lines.n"), F.lit(1))).alias("f_dup_lines"),
+        (F.col("n_repeat_words") / some).alias("f_repeat"))))
 
 
 def _scaled(stats: DataFrame) -> DataFrame:
@@ -172,21 +180,23 @@ def _distance(prefix: str = "") -> Column:
 
 
 def _with_whitening(moments: DataFrame) -> DataFrame:
-    """Add W, column by column, from the covariances c_ij of each group."""
+    """Add W from the covariances c_ij of each group, by elimination in the rows of the covariance beside the unit matrix."""
     d = len(NAMES)
-    for i in range(d):
-        for j in range(i + 1):
-            inner = sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            value = F.sqrt(F.col(f"c{i}{i}") - inner) if i == j else (F.col(f"c{i}{j}") - inner) / F.col(f"l{j}{j}")
-            moments = moments.withColumn(f"l{i}{j}", value)
-    for j in range(d):
-        for i in range(j, d):
-            if i == j:
-                value = 1 / F.col(f"l{i}{i}")
-            else:
-                value = -sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}{i}")
-            moments = moments.withColumn(f"w{i}{j}", value)
-    return moments.select(*KEY, "n", *(f"m{i}" for i in range(d)), *(f"w{i}{j}" for i in range(d) for j in range(i + 1)))
+    start = F.array(*(F.array(*(F.col(f"c{max(i, j)}{min(i, j)}") for j in range(d)), *(F.lit(float(i == j)) for j in range(d)))
+                      for i in range(d)))
+
+    def eliminate(rows: Column, k: Column) -> Column:
+        pivot = F.get(rows, k)
+
+        def below(row: Column, i: Column) -> Column:
+            return F.when(i <= k, row).otherwise(F.zip_with(row, pivot, lambda x, y: x - y * F.get(row, k) / F.get(pivot, k)))
+
+        return F.transform(rows, below)
+
+    centre = [f"m{i}" for i in range(d)]
+    done = moments.select(*KEY, "n", *centre, F.aggregate(F.sequence(F.lit(0), F.lit(d - 2)), start, eliminate).alias("rows"))
+    return done.select(*KEY, "n", *centre, *((F.col("rows")[i][d + j] / F.sqrt(F.col("rows")[i][i])).alias(f"w{i}{j}")
+                                             for i in range(d) for j in range(i + 1)))
 
 
 def estimates(stats: DataFrame) -> DataFrame:
@@ -196,10 +206,9 @@ def estimates(stats: DataFrame) -> DataFrame:
         F.percentile_approx(c, 0.5).alias(f"m{i}") for i, c in enumerate(NAMES))))
     spread = rows.join(_sized(medians), KEY).groupBy(*KEY).agg(F.first("n").alias("n"), *(F.first(f"m{i}").alias(f"m{i}") for i in range(d)), *(
         F.percentile_approx(F.abs(F.col(c) - F.col(f"m{i}")), 0.5).alias(f"s{i}") for i, c in enumerate(NAMES)))
-    for i, c in enumerate(NAMES):
-        for j in range(i + 1):
-            # 1.4826 turns a median absolute deviation into a standard deviation.
-            spread = spread.withColumn(f"c{i}{j}", F.pow(F.col(f"s{i}") * 1.4826, 2) + FEATURES[c] ** 2 if i == j else F.lit(0.0))
+    # 1.4826 turns a median absolute deviation into a standard deviation.
+    spread = spread.select("*", *((F.pow(F.col(f"s{i}") * 1.4826, 2) + FEATURES[c] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}")
+                                  for i, c in enumerate(NAMES) for j in range(i + 1)))
     current = cut_lineage(_with_whitening(spread))
     for _ in range(STEPS):
         near = rows.join(_sized(current), KEY).select(*KEY, "n", *NAMES, _distance().alias("d2"))
@@ -208,9 +217,8 @@ def estimates(stats: DataFrame) -> DataFrame:
         moments = chosen.groupBy(*KEY).agg(
             F.first("n").alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(NAMES)),
             *(F.covar_pop(a, NAMES[j]).alias(f"v{i}{j}") for i, a in enumerate(NAMES) for j in range(i + 1)))
-        for i, c in enumerate(NAMES):
-            for j in range(i + 1):
-                moments = moments.withColumn(f"c{i}{j}", F.col(f"v{i}{j}") * CONSISTENCY + (FEATURES[c] ** 2 if i == j else 0.0))
+        moments = moments.select("*", *((F.col(f"v{i}{j}") * CONSISTENCY + (FEATURES[c] ** 2 if i == j else 0.0)).alias(f"c{i}{j}")
+                                        for i, c in enumerate(NAMES) for j in range(i + 1)))
         current = cut_lineage(_with_whitening(moments))
     return current
 

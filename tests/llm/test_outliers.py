@@ -86,3 +86,13 @@ def test_short_clean_documents_stay_and_rare_symbol_tables_go(spark):
     found = {r.doc_id: r.kept for r in outliers.judge(docs(spark, table)).collect()}
     assert not any(found[900 + k] for k in range(8))
     assert sum(not found[k] for k in range(400)) <= 1
+
+
+def test_words_said_many_times_in_a_row_go(spark):
+    rng = random.Random(11)
+    table = [(k, prose(k, rng.randint(30, 120)), "en", "s") for k in range(200)]
+    # Seven times each, so that no window of eight words is found twice.
+    table += [(900 + k, " ".join(w for w in prose(800 + k, 8).split() for _ in range(7)), "en", "s") for k in range(8)]
+    found = {r.doc_id: r for r in outliers.judge(docs(spark, table)).collect()}
+    assert not any(found[900 + k].base_failed or found[900 + k].kept for k in range(8))
+    assert sum(not found[k].kept for k in range(200)) <= 1
