@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import chat, decontam, jaccard, language, outliers, pieces, sql, tokenids, toxicity, urls, warc
+from feedlake.llm import chat, decontam, jaccard, language, outliers, pieces, sql, tokenids, toxicity, urls, warc, whitening
 from feedlake.llm.common import fold, table
 from feedlake.session import cut_lineage
 
@@ -75,6 +75,11 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return outliers.judge(table(spark, folder, "documents"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Sixteen whitened components of every usable vector of ``embeddings``."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -87,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_quality_rules": op10_quality_rules,
+        "op11_whitening": op11_whitening,
     }
 
 
