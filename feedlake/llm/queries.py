@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import chat, decontam, jaccard, language, outliers, pieces, sql, tokenids, toxicity, urls, warc, whitening
+from feedlake.llm import chat, decontam, jaccard, language, outliers, pieces, repeats, sql, tokenids, toxicity, urls, warc, whitening
 from feedlake.llm.common import fold, table
 from feedlake.session import cut_lineage
 
@@ -80,6 +80,11 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
 
+def op12_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without the passages of 400 bytes that ``documents`` repeats."""
+    return repeats.remove(table(spark, folder, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -93,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_quality_rules": op10_quality_rules,
         "op11_whitening": op11_whitening,
+        "op12_repeats": op12_repeats,
     }
 
 
