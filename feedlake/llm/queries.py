@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.llm import chat, decontam, jaccard, language, outliers, pieces, repeats, sql, tokenids, toxicity, urls, warc, whitening
+from feedlake.llm import chat, decontam, jaccard, language, lexical, outliers, pieces, repeats, sql, tokenids, toxicity, urls, warc, whitening
 from feedlake.llm.common import fold, table
 from feedlake.session import cut_lineage
 
@@ -85,6 +85,11 @@ def op12_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove(table(spark, folder, "documents")).drop("spans")
 
 
+def op13_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    """The fifty best documents of ``documents`` for every row of ``benchmark``."""
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -99,8 +104,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality_rules": op10_quality_rules,
         "op11_whitening": op11_whitening,
         "op12_repeats": op12_repeats,
+        "op13_lexical": op13_lexical,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": sql.CHAT, "op3_warc": sql.WARC}
+    return {"op2_chat": sql.CHAT, "op3_warc": sql.WARC, "op13_lexical": sql.SEARCH}

@@ -32,3 +32,23 @@ SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes,
        CASE WHEN page_id IS NOT DISTINCT FROM last THEN NULL ELSE last END AS refers_to
 FROM p JOIN last USING (hex)
 """
+
+SEARCH = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+     c AS (SELECT count(*) AS docs, sum(len(words))::BIGINT AS total FROM d WHERE len(words) > 0),
+     i AS (SELECT q, item_id, unnest(list_distinct(words)) AS term FROM
+             (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM benchmark)),
+     w AS (SELECT r, doc_id, len(words) AS n, unnest(words) AS term FROM d),
+     p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+     f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+     s AS (SELECT q, item_id, r, doc_id, sum(
+             floor(1000 * ln((2.0 * docs + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))))::BIGINT AS score
+           FROM i JOIN f USING (term) JOIN p USING (term) CROSS JOIN c GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM
+  (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank FROM s WHERE score > 0)
+WHERE rank <= 50
+"""
