@@ -1,10 +1,10 @@
 """Collaborative, graph and hybrid recommendation over (group, item) edges.
 
-Counting how often two items share a group grows with the square of the group. Ordinary groups are expanded
-pair by pair, in chunks of bounded size. The few largest groups are never expanded: an item keeps the list of
-large groups it belongs to (its signature), and what two items share through large groups is the product of
-their signatures. A top-k list needs, beyond the pairs met in ordinary groups, only the k best partners by that
-product, which are found block by block with one matrix product each. Results are exact in all cases.
+Counting how often two items share a group is a product of the sparse matrix (item, group) with its transpose, and paths
+from a user over contents and readers are one more product. Both go through ``sparse_product``: the column of each group
+is cut in chunks, every two chunks that meet are one row of a join, and the tasks expand them in numpy and add up equal
+pairs before anything is shuffled. A group that holds a third of all edges is many rows on many tasks; there is one way
+for every size of group.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +21,9 @@ from feedlake.functions import expressions as E
 from feedlake.functions.ordering import top_per_group
 from feedlake.session import cut_lineage
 
-MAX_GROUP = 500
-MAX_LARGE_GROUPS = 1024
+#: Entries of a column in one chunk, and products a task adds up at a time.
 CHUNK = 1000
-BLOCK_ROWS = 4096
+PRODUCTS = 2_000_000
 # Scores are compared to nine decimals, so that equal quotients tie and the lower id goes first.
 RANK_SCALE = 1e9
 # Weight of each signal in the hybrid blend.
@@ -37,111 +36,63 @@ def _edges(df: DataFrame, group: str, item: str) -> DataFrame:
     return df.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
 
 
-def _split(edges: DataFrame, max_group: int) -> tuple[DataFrame, DataFrame]:
-    """(edges of ordinary groups, edges of large groups): at most ``MAX_LARGE_GROUPS`` are large, the largest ones."""
-    sizes = edges.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > max_group)
-    large = sizes.orderBy(F.col("n").desc(), F.col("g").asc()).limit(MAX_LARGE_GROUPS).select("g")
-    return edges.join(large, "g", "left_anti"), edges.join(large, "g", "left_semi")
-
-
-def _pairs(ordinary: DataFrame) -> DataFrame:
-    """(i, j, n) for i < j. No task holds more than ``CHUNK`` items of a group at a time."""
-    sizes = ordinary.groupBy("g").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
-    lists = (ordinary.join(sizes, "g").withColumn("part", F.pmod(F.xxhash64("i"), F.col("parts")).cast("int"))
-             .groupBy("g", "parts", "part").agg(F.sort_array(F.collect_set("i")).alias("items")))
-    left = lists.select(F.posexplode("items").alias("p", "i"), "items")
-    rest = F.slice("items", F.col("p") + 2, F.greatest(F.size("items") - F.col("p") - 1, F.lit(0)))
-    inside = left.select("i", F.explode(rest).alias("j"))
-    # Parts of one group meet each other once, lower part number first.
-    split = lists.filter("parts > 1")
-    ahead = split.filter("part < parts - 1").select("g", "items", F.explode(
-        F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("part"))
-    met = ahead.join(split.select("g", "part", F.col("items").alias("others")), ["g", "part"])
-    across = met.select(F.explode("items").alias("a"), "others").select("a", F.explode("others").alias("b")).select(
-        F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
-    return inside.unionByName(across).groupBy("i", "j").agg(F.count("*").alias("n"))
-
-
-def _both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "n"))
-
-
-def _signatures(large: DataFrame) -> DataFrame:
-    """(i, sig): the large groups of an item, at most ``MAX_LARGE_GROUPS``."""
-    return large.groupBy("i").agg(F.sort_array(F.collect_set("g")).alias("sig"))
-
-
-def _shared(a: str, b: str) -> Column:
-    return F.coalesce(F.size(F.array_intersect(F.col(a), F.col(b))), F.lit(0))
-
-
-def _with_signature(df: DataFrame, sig: DataFrame, item: str, out: str) -> DataFrame:
-    return df.join(sig.select(F.col("i").alias(item), F.col("sig").alias(out)), item, "left")
-
-
-def _dense(lists: list[np.ndarray], values: list[np.ndarray], names: np.ndarray) -> np.ndarray:
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    out = np.zeros((len(lists), len(names)))
-    out[rows, np.searchsorted(names, np.concatenate(lists))] = np.concatenate(values)
-    return out
-
+def _chunks(entries: DataFrame, item: str, weight: str, name: str) -> DataFrame:
+    """(k, parts, part, list): the entries (item, weight) of each column in chunks of about ``CHUNK``."""
+    sizes = entries.groupBy("k").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    return (entries.join(sizes, "k").withColumn("part", F.pmod(F.xxhash64(item), F.col("parts")).cast("int"))
+            .groupBy("k", "parts", "part").agg(F.collect_list(F.struct(F.col(item).alias("e"), F.col(weight).alias("w"))).alias(name)))
+
+
+def _expand(batches):
+    """Products of the chunks that meet, equal pairs added up."""
+    def entries(batch, name):
+        column = batch.column(name)
+        values = column.flatten()
+        sizes = np.diff(np.asarray(column.offsets)).astype(np.int64)
+        return sizes, np.asarray(values.field("e")).astype(np.int64), np.asarray(values.field("w")).astype(np.int64)
+
+    def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first, size)
+
+    for batch in batches:
+        (na, ea, wa), (nb, eb, wb) = entries(batch, "a"), entries(batch, "b")
+        start_a, start_b, total = np.cumsum(na) - na, np.cumsum(nb) - nb, np.cumsum(na * nb)
+        row = 0
+        while row < len(na):
+            done = total[row - 1] if row else 0
+            stop = max(row + 1, int(np.searchsorted(total, done + PRODUCTS, "right")))
+            left = ranges(start_a[row:stop], na[row:stop])
+            others = np.repeat(nb[row:stop], na[row:stop])
+            right = ranges(np.repeat(start_b[row:stop], na[row:stop]), others)
+            left = np.repeat(left, others)
+            rows, r = np.unique(ea[left], return_inverse=True)
+            columns, c = np.unique(eb[right], return_inverse=True)
+            cells, cell = np.unique(r * len(columns) + c, return_inverse=True)
+            n = np.zeros(len(cells), np.int64)
+            np.add.at(n, cell, wa[left] * wb[right])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[cells // len(columns)]), pa.array(columns[cells % len(columns)]), pa.array(n)], ["r", "c", "n"])
+            row = stop
+
+
+def sparse_product(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(r, c, n): n is the sum over k of x * y, from entries ``left`` (r, k, x) and ``right`` (k, c, y), all whole numbers.
+
+    A chunk of the left column goes to each chunk of the right one, so a column that is long on both sides is dealt out by
+    its right chunks. No row holds more than two chunks.
+    """
+    a, b = _chunks(left, "r", "x", "a"), _chunks(right, "c", "y", "b")
+    ahead = a.join(b.select("k", F.col("parts").alias("others")).distinct(), "k").select(
+        "k", "a", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("part"))
+    met = ahead.join(b.select("k", "part", "b"), ["k", "part"]).select("a", "b")
+    return met.mapInArrow(_expand, "r long, c long, n long").groupBy("r", "c").agg(F.sum("n").alias("n"))
 
-def _through_large(left: DataFrame, right: DataFrame, k: int, skip: DataFrame | None = None,
-                   block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """For every ``key``, the ``k`` items with the greatest product over shared features: (key, j, n).
 
-    ``left``: key, sig, w and ``right``: j, sig, w, f, where w has one weight per feature of sig. The rank is
-    n * f, then lower j, where n is the product of both weights summed over the features in common. ``skip``
-    (key, j) lists items a key must not receive. Both sides are cut in chunks of about ``block_rows`` by hash,
-    and a block returns ``k`` rows per key.
-    """
-    def chunks(df: DataFrame) -> Column:
-        return df.agg(F.greatest(F.ceil(F.count("*") / block_rows).cast("int"), F.lit(1)).alias("n")).select("n").scalar()
-
-    nl, nr = chunks(left), chunks(right)
-    # The numbers of chunks come first as plain columns: a subquery may not sit inside a generator.
-    a = (left.withColumn("nl", nl).withColumn("nr", nr)
-         .withColumn("cl", F.pmod(F.xxhash64("key"), F.col("nl")).cast("int"))
-         .withColumn("cr", F.explode(F.sequence(F.lit(0), F.col("nr") - 1))).drop("nl", "nr"))
-    if skip is None:
-        a = a.withColumn("omit", F.array().cast("array<bigint>"))
-    else:
-        omit = (skip.withColumn("nr", nr).withColumn("cr", F.pmod(F.xxhash64("j"), F.col("nr")).cast("int"))
-                .groupBy("key", "cr").agg(F.collect_set("j").alias("omit")))
-        a = a.join(omit, ["key", "cr"], "left").withColumn(
-            "omit", F.coalesce("omit", F.array().cast("array<bigint>")))
-    b = (right.withColumn("nl", nl).withColumn("nr", nr)
-         .withColumn("cr", F.pmod(F.xxhash64("j"), F.col("nr")).cast("int"))
-         .withColumn("cl", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)))
-         .select("j", F.col("sig").alias("groups"), F.col("w").alias("weights"), "f", F.col("cl").alias("bl"),
-                 F.col("cr").alias("br")))
-
-    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"key": np.zeros(0, "int64"), "j": np.zeros(0, "int64"), "n": np.zeros(0, "int64")})]
-        if len(x) and len(y):
-            y = y.sort_values("j").reset_index(drop=True)
-            js, f = y["j"].to_numpy(), y["f"].to_numpy()
-            names = np.unique(np.concatenate(list(x["sig"]) + list(y["groups"])))
-            h = _dense(list(y["groups"]), list(y["weights"]), names)
-            for start in range(0, len(x), 512):
-                part = x.iloc[start:start + 512]
-                n = _dense(list(part["sig"]), list(part["w"]), names) @ h.T
-                rank = np.floor(n * f * RANK_SCALE + 0.5)
-                for r, omit in enumerate(part["omit"]):
-                    if len(omit):
-                        rank[r, np.searchsorted(js, np.asarray(omit))] = 0
-                if rank.shape[1] > k:  # nothing below a row's k-th value can be kept
-                    rank[rank < np.partition(rank, rank.shape[1] - k, axis=1)[:, [rank.shape[1] - k]]] = 0
-                r, c = np.nonzero(rank > 0)
-                order = np.lexsort((c, -rank[r, c], r))
-                r, c = r[order], c[order]
-                first = np.searchsorted(r, np.arange(len(part)))
-                keep = np.arange(len(r)) - first[r] < k
-                r, c = r[keep], c[keep]
-                out.append(pd.DataFrame({"key": part["key"].to_numpy()[r], "j": js[c], "n": n[r, c].astype("int64")}))
-        return pd.concat(out, ignore_index=True)
-
-    return a.groupBy("cl", "cr").cogroup(b.groupBy("bl", "br")).applyInPandas(best, "key bigint, j bigint, n bigint")
+def _pairs(edges: DataFrame) -> DataFrame:
+    """(i, j, n) for all i <> j that share n groups."""
+    one = F.lit(1).cast("long")
+    left = edges.select(F.col("i").alias("r"), F.col("g").alias("k"), one.alias("x"))
+    right = edges.select(F.col("g").alias("k"), F.col("i").alias("c"), one.alias("y"))
+    return sparse_product(left, right).where("r <> c").select(F.col("r").alias("i"), F.col("c").alias("j"), "n")
 
 
 def _rank_key(n: Column, f: Column) -> Column:
@@ -149,57 +100,37 @@ def _rank_key(n: Column, f: Column) -> Column:
 
 
 def top_cooccurring(df: DataFrame, group: str, item: str, k: int, factor: Callable[[Column], Column],
-                    score: Callable[[Column, Column, Column], Column], max_group: int = MAX_GROUP,
-                    block_rows: int = BLOCK_ROWS) -> DataFrame:
+                    score: Callable[[Column, Column, Column], Column]) -> DataFrame:
     """Top ``k`` partners of every item: (i, j, n_ij, score, puesto).
 
     For one item, partners are ranked by n_ij * factor(n_j), then lower partner id; ``score`` is what is reported
     and must follow that order. Group and item are whole numbers.
     """
     edges = cut_lineage(_edges(df, group, item))
-    ordinary, large = _split(edges, max_group)
     n = edges.groupBy("i").agg(F.count("*").alias("n_i"))
     nj = n.select(F.col("i").alias("j"), F.col("n_i").alias("n_j"))
-    pairs = _both_ways(_pairs(ordinary))
-    large = cut_lineage(large)
-    if not large.isEmpty():
-        sig = cut_lineage(_signatures(large))
-        near = _with_signature(_with_signature(pairs, sig, "i", "sa"), sig, "j", "sb").select(
-            "i", "j", (F.col("n") + _shared("sa", "sb")).alias("n"))
-        # Items with one signature share one list; of each signature only its k + 1 best items can appear in lists.
-        classes = sig.groupBy("sig").agg(F.min("i").alias("key"))
-        ones = F.transform("sig", lambda _: F.lit(1.0)).alias("w")
-        left = classes.select("key", "sig", ones)
-        weighted = sig.join(n, "i").select(F.col("i").alias("j"), "sig", ones, factor(F.col("n_i")).alias("f"))
-        right = top_per_group(weighted, ["sig"], [_rank_key(F.lit(1.0), F.col("f")).desc(), F.col("j").asc()], k + 1,
-                              "__p").drop("__p")
-        far = _through_large(left, right, k + 1, block_rows=block_rows)
-        lists = sig.join(classes, "sig").select("i", "key").join(far, "key").filter(F.col("i") != F.col("j"))
-        pairs = near.unionByName(lists.select("i", "j", "n")).groupBy("i", "j").agg(F.max("n").alias("n"))
-    scored = pairs.join(n, "i").join(nj, "j").select(
+    scored = _pairs(edges).join(n, "i").join(nj, "j").select(
         "i", "j", F.col("n").alias("n_ij"), score(F.col("n"), F.col("n_i"), F.col("n_j")).alias("score"),
         _rank_key(F.col("n"), factor(F.col("n_j"))).alias("__r"))
     return top_per_group(scored, ["i"], [F.col("__r").desc(), F.col("j").asc()], k, "puesto").drop("__r")
 
 
-def item_cooccurrence(events: DataFrame, k: int, max_group: int = MAX_GROUP, **options) -> DataFrame:
+def item_cooccurrence(events: DataFrame, k: int) -> DataFrame:
     """Neighbours by co-occurrence in users' histories, normalised by cosine."""
     return top_cooccurring(
         events, "usuario_id", "contenido_id", k, lambda n_j: 1.0 / F.sqrt(n_j.cast("double")),
-        lambda n_ij, n_i, n_j: n_ij / F.sqrt((n_i * n_j).cast("double")), max_group, **options)
+        lambda n_ij, n_i, n_j: n_ij / F.sqrt((n_i * n_j).cast("double")))
 
 
-def graph_neighbours(views: DataFrame, k: int, max_group: int = MAX_GROUP, **options) -> DataFrame:
+def graph_neighbours(views: DataFrame, k: int) -> DataFrame:
     """Neighbours by two hops through a shared reader; the score is the share of the item's own readers."""
-    return top_cooccurring(views, "usuario_id", "contenido_id", k, lambda n_j: F.lit(1.0),
-                           lambda n_ij, n_i, n_j: n_ij / n_i, max_group, **options)
+    return top_cooccurring(views, "usuario_id", "contenido_id", k, lambda n_j: F.lit(1.0), lambda n_ij, n_i, n_j: n_ij / n_i)
 
 
-def related_tags(content_tags: DataFrame, tags: DataFrame, k: int, max_group: int = MAX_GROUP) -> DataFrame:
+def related_tags(content_tags: DataFrame, tags: DataFrame, k: int) -> DataFrame:
     """Tags that share the most contents. ``tags`` numbers the tag names (etiqueta, etiqueta_id) in their order."""
     numbered = content_tags.join(tags, "etiqueta").select("contenido_id", "etiqueta_id")
-    top = top_cooccurring(numbered, "contenido_id", "etiqueta_id", k, lambda n_j: F.lit(1.0),
-                          lambda n_ij, n_i, n_j: n_ij * F.lit(1.0), max_group)
+    top = top_cooccurring(numbered, "contenido_id", "etiqueta_id", k, lambda n_j: F.lit(1.0), lambda n_ij, n_i, n_j: n_ij * F.lit(1.0))
     a, b = tags.toDF("etiqueta", "i"), tags.toDF("etiqueta_afin", "j")
     return top.join(a, "i").join(b, "j").select("etiqueta", "etiqueta_afin", F.col("n_ij").alias("comunes"), "puesto")
 
@@ -310,64 +241,29 @@ def path_to(paths: DataFrame, target: str, max_hops: int = 6) -> DataFrame:
     return out
 
 
-def _features(rows: DataFrame, key: str) -> DataFrame:
-    """(key, sig, w) from rows (key, feature, weight); the number of features is bounded by the callers."""
-    packed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("feature", "weight"))).alias("t"))
-    return packed.select(key, F.col("t.feature").alias("sig"), F.col("t.weight").alias("w"))
-
-
-def co_view_recommendations(views: DataFrame, k: int, max_group: int = MAX_GROUP, explain: bool = True,
-                            block_rows: int = BLOCK_ROWS) -> DataFrame:
+def co_view_recommendations(views: DataFrame, k: int, explain: bool = True, eligible: Callable[[DataFrame], DataFrame] | None = None,
+                            readers: DataFrame | None = None) -> DataFrame:
     """Per user, unseen contents by number of user-content-reader-content paths: (u, j, caminos, puesto, via).
 
     Paths are counted as the sum, over the user's contents, of the readers each shares with the candidate: items
-    are paired first, so users are never paired with users. The largest readers and the most read contents do not
-    take part in that join. They are features, few in number: a user has one weight per feature (contents shared
-    with the reader; whether the content was read), a candidate another (whether the reader saw it; readers shared
-    with the content), and the paths through them are the product of the two.
+    are paired first, so users are never paired with users. ``eligible`` takes candidates (u, j, ...) and returns those that
+    may be shown; it comes before the choice of the ``k`` best. ``readers`` (views) are all whose reading counts, if lists are
+    wanted only for the users of ``views``.
     """
     edges = cut_lineage(_edges(views, "usuario_id", "contenido_id"))
-    ordinary, large = _split(edges, max_group)
-    popular = edges.groupBy("i").agg(F.count("*").alias("n")).filter(F.col("n") > max_group).orderBy(
-        F.col("n").desc(), F.col("i").asc()).limit(MAX_LARGE_GROUPS).select("i")
-    large, popular = cut_lineage(large), cut_lineage(popular)
-    pairs = cut_lineage(_both_ways(_pairs(ordinary)))
+    pairs = cut_lineage(_pairs(edges if readers is None else cut_lineage(_edges(readers, "usuario_id", "contenido_id"))))
     seen = edges.select(F.col("g").alias("u"), "i")
-    own = seen.select("u", F.col("i").alias("j"))
-    scored = seen.join(popular, "i", "left_anti").join(pairs, "i").groupBy("u", "j").agg(F.sum("n").alias("caminos"))
-    sig = None if large.isEmpty() else cut_lineage(_signatures(large))
-    if sig is not None or not popular.isEmpty():
-        # Readers get even feature numbers, contents odd ones.
-        overlap = seen.join(large.select("i", F.col("g").alias("h")), "i").filter("u <> h").groupBy("u", "h").agg(
-            F.count("*").cast("double").alias("weight")).select("u", (F.col("h") * 2).alias("feature"), "weight")
-        read = seen.join(popular, "i", "left_semi").select(
-            "u", (F.col("i") * 2 + 1).alias("feature"), F.lit(1.0).alias("weight"))
-        held = large.select(F.col("i").alias("j"), (F.col("g") * 2).alias("feature"), F.lit(1.0).alias("weight"))
-        near_popular = pairs.join(popular, "i", "left_semi").select(
-            "j", (F.col("i") * 2 + 1).alias("feature"), F.col("n").cast("double").alias("weight"))
-        taste = cut_lineage(_features(overlap.unionByName(read), "u"))
-        pool = cut_lineage(_features(held.unionByName(near_popular), "j"))
-        reached = own.join(pool.select("j"), "j", "left_semi").select(F.col("u").alias("key"), "j")
-        far = _through_large(taste.withColumnRenamed("u", "key"), pool.withColumn("f", F.lit(1.0)), k, reached,
-                             block_rows).select(F.col("key").alias("u"), "j", F.col("n").alias("caminos"))
-        weights = pool.select("j", F.map_from_arrays("sig", "w").alias("m"))
-        through = F.aggregate(F.arrays_zip("sig", "w"), F.lit(0.0), lambda acc, p: acc + p["w"] * F.coalesce(
-            F.try_element_at(F.col("m"), p["sig"]), F.lit(0.0)))
-        near = scored.join(taste, "u", "left").join(weights, "j", "left").select(
-            "u", "j", (F.col("caminos") + F.coalesce(through, F.lit(0.0)).cast("long")).alias("caminos"))
-        scored = near.unionByName(far).groupBy("u", "j").agg(F.max("caminos").alias("caminos"))
-    unseen = scored.join(own, ["u", "j"], "left_anti")
-    top = top_per_group(unseen, ["u"], [F.col("caminos").desc(), F.col("j").asc()], k, "puesto")
+    scored = sparse_product(edges.select(F.col("g").alias("r"), F.col("i").alias("k"), F.lit(1).cast("long").alias("x")),
+                            pairs.select(F.col("i").alias("k"), F.col("j").alias("c"), F.col("n").alias("y")))
+    scored = scored.select(F.col("r").alias("u"), F.col("c").alias("j"), F.col("n").alias("caminos"))
+    unseen = scored.join(seen.select("u", F.col("i").alias("j")), ["u", "j"], "left_anti")
+    top = top_per_group(eligible(unseen) if eligible else unseen, ["u"], [F.col("caminos").desc(), F.col("j").asc()], k, "puesto")
     if not explain:
         return top
     # Explanation, only for what is shown: the content of the user's own list that brings most paths.
     steps = top.join(seen, "u").join(pairs, ["i", "j"], "left")
-    through = F.coalesce("n", F.lit(0))
-    if sig is not None:
-        steps = _with_signature(_with_signature(steps, sig, "i", "sa"), sig, "j", "sb")
-        through = through + _shared("sa", "sb")
     return steps.groupBy("u", "j", "caminos", "puesto").agg(
-        F.max_by("i", F.struct(through.alias("t"), (-F.col("i")).alias("d"))).alias("via"))
+        F.max_by("i", F.struct(F.coalesce("n", F.lit(0)).alias("t"), (-F.col("i")).alias("d"))).alias("via"))
 
 
 def bridge_contents(views: DataFrame, contents: DataFrame) -> DataFrame:
@@ -407,13 +303,33 @@ def cold_start_similar(contents: DataFrame, content_tags: DataFrame, views: Data
 
 # ---- blends -------------------------------------------------------------------------------------------
 
-def from_neighbours(seen: DataFrame, neighbour_rows: DataFrame, k: int) -> DataFrame:
+def from_neighbours(seen: DataFrame, neighbour_rows: DataFrame, k: int, eligible: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Per user, unseen contents by the summed score of being a neighbour of what was seen: (u, j, score)."""
     have = seen.select(F.col("usuario_id").alias("u"), F.col("contenido_id").alias("i")).distinct()
     scored = have.join(neighbour_rows.select("i", "j", "score"), "i").groupBy("u", "j").agg(
         F.round(F.sum("score"), 6).alias("score"))
     unseen = scored.join(have.select("u", F.col("i").alias("j")), ["u", "j"], "left_anti")
-    return top_per_group(unseen, ["u"], [F.col("score").desc(), F.col("j").asc()], k, "puesto")
+    return top_per_group(eligible(unseen) if eligible else unseen, ["u"], [F.col("score").desc(), F.col("j").asc()], k, "puesto")
+
+
+def eligible_top(fetch: Callable[[DataFrame | None, int], DataFrame], eligible: Callable[[DataFrame], DataFrame], n: int) -> DataFrame:
+    """The ``n`` best eligible candidates (u, j, score) of every user from a list that can be read to any depth.
+
+    ``fetch(users, size)`` gives the ``size`` best of the users (u; None: all). Users who have fewer than ``n`` left after the
+    filter, and whose list goes on, are read again four times as deep; nobody else is. Each round is written, and the depth
+    grows to the whole list, so nothing eligible is missed however many candidates are refused.
+    """
+    size, users, done = 2 * n, None, []
+    while True:
+        got = cut_lineage(fetch(users, size).select("u", "j", "score"))
+        best = cut_lineage(top_per_group(eligible(got), ["u"], [F.col("score").desc(), F.col("j").asc()], n, "puesto").select("u", "j", "score"))
+        full = got.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= size).select("u")
+        enough = best.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= n).select("u")
+        short = cut_lineage(full.join(enough, "u", "left_anti"))
+        if short.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, best])
+        done.append(best.join(short, "u", "left_anti"))
+        users, size = short, 4 * size
 
 
 def min_max(signal: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from feedlake.operators import recommend as R
 from feedlake.plans.catalog_queries import publishable
 from feedlake.plans.registry import query
 from feedlake.session import cut_lineage
-from feedlake.plans.vectors_queries import FEED_SQL, LEVEL_SQL, NEIGHBOURS_SQL, neighbours, personal_feed
+from feedlake.plans.vectors_queries import FEED_SQL, LEVEL_SQL, NEIGHBOURS_SQL, feed_for, neighbours, profile_queries
 from feedlake.sources.domain import AS_OF
 
 
@@ -151,69 +151,86 @@ POPULAR_SQL = f"""
     SELECT e.contenido_id AS j, round(sum(exp(-((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ocurrido_en)) / 1000000.0) / 86400.0)), 6)
            AS score FROM eventos e JOIN publicables p ON p.contenido_id = e.contenido_id
     WHERE tipo_evento = 'vista' AND ocurrido_en <= TIMESTAMP '{AS_OF}' AND ocurrido_en >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY
-    GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"""
+    GROUP BY 1"""
 
 
-def popular(d, n=20):
+def popularity(d):
+    """Every publishable content with reads in the last seven days, with its score."""
     p = M.popularity_by_window(d.eventos, d.contenidos, d.secciones, AS_OF).filter("ventana = '7d'")
-    return K.top_global(p.join(publishable(d).select("contenido_id"), "contenido_id", "left_semi"), n)
+    return p.join(publishable(d).select("contenido_id"), "contenido_id", "left_semi")
 
 
-@query("r09_popularity_strategy", f"SELECT j AS contenido_id, score FROM ({POPULAR_SQL})")
+@query("r09_popularity_strategy", f"SELECT j AS contenido_id, score FROM ({POPULAR_SQL}) ORDER BY 2 DESC, 1 LIMIT 20")
 def _(d):
-    return popular(d).select("contenido_id", "score")
+    return K.top_global(popularity(d), 20).select("contenido_id", "score")
 
 
 _SEEN = "(SELECT DISTINCT usuario_id AS u, contenido_id AS i FROM eventos)"
 HYBRID_SQL = f"""
-    WITH gente AS (SELECT id AS u FROM usuarios WHERE activo), con AS (SELECT id AS u FROM usuarios WHERE consentimiento_personalizacion),
-    cooc AS ({COOC_SQL}),
-    senales AS (
-        SELECT 'popularidad' AS s, g.u, p.j, p.score FROM gente g, ({POPULAR_SQL}) p
-        UNION ALL SELECT 'embedding', usuario_id, contenido_id, similitud FROM (SELECT *, row_number() OVER (PARTITION BY usuario_id
-            ORDER BY similitud DESC, contenido_id) AS r FROM ({FEED_SQL})) WHERE r <= 20
-        UNION ALL SELECT 'coocurrencia', u, j, score FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY score DESC, j) AS r FROM (
-            SELECT a.u, c.j, round(sum(c.score), 6) AS score FROM {_SEEN} a JOIN cooc c ON c.i = a.i
-            WHERE a.u IN (SELECT u FROM con) AND NOT EXISTS (SELECT 1 FROM {_SEEN} z WHERE z.u = a.u AND z.i = c.j) GROUP BY 1, 2))
-            WHERE r <= 20
-        UNION ALL SELECT 'grafo', u, j, CAST(caminos AS DOUBLE) FROM ({COVIEW_SQL} WHERE puesto <= 20) WHERE u IN (SELECT u FROM con)),
+    WITH con AS (SELECT id AS u FROM usuarios WHERE consentimiento_personalizacion), cooc AS ({COOC_SQL}),
+    posibles AS MATERIALIZED (SELECT g.id AS u, p.contenido_id AS j, p.seccion_id FROM usuarios g JOIN ({LEVEL_SQL}) l ON l.usuario_id = g.id
+        JOIN publicables p ON p.nivel_acceso <= l.nivel_acceso WHERE g.activo
+        AND NOT EXISTS (SELECT 1 FROM vetos v WHERE v.usuario_id = g.id AND v.contenido_id = p.contenido_id)
+        AND NOT EXISTS (SELECT 1 FROM {_SEEN} z WHERE z.u = g.id AND z.i = p.contenido_id)),
+    todas AS (
+        SELECT 'popularidad' AS s, g.id AS u, p.j, p.score FROM usuarios g, ({POPULAR_SQL}) p
+        UNION ALL SELECT 'embedding', usuario_id, contenido_id, similitud FROM ({FEED_SQL})
+        UNION ALL SELECT 'coocurrencia', a.u, c.j, round(sum(c.score), 6) AS score FROM {_SEEN} a JOIN cooc c ON c.i = a.i
+            WHERE a.u IN (SELECT u FROM con) GROUP BY 2, 3
+        UNION ALL SELECT 'grafo', u, j, CAST(caminos AS DOUBLE) FROM ({COVIEW_SQL}) WHERE u IN (SELECT u FROM con)),
+    senales AS (SELECT * FROM (SELECT t.*, p.seccion_id, row_number() OVER (PARTITION BY s, t.u ORDER BY score DESC, t.j) AS r
+        FROM todas t JOIN posibles p ON p.u = t.u AND p.j = t.j) WHERE r <= 20),
     escala AS (SELECT *, min(score) OVER (PARTITION BY s, u) AS lo, max(score) OVER (PARTITION BY s, u) AS hi FROM senales),
-    mezcla AS (SELECT u, j, round(sum(CASE s WHEN 'popularidad' THEN 0.2::DOUBLE WHEN 'grafo' THEN 0.2::DOUBLE ELSE 0.3::DOUBLE END
-        * CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END), 6) AS score FROM escala GROUP BY 1, 2),
-    ok AS (SELECT m.u AS usuario_id, m.j AS contenido_id, p.seccion_id, m.score FROM mezcla m
-        JOIN publicables p ON p.contenido_id = m.j JOIN ({LEVEL_SQL}) l ON l.usuario_id = m.u AND p.nivel_acceso <= l.nivel_acceso
-        WHERE m.u IN (SELECT u FROM gente) AND NOT EXISTS (SELECT 1 FROM vetos v WHERE v.usuario_id = m.u AND v.contenido_id = m.j)
-        AND NOT EXISTS (SELECT 1 FROM {_SEEN} z WHERE z.u = m.u AND z.i = m.j)),
-    tope AS (SELECT *, row_number() OVER (PARTITION BY usuario_id, seccion_id ORDER BY score DESC, contenido_id) AS q FROM ok)
+    mezcla AS (SELECT u AS usuario_id, j AS contenido_id, seccion_id, round(sum(CASE s WHEN 'popularidad' THEN 0.2::DOUBLE WHEN 'grafo' THEN 0.2::DOUBLE
+        ELSE 0.3::DOUBLE END * CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END), 6) AS score FROM escala GROUP BY 1, 2, 3),
+    tope AS (SELECT *, row_number() OVER (PARTITION BY usuario_id, seccion_id ORDER BY score DESC, contenido_id) AS q FROM mezcla)
     SELECT usuario_id, contenido_id, seccion_id, score, puesto FROM (SELECT *, row_number() OVER (PARTITION BY usuario_id
         ORDER BY score DESC, contenido_id) AS puesto FROM tope WHERE q <= 2) WHERE puesto <= 10"""
 
 
 def hybrid(d, n=20, k=10):
-    """Weighted blend of the four strategies' lists, minus vetoes and seen contents, two per section at most."""
-    people = d.usuarios.filter("activo").select(F.col("id").alias("u"))
+    """Weighted blend of the four strategies' lists of what a user may get and has not seen, two per section at most.
+
+    Access level, vetoes and seen contents are taken off each strategy before its ``n`` best are chosen.
+    """
+    people = cut_lineage(d.usuarios.filter("activo").select(F.col("id").alias("u")))
     agreed = C.consenting(d.usuarios)
     mine = d.eventos.join(agreed, "usuario_id", "left_semi")
-    # The popularity list has n rows; every user receives it, cold users included.
-    top = popular(d, n).agg(F.collect_list(F.struct(F.col("contenido_id").alias("j"), "score")).alias("lista")).select(
-        "lista").scalar()
+    levels = cut_lineage(C.access_level_now(d.usuarios, d.suscripciones, d.planes, AS_OF).select(
+        F.col("usuario_id").alias("u"), F.col("nivel_acceso").alias("nivel")))
+    allowed = cut_lineage(publishable(d).select(F.col("contenido_id").alias("j"), "seccion_id", "nivel_acceso"))
+    seen = cut_lineage(d.eventos.select("usuario_id", "contenido_id").distinct())
+
+    def eligible(candidates):
+        open_to = candidates.join(people, "u", "left_semi").join(allowed.drop("seccion_id"), "j").join(levels, "u").filter("nivel_acceso <= nivel")
+        rows = open_to.drop("nivel", "nivel_acceso").withColumnsRenamed({"u": "usuario_id", "j": "contenido_id"})
+        kept = C.without_seen(C.without_vetoed(rows, d.preferencias, d.contenidos, d.contenidos_etiquetas), seen)
+        return kept.withColumnsRenamed({"usuario_id": "u", "contenido_id": "j"})
+
+    popular = cut_lineage(popularity(d).select(F.col("contenido_id").alias("j"), "score"))
+
+    def most_read(users, size):
+        # One list for all, as deep as asked; a row of it meets each user who still needs it.
+        top = popular.orderBy(F.desc("score"), "j").limit(size).agg(F.collect_list(F.struct("j", "score")).alias("lista")).select("lista").scalar()
+        return (people if users is None else users).withColumn("lista", top).select("u", F.explode("lista").alias("p")).select("u", "p.j", "p.score")
+
+    taste = cut_lineage(profile_queries(d).join(people, F.col("id") == F.col("u"), "left_semi"))
+
+    def nearest(users, size):
+        asked = taste if users is None else taste.join(users, F.col("id") == F.col("u"), "left_semi")
+        return feed_for(d, asked, size).select(F.col("id").alias("u"), F.col("other").alias("j"), F.col("sim").alias("score"))
+
     signals = {
-        "popularidad": people.withColumn("lista", top).select("u", F.explode("lista").alias("p")).select("u", "p.j", "p.score"),
-        "embedding": personal_feed(d, n).select(F.col("id").alias("u"), F.col("other").alias("j"), F.col("sim").alias("score")),
-        "coocurrencia": R.from_neighbours(mine, R.item_cooccurrence(d.eventos, 10), n).select("u", "j", "score"),
-        "grafo": R.co_view_recommendations(views(d), n, explain=False).join(
-            agreed.select(F.col("usuario_id").alias("u")), "u", "left_semi").select(
+        "popularidad": R.eligible_top(most_read, eligible, n),
+        "embedding": R.eligible_top(nearest, eligible, n),
+        "coocurrencia": R.from_neighbours(mine, R.item_cooccurrence(d.eventos, 10), n, eligible).select("u", "j", "score"),
+        "grafo": R.co_view_recommendations(views(d).join(agreed, "usuario_id", "left_semi"), n, False, eligible, readers=views(d)).select(
             "u", "j", F.col("caminos").cast("double").alias("score")),
     }
     # Each list is short (n rows per user) and comes from a long plan: written once, then blended.
     signals = {name: cut_lineage(df) for name, df in signals.items()}
-    mixed = R.blend(signals).join(people, "u", "left_semi").select(
-        F.col("u").alias("usuario_id"), F.col("j").alias("contenido_id"), "score")
-    levels = C.access_level_now(d.usuarios, d.suscripciones, d.planes, AS_OF).withColumnRenamed("nivel_acceso", "nivel")
-    allowed = (mixed.join(publishable(d).select("contenido_id", "seccion_id", "nivel_acceso"), "contenido_id")
-               .join(levels, "usuario_id").filter("nivel_acceso <= nivel").drop("nivel", "nivel_acceso"))
-    kept = C.without_seen(C.without_vetoed(allowed, d.preferencias, d.contenidos, d.contenidos_etiquetas), d.eventos)
-    return K.diversified(kept, k)
+    mixed = R.blend(signals).select(F.col("u").alias("usuario_id"), "j", "score").join(allowed.select("j", "seccion_id"), "j")
+    return K.diversified(mixed.withColumnRenamed("j", "contenido_id"), k)
 
 
 @query("r10_hybrid_feed", HYBRID_SQL)

@@ -43,10 +43,18 @@ def profiles(d):
     return V.user_profiles(d.eventos, d.embeddings, d.usuarios)
 
 
-def personal_feed(d, k=10, per_section=None):
+def profile_queries(d):
+    """Profiles of users with their access level, as queries."""
     levels = C.access_level_now(d.usuarios, d.suscripciones, d.planes, AS_OF)
-    q = V.as_queries(profiles(d).join(levels, "usuario_id"), "usuario_id", "embedding", F.col("nivel_acceso"))
-    return V.nearest(q, V.as_base(d.embeddings, publishable(d)), k, per_group=per_section)
+    return V.as_queries(profiles(d).join(levels, "usuario_id"), "usuario_id", "embedding", F.col("nivel_acceso"))
+
+
+def feed_for(d, queries, k=10, per_section=None):
+    return V.nearest(queries, V.as_base(d.embeddings, publishable(d)), k, per_group=per_section)
+
+
+def personal_feed(d, k=10, per_section=None):
+    return feed_for(d, profile_queries(d), k, per_section)
 
 
 NEIGHBOURS_SQL = """

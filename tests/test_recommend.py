@@ -1,4 +1,4 @@
-"""Counting through signatures of large groups equals brute force over all pairs."""
+"""Co-occurrence, paths, lists and blends against brute force."""
 
 import math
 import random
@@ -35,55 +35,86 @@ def brute_pairs(edges):
     return n, Counter(i for _, i in edges), by_user
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("max_group", [3, 10, 1000])
-def test_cooccurrence_equals_brute_force(spark, seed, max_group):
-    edges, k = skewed(seed), 4
+@pytest.fixture(params=[(3, 10), (7, 50), (1000, 2_000_000)])
+def chunk(request, monkeypatch):
+    """Sizes of chunks and of sums: results must not depend on them."""
+    monkeypatch.setattr(R, "CHUNK", request.param[0])
+    monkeypatch.setattr(R, "PRODUCTS", request.param[1])
+
+
+def test_cooccurrence_equals_brute_force(spark, chunk):
+    edges, k = skewed(1), 4
     n, size, _ = brute_pairs(edges)
     want = {}
     for i in size:
         ranked = sorted(((-math.floor(n[a, b] / math.sqrt(size[b]) * 1e9 + 0.5), b) for a, b in n if a == i))[:k]
         want.update({(i, p): (j, n[i, j]) for p, (_, j) in enumerate(ranked, 1)})
-    got = {(r.i, r.puesto): (r.j, r.n_ij) for r in R.item_cooccurrence(
-        frame(spark, edges), k, max_group, block_rows=7).collect()}
+    got = {(r.i, r.puesto): (r.j, r.n_ij) for r in R.item_cooccurrence(frame(spark, edges), k).collect()}
     assert got == want
 
 
-@pytest.mark.parametrize("max_group", [3, 1000])
-def test_graph_neighbours_equal_brute_force(spark, max_group):
-    edges, k = skewed(5), 3
+def test_graph_neighbours_equal_brute_force(spark, chunk):
+    edges = skewed(5)
     n, size, _ = brute_pairs(edges)
     want = {}
     for i in size:
-        ranked = sorted((-(n[a, b] / size[a]), b) for a, b in n if a == i)[:k]
+        ranked = sorted((-(n[a, b] / size[a]), b) for a, b in n if a == i)[:3]
         want.update({(i, p): j for p, (_, j) in enumerate(ranked, 1)})
-    got = {(r.i, r.puesto): r.j for r in R.graph_neighbours(frame(spark, edges), k, max_group).collect()}
-    assert got == want
+    assert {(r.i, r.puesto): r.j for r in R.graph_neighbours(frame(spark, edges), 3).collect()} == want
+    assert {(r.i, r.j): r.n_ij for r in R.graph_neighbours(frame(spark, edges), 1000).collect()} == dict(n)
 
 
-@pytest.mark.parametrize("max_group", [3, 12, 1000])
-def test_co_viewing_equals_brute_force(spark, max_group):
+def test_co_viewing_equals_brute_force(spark, chunk):
     edges, k = skewed(7), 5
     n, size, by_user = brute_pairs(edges)
-    want = {}
+    want, of_few = {}, {}
     for u, own in by_user.items():
         paths = {j: sum(n[c, j] for c in own) for j in size if j not in own}
         ranked = sorted((-p, j) for j, p in paths.items() if p > 0)[:k]
         for pos, (p, j) in enumerate(ranked, 1):
             via = min((-n[c, j], c) for c in own)[1]
             want[u, pos] = (j, -p, via)
-    rows = R.co_view_recommendations(frame(spark, edges), k, max_group, block_rows=9).collect()
+        even = sorted((-p, j) for j, p in paths.items() if p > 0 and j % 2 == 0)[:k]
+        of_few.update({(u, pos): (j, -p) for pos, (p, j) in enumerate(even, 1) if u > 20})
+    rows = R.co_view_recommendations(frame(spark, edges), k).collect()
     assert {(r.u, r.puesto): (r.j, r.caminos, r.via) for r in rows} == want
-
-
-def test_more_big_groups_than_may_be_large(spark, monkeypatch):
-    """Beyond the limit of large groups, big groups are expanded in chunks; the result stays the same."""
-    monkeypatch.setattr(R, "MAX_LARGE_GROUPS", 1)
-    monkeypatch.setattr(R, "CHUNK", 6)
-    edges = skewed(11)
-    n, _, _ = brute_pairs(edges)
-    got = {(r.i, r.j): r.n_ij for r in R.graph_neighbours(frame(spark, edges), 1000, 3).collect()}
-    assert got == dict(n)
+    some = frame(spark, edges).where("usuario_id > 20")
+    rows = R.co_view_recommendations(some, k, False, lambda c: c.where("j % 2 = 0"), frame(spark, edges)).collect()
+    assert {(r.u, r.puesto): (r.j, r.caminos) for r in rows} == of_few
+
+
+def test_sparse_product_has_no_large_rows(spark, monkeypatch):
+    """A column that holds a third of the entries on both sides, weights, and columns that only one side has."""
+    monkeypatch.setattr(R, "CHUNK", 5)
+    rng = random.Random(3)
+    left = [(r, 0, r) for r in range(40)] + [(rng.randint(0, 30), k, 2) for k in range(1, 60)]
+    right = [(0, c, c + 1) for c in range(30)] + [(k, rng.randint(0, 30), 3) for k in range(30, 90)]
+    want = Counter()
+    for r, k, x in left:
+        for q, c, y in right:
+            if k == q:
+                want[r, c] += x * y
+    a, b = spark.createDataFrame(left, "r long, k long, x long"), spark.createDataFrame(right, "k long, c long, y long")
+    assert {(r.r, r.c): r.n for r in R.sparse_product(a, b).collect()} == dict(want)
+    assert R.sparse_product(a.limit(0), b).collect() == []
+
+
+def test_a_user_whose_first_candidates_are_all_refused_still_gets_a_full_list(spark):
+    lists = {1: range(100), 2: range(100), 3: range(5), 4: range(100)}
+    refused = {(1, j) for j in range(75)} | {(2, 0)} | {(4, j) for j in range(97)}
+    depth = []
+
+    def fetch(users, size):
+        asked = set(lists) if users is None else {r.u for r in users.collect()}
+        depth.append((size, sorted(asked)))
+        rows = [(u, j, float(-j)) for u in asked for j in list(lists[u])[:size]]
+        return spark.createDataFrame(rows, "u long, j long, score double")
+
+    bad = spark.createDataFrame(sorted(refused), "u long, j long")
+    got = R.eligible_top(fetch, lambda c: c.join(bad, ["u", "j"], "left_anti"), 10).collect()
+    want = {(u, j) for u, js in lists.items() for j in [j for j in js if (u, j) not in refused][:10]}
+    assert {(r.u, r.j) for r in got} == want and len(got) == len(want)
+    assert depth == [(20, [1, 2, 3, 4]), (80, [1, 4]), (320, [1, 4])]
 
 
 def test_shortest_path_and_its_nodes(spark):
