@@ -316,10 +316,10 @@ def eligible_top(fetch: Callable[[DataFrame | None, int], DataFrame], eligible:
     """The ``n`` best eligible candidates (u, j, score) of every user from a list that can be read to any depth.
 
     ``fetch(users, size)`` gives the ``size`` best of the users (u; None: all). Users who have fewer than ``n`` left after the
-    filter, and whose list goes on, are read again four times as deep; nobody else is. Each round is written, and the depth
+    filter, and whose list goes on, are read again eight times as deep; nobody else is. Each round is written, and the depth
     grows to the whole list, so nothing eligible is missed however many candidates are refused.
     """
-    size, users, done = 2 * n, None, []
+    size, users, done = 4 * n, None, []
     while True:
         got = cut_lineage(fetch(users, size).select("u", "j", "score"))
         best = cut_lineage(top_per_group(eligible(got), ["u"], [F.col("score").desc(), F.col("j").asc()], n, "puesto").select("u", "j", "score"))
@@ -329,7 +329,7 @@ def eligible_top(fetch: Callable[[DataFrame | None, int], DataFrame], eligible:
         if short.isEmpty():
             return reduce(DataFrame.unionByName, [*done, best])
         done.append(best.join(short, "u", "left_anti"))
-        users, size = short, 4 * size
+        users, size = short, 8 * size
 
 
 def min_max(signal: DataFrame) -> DataFrame:

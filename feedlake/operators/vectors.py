@@ -1,17 +1,22 @@
 """Vector operators: cosine search with pre-filter, exact batch neighbours, near-duplicates, user profiles.
 
-Batch neighbours are exact and never form a cross join. Vectors are put in cells around a bounded set of
-pivots; the triangle inequality on angles tells which cells can hold a neighbour of a query; queries meet
-only those cells, in blocks of bounded size, and each block returns at most ``k`` rows per query.
+Batch neighbours are exact and never form a cross join. Base rows are laid out once by cell around pivots, whose number
+grows with the root of the table; the triangle inequality on angles tells which cells can hold a neighbour of a query.
+Cells are cut in parts of bounded size; a task holds one part and streams the queries that must see it, so neither side of
+a cell has to fit in memory. The base is copied only to keep all tasks busy: copies times parts stays near twice the number of
+shuffle partitions, however many queries there are.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +25,8 @@ from feedlake.functions.ordering import top_per_group
 from feedlake.session import cut_lineage
 
 BLOCK_ROWS = 4096
-MAX_PIVOTS = 256
-ROWS_PER_PIVOT = 2048
+#: Pivots for each root of the number of base rows: cells hold some 2 / ROOTS * root(n) rows, and the driver that many pivots.
+ROOTS = 0.5
 TILE = 512
 DIGITS = 6
 SLACK = 2e-6
@@ -60,23 +65,21 @@ def _angles(m: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def choose_pivots(base: DataFrame, n: int) -> np.ndarray:
-    """``n`` vectors picked by the hash of their id; ``n`` is bounded by ``MAX_PIVOTS`` whatever the table's size."""
-    rows = base.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(min(n, MAX_PIVOTS)).collect()
+    """``n`` vectors picked by the hash of their id."""
+    rows = base.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(n).collect()
     return _unit(pd.Series([np.asarray(r.v) for r in rows]))
 
 
 def _arrange(queries: DataFrame, base: DataFrame, k: int | None, angle: float | None = None,
-             centres: np.ndarray | None = None, probes: int | None = None):
+             centres: np.ndarray | None = None, probes: int | None = None, cap: int | None = None):
     """(queries once per cell to visit, base rows with their cell, rows per cell)."""
-    n = base.count()
     if centres is None:
-        pivots = min(MAX_PIVOTS, math.ceil(n / ROWS_PER_PIVOT))
-        if pivots <= 1:  # one cell: nothing to skip
-            return queries.withColumn("cell", F.lit(0)), base.withColumn("cell", F.lit(0)), np.array([n])
-        centres = choose_pivots(base, pivots)
-    cells = _in_cells(base, centres)
-    bounds = _Bounds(cells, len(centres), k, angle)
-    return _meeting_cells(queries, centres, bounds, probes), cells, bounds.stats["count"]
+        centres = choose_pivots(base, max(1, math.ceil(ROOTS * math.sqrt(base.count()))))
+    if not len(centres):
+        return queries.withColumn("cell", F.lit(0)), base.withColumn("cell", F.lit(0)), np.array([0])
+    cells = cut_lineage(_in_cells(base, centres))
+    bounds = _Bounds(cells, len(centres), k, angle, cap)
+    return _meeting_cells(queries, centres, bounds, probes), cells.drop("angle"), bounds.stats["count"]
 
 
 def _in_cells(base: DataFrame, centres: np.ndarray) -> DataFrame:
@@ -123,7 +126,7 @@ def _meeting_cells(queries: DataFrame, centres: np.ndarray, bounds, probes: int
 class _Bounds:
     """How far a query may have to look, from figures per cell that are few whatever the table's size."""
 
-    def __init__(self, cells: DataFrame, n_cells: int, k: int | None, angle: float | None):
+    def __init__(self, cells: DataFrame, n_cells: int, k: int | None, angle: float | None, cap: int | None = None):
         self.k, self.angle = k, angle
         count, radius = np.zeros(n_cells, dtype="int64"), np.zeros(n_cells)
         for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect():
@@ -132,18 +135,24 @@ class _Bounds:
         self.reach: dict[int, np.ndarray] = {}
         if k is not None and angle is None:
             # The k + 1 rows of each cell and level nearest to the pivot: a query is at most its own angle to the
-            # pivot plus theirs away from k rows other than itself.
-            inner = top_per_group(cells.select("cell", "level", "angle"), ["cell", "level"], [F.col("angle").asc()],
-                                  k + 1, "n").collect()
+            # pivot plus theirs away from k rows other than itself. With a cap by group, the nearest that keep to it: a
+            # group's best rows are at least as near as those, so the k-th row of the capped list is too.
+            rows = cells.select("cell", "level", "angle", *(["grp"] if cap else []))
+            if cap:
+                rows = top_per_group(rows, ["cell", "level", "grp"], [F.col("angle").asc()], cap, "__g").drop("__g")
+            inner = sorted(top_per_group(rows, ["cell", "level"], [F.col("angle").asc()], k + 1, "n").collect(), key=lambda r: r.angle)
             for level in sorted({r.level for r in inner}):
                 far = np.full(n_cells, math.pi)
-                near: dict[int, list[float]] = {}
+                near: dict[int, int] = {}
+                used: dict[tuple[int, int], int] = {}
                 for r in inner:
-                    if r.level <= level:
-                        near.setdefault(r.cell, []).append(r.angle)
-                for cell, angles in near.items():
-                    if len(angles) > k:
-                        far[cell] = sorted(angles)[k]
+                    if r.level > level or (cap and used.get((r.cell, r.grp), 0) >= cap):
+                        continue
+                    if cap:
+                        used[r.cell, r.grp] = used.get((r.cell, r.grp), 0) + 1
+                    near[r.cell] = near.get(r.cell, 0) + 1
+                    if near[r.cell] == k + 1:
+                        far[r.cell] = r.angle
                 self.reach[level] = far
 
     def limit(self, angles: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -158,17 +167,69 @@ class _Bounds:
         return out
 
 
-def _meet(queries: DataFrame, n_queries: int, base: DataFrame, sizes: np.ndarray, block_rows: int, fn,
-          schema: str) -> DataFrame:
-    """Bring queries and base rows together per (cell, part of the cell, query chunk), all of bounded size."""
-    parts = F.create_map(*[x for c, n in enumerate(sizes) for x in (F.lit(c), F.lit(max(1, math.ceil(n / block_rows))))])
-    chunks = max(1, math.ceil(n_queries / block_rows))
+@dataclass
+class _Rows:
+    """Rows of one side as arrays; vectors have unit length."""
+
+    id: np.ndarray
+    level: np.ndarray
+    grp: np.ndarray
+    own: np.ndarray
+    v: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> "_Rows":
+        v = np.asarray(batch.column("v").flatten(), np.float64).reshape(batch.num_rows, -1)
+        size = np.linalg.norm(v, axis=1, keepdims=True)
+        v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+        return cls(*(np.asarray(batch.column(c)) for c in ("id", "level", "grp")), batch.column("own").to_numpy(zero_copy_only=False), v)
+
+    @classmethod
+    def joined(cls, parts: list["_Rows"]) -> "_Rows":
+        return cls(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("id", "level", "grp", "own", "v")))
+
+
+def _meet(queries: DataFrame, base: DataFrame, sizes: np.ndarray, block_rows: int, fn, schema: str) -> DataFrame:
+    """``fn(queries, base)`` for every query and every part of a cell it must visit: a part is held, queries stream past it."""
+    counts = [max(1, math.ceil(n / block_rows)) for n in sizes]
+    parts = F.create_map(*[x for c, n in enumerate(counts) for x in (F.lit(c), F.lit(n))])
+    tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = max(1, math.ceil(2 * tasks / sum(counts)))
+    columns = ["id", "v", "level", "grp", "own", "cell", "part", "copy", "query"]
     b = (base.withColumn("part", F.pmod(F.xxhash64("id"), parts[F.col("cell")]).cast("int"))
-         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))))
+         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))))
     q = (queries.withColumn("part", F.explode(F.sequence(F.lit(0), parts[F.col("cell")] - 1)))
-         .withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")))
-    keys = ["cell", "part", "chunk"]
-    return q.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(fn, schema)
+         .withColumn("copy", F.pmod(F.xxhash64("id"), F.lit(copies)).cast("int")))
+
+    def side(df: DataFrame, query: bool) -> DataFrame:
+        names = set(df.columns)
+        return df.select("id", F.col("v").cast("array<double>").alias("v"), "level",
+                         (F.col("grp") if "grp" in names else F.lit(0).cast("long")).alias("grp"),
+                         (F.col("own") if "own" in names else F.lit(False)).alias("own"), "cell", "part", "copy", F.lit(query).alias("query"))
+
+    spot = ["cell", "part", "copy"]
+    rows = side(b, False).union(side(q, True)).repartition(*spot).sortWithinPartitions(*spot, "query").select(*columns)
+
+    def stream(batches):
+        current, held, base_rows = None, [], None
+        for batch in batches:
+            marks = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in spot]
+                             + [batch.column("query").to_numpy(zero_copy_only=False).astype(np.int64)])
+            cuts = np.flatnonzero(np.r_[True, (marks[:, 1:] != marks[:, :-1]).any(axis=0)]) if batch.num_rows else []
+            for at, stop in itertools.pairwise([*cuts, batch.num_rows]):
+                key, run = tuple(marks[:3, at]), _Rows.of(batch.slice(at, stop - at))
+                if key != current:
+                    current, held, base_rows = key, [], None
+                if not marks[3, at]:
+                    held.append(run)
+                elif held:
+                    if base_rows is None:
+                        base_rows = _Rows.joined(held)
+                    for tile in range(0, len(run.id), TILE):
+                        found = fn(_Rows(*(getattr(run, c)[tile:tile + TILE] for c in ("id", "level", "grp", "own", "v"))), base_rows)
+                        yield pa.RecordBatch.from_pydict(found)
+
+    return rows.mapInArrow(stream, schema)
 
 
 def _rank(*keys: np.ndarray) -> np.ndarray:
@@ -183,33 +244,24 @@ def _rank(*keys: np.ndarray) -> np.ndarray:
 
 
 def _best_in_block(k: int, per_group: int | None):
-    empty = {"id": np.zeros(0, "int64"), "other": np.zeros(0, "int64"), "sim": np.zeros(0), "grp": np.zeros(0, "int64")}
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame(empty)]
-        if len(left) and len(right):
-            base, ids = _unit(right["v"]), right["id"].to_numpy()
-            levels, groups = right["level"].to_numpy(), right["grp"].to_numpy()
-            for start in range(0, len(left), TILE):
-                q = left.iloc[start:start + TILE]
-                qid, qlevel, own = q["id"].to_numpy(), q["level"].to_numpy(), q["own"].to_numpy()
-                sim = np.round(_unit(q["v"]) @ base.T, DIGITS)
-                sim[(levels[None, :] > qlevel[:, None]) | ((ids[None, :] == qid[:, None]) & own[:, None])] = -np.inf
-                if per_group is None and sim.shape[1] > k:
-                    sim[sim < np.partition(sim, sim.shape[1] - k, axis=1)[:, [sim.shape[1] - k]]] = -np.inf
-                r, c = np.nonzero(np.isfinite(sim))
-                s = sim[r, c]
-                if per_group is not None:
-                    order = np.lexsort((ids[c], -s, groups[c], r))
-                    r, c, s = r[order], c[order], s[order]
-                    keep = _rank(r, groups[c]) < per_group
-                    r, c, s = r[keep], c[keep], s[keep]
-                order = np.lexsort((ids[c], -s, r))
-                r, c, s = r[order], c[order], s[order]
-                keep = _rank(r) < k
-                r, c, s = r[keep], c[keep], s[keep]
-                out.append(pd.DataFrame({"id": qid[r], "other": ids[c], "sim": s, "grp": groups[c]}))
-        return pd.concat(out, ignore_index=True)
+    def best(q: _Rows, base: _Rows) -> dict[str, np.ndarray]:
+        ids, groups = base.id, base.grp
+        sim = np.round(q.v @ base.v.T, DIGITS)
+        sim[(base.level[None, :] > q.level[:, None]) | ((ids[None, :] == q.id[:, None]) & q.own[:, None])] = -np.inf
+        if per_group is None and sim.shape[1] > k:
+            sim[sim < np.partition(sim, sim.shape[1] - k, axis=1)[:, [sim.shape[1] - k]]] = -np.inf
+        r, c = np.nonzero(np.isfinite(sim))
+        s = sim[r, c]
+        if per_group is not None:
+            order = np.lexsort((ids[c], -s, groups[c], r))
+            r, c, s = r[order], c[order], s[order]
+            keep = _rank(r, groups[c]) < per_group
+            r, c, s = r[keep], c[keep], s[keep]
+        order = np.lexsort((ids[c], -s, r))
+        r, c, s = r[order], c[order], s[order]
+        keep = _rank(r) < k
+        r, c, s = r[keep], c[keep], s[keep]
+        return {"id": q.id[r], "other": ids[c], "sim": s, "grp": groups[c]}
 
     return best
 
@@ -229,9 +281,8 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, per_group: int | None =
                     F.col("grp").cast("long").alias("grp"))
     # Both sides are read several times below (sizes, pivots, search), so each is computed once.
     q, b = cut_lineage(q), cut_lineage(b)
-    # The cap by group may discard near rows, so the distance of the k-th kept row is not known in advance.
-    visits, cells, sizes = _arrange(q, b, None if per_group else k, None, centres, probes)
-    found = _meet(visits, q.count(), cells, sizes, block_rows, _best_in_block(k, per_group), schema)
+    visits, cells, sizes = _arrange(q, b, k, None, centres, probes, per_group)
+    found = _meet(visits, cells, sizes, block_rows, _best_in_block(k, per_group), schema)
     order = [F.col("sim").desc(), F.col("other").asc()]
     if per_group is not None:
         found = top_per_group(found, ["id", "grp"], order, per_group, "__g").drop("__g")
@@ -252,23 +303,13 @@ def near_duplicates(embeddings: DataFrame, threshold: float, block_rows: int = B
     base = copies.select(F.col("rep").cast("long").alias("id"), F.col("embedding").alias("v"), F.lit(0).alias("level"))
     base = cut_lineage(base)
 
-    def above(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            m, ids = _unit(right["v"]), right["id"].to_numpy()
-            for start in range(0, len(left), TILE):
-                q = left.iloc[start:start + TILE]
-                sim = np.round(_unit(q["v"]) @ m.T, DIGITS)
-                qid = q["id"].to_numpy()
-                r, c = np.nonzero((sim > threshold) & (qid[:, None] < ids[None, :]))
-                out.append(pd.DataFrame({"contenido_a": qid[r], "contenido_b": ids[c], "similitud": sim[r, c]}))
-        if not out:
-            return pd.DataFrame({"contenido_a": pd.Series(dtype="int64"), "contenido_b": pd.Series(dtype="int64"),
-                                 "similitud": pd.Series(dtype="float64")})
-        return pd.concat(out, ignore_index=True)
+    def above(q: _Rows, other: _Rows) -> dict[str, np.ndarray]:
+        sim = np.round(q.v @ other.v.T, DIGITS)
+        r, c = np.nonzero((sim > threshold) & (q.id[:, None] < other.id[None, :]))
+        return {"contenido_a": q.id[r], "contenido_b": other.id[c], "similitud": sim[r, c]}
 
     visits, cells, sizes = _arrange(base, base, None, math.acos(max(-1.0, min(1.0, threshold))))
-    pairs = _meet(visits, base.count(), cells, sizes, block_rows, above,
+    pairs = _meet(visits, cells, sizes, block_rows, above,
                   "contenido_a bigint, contenido_b bigint, similitud double")
     return pairs.unionByName(member)
 

@@ -114,7 +114,7 @@ def test_a_user_whose_first_candidates_are_all_refused_still_gets_a_full_list(sp
     got = R.eligible_top(fetch, lambda c: c.join(bad, ["u", "j"], "left_anti"), 10).collect()
     want = {(u, j) for u, js in lists.items() for j in [j for j in js if (u, j) not in refused][:10]}
     assert {(r.u, r.j) for r in got} == want and len(got) == len(want)
-    assert depth == [(20, [1, 2, 3, 4]), (80, [1, 4]), (320, [1, 4])]
+    assert depth == [(40, [1, 2, 3, 4]), (320, [1, 4])]
 
 
 def test_shortest_path_and_its_nodes(spark):

@@ -39,7 +39,7 @@ def brute(qm, qlevel, m, level, grp, k, own, cap):
 
 @pytest.mark.parametrize("own,cap", [(True, None), (False, None), (False, 2)])
 def test_nearest_equals_brute_force(spark, own, cap, monkeypatch):
-    monkeypatch.setattr(V, "ROWS_PER_PIVOT", 20)
+    monkeypatch.setattr(V, "ROOTS", 0.8)
     m, level, grp = data(1)
     base = spark.createDataFrame([(i, m[i].tolist(), int(level[i]), int(grp[i])) for i in range(len(m))],
                                  "id long, v array<double>, level int, grp int")
@@ -60,8 +60,40 @@ def test_pruning_skips_far_cells(spark):
     assert visits.count() == 200  # each query needs its own cell only
 
 
+def test_a_cap_by_group_still_skips_cells(spark):
+    """With two rows a group and five groups in every cell, ten capped rows are near each pivot."""
+    rng = np.random.default_rng(12)
+    centres = unit(rng.normal(size=(6, 8)))
+    cell = np.arange(240) % 6
+    m = centres[cell] + 0.01 * rng.normal(size=(240, 8))
+    grp = rng.integers(0, 5, 240)
+    base = spark.createDataFrame([(i, m[i].tolist(), 0, int(grp[i])) for i in range(240)], "id long, v array<double>, level int, grp int")
+    cells = V._in_cells(base, centres)
+    visits = V._meeting_cells(base.select("id", "v", "level"), centres, V._Bounds(cells, 6, 4, None, 2))
+    assert visits.count() == 240  # of 1440 meetings of a query and a cell
+    few = V._meeting_cells(base.select("id", "v", "level"), centres, V._Bounds(cells, 6, 11, None, 2))
+    assert few.count() == 1440  # eleven rows need more groups than a cell has
+    got = {(r.id, r.other, r.puesto) for r in V.nearest(base.drop("grp"), base, 4, per_group=2, same_space=True, centres=centres).collect()}
+    assert got == brute(m, np.zeros(240, int), m, np.zeros(240, int), grp, 4, True, 2)
+
+
+def test_copies_of_the_base_do_not_grow_with_the_queries(spark):
+    rng = np.random.default_rng(13)
+    m = rng.normal(size=(50, 4))
+    base = spark.createDataFrame([(i, m[i].tolist(), 0, 0) for i in range(50)], "id long, v array<double>, level int, grp long").withColumn(
+        "cell", V.F.lit(0))
+    held = []
+    for n in (10, 2000):
+        q = spark.range(n).selectExpr("id", "array(1d, 0d, 0d, 1d) AS v", "0 AS level", "0 AS cell")
+        found = V._meet(q, base, np.array([50]), 64, lambda a, b: {"n": np.array([len(b.id)]), "q": np.array([len(a.id)])}, "n long, q long").collect()
+        assert {r.n for r in found} == {50} and sum(r.q for r in found) == n
+        plan = V._meet(q, base, np.array([50]), 64, None, "n long")._jdf.queryExecution().optimizedPlan().toString()
+        held.append(plan.count("explode"))
+    assert held[0] == held[1]
+
+
 def test_near_duplicates_with_copies(spark, monkeypatch):
-    monkeypatch.setattr(V, "ROWS_PER_PIVOT", 20)
+    monkeypatch.setattr(V, "ROOTS", 0.8)
     m, _, _ = data(3, n=150)
     emb = spark.createDataFrame([(i, m[i].tolist()) for i in range(len(m))], "contenido_id long, embedding array<double>")
     rep = {}
