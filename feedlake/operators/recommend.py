@@ -241,14 +241,12 @@ def path_to(paths: DataFrame, target: str, max_hops: int = 6) -> DataFrame:
     return out
 
 
-def co_view_recommendations(views: DataFrame, k: int, explain: bool = True, eligible: Callable[[DataFrame], DataFrame] | None = None,
-                            readers: DataFrame | None = None) -> DataFrame:
+def co_view_recommendations(views: DataFrame, k: int | None, explain: bool = True, readers: DataFrame | None = None) -> DataFrame:
     """Per user, unseen contents by number of user-content-reader-content paths: (u, j, caminos, puesto, via).
 
     Paths are counted as the sum, over the user's contents, of the readers each shares with the candidate: items
-    are paired first, so users are never paired with users. ``eligible`` takes candidates (u, j, ...) and returns those that
-    may be shown; it comes before the choice of the ``k`` best. ``readers`` (views) are all whose reading counts, if lists are
-    wanted only for the users of ``views``.
+    are paired first, so users are never paired with users. ``readers`` (views) are all whose reading counts, if lists are
+    wanted only for the users of ``views``. With ``k`` None: every candidate, unranked.
     """
     edges = cut_lineage(_edges(views, "usuario_id", "contenido_id"))
     pairs = cut_lineage(_pairs(edges if readers is None else cut_lineage(_edges(readers, "usuario_id", "contenido_id"))))
@@ -257,7 +255,9 @@ def co_view_recommendations(views: DataFrame, k: int, explain: bool = True, elig
                             pairs.select(F.col("i").alias("k"), F.col("j").alias("c"), F.col("n").alias("y")))
     scored = scored.select(F.col("r").alias("u"), F.col("c").alias("j"), F.col("n").alias("caminos"))
     unseen = scored.join(seen.select("u", F.col("i").alias("j")), ["u", "j"], "left_anti")
-    top = top_per_group(eligible(unseen) if eligible else unseen, ["u"], [F.col("caminos").desc(), F.col("j").asc()], k, "puesto")
+    if k is None:
+        return unseen
+    top = top_per_group(unseen, ["u"], [F.col("caminos").desc(), F.col("j").asc()], k, "puesto")
     if not explain:
         return top
     # Explanation, only for what is shown: the content of the user's own list that brings most paths.
@@ -303,48 +303,57 @@ def cold_start_similar(contents: DataFrame, content_tags: DataFrame, views: Data
 
 # ---- blends -------------------------------------------------------------------------------------------
 
-def from_neighbours(seen: DataFrame, neighbour_rows: DataFrame, k: int, eligible: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Per user, unseen contents by the summed score of being a neighbour of what was seen: (u, j, score)."""
+def from_neighbours(seen: DataFrame, neighbour_rows: DataFrame, k: int | None) -> DataFrame:
+    """Per user, unseen contents by the summed score of being a neighbour of what was seen: (u, j, score); all of them if
+    ``k`` is None."""
     have = seen.select(F.col("usuario_id").alias("u"), F.col("contenido_id").alias("i")).distinct()
     scored = have.join(neighbour_rows.select("i", "j", "score"), "i").groupBy("u", "j").agg(
         F.round(F.sum("score"), 6).alias("score"))
     unseen = scored.join(have.select("u", F.col("i").alias("j")), ["u", "j"], "left_anti")
-    return top_per_group(eligible(unseen) if eligible else unseen, ["u"], [F.col("score").desc(), F.col("j").asc()], k, "puesto")
+    return unseen if k is None else top_per_group(unseen, ["u"], [F.col("score").desc(), F.col("j").asc()], k, "puesto")
 
 
-def eligible_top(fetch: Callable[[DataFrame | None, int], DataFrame], eligible: Callable[[DataFrame], DataFrame], n: int) -> DataFrame:
-    """The ``n`` best eligible candidates (u, j, score) of every user from a list that can be read to any depth.
+def eligible_top(whole: dict[str, DataFrame], lists: dict[str, Callable[[DataFrame | None, int], DataFrame]],
+                 eligible: Callable[[DataFrame], DataFrame], n: int) -> DataFrame:
+    """The ``n`` best eligible candidates of every strategy and user: (s, u, j, score).
 
-    ``fetch(users, size)`` gives the ``size`` best of the users (u; None: all). Users who have fewer than ``n`` left after the
-    filter, and whose list goes on, are read again eight times as deep; nobody else is. Each round is written, and the depth
-    grows to the whole list, so nothing eligible is missed however many candidates are refused.
+    ``whole`` has all candidates (u, j, score) of a strategy. ``lists`` has functions of (users, size) that give the ``size``
+    best of the users (u; None: all) from a list that can be read to any depth. Users who have fewer than ``n`` left after the
+    filter, and whose list goes on, are read again eight times as deep; nobody else is. The filter runs once a round over all
+    strategies. Each round is written, and the depth grows to the whole list, so nothing eligible is missed however many
+    candidates are refused.
     """
+    def named(parts: dict[str, DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [df.select(F.lit(s).alias("s"), "u", "j", F.col("score").cast("double").alias("score"))
+                                              for s, df in parts.items()])
+
     size, users, done = 4 * n, None, []
     while True:
-        got = cut_lineage(fetch(users, size).select("u", "j", "score"))
-        best = cut_lineage(top_per_group(eligible(got), ["u"], [F.col("score").desc(), F.col("j").asc()], n, "puesto").select("u", "j", "score"))
-        full = got.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= size).select("u")
-        enough = best.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") >= n).select("u")
-        short = cut_lineage(full.join(enough, "u", "left_anti"))
-        if short.isEmpty():
+        read = {s: fetch(None if users is None else users.where(F.col("s") == s).select("u"), size) for s, fetch in lists.items()}
+        got = cut_lineage(named(read if done else whole | read))
+        best = cut_lineage(top_per_group(eligible(got), ["s", "u"], [F.col("score").desc(), F.col("j").asc()], n, "puesto").drop("puesto"))
+        full = got.where(F.col("s").isin(*lists)).groupBy("s", "u").agg(F.count("*").alias("n")).where(F.col("n") >= size).select("s", "u")
+        enough = best.groupBy("s", "u").agg(F.count("*").alias("n")).where(F.col("n") >= n).select("s", "u")
+        short = cut_lineage(full.join(enough, ["s", "u"], "left_anti"))
+        more = {r.s for r in short.select("s").distinct().collect()}
+        if not more:
             return reduce(DataFrame.unionByName, [*done, best])
-        done.append(best.join(short, "u", "left_anti"))
-        users, size = short, 8 * size
-
-
-def min_max(signal: DataFrame) -> DataFrame:
-    """Scores of each user's list moved to 0..1; a list of equal scores becomes all ones."""
-    span = signal.groupBy("u").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    return signal.join(span, "u").select(
-        "u", "j", F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")))
-        .otherwise(1.0).alias("s"))
+        done.append(best.join(short, ["s", "u"], "left_anti"))
+        users, size, lists = short, 8 * size, {s: f for s, f in lists.items() if s in more}
 
 
 def blend(signals: dict[str, DataFrame], weights: dict[str, float] | None = None) -> DataFrame:
     """Weighted sum of the strategies' own top lists (u, j, score), each scaled to 0..1."""
+    return blend_lists(reduce(DataFrame.unionByName, [df.select(F.lit(s).alias("s"), "u", "j", "score") for s, df in signals.items()]), weights)
+
+
+def blend_lists(lists: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """As ``blend``, of one table (s, u, j, score) of all strategies' lists."""
     w = weights or HYBRID_WEIGHTS
-    parts = [min_max(df).select("u", "j", (F.col("s") * w[name]).alias("s")) for name, df in signals.items()]
-    return reduce(DataFrame.unionByName, parts).groupBy("u", "j").agg(F.round(F.sum("s"), 6).alias("score"))
+    span = lists.groupBy("s", "u").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    scaled = F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0)
+    weight = F.create_map(*[F.lit(x) for pair in w.items() for x in pair])[F.col("s")]
+    return lists.join(span, ["s", "u"]).groupBy("u", "j").agg(F.round(F.sum(scaled * weight), 6).alias("score"))
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], k: int, constant: int = 60) -> DataFrame:

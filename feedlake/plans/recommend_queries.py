@@ -220,16 +220,12 @@ def hybrid(d, n=20, k=10):
         asked = taste if users is None else taste.join(users, F.col("id") == F.col("u"), "left_semi")
         return feed_for(d, asked, size).select(F.col("id").alias("u"), F.col("other").alias("j"), F.col("sim").alias("score"))
 
-    signals = {
-        "popularidad": R.eligible_top(most_read, eligible, n),
-        "embedding": R.eligible_top(nearest, eligible, n),
-        "coocurrencia": R.from_neighbours(mine, R.item_cooccurrence(d.eventos, 10), n, eligible).select("u", "j", "score"),
-        "grafo": R.co_view_recommendations(views(d).join(agreed, "usuario_id", "left_semi"), n, False, eligible, readers=views(d)).select(
-            "u", "j", F.col("caminos").cast("double").alias("score")),
+    whole = {
+        "coocurrencia": R.from_neighbours(mine, R.item_cooccurrence(d.eventos, 10), None),
+        "grafo": R.co_view_recommendations(views(d).join(agreed, "usuario_id", "left_semi"), None, False, views(d)).withColumnRenamed("caminos", "score"),
     }
-    # Each list is short (n rows per user) and comes from a long plan: written once, then blended.
-    signals = {name: cut_lineage(df) for name, df in signals.items()}
-    mixed = R.blend(signals).select(F.col("u").alias("usuario_id"), "j", "score").join(allowed.select("j", "seccion_id"), "j")
+    lists = R.eligible_top(whole, {"popularidad": most_read, "embedding": nearest}, eligible, n)
+    mixed = R.blend_lists(lists).select(F.col("u").alias("usuario_id"), "j", "score").join(allowed.select("j", "seccion_id"), "j")
     return K.diversified(mixed.withColumnRenamed("j", "contenido_id"), k)
 
 

@@ -74,13 +74,12 @@ def test_co_viewing_equals_brute_force(spark, chunk):
         for pos, (p, j) in enumerate(ranked, 1):
             via = min((-n[c, j], c) for c in own)[1]
             want[u, pos] = (j, -p, via)
-        even = sorted((-p, j) for j, p in paths.items() if p > 0 and j % 2 == 0)[:k]
-        of_few.update({(u, pos): (j, -p) for pos, (p, j) in enumerate(even, 1) if u > 20})
+        of_few.update({(u, j): p for j, p in paths.items() if p > 0 and u > 20})
     rows = R.co_view_recommendations(frame(spark, edges), k).collect()
     assert {(r.u, r.puesto): (r.j, r.caminos, r.via) for r in rows} == want
     some = frame(spark, edges).where("usuario_id > 20")
-    rows = R.co_view_recommendations(some, k, False, lambda c: c.where("j % 2 = 0"), frame(spark, edges)).collect()
-    assert {(r.u, r.puesto): (r.j, r.caminos) for r in rows} == of_few
+    rows = R.co_view_recommendations(some, None, False, frame(spark, edges)).collect()
+    assert {(r.u, r.j): r.caminos for r in rows} == of_few
 
 
 def test_sparse_product_has_no_large_rows(spark, monkeypatch):
@@ -111,9 +110,10 @@ def test_a_user_whose_first_candidates_are_all_refused_still_gets_a_full_list(sp
         return spark.createDataFrame(rows, "u long, j long, score double")
 
     bad = spark.createDataFrame(sorted(refused), "u long, j long")
-    got = R.eligible_top(fetch, lambda c: c.join(bad, ["u", "j"], "left_anti"), 10).collect()
-    want = {(u, j) for u, js in lists.items() for j in [j for j in js if (u, j) not in refused][:10]}
-    assert {(r.u, r.j) for r in got} == want and len(got) == len(want)
+    other = spark.createDataFrame([(1, 3, 1), (1, 90, 1), (2, 0, 1), (2, 50, 4)], "u long, j long, score long")
+    got = R.eligible_top({"b": other}, {"a": fetch}, lambda c: c.join(bad, ["u", "j"], "left_anti"), 10).collect()
+    want = {("a", u, j) for u, js in lists.items() for j in [j for j in js if (u, j) not in refused][:10]} | {("b", 1, 90), ("b", 2, 50)}
+    assert {(r.s, r.u, r.j) for r in got} == want and len(got) == len(want)
     assert depth == [(40, [1, 2, 3, 4]), (320, [1, 4])]
 
 
