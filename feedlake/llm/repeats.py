@@ -9,7 +9,7 @@ A byte goes when a string of ``WIDTH`` bytes over it also starts elsewhere, in a
 3. Around each repeated anchor the bytes of its windows are cut out: a context. Equal contexts are folded too, so the
    inside of a passage that a third of all documents share is one row.
 4. Contexts with one hash are a family. Families of at most ``FAMILY`` contexts are packed together and get a suffix
-   array with longest common prefixes (prefix doubling). Runs of common prefixes of ``WIDTH`` bytes or more are scanned with
+   array with longest common prefixes. Runs of common prefixes of ``WIDTH`` bytes or more are scanned with
    a stack that builds the tree of common-prefix intervals; an interval whose suffixes follow different bytes is a maximal
    repeat, and all its suffixes are its occurrences. Each suffix is listed with its deepest interval, whose ``parent`` is the
    next shorter repeat it belongs to.
@@ -39,13 +39,11 @@ from feedlake.session import cut_lineage
 WIDTH, GRAM = 400, 32
 PLACES = WIDTH - GRAM
 #: Contexts a suffix array may take from one family, and bytes that are sorted together.
-FAMILY, BATCH = 1000, 1 << 20
-_MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+FAMILY, BATCH = 500, 1 << 19
+#: Windows whose anchors are found together (their places have 16 bits).
+CHUNK = 1 << 14
+_MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 def words(raw: np.ndarray) -> np.ndarray:
@@ -56,39 +54,42 @@ def words(raw: np.ndarray) -> np.ndarray:
     return x
 
 
-def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, low, high) of the anchors of a text of at least WIDTH bytes: it is the anchor of the windows that start
-    at place - high .. place - low."""
+def _hashes(raw: np.ndarray) -> np.ndarray:
     w = words(raw)
     n = len(raw) - GRAM + 1
-    h = np.zeros(n, np.uint64)
-    for k, mul in enumerate(_MUL):
-        h = _mix((h ^ w[8 * k:8 * k + n]) * mul)
-    # Smallest hash of each run of PLACES + 1, by doubling; the place, in the low bits of a second array, breaks ties.
-    span, low = 1, h
-    while 2 * span <= PLACES + 1:
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    windows = n - PLACES
-    low = np.minimum(low[:windows], low[PLACES + 1 - span:PLACES + 1 - span + windows])
-    # The leftmost place with the smallest hash: for windows in order it never moves back.
-    starts = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-    ends = np.r_[starts[1:], windows]
-    out = []
-    for a, b in zip(starts.tolist(), ends.tolist()):
-        value = low[a]
-        hits = np.flatnonzero(h[a:b + PLACES] == value) + a
-        at = a
-        for place in hits.tolist():
-            if place < at:
-                continue
-            last = min(place, b - 1)
-            out.append((value, place, at, last))
-            at = last + 1
-            if at >= b:
-                break
-    value, place, first, last = (np.array(c) for c in zip(*out))
-    return value.astype(np.uint64).view(np.int64), place, place - last, place - first
+    h = w[:n] * _MUL[0]
+    for k in range(8, GRAM, 8):
+        h = (h + w[k:k + n]) * _MUL[0]
+    h ^= h >> np.uint64(32)
+    h *= _MUL[1]
+    return h ^ (h >> np.uint64(29))
+
+
+def anchors(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text number, hash, place, low, high) of the anchors of texts that lie behind each other in ``raw``, each of at least
+    WIDTH bytes: an anchor is that of the windows that start at place - high .. place - low."""
+    windows = len(raw) - WIDTH + 1
+    places, values = np.empty(windows, np.int64), np.empty(windows, np.int64)
+    for at in range(0, windows, CHUNK):
+        h = _hashes(raw[at:at + CHUNK + WIDTH - 1])
+        # The upper 48 bits of a hash and, to take the leftmost of equal ones, its place in the chunk.
+        low = (h & ~np.uint64(0xFFFF)) | np.arange(len(h), dtype=np.uint64)
+        span = 1
+        while 2 * span <= PLACES + 1:
+            low = np.minimum(low[:-span], low[span:])
+            span *= 2
+        rest = PLACES + 1 - span
+        low = np.minimum(low[:len(low) - rest], low[rest:]) & np.uint64(0xFFFF)
+        places[at:at + len(low)] = low.astype(np.int64) + at
+        values[at:at + len(low)] = h.view(np.int64)[low]
+    begin = np.cumsum(sizes) - sizes
+    start = np.concatenate([np.arange(a, a + n - WIDTH + 1) for a, n in zip(begin.tolist(), sizes.tolist())])
+    place = places[start]
+    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    last = np.r_[first[1:], len(place)] - 1
+    text = np.searchsorted(begin, start[first], "right") - 1
+    place = place[first]
+    return text, values[start[first]], place - begin[text], place - start[last], place - start[first]
 
 
 def _name(*parts: bytes) -> bytes:
@@ -104,11 +105,20 @@ MARKS_DDL = "hash long, tid long, place long, low int, high int"
 
 def _marks(batches):
     for batch in batches:
-        for tid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            value, place, low, high = anchors(np.frombuffer(text.as_py().encode(), np.uint8))
-            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(np.full(len(value), tid, np.int64)), pa.array(place.astype(np.int64)),
-                                              pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))],
-                                             ["hash", "tid", "place", "low", "high"])
+        tids = np.asarray(batch.column(0), np.int64)
+        texts, first, size = [], 0, 0
+        for k, text in enumerate(batch.column(1)):
+            texts.append(text.as_py().encode())
+            size += len(texts[-1])
+            if size >= BATCH or k == batch.num_rows - 1:
+                number, value, place, low, high = anchors(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]))
+                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(tids[first + number]), pa.array(place), pa.array(low.astype(np.int32)),
+                                                  pa.array(high.astype(np.int32))], ["hash", "tid", "place", "low", "high"])
+                texts, first, size = [], k + 1, 0
+
+
+def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 CUT = pa.schema([("cid", pa.binary()), ("tid", pa.int64()), ("place", pa.int64()), ("key", pa.binary()), ("low", pa.int32()),
@@ -130,46 +140,60 @@ def _cut(batches):
                 rows.append((cid, tid, place, key, low, high, None if cid in seen else context))
                 seen.add(cid)
             if len(rows) >= 5000:
-                yield pa.RecordBatch.from_pylist([dict(zip(CUT.names, r)) for r in rows], CUT)
+                yield _rows(CUT, rows)
                 rows = []
             if len(seen) > 500_000:
                 seen.clear()
         if rows:
-            yield pa.RecordBatch.from_pylist([dict(zip(CUT.names, r)) for r in rows], CUT)
+            yield _rows(CUT, rows)
+
+
+def windows(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the WIDTH bytes from each start: differences of running sums of byte * multiplier ** place, moved to place 0."""
+    power = np.full(len(raw), _MUL[0])
+    power[0] = 1
+    power = np.cumprod(power)
+    total = np.r_[np.uint64(0), np.cumsum(raw * power)]
+    back = np.full(len(raw), _INVERSE)
+    back[0] = 1
+    return (total[starts + WIDTH] - total[starts]) * np.cumprod(back)[starts]
+
+
+def common_prefix(a: bytes, b: bytes) -> int:
+    size = min(len(a), len(b))
+    differ = int.from_bytes(a[:size]) ^ int.from_bytes(b[:size])
+    return size - (differ.bit_length() + 7) // 8
 
 
 class SuffixArray:
     """Suffixes of several byte strings in order, with the common prefixes of neighbours, for suffixes at given starts.
 
-    Ranks of 8, 16, 32 .. 512 bytes come from prefix doubling; 255, which UTF-8 never has, ends each string.
+    Suffixes whose first WIDTH bytes no other one has, or which all of those that have them continue to the left by the same
+    byte, lie in no maximal repeat; they are left out, which a hash of the window decides without harm (equal windows have
+    equal hashes).
     """
 
     def __init__(self, strings: list[bytes], starts: list[range]):
-        sizes = np.array([len(s) + 1 for s in strings])
+        sizes = np.array([len(s) for s in strings])
         begin = np.cumsum(sizes) - sizes
-        raw = np.frombuffer(b"\xff".join(strings) + b"\xff" * 1100, np.uint8)
+        joined = b"".join(strings)
+        raw = np.frombuffer(joined, np.uint8)
         at = np.concatenate([np.arange(r.start, r.stop) + b for r, b in zip(starts, begin)])
         owner = np.repeat(np.arange(len(strings)), [len(r) for r in starts])
-        levels = [(8, np.unique(words(raw), return_inverse=True)[1].astype(np.int64))]
-        while levels[-1][0] < 512:
-            size, rank = levels[-1]
-            levels.append((2 * size, np.unique(rank[:-size] << 32 | rank[size:], return_inverse=True)[1].astype(np.int64)))
-        whole = levels[-1][1]
-        order = np.lexsort((levels[-2][1][at + 512], whole[at]))
-        self.at, self.owner = at[order], owner[order]
-        self.start = self.at - begin[self.owner]
-        left = raw[self.at - 1].astype(np.int64)
-        #: The byte before each suffix; a number of its own at the start of a string.
-        self.left = np.where(self.start == 0, -1 - self.owner, left)
-        room = begin[self.owner] + sizes[self.owner] - 1 - self.at
-        a, b = self.at[:-1], self.at[1:]
-        common = np.zeros(len(a), np.int64)
-        for size, rank in reversed(levels):
-            common += size * (rank[a + common] == rank[b + common])
-        for _ in range(7):
-            common += raw[a + common] == raw[b + common]
+        left = np.where(at == begin[owner], -1 - owner, raw[at - 1].astype(np.int64))
+        code = windows(raw, at)
+        order = np.argsort(code)
+        code, sorted_left = code[order], left[order]
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        diverse = np.minimum.reduceat(sorted_left, first) != np.maximum.reduceat(sorted_left, first)
+        chosen = order[np.repeat(diverse, np.diff(np.r_[first, len(code)]))]
+        ends = (begin + sizes)[owner]
+        suffixes = {k: joined[at[k]:ends[k]] for k in chosen.tolist()}
+        order = np.array(sorted(suffixes, key=suffixes.get), np.int64)
+        self.owner, self.start, self.left = owner[order], (at - begin[owner])[order], left[order]
+        pairs = [(suffixes[a], suffixes[b]) for a, b in zip(order[:-1].tolist(), order[1:].tolist())]
         #: Bytes that suffix k shares with suffix k - 1; the first shares none.
-        self.common = np.r_[0, np.minimum(common, np.minimum(room[:-1], room[1:]))] if len(at) else np.zeros(0, np.int64)
+        self.common = np.array([0, *(common_prefix(a, b) for a, b in pairs)][:len(order)], np.int64)
 
     def maximal(self):
         """(suffixes, length, node, parent) of the maximal repeats of WIDTH or more: each suffix with its deepest one."""
@@ -258,7 +282,7 @@ def _families(batches):
                 out.append((cid, start - high, length, _name(context[start:start + length]),
                             _name(context[start:start + above]) if above else None))
         if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(FOUND.names, r)) for r in out], FOUND)
+            yield _rows(FOUND, out)
 
 
 HALF = pa.schema([("parent", pa.binary()), ("cid", pa.binary()), ("key", pa.binary()), ("least", pa.int32()), ("most", pa.int32()),
@@ -282,18 +306,19 @@ def _halves(batches):
                 key = _name(r["key"], _number(least), core)
                 out.append((r["cid"], _name(key, _number(low, high), context), key, least, most, low, high, r["n"], context))
         if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(HALF.names, r)) for r in out], HALF)
+            yield _rows(HALF, out)
 
 
 def occurrences(texts: DataFrame) -> DataFrame:
     """(tid, start, length, group, parent) of the maximal repeats in ``texts`` (tid long, text of WIDTH bytes or more, all
     different): ``group`` names the repeated bytes, ``parent`` the next shorter repeat that this one lies in."""
     marks = cut_lineage(texts.select("tid", "text").mapInArrow(_marks, MARKS_DDL))
-    several = marks.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("hash")
+    # Written, so that the join has an exchange on either side and adaptive execution may split a hash that many places have.
+    several = cut_lineage(marks.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("hash"))
     places = (marks.join(several, "hash", "left_semi").groupBy("tid")
               .agg(F.collect_list(F.struct("hash", "place", "low", "high")).alias("marks")))
     cut = cut_lineage(texts.select("tid", "text").join(places, "tid").select("tid", "text", "marks").mapInArrow(_cut, CUT_DDL))
-    times = cut.groupBy("cid").agg(F.count(F.lit(1)).alias("n"))
+    times = cut_lineage(cut.groupBy("cid").agg(F.count(F.lit(1)).alias("n")))
     folded = cut.where("context is not null").select("cid", "key", "low", "high", "context").distinct().join(times, "cid")
     level = folded.withColumns({"least": F.lit(0), "most": F.lit(PLACES)})
     found, links = [], []
@@ -319,11 +344,14 @@ def occurrences(texts: DataFrame) -> DataFrame:
         "tid", (F.col("place") + F.col("start")).alias("start"), "length", "group", "parent")
 
 
+CLEANED = pa.schema([("tid", pa.int64()), ("sha", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
+                     ("kept", pa.binary())])
 SPANS_DDL = "tid long, sha string, spans array<struct<start: long, stop: long>>, kept binary"
 
 
 def _merge(batches):
     for batch in batches:
+        rows = []
         for tid, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             raw = text.as_py().encode()
             merged: list[list[int]] = []
@@ -337,10 +365,9 @@ def _merge(batches):
                 kept.append(raw[at:start])
                 at = stop
             kept.append(raw[at:])
-            yield pa.RecordBatch.from_arrays([
-                pa.array([tid]), pa.array([hashlib.sha256(raw).hexdigest()]),
-                pa.array([[{"start": a, "stop": b} for a, b in merged]], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                pa.array([b"".join(kept)], pa.binary())], ["tid", "sha", "spans", "kept"])
+            rows.append((tid, hashlib.sha256(raw).hexdigest(), [{"start": a, "stop": b} for a, b in merged], b"".join(kept)))
+        if rows:
+            yield _rows(CLEANED, rows)
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:

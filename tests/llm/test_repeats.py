@@ -107,9 +107,10 @@ def test_suffix_array_and_intervals_against_all_pairs():
     base = bytes(rng.choice(b"ab") for _ in range(460))
     strings = [base[rng.randint(0, 30):rng.randint(435, 460)] + bytes(rng.choice(b"abc") for _ in range(30)) for _ in range(14)]
     strings = list(dict.fromkeys(strings))
-    array = repeats.SuffixArray(strings, [range(max(0, len(s) - 399)) for s in strings])
+    starts = [(o, s) for o, x in enumerate(strings) for s in range(max(0, len(x) - 399))]
+    array = repeats.SuffixArray(strings, [range(max(0, len(x) - 399)) for x in strings])
     suffixes = [strings[o][s:] for o, s in zip(array.owner, array.start)]
-    assert all(x[:400] <= y[:400] for x, y in zip(suffixes, suffixes[1:]))
+    assert suffixes == sorted(suffixes) and len(suffixes) < len(starts)
 
     def shared(x, y):
         n = 0
@@ -117,22 +118,18 @@ def test_suffix_array_and_intervals_against_all_pairs():
             n += 1
         return n
 
-    got = {}
-    for k, length, _ in array.maximal():
-        got.setdefault(suffixes[k][:length], set()).add((int(array.owner[k]), int(array.start[k])))
-    best = {}
-    for k, x in enumerate(suffixes):
-        best[k] = max((shared(x, y) for j, y in enumerate(suffixes) if j != k), default=0)
-    cover = collections.defaultdict(set)
-    for string, places in got.items():
-        assert len(string) >= 400
-        for o, s in places:
-            cover[o] |= set(range(s, s + len(string)))
-    want = collections.defaultdict(set)
-    for k, n in best.items():
+    assert array.common.tolist() == [0, *map(shared, suffixes, suffixes[1:])]
+    places = set()
+    for k, length, above in array.maximal():
+        assert length >= 400 and (above == 0 or 400 <= above < length)
+        o, s = int(array.owner[k]), int(array.start[k])
+        places |= {(o, at) for at in range(s, s + length)}
+    want = set()
+    for o, s in starts:
+        n = max((shared(strings[o][s:], strings[p][t:]) for p, t in starts if (p, t) != (o, s)), default=0)
         if n >= 400:
-            want[int(array.owner[k])] |= set(range(array.start[k], array.start[k] + n))
-    assert {o: c for o, c in cover.items() if c} == {o: c for o, c in want.items() if c}
+            want |= {(o, at) for at in range(s, s + n)}
+    assert places == want and want
 
 
 def test_query(spark):
