@@ -343,8 +343,10 @@ def classes(docs: DataFrame) -> DataFrame:
         run = sets.select(F.col(k).alias("group"), F.xxhash64("sid", F.lit(seed)).alias("spread"), "central", "key", "tokens")
         found = run.repartitionByRange(parts, "group", "spread").sortWithinPartitions("group", F.desc("central"), "spread").mapInArrow(_stars, "a long, b long")
         stars = found if stars is None else stars.union(found)
-    # A doc_id with several texts links them all.
-    groups = cut_lineage(connected(stars.union(sets.select("key", F.col("key").alias("b")))))
+    # A doc_id with several texts links the representatives of all of them.
+    many = possible.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("key")
+    same = possible.join(many, "key", "left_semi").select("key", "sid").join(first.select("sid", F.col("key").alias("b")), "sid").select("key", "b")
+    groups = cut_lineage(connected(stars.union(sets.select("key", F.col("key").alias("b"))).union(same)))
 
     grouped = cut_lineage(sets.join(groups, F.col("key") == F.col("node")).select("key", "n", "sid", "tokens", "component"))
 

@@ -17,6 +17,7 @@ Texts are used whole. Only doc_id, text and the training language are read, so o
 from __future__ import annotations
 
 import sys
+import unicodedata
 from collections import defaultdict
 
 import numpy as np
@@ -33,16 +34,20 @@ _LETTER: list[np.ndarray] = []
 
 
 def letters() -> np.ndarray:
-    """Which code points are part of words: letters and number signs other than decimal digits."""
+    """Of each code point: 2 for letters, 1 for marks (accents and vowel signs, which are part of a word that has a letter), else 0."""
     if not _LETTER:
-        _LETTER.append(np.array([c.isalnum() and not c.isdecimal() for c in map(chr, range(sys.maxunicode + 1))]))
+        kinds = (unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1))
+        _LETTER.append(np.fromiter(({"L": 2, "M": 1}.get(k, 0) for k in kinds), np.uint8, sys.maxunicode + 1))
     return _LETTER[0]
 
 
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted n-grams of a whole text as numbers, and how often each occurs."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    letter = letters()[points]
+    kind = letters()[points]
+    if not (kind == 2).any():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    letter = kind > 0
     # One pad before, between and after words.
     padded = np.r_[PAD, np.where(letter, points, PAD)[letter | np.r_[False, letter[:-1]]] if len(points) else points, PAD]
     if len(padded) > 2 and padded[-2] == PAD:

@@ -118,7 +118,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     counts = counts.withColumn("n_dup_lines", (F.col("lines.n") - F.col("lines.distinct")).cast("long"))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
     some = F.greatest(F.col("n_words"), F.lit(2))
-    return _scaled(cut_lineage(counts.select(
+    return _scaled(_without_length(cut_lineage(counts.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
          ).alias("base_failed"),
@@ -127,10 +127,40 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.sqrt(F.col("n_upper") / chars).alias("f_upper"),
         F.sqrt(F.greatest(F.col("n_marks") - F.col("n_symbols"), F.lit(0)) / chars).alias("f_punctuation"),
         F.sqrt(F.col("n_digits") / chars).alias("f_digits"),
-        # The exponent of the growth of vocabulary: distinct words alone would fall with the length of the text.
-        (F.log(F.greatest(F.col("n_distinct"), F.lit(1))) / F.log(some)).alias("f_variety"),
+        F.log(F.greatest(F.col("n_distinct"), F.lit(1))).alias("f_variety"),
         (F.col("n_dup_lines") / F.greatest(F.col("lines.n"), F.lit(1))).alias("f_dup_lines"),
-        (F.col("n_repeat_words") / some).alias("f_repeat"))))
+        (F.col("n_repeat_words") / some).alias("f_repeat")))))
+
+
+def _without_length(stats: DataFrame) -> DataFrame:
+    """``f_variety`` as the distance of the log of distinct words from what texts of that language and length have.
+
+    Vocabulary grows as a power of the length: a line through the logs, drawn again without the texts far from it. What is
+    left of a curve goes by the medians of half octaves of length that have ``MIN_GROUP`` texts.
+    """
+    language = F.coalesce(F.concat(F.lit("v"), F.col("lang")), F.lit("")).alias("g_lang")
+    size = F.log(F.greatest(F.col("n_words"), F.lit(1)))
+    rows = stats.select("*", language)
+    fitted = rows.where(~F.col("base_failed")).select("g_lang", size.alias("x"), F.col("f_variety").alias("y"))
+
+    def line(points: DataFrame) -> DataFrame:
+        slope = F.coalesce(F.regr_slope("y", "x"), F.lit(0.0))
+        return points.groupBy("g_lang").agg(slope.alias("slope"), (F.avg("y") - slope * F.avg("x")).alias("level"))
+
+    def apart(points: DataFrame, lines: DataFrame) -> DataFrame:
+        return points.join(_sized(lines), "g_lang").withColumn("r", F.col("y") - F.col("level") - F.col("slope") * F.col("x"))
+
+    first = cut_lineage(line(fitted))
+    spread = apart(fitted, first)
+    limits = cut_lineage(spread.groupBy("g_lang").agg(F.percentile_approx(F.abs("r"), TAIL).alias("limit")))
+    lines = cut_lineage(line(spread.join(_sized(limits), "g_lang").where(F.abs("r") <= F.col("limit")).select("g_lang", "x", "y")))
+    octave = F.floor(2 * F.log2(F.greatest(F.col("n_words"), F.lit(1)))).cast("int")
+    bends = cut_lineage(apart(rows.where(~F.col("base_failed")).select("g_lang", size.alias("x"), F.col("f_variety").alias("y"), octave.alias("octave")), lines)
+                        .groupBy("g_lang", "octave").agg(F.percentile_approx("r", 0.5).alias("bend"), F.count(F.lit(1)).alias("times"))
+                        .where(F.col("times") >= MIN_GROUP).drop("times"))
+    out = rows.withColumn("octave", octave).join(_sized(lines), "g_lang", "left").join(_sized(bends), ["g_lang", "octave"], "left")
+    expected = F.coalesce(F.col("level") + F.col("slope") * size, F.lit(0.0)) + F.coalesce("bend", F.lit(0.0))
+    return out.withColumn("f_variety", F.col("f_variety") - expected).select(*stats.columns)
 
 
 def _scaled(stats: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ For a unigram model the best way has the largest sum of scores. For a BPE model
 model's merges, applied to both together, give back just these two; under that rule one way is left for each state, and
 it is the one that the merges give for the whole text. Characters without a piece become bytes.
 
-No piece crosses the start of a run of spaces, so all paths meet there; results for the stretch up to it are remembered
-for stretches met again. Null text is encoded as the empty text (no ids). A U+2581 in a text is read as a space, which
+No piece crosses the start of a run of spaces, so all paths meet there; so it is between a letter and those marks that no
+piece of the model has behind a letter. Results for the stretches between are remembered for stretches met again. Null text is encoded as the empty text (no ids). A U+2581 in a text is read as a space, which
 the model cannot tell apart. Repeated rows are encoded one by one; only doc_id and text are read.
 """
 
@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 STRETCH = re.compile(r" +[^ ]*")
+MARKS = ".,;:!?#*$%&|<>()"
 #: Stretches a worker remembers; a limit on memory, nothing depends on it.
 REMEMBERED = 600_000
-_FOUND: dict[int, tuple[dict, dict, dict]] = {}
+_FOUND: dict[int, tuple] = {}
 
 
 class Model:
@@ -50,15 +51,19 @@ class Model:
         scores = sorted(s for _, s in pieces.values())
         self.tied = {a for a, b in zip(scores, scores[1:]) if a == b}
         self.begins = {p[:k] for p in self.usable for k in range(2, len(p) + 1)}
+        # No piece crosses from a letter to one of these marks: what is before and behind can be encoded alone.
+        crossed = {b for p in pieces for a, b in zip(p, p[1:]) if a.isalpha()}
+        marks = "".join(c for c in MARKS + "\n" if c not in crossed)
+        self.borders = re.compile(rf"(?<=[^\W\d_])(?=[{re.escape(marks)}])") if marks else None
         self.name = zlib.crc32(repr((sorted(pieces.items()), merges)).encode())
         self._remember()
 
     def _remember(self) -> None:
         """What a worker has found out about this model serves its later tasks too."""
-        self._follows, self._known, self._edges = _FOUND.setdefault(self.name, ({}, {}, {}))
+        self._follows, self._known, self._edges, self._changed = _FOUND.setdefault(self.name, ({}, {}, {}, set()))
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_follows", "_known", "_edges")}
+        return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -189,24 +194,51 @@ class Model:
                 out += [self.byte_ids[b] for b in piece.encode()] if self.byte_ids else [self.unknown]
         return out
 
-    def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        out: list[int] = []
+    def _learn(self, stretches) -> dict[str, bytes]:
+        """Ids, as bytes, of stretches that are not remembered; notes those whose ids do not decode to them."""
+        out, known, changed = {}, self._known, self._changed
+        for stretch in stretches:
+            parts = self.borders.split(stretch) if self.borders else [stretch]
+            for part in parts:
+                if part not in known and part not in out:
+                    ids = [i for some in self.stream(part) for i in some]
+                    out[part] = np.array(ids, np.int32).tobytes()
+                    if self._bytes(ids) != part.encode():
+                        changed.add(part)
+            if len(parts) > 1:
+                out[stretch] = b"".join([out[p] if p in out else known[p] for p in parts])
+                if not changed.isdisjoint(parts):
+                    changed.add(stretch)
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+        """Ids of each text, as bytes, and whether they decode to it (a U+2581 read as a space).
+
+        Pieces decode one by one, so ids that give back each stretch give back the text.
+        """
+        split = [STRETCH.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
+        met = set().union(*split)
+        # Texts are put together from the stretches of this call: a small table stays in the processor's cache.
         known = self._known
-        for stretch in STRETCH.findall(" " + text.replace(SPACE, " ")):
-            ids = known.get(stretch)
-            if ids is None:
-                ids = tuple(i for part in self.stream(stretch) for i in part)
-                # What comes first is what comes often.
-                if len(stretch) <= 48 and len(known) < REMEMBERED:
-                    known[stretch] = ids
-            out.extend(ids)
+        own = {s: known[s] for s in met if s in known}
+        fresh = self._learn(met - own.keys())
+        own.update(fresh)
+        out = [(b"".join(map(own.__getitem__, parts)), not self._changed or self._changed.isdisjoint(parts)) for parts in split]
+        # What comes first is what comes often.
+        if len(known) < REMEMBERED:
+            known.update((s, ids) for s, ids in fresh.items() if len(s) <= 48)
+        self._changed.difference_update([s for s in self._changed if s not in known])
         return out
 
-    def decode(self, ids) -> str:
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_all([text or ""])[0][0], np.int32).tolist()
+
+    def _bytes(self, ids) -> bytes:
         unknown = " ⁇ ".encode()
-        text = b"".join([self.bytes_of.get(i, unknown) for i in ids]).decode("utf-8", "replace")
+        return b"".join([self.bytes_of.get(i, unknown) for i in ids])
+
+    def decode(self, ids) -> str:
+        text = self._bytes(ids).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -218,15 +250,11 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
-                offsets, chunks, chars, same = [0], [], [], []
-                for text in part.column("text"):
-                    text = text.as_py() or ""
-                    ids = model.encode(text)
-                    chunks.append(np.array(ids, np.int32))
-                    offsets.append(offsets[-1] + len(ids))
-                    chars.append(len(text))
-                    same.append(model.decode(ids) == text.replace(SPACE, " "))
-                values = pa.array(np.concatenate(chunks) if chunks else np.empty(0, np.int32))
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                found = model.encode_all(texts)
+                offsets = np.cumsum([0, *(len(ids) // 4 for ids, _ in found)])
+                chars, same = [len(t) for t in texts], [ok for _, ok in found]
+                values = pa.array(np.frombuffer(b"".join([ids for ids, _ in found]), np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values),
                      pa.array(np.diff(offsets), pa.int64()), pa.array(chars, pa.int64()), pa.array(same)],

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +17,6 @@ from feedlake.llm.common import fold, table
 from feedlake.session import cut_lineage
 
 
-#: Files of public tokenizers that the queries use; operators take paths or models.
-TOKENIZERS = "/opt/tokenizers"
 END_ID = 2
 
 
@@ -40,12 +39,12 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_token_ids(spark: SparkSession, folder: str) -> DataFrame:
-    with open(f"{TOKENIZERS}/byte_bpe_50k.json", encoding="utf-8") as file:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         tokenizer = file.read()
     return tokenids.read(cut_lineage(tokenids.write(table(spark, folder, "documents"), tokenizer, END_ID)))
 
 
-URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de")]
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
 def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,7 +63,7 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    return pieces.encode(table(spark, folder, "documents"), pieces.Model.load(f"{TOKENIZERS}/piece_bpe_32k.model"))
+    return pieces.encode(table(spark, folder, "documents"), pieces.Model.load(public_tokenizers.path("piece_bpe_32k.model")))
 
 
 def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Token ids of documents in files of canonical, length-limited Huffman code.
 
 1. Documents are dealt out in ranges of doc_id, sorted, tokenised once and kept as ids (with the end id).
-2. Ids are counted over all documents; code lengths of at most ``limit`` bits come from the package-merge method, codes are
+2. Ids are counted over all documents in the same pass; code lengths of at most ``limit`` bits come from the package-merge method, codes are
    canonical, so the lengths describe them.
 3. Each range is written in files of independent blocks: about ``BLOCK_IDS`` ids, the documents' numbers and lengths, the
    bit offset of every ``STEP``-th id, and the bits. A file starts with the code lengths, so it can be read alone.
@@ -29,9 +29,9 @@ from feedlake.session import cut_lineage, run_folder
 
 BLOCK_IDS, STEP, FILE_BYTES = 500_000, 256, 128_000_000
 MAGIC = b"HUFIDS01"
-#: Chunks between spaces that a Python worker remembers with their ids; a limit on memory only.
-REMEMBERED = 1_000_000
-_KNOWN: dict[str, dict[str, bytes]] = {}
+#: Bytes of chunks between spaces, with their ids, that a Python worker remembers; a limit on memory only.
+REMEMBERED = 24_000_000
+_KNOWN: dict[str, tuple[dict[str, bytes], list[int]]] = {}
 
 
 class Encoder:
@@ -55,7 +55,7 @@ class Encoder:
         # The byte-level alphabet writes a space as U+0120.
         self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
         self.stops = dict(zip(".,;:!?", self.whole(list(".,;:!?"))))
-        self.known = _KNOWN.setdefault(str(zlib.crc32(json_text.encode())), {})
+        self.known, self.remembered = _KNOWN.setdefault(str(zlib.crc32(json_text.encode())), ({}, [0]))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -72,7 +72,8 @@ class Encoder:
         words.update([c[:-1] for c in stopped])
         out = self._encoded([c for c in words if c not in self.known])
         known, stops = self.known, self.stops
-        out.update([(c, (out.get(c[:-1]) or known[c[:-1]]) + stops[c[-1]]) for c in stopped])
+        heads = [(c, out.get(c[:-1]) or known.get(c[:-1])) for c in stopped]
+        out.update([(c, ids + stops[c[-1]]) for c, ids in heads if ids])
         return out
 
     def _encoded(self, chunks: list[str]) -> dict[str, bytes]:
@@ -84,31 +85,32 @@ class Encoder:
                 ids = np.array(encoded.ids, self.type)
                 cuts = np.flatnonzero(self.spaced[ids])
                 raw, cuts = ids.tobytes(), (np.append(cuts, len(ids)) * size).tolist()
-                if len(cuts) != len(part) + 1:
-                    raise ValueError("the tokenizer does not cut at spaces")
-                out.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+                # A tokenizer that does not cut at spaces gives no ids for chunks: its texts are encoded whole.
+                if len(cuts) == len(part) + 1:
+                    out.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The first chunk of a text has no space in front and is encoded as it is."""
-        known, split, fresh = self.known, [], set()
+        known, split, met = self.known, [], set()
         for text in texts:
             parts = None if any(s in text for s in self.special) else text.split(" ")
             if parts and len(parts) > 1:
-                fresh.update(parts)
+                met.update(parts)
             split.append(parts)
-        fresh = [c for c in fresh if c not in known and self.clean(c)]
-        # What comes first is what comes often; later chunks are kept for this call only.
-        passing = self.learn(fresh)
-        if len(known) < REMEMBERED:
+        # Texts are put together from the chunks of this call: a small table stays in the processor's cache.
+        own = {c: known[c] for c in met if c in known}
+        passing = self.learn([c for c in met if c not in own and self.clean(c)])
+        own.update(passing)
+        # What comes first is what comes often.
+        if self.remembered[0] < REMEMBERED:
             known.update(passing)
-            passing = {}
-        known.update(passing)
+            self.remembered[0] += sum(map(len, passing)) + 2 * sum(map(len, passing.values()))
         out, first, late = [b""] * len(texts), [], []
         for k, (text, parts) in enumerate(zip(texts, split)):
             if parts is not None and len(parts) > 1 and self.clean(parts[0]):
                 try:
-                    out[k] = b"".join(map(known.__getitem__, parts[1:]))
+                    out[k] = b"".join(map(own.__getitem__, parts[1:]))
                     first.append(k)
                     continue
                 except KeyError:
@@ -118,8 +120,6 @@ class Encoder:
             out[k] = ids + out[k]
         for k, ids in zip(late, self.whole([texts[k] for k in late])):
             out[k] = ids
-        for chunk in passing:
-            del known[chunk]
         return out
 
 
@@ -247,8 +247,14 @@ def read_header(file) -> np.ndarray:
     return lengths
 
 
-def tokenise(docs: DataFrame, json_text: str, end_id: int) -> DataFrame:
-    """doc_id, part, seq, n and ids (bytes), sorted by doc_id through the parts; written to the shared folder."""
+TOKENS = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("seq", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()),
+                    ("counts", pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int64())])))])
+TOKENS_DDL = "doc_id long, part int, seq long, n long, ids binary, counts array<struct<id: int, n: long>>"
+
+
+def tokenise(docs: DataFrame, json_text: str, end_id: int, vocabulary: int) -> DataFrame:
+    """doc_id, part, seq, n and ids (bytes), sorted by doc_id through the parts; written to the shared folder. A further row of
+    each task, without a part, has the counts of its ids."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -256,34 +262,31 @@ def tokenise(docs: DataFrame, json_text: str, end_id: int) -> DataFrame:
 
     def run(batches):
         encoder, seq, part = Encoder(json_text), 0, TaskContext.get().partitionId()
-        end = np.array([end_id], encoder.type).tobytes()
+        end, total = np.array([end_id], encoder.type).tobytes(), np.zeros(vocabulary, np.int64)
         for batch in batches:
             for b in (batch.slice(k, 3000) for k in range(0, batch.num_rows, 3000)):
                 ids = [x + end for x in encoder.encode(b.column("text").to_pylist())]
+                total += np.bincount(np.frombuffer(b"".join(ids), encoder.type), minlength=vocabulary)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), pa.array([part] * len(ids), pa.int32()), pa.array(range(seq, seq + len(ids)), pa.int64()),
-                     pa.array([len(x) // len(end) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    ["doc_id", "part", "seq", "n", "ids"])
+                     pa.array([len(x) // len(end) for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), TOKENS.field("counts").type)],
+                    schema=TOKENS)
                 seq += len(ids)
+        used = np.flatnonzero(total)
+        counts = pa.StructArray.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(TOKENS)[:-1]), pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), counts)],
+                                         schema=TOKENS)
 
-    ddl = "doc_id long, part int, seq long, n long, ids binary"
     path = run_folder(spark, "ids")
-    rows.mapInArrow(run, ddl).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(ddl).parquet(path)
-
+    rows.mapInArrow(run, TOKENS_DDL).write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(TOKENS_DDL).parquet(path)
 
-def id_counts(tokens: DataFrame, vocabulary: int, kind: np.dtype) -> np.ndarray:
-    """How often each id occurs in all documents."""
-    def run(batches):
-        total = np.zeros(vocabulary, np.int64)
-        for batch in batches:
-            raw = b"".join(batch.column("ids").to_pylist())
-            total += np.bincount(np.frombuffer(raw, kind), minlength=vocabulary)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["id", "n"])
 
+def id_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
+    """How often each id occurs in all documents: the sum of the tasks' counts."""
     counts = np.zeros(vocabulary, np.int64)
-    for row in tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    each = tokens.select(F.explode("counts").alias("c")).groupBy("c.id").agg(F.sum("c.n").alias("n"))
+    for row in each.collect():
         counts[row["id"]] = row["n"]
     return counts
 
@@ -293,8 +296,8 @@ def write(docs: DataFrame, json_text: str, end_id: int) -> DataFrame:
     folder = run_folder(docs.sparkSession, "token-ids")
     encoder = Encoder(json_text)
     vocabulary, kind = max(encoder.vocabulary, end_id + 1), encoder.type
-    tokens = tokenise(docs, json_text, end_id)
-    counts = id_counts(tokens, vocabulary, kind)
+    tokens = tokenise(docs, json_text, end_id, vocabulary)
+    counts = id_counts(tokens, vocabulary)
     limit = max(16, int(np.count_nonzero(counts)).bit_length() + 1)
     lengths = package_merge(counts, limit)
     codes = canonical(lengths)
@@ -335,7 +338,7 @@ def write(docs: DataFrame, json_text: str, end_id: int) -> DataFrame:
                 yield flush()
             file.close()
 
-    blocks = cut_lineage(tokens.mapInArrow(run, BLOCKS_DDL))
+    blocks = cut_lineage(tokens.where("part is not null").drop("counts").mapInArrow(run, BLOCKS_DDL))
     # One row a file: those of 128 MB make a million of 100 TB.
     files = blocks.groupBy("path").agg(F.min(F.struct("part", "seq")).alias("place"), F.sum("n_ids").alias("ids"))
     order = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)

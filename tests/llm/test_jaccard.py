@@ -88,3 +88,9 @@ def test_components_of_chains_stars_and_loops(spark):
 def test_long_text_is_used_whole():
     head = prose(1, 30_000)
     assert len(jaccard.shingles(head + " tail of words here now")) == len(jaccard.shingles(head)) + 5
+
+
+def test_a_doc_id_with_several_texts_joins_their_classes(spark):
+    a, b = prose(31), prose(32)
+    assert got(spark, [(1, a), (2, b), (10, a), (10, b)]) == brute([(1, a), (2, b), (10, a), (10, b)])
+    assert {(i, c) for i, _, c in got(spark, [(1, a), (2, b), (10, a), (10, b)])} == {(1, 1), (2, 1), (10, 1)}

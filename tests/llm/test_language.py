@@ -66,3 +66,10 @@ def test_odd_rows_and_nothing_learned(spark):
 
 def test_ties_go_by_name():
     assert language.identify("x", language.Profiles({"b": [language.number("_x")], "a": [language.number("_x")]})) == ("a", 0.0)
+
+
+def test_texts_without_letters_have_no_language(spark):
+    rows = [(k, t) for k, t in enumerate(["½", "² ³", "①", "12 + 3", "́ ̂", "🙂", "", None])]
+    profiles = {"en": language.gram_counts("the house and the water")[0].tolist()}
+    assert {(r.lang_pred, r.score) for r in language.predict(docs(spark, rows), profiles).collect()} == {("und", 0.0)}
+    assert language.predict(docs(spark, [(1, "é the")]), profiles).first().lang_pred == "en"

@@ -3,13 +3,14 @@
 import itertools
 import random
 
+import public_tokenizers
 import pytest
 import sentencepiece
 
 from feedlake.llm.pieces import Model, encode
 from tests.llm.helpers import docs, odd_rows, prose
 
-PATH = "/opt/tokenizers/piece_bpe_32k.model"
+PATH = public_tokenizers.path("piece_bpe_32k.model")
 
 
 @pytest.fixture(scope="module")

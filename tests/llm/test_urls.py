@@ -10,7 +10,7 @@ import pytest
 
 from feedlake.llm import urls
 
-RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de")]
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 DDL = "page_id long, url string, html string, host string, score double, rule string"
 
 
@@ -20,7 +20,7 @@ def table(spark, rows):
 
 @pytest.mark.parametrize("url, host, path, rule", [
     ("http://A.Example.ORG/es/1?x#y", "a.example.org", "/es/1", "example.org/es/"), ("https://example.org/en/12", "example.org", "/en/12", "example.org/en/1"),
-    ("http://notexample.org/es/", "notexample.org", "/es/", "org/"), ("http://x.com/de", "x.com", "/de", "com/de"), ("http://com/fr/a", "com", "/fr/a", "com/fr/"),
+    ("http://notexample.org/es/", "notexample.org", "/es/", "org/"), ("http://x.com/de/", "x.com", "/de/", "com/de/"), ("http://x.com/design", "x.com", "/design", None), ("http://com/fr/a", "com", "/fr/a", "com/fr/"),
     ("http://x.org", "x.org", "", None), ("http://x.org?q=/a", "x.org", "", None), ("no scheme.org/", "", "", None), ("", "", "", None), (None, "", "", None),
     ("http://x.net/a#b?c", "x.net", "/a", None), ("a?u=http://x.org/p", "x.org", "/p", "org/"), ("http://ÄX.org/\n/é", "Äx.org", "/\n/é", "org/"), ("://", "", "", None)])
 def test_hosts_paths_and_longest_rule(spark, url, host, path, rule):
