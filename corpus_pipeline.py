@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from feedlake.llm import decontam, jaccard, language, outliers, pieces
 from feedlake.llm.common import drop_ids, keep_ids, table
 from feedlake.session import cut_lineage
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
