@@ -56,5 +56,5 @@ def test_run_returns_the_ids_of_what_is_left(spark, folder):
 
 def test_queries_are_registered():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
-    assert {"op2_chat", "op3_warc"} <= set(entry.oracle_sql())
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
+    assert {"op2_chat", "op3_warc", "op13_lexical"} <= set(entry.oracle_sql())
