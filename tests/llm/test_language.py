@@ -1,9 +1,10 @@
 """Rank-order profiles."""
 
 import random
-import re
 from collections import Counter
 
+import regex
+
 from feedlake.llm import language
 from tests.llm.helpers import LONG, docs, odd_rows
 
@@ -17,7 +18,8 @@ def text(words, seed, n=40):
 
 
 def plain_grams(body):
-    padded = [f"_{w}_" for w in re.findall(r"[^\W\d_]+", body.lower())]
+    words = regex.findall(r"[\p{L}\p{M}]+", body.lower()) if regex.search(r"\p{L}", body.lower()) else []
+    padded = [f"_{w}_" for w in words]
     return Counter(p[i:i + n] for p in padded for n in (1, 2, 3) for i in range(len(p) - n + 1) if p[i:i + n] != "_")
 
 
