@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from feedlake.functions import expressions as E
 from feedlake.operators import metrics as M
@@ -135,6 +136,71 @@ def check_key(table: str, df: DataFrame, key: list[str], name: str | None = None
         F.lit(table).alias("tabla"), F.lit(name or "unica_" + "_".join(key)).alias("regla"), "violaciones")
 
 
+def check_keys(tables: list[tuple[str, DataFrame, list[list[str]]]]) -> DataFrame:
+    """Key values that occur more than once, for every declared key: (tabla, regla, violaciones), one row a key.
+
+    Each table is read once for all its keys and all values go through one exchange, combined before it. A value is the
+    list of its columns as text, so columns of any type compare exactly; a NULL in the key never collides. Keys of empty
+    tables count 0.
+    """
+    spark = tables[0][1].sparkSession
+    names, values = [], []
+    for table, df, keys in tables:
+        cells = []
+        for key in keys:
+            rule = "unica_" + "_".join(key)
+            names.append((table, rule))
+            present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
+            text = F.to_json(F.array(*[F.col(c).cast("string") for c in key]))
+            cells.append(F.struct(F.lit(rule).alias("regla"), F.when(present, text).alias("valor")))
+        values.append(df.select(F.lit(table).alias("tabla"), F.explode(F.array(*cells)).alias("k")).select("tabla", "k.*")
+                      .filter("valor IS NOT NULL"))
+    counted = _rows(values).groupBy("tabla", "regla", "valor").agg(F.count("*").alias("n")).groupBy("tabla", "regla").agg(
+        F.count_if(F.col("n") > 1).alias("v"))
+    return _every_rule(spark.createDataFrame(names, "tabla string, regla string"), counted)
+
+
+def _every_rule(names: DataFrame, counted: DataFrame) -> DataFrame:
+    """Rules without a counted row stay, with 0."""
+    return names.withColumn("v", F.lit(0).cast("long")).unionByName(counted.select("tabla", "regla", "v")).groupBy(
+        "tabla", "regla").agg(F.max("v").alias("violaciones"))
+
+
+def check_references(referring: list[tuple[str, DataFrame, dict[str, str]]],
+                     targets: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Rows whose reference does not exist, for all references at once: (tabla, regla, violaciones).
+
+    ``referring`` lists (table, frame, {column: name of a target}), ``targets`` the frame and key of each name. The values
+    of all references and of all targets form one relation; one aggregate by (target, value) notes whether the target has
+    the value and how many rows of each reference use it. Every table is read once, nothing is joined, and a value that a
+    third of all rows use is combined before the exchange. NULL references are no violation.
+    """
+    spark = next(iter(targets.values()))[0].sparkSession
+    used = [df.schema[c].dataType for _, df, refs in referring for c in refs] + [df.schema[k].dataType for df, k in targets.values()]
+    kind = "bigint" if all(isinstance(t, IntegralType) for t in used) else "string"
+    slots: dict[str, list[tuple[str, str]]] = {name: [] for name in targets}
+    parts = []
+    for table, df, refs in referring:
+        cells = []
+        for column, target in refs.items():
+            cells.append(F.struct(F.lit(target).alias("destino"), F.lit(len(slots[target])).alias("ranura"),
+                                  F.col(column).cast(kind).alias("valor")))
+            slots[target].append((table, f"fk_{column}"))
+        parts.append(df.select(F.explode(F.array(*cells)).alias("r")).select("r.*").filter("valor IS NOT NULL"))
+    for name, (df, key) in targets.items():
+        parts.append(df.select(F.lit(name).alias("destino"), F.lit(-1).alias("ranura"), F.col(key).cast(kind).alias("valor")))
+    width = range(max(len(s) for s in slots.values()))
+    by_value = _rows(parts).groupBy("destino", "valor").agg(
+        F.bool_or(F.col("ranura") == -1).alias("existe"), *[F.count_if(F.col("ranura") == i).alias(f"n{i}") for i in width])
+    lost = by_value.filter("NOT existe").groupBy("destino").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in width])
+    counts = F.array(*[F.struct(F.lit(i).alias("ranura"), F.col(f"n{i}").alias("v")) for i in width])
+    per_slot = lost.select("destino", F.explode(counts).alias("c")).select("destino", "c.*")
+    names = spark.createDataFrame([(t, i, *rule) for t, rules in slots.items() for i, rule in enumerate(rules)],
+                                  "destino string, ranura int, tabla string, regla string")
+    return names.join(per_slot, ["destino", "ranura"], "left").select(
+        "tabla", "regla", F.coalesce("v", F.lit(0).cast("long")).alias("violaciones"))
+
+
 def check_conditional_key(table: str, df: DataFrame, key: list[str], condition, name: str) -> DataFrame:
     return check_key(table, df.filter(condition), key, name)
 

@@ -41,14 +41,17 @@ def _(d):
         "contenido_id", "impresiones", "clics", F.round("score_decaido", 6).alias("score"))
 
 
-@query("g04_popularity_windows", f"""
+POPULARITY_SQL = f"""
     SELECT e.contenido_id, w.ventana, s.nombre AS seccion,
            round(sum(exp(-((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ocurrido_en)) / 1000000.0) / 86400.0)), 6) AS score,
            count(*) AS vistas
     FROM eventos e JOIN (VALUES ('24h', 24), ('7d', 168), ('30d', 720)) w(ventana, horas)
       ON e.ocurrido_en <= TIMESTAMP '{AS_OF}' AND e.ocurrido_en >= TIMESTAMP '{AS_OF}' - to_hours(w.horas)
     JOIN contenidos c ON c.id = e.contenido_id JOIN secciones s ON s.id = c.seccion_id
-    WHERE e.tipo_evento = 'vista' GROUP BY 1, 2, 3""")
+    WHERE e.tipo_evento = 'vista' GROUP BY 1, 2, 3"""
+
+
+@query("g04_popularity_windows", POPULARITY_SQL)
 def _(d):
     return M.popularity_by_window(d.eventos, d.contenidos, d.secciones, AS_OF)
 

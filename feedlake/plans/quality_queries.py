@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from feedlake.operators import catalog as C
 from feedlake.operators import metrics as M
 from feedlake.operators import quality as Q
-from feedlake.plans.metrics_queries import FACT_CONSUMPTION_SQL, FACT_IMPRESSIONS_SQL
+from feedlake.plans import declared as D
 from feedlake.plans.registry import query
 from feedlake.session import run_folder
 from feedlake.sources import loading as L
@@ -45,69 +45,29 @@ def _bad_impressions(d):
         .otherwise(F.col("clic_en"))})
 
 
-def _rules_sql(sources: dict[str, tuple[str, list[str]]]) -> str:
-    parts = []
-    for table, (source, names) in sources.items():
-        for rule in names:
-            pred = Q.ROW_RULES[table][rule]
-            parts.append(f"SELECT '{table}' AS tabla, '{rule}' AS regla, "
-                         f"count(*) FILTER (WHERE NOT coalesce(({pred}), TRUE)) AS violaciones FROM {source}")
-    return " UNION ALL ".join(parts)
-
-
-_ALL = {t: list(r) for t, r in Q.ROW_RULES.items()}
+@query("p1_row_rules", " UNION ALL ".join(
+    f"SELECT '{table}' AS tabla, '{rule}' AS regla, count(*) FILTER (WHERE NOT coalesce(({predicate}), TRUE)) AS violaciones "
+    f"FROM {D.source_sql(table)}" for table, rules in Q.ROW_RULES.items() for rule, predicate in rules.items()))
+def _(d):
+    """Every declared rule of every declared table; a table without a frame stops the job."""
+    return reduce(DataFrame.unionByName, [Q.check_rows(table, D.frame(d, table)) for table in Q.ROW_RULES])
 
 
-@query("p1_row_rules", _rules_sql({
-    "contenidos": (_BAD_CONTENTS, _ALL["contenidos"]), "impresiones": (_BAD_IMPRESSIONS, _ALL["impresiones"]),
-    "planes": ("planes", _ALL["planes"]), "usuarios": ("usuarios", _ALL["usuarios"]),
-    "suscripciones": ("suscripciones", _ALL["suscripciones"]), "secciones": ("secciones", _ALL["secciones"]),
-    "consentimientos": ("consentimientos", _ALL["consentimientos"]),
-    "contenidos_etiquetas": ("contenidos_etiquetas", _ALL["contenidos_etiquetas"]),
-    "versiones_contenido": ("versiones", _ALL["versiones_contenido"]),
-    "moderaciones": ("moderaciones", _ALL["moderaciones"]), "estrategias": ("estrategias", _ALL["estrategias"]),
-    "fact_consumo_diario": (f"({FACT_CONSUMPTION_SQL})", _ALL["fact_consumo_diario"]),
-    "fact_impresiones_diario": (f"({FACT_IMPRESSIONS_SQL})", _ALL["fact_impresiones_diario"]),
-}))
-def _(d):
-    frames = {
-        "contenidos": _bad_contents(d), "impresiones": _bad_impressions(d), "planes": d.planes, "usuarios": d.usuarios,
-        "suscripciones": d.suscripciones, "secciones": d.secciones, "consentimientos": d.consentimientos,
-        "contenidos_etiquetas": d.contenidos_etiquetas, "versiones_contenido": d.versiones,
-        "moderaciones": d.moderaciones, "estrategias": d.estrategias,
-        "fact_consumo_diario": M.daily_consumption(d.eventos), "fact_impresiones_diario": M.daily_impressions(d.impresiones)}
-    return reduce(DataFrame.unionByName, [Q.check_rows(t, df) for t, df in frames.items()])
-
-
-#: Checked keys: table, SQL source, frame, columns. Some subscriptions are planted twice.
-_KEYED = [
-    ("impresiones", "impresiones", lambda d: d.impresiones, [["id", "mostrado_en"]]),
-    ("contenidos_etiquetas", "contenidos_etiquetas", lambda d: d.contenidos_etiquetas, [["contenido_id", "etiqueta"]]),
-    ("versiones_contenido", "versiones", lambda d: d.versiones, [["id"], ["contenido_id", "numero_version"]]),
-    ("eventos", "eventos", lambda d: d.eventos, [["evento_id"], ["usuario_id", "contenido_id"]]),
-    ("secciones", "secciones", lambda d: d.secciones, [["id"], ["slug"]]),
-    ("usuarios", "usuarios", lambda d: d.usuarios, [["id"], ["email"]]),
-    ("suscripciones", "(SELECT * FROM suscripciones UNION ALL SELECT * FROM suscripciones WHERE id % 97 = 0)",
-     lambda d: d.suscripciones.unionByName(d.suscripciones.filter("id % 97 = 0")), [["id"]]),
-    ("contenidos", "contenidos", lambda d: d.contenidos, [["id"]]),
-    ("moderaciones", "moderaciones", lambda d: d.moderaciones, [["id"]]),
-    ("estrategias", "estrategias", lambda d: d.estrategias, [["id"], ["codigo", "version"]]),
-    ("planes", "planes", lambda d: d.planes, [["id"]]),
-    ("tipos_contenido", "tipos_contenido", lambda d: d.tipos_contenido, [["id"], ["codigo"]]),
-    ("consentimientos", "consentimientos", lambda d: d.consentimientos, [["id"]]),
-    ("comentarios", "comentarios", lambda d: d.comentarios, [["comentario_id", "orden"]]),
-    ("embeddings_contenido", "embeddings_c", lambda d: d.embeddings, [["contenido_id"]]),
-    ("fact_consumo_diario", f"({FACT_CONSUMPTION_SQL})", lambda d: M.daily_consumption(d.eventos), [["fecha_key", "contenido_key", "dispositivo"]]),
-    ("fact_impresiones_diario", f"({FACT_IMPRESSIONS_SQL})", lambda d: M.daily_impressions(d.impresiones),
-     [["fecha_key", "estrategia_key", "superficie"]]),
-]
+#: Keys checked beside the declared ones: tables of the driver, and a pair of columns that is no key.
+_MORE_KEYS = {
+    "eventos": [["evento_id"], ["usuario_id", "contenido_id"]], "moderaciones": [["id"]], "planes": [["id"]],
+    "tipos_contenido": [["id"], ["codigo"]], "consentimientos": [["id"]], "comentarios": [["comentario_id", "orden"]],
+}
+_KEYED = Q.KEYS | _MORE_KEYS
 
 
 @query("p2_key_rules", " UNION ALL ".join(
-    f"SELECT '{table}' AS tabla, 'unica_{'_'.join(key)}' AS regla, (SELECT count(*) FROM (SELECT {', '.join(key)} FROM {source} "
-    f"GROUP BY ALL HAVING count(*) > 1)) AS violaciones" for table, source, _, keys in _KEYED for key in keys))
+    f"SELECT '{table}' AS tabla, 'unica_{'_'.join(key)}' AS regla, (SELECT count(*) FROM (SELECT {', '.join(key)} FROM {D.source_sql(table)} "
+    f"WHERE {' AND '.join(f'{c} IS NOT NULL' for c in key)} GROUP BY ALL HAVING count(*) > 1)) AS violaciones"
+    for table, keys in _KEYED.items() for key in keys))
 def _(d):
-    return reduce(DataFrame.unionByName, [Q.check_key(table, frame(d), key) for table, _, frame, keys in _KEYED for key in keys])
+    """Every declared key, and a few more, in one exchange."""
+    return Q.check_keys([(table, D.frame(d, table), keys) for table, keys in _KEYED.items()])
 
 
 @query("p3_one_active_subscription", """
@@ -118,34 +78,38 @@ def _(d):
     return Q.check_conditional_key("suscripciones", d.suscripciones, ["usuario_id"], both, "una_activa")
 
 
-_LIVE = ("(SELECT * FROM contenidos WHERE estado = 'publicado')", lambda d: d.contenidos.filter("estado = 'publicado'"))
-_USERS, _CONTENTS = ("usuarios", lambda d: d.usuarios), ("contenidos", lambda d: d.contenidos)
-_SECTIONS, _TYPES = ("secciones", lambda d: d.secciones), ("tipos_contenido", lambda d: d.tipos_contenido)
-#: Checked references: table, SQL source, frame, and the table that each column refers to.
+#: Targets of references: SQL source and frame, all keyed by ``id``.
+_TARGETS = {
+    "publicados": ("(SELECT * FROM contenidos WHERE estado = 'publicado')", lambda d: d.contenidos.filter("estado = 'publicado'")),
+    "contenidos": ("contenidos", lambda d: d.contenidos), "usuarios": ("usuarios", lambda d: d.usuarios),
+    "secciones": ("secciones", lambda d: d.secciones), "tipos_contenido": ("tipos_contenido", lambda d: d.tipos_contenido),
+    "estrategias": ("estrategias", lambda d: d.estrategias), "planes": ("planes", lambda d: d.planes),
+}
+#: Checked references: table, SQL source, frame, and the target of each column.
 _REFERRING = [
-    ("eventos", "eventos", lambda d: d.eventos, {"contenido_id": _LIVE, "usuario_id": _USERS}),
-    ("contenidos", "contenidos", lambda d: d.contenidos, {"seccion_id": _SECTIONS, "tipo_contenido_id": _TYPES}),
-    ("impresiones", "impresiones", lambda d: d.impresiones, {"estrategia_id": ("estrategias", lambda d: d.estrategias), "usuario_id": _USERS,
-                                                             "contenido_id": _CONTENTS}),
-    ("embeddings", "embeddings_c", lambda d: d.embeddings, {"contenido_id": _CONTENTS}),
-    ("suscripciones", "suscripciones", lambda d: d.suscripciones, {"usuario_id": _USERS, "plan_id": ("planes", lambda d: d.planes)}),
-    ("preferencias", "preferencias", lambda d: d.preferencias, {"usuario_id": _USERS, "seccion_id": _SECTIONS}),
-    ("consentimientos", "consentimientos", lambda d: d.consentimientos, {"usuario_id": _USERS}),
-    ("contenidos_etiquetas", "contenidos_etiquetas", lambda d: d.contenidos_etiquetas, {"contenido_id": _CONTENTS}),
-    ("versiones_contenido", "versiones", lambda d: d.versiones, {"contenido_id": _CONTENTS, "editor_id": _USERS}),
-    ("moderaciones", "moderaciones", lambda d: d.moderaciones, {"contenido_id": _CONTENTS}),
-    ("secciones", "secciones", lambda d: d.secciones, {"seccion_padre_id": _SECTIONS}),
-    ("telemetria", "telemetria", lambda d: d.telemetria, {"contenido_id": _CONTENTS, "usuario_id": _USERS}),
-    ("busquedas", "busquedas", lambda d: d.busquedas, {"contenido_id": _CONTENTS}),
+    ("eventos", "eventos", lambda d: d.eventos, {"contenido_id": "publicados", "usuario_id": "usuarios"}),
+    ("contenidos", "contenidos", lambda d: d.contenidos, {"seccion_id": "secciones", "tipo_contenido_id": "tipos_contenido"}),
+    ("impresiones", "impresiones", lambda d: d.impresiones,
+     {"estrategia_id": "estrategias", "usuario_id": "usuarios", "contenido_id": "contenidos"}),
+    ("embeddings", "embeddings_c", lambda d: d.embeddings, {"contenido_id": "contenidos"}),
+    ("suscripciones", "suscripciones", lambda d: d.suscripciones, {"usuario_id": "usuarios", "plan_id": "planes"}),
+    ("preferencias", "preferencias", lambda d: d.preferencias, {"usuario_id": "usuarios", "seccion_id": "secciones"}),
+    ("consentimientos", "consentimientos", lambda d: d.consentimientos, {"usuario_id": "usuarios"}),
+    ("contenidos_etiquetas", "contenidos_etiquetas", lambda d: d.contenidos_etiquetas, {"contenido_id": "contenidos"}),
+    ("versiones_contenido", "versiones", lambda d: d.versiones, {"contenido_id": "contenidos", "editor_id": "usuarios"}),
+    ("moderaciones", "moderaciones", lambda d: d.moderaciones, {"contenido_id": "contenidos"}),
+    ("secciones", "secciones", lambda d: d.secciones, {"seccion_padre_id": "secciones"}),
+    ("telemetria", "telemetria", lambda d: d.telemetria, {"contenido_id": "contenidos", "usuario_id": "usuarios"}),
+    ("busquedas", "busquedas", lambda d: d.busquedas, {"contenido_id": "contenidos"}),
 ]
 
 
 @query("p4_foreign_keys", " UNION ALL ".join(
     f"SELECT '{table}' AS tabla, 'fk_{column}' AS regla, (SELECT count(*) FROM {source} WHERE {column} IS NOT NULL AND {column} NOT IN "
-    f"(SELECT id FROM {listed})) AS violaciones" for table, source, _, refs in _REFERRING for column, (listed, _) in refs.items()))
+    f"(SELECT id FROM {_TARGETS[target][0]})) AS violaciones" for table, source, _, refs in _REFERRING for column, target in refs.items()))
 def _(d):
-    return reduce(DataFrame.unionByName, [Q.check_foreign_key(table, frame(d), column, listed(d))
-                                          for table, _, frame, refs in _REFERRING for column, (_, listed) in refs.items()])
+    return Q.check_references([(table, frame(d), refs) for table, _, frame, refs in _REFERRING],
+                              {name: (frame(d), "id") for name, (_, frame) in _TARGETS.items()})
 
 
 @query("p5_schema_contract", """
@@ -397,27 +361,15 @@ def _(d):
     return L.insert_if_absent(old, new, ["usuario_id"])
 
 
-LEDGER_SQL = """
-    SELECT 'lote_01' AS lote_id, 'eventos' AS entidad, count(*) AS filas_recibidas,
-           count(*) FILTER (WHERE usuario_id IS NOT NULL) AS filas_aceptadas,
-           count(*) FILTER (WHERE usuario_id IS NULL) AS filas_rechazadas, 'COMPLETADO' AS estado FROM lotes
-    UNION ALL SELECT 'lote_01', 'usuarios', count(*), count(*), 0, 'COMPLETADO' FROM usuarios"""
-
-
-def _ledger(d):
-    good, _ = Q.split_required(d.lotes, ["usuario_id", "tipo_evento", "ocurrido_en"])
-    return L.ledger("lote_01", {"eventos": d.lotes, "usuarios": d.usuarios}, {"eventos": good, "usuarios": d.usuarios})
-
-
-@query("s11_load_ledger", LEDGER_SQL)
+@query("s11_load_ledger", D.LEDGER_SQL)
 def _(d):
     path = run_folder(d.spark, "control")
-    L.append(_ledger(d), path)
+    L.append(D.ledger(d), path)
     return d.spark.read.parquet(path)
 
 
 @query("q13_rejected_balance", f"""
     SELECT 'control_cargas' AS tabla, 'balance' AS regla, count(*) FILTER (WHERE filas_aceptadas + filas_rechazadas <> filas_recibidas)
-    AS violaciones FROM ({LEDGER_SQL})""")
+    AS violaciones FROM ({D.LEDGER_SQL})""")
 def _(d):
-    return Q.check_rows("control_cargas", _ledger(d)).filter("regla = 'balance'")
+    return Q.check_rows("control_cargas", D.ledger(d)).filter("regla = 'balance'")
