@@ -23,6 +23,16 @@ def _stream(d):
         F.col("ts").alias("ocurrido_en"))
 
 
+def _ingested(d, name, lose_checkpoint=False):
+    """Accepted and rejected rows of the committed batches of one run over the stream, or of two with a checkpoint each."""
+    folder, stream = run_folder(d.spark, name), _stream(d)
+    accepted, rejected, manifest = f"{folder}/aceptados", f"{folder}/rechazados", f"{folder}/manifiesto"
+    for n in range(2 if lose_checkpoint else 1):
+        T.ingest(stream, accepted, rejected, manifest, f"{folder}/checkpoint-{n}")
+    return (T.read_committed(d.spark, accepted, manifest, stream.schema),
+            T.read_committed(d.spark, rejected, manifest, T.rejected_schema(stream.schema)))
+
+
 _MARK = "(SELECT max(ocurrido_en) - INTERVAL 10 MINUTE FROM eventos)"
 _EV = "(SELECT evento_id, CASE WHEN evento_id % 50 <> 7 THEN usuario_id END AS usuario_id, contenido_id, tipo_evento, ocurrido_en FROM eventos)"
 
@@ -30,18 +40,15 @@ _EV = "(SELECT evento_id, CASE WHEN evento_id % 50 <> 7 THEN usuario_id END AS u
 @query("t01_stream_ingest", f"""
     SELECT CASE WHEN usuario_id IS NULL THEN 'rechazado' ELSE 'aceptado' END AS destino, tipo_evento, count(*) AS filas FROM {_EV} GROUP BY 1, 2""")
 def _(d):
-    folder = run_folder(d.spark, "ingesta")
-    T.ingest(_stream(d), f"{folder}/aceptados", f"{folder}/rechazados", f"{folder}/checkpoint")
-    good = d.spark.read.parquet(f"{folder}/aceptados").select(F.lit("aceptado").alias("destino"), "tipo_evento")
-    bad = d.spark.read.parquet(f"{folder}/rechazados").select(F.lit("rechazado").alias("destino"), "tipo_evento")
+    good, bad = _ingested(d, "ingesta")
+    good, bad = good.select(F.lit("aceptado").alias("destino"), "tipo_evento"), bad.select(F.lit("rechazado").alias("destino"), "tipo_evento")
     return good.unionByName(bad).groupBy("destino", "tipo_evento").agg(F.count("*").alias("filas"))
 
 
 @query("s14_stream_append", f"SELECT evento_id, contenido_id, tipo_evento FROM {_EV} WHERE usuario_id IS NOT NULL")
 def _(d):
-    folder = run_folder(d.spark, "agregar")
-    T.ingest(_stream(d), f"{folder}/aceptados", f"{folder}/rechazados", f"{folder}/checkpoint")
-    return d.spark.read.parquet(f"{folder}/aceptados").select("evento_id", "contenido_id", "tipo_evento")
+    """Committed rows of a first query, whose checkpoint is then lost: the second adds its own lots, ids are kept once."""
+    return _ingested(d, "agregar", lose_checkpoint=True)[0].select("evento_id", "contenido_id", "tipo_evento").dropDuplicates(["evento_id"])
 
 
 @query("t02_distinct_events", "SELECT evento_id, ocurrido_en FROM eventos")

@@ -6,11 +6,12 @@ progress report counts them. Every job takes its checkpoint folder, so a restart
 
 from __future__ import annotations
 
-import zlib
+import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from feedlake.functions import expressions as E
 from feedlake.operators.quality import split_required
@@ -39,20 +40,39 @@ def _run(stream: DataFrame, checkpoint: str, path: str, mode: str = "append") ->
     query.awaitTermination()
 
 
-def ingest(stream: DataFrame, accepted: str, rejected: str, checkpoint: str) -> None:
-    """Validate and append: valid rows and rejected rows go to two folders, one directory per batch.
+#: One row a committed batch: who wrote it (id of the streaming query and batch) and under which free name its rows lie.
+MANIFEST = "consulta string, lote_n bigint, lote string, aceptadas bigint, rechazadas bigint"
 
-    A lot is named by the run (from its checkpoint) and the batch, so a batch replayed after a failure overwrites its own
-    directory, and a run with a new checkpoint, whose batches start at 0 again, never overwrites a lot of another run.
+
+def ingest(stream: DataFrame, accepted: str, rejected: str, manifest: str, checkpoint: str) -> None:
+    """Validate and append: valid and rejected rows of a batch go to two folders under a new name, then the manifest names it.
+
+    A batch counts from the moment its manifest row exists; readers go through ``read_committed``. Nothing is ever
+    overwritten: a batch that fails before its row leaves files that nobody reads, one that is replayed after its row is
+    skipped, and a query with a new checkpoint (also one at the path of a lost one) has a new id, so its batches stand beside
+    the earlier ones. Such a query reads its sources from the start again; repeated ids are for ``distinct_events`` and the
+    lake's insert-if-absent to drop.
     """
-    run = f"{zlib.crc32(checkpoint.encode()):08x}"
+    spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        # Written by Spark before the first batch, and new whenever the checkpoint is.
+        query_id = spark.read.schema("id string").json(f"{checkpoint}/metadata").first().id
+        done = committed(spark, manifest).filter((F.col("consulta") == query_id) & (F.col("lote_n") == batch_id))
+        if not done.isEmpty():
+            return
+        lot = uuid.uuid4().hex
         batch = batch.persist()
         try:
             good, bad = split_required(batch, REQUIRED)
-            good.write.mode("overwrite").parquet(f"{accepted}/lote={run}-{batch_id}")
-            bad.write.mode("overwrite").parquet(f"{rejected}/lote={run}-{batch_id}")
+            good.write.mode("errorifexists").parquet(f"{accepted}/lote={lot}")
+            bad.write.mode("errorifexists").parquet(f"{rejected}/lote={lot}")
+            missing = F.count_if(reduce(lambda p, q: p | q, [F.col(c).isNull() for c in REQUIRED]))
+            row = batch.agg((F.count("*") - missing).alias("aceptadas"), missing.alias("rechazadas")).select(
+                F.lit(query_id).alias("consulta"), F.lit(batch_id).cast("bigint").alias("lote_n"), F.lit(lot).alias("lote"),
+                "aceptadas", "rechazadas")
+            # A single file, so the row appears at once or not at all.
+            row.coalesce(1).write.mode("append").parquet(manifest)
         finally:
             batch.unpersist()
 
@@ -61,6 +81,37 @@ def ingest(stream: DataFrame, accepted: str, rejected: str, checkpoint: str) ->
     query.awaitTermination()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def committed(spark: SparkSession, manifest: str) -> DataFrame:
+    """Rows of the manifest, one a (query, batch): should two drivers have run one batch at once, the smallest name counts.
+
+    Before the first batch there is no manifest and nothing is committed.
+    """
+    if not _exists(spark, manifest):
+        return spark.createDataFrame([], MANIFEST)
+    rows = spark.read.schema(MANIFEST).parquet(manifest)
+    return rows.groupBy("consulta", "lote_n").agg(F.min_by(F.struct("lote", "aceptadas", "rechazadas"), "lote").alias("r")).select(
+        "consulta", "lote_n", "r.*")
+
+
+def read_committed(spark: SparkSession, folder: str, manifest: str, schema: StructType) -> DataFrame:
+    """Rows of committed batches, none before the first; the semi join with the manifest leaves other folders out."""
+    if not _exists(spark, folder):
+        return spark.createDataFrame([], schema)
+    lots = committed(spark, manifest).select("lote")
+    rows = spark.read.schema(StructType(schema.fields + [StructField("lote", StringType())])).option("basePath", folder).parquet(folder)
+    return rows.join(lots, "lote", "left_semi").drop("lote")
+
+
+def rejected_schema(schema: StructType) -> StructType:
+    """Rejected rows carry the first required field that they lack."""
+    return StructType(schema.fields + [StructField("motivo_rechazo", StringType())])
+
+
 def distinct_events(stream: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Each event id once, as long as its copies arrive within the lateness bound of each other."""
     return _timed(stream, lateness).dropDuplicatesWithinWatermark(["evento_id"])

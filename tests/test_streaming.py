@@ -2,9 +2,11 @@
 
 import datetime as dt
 import math
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from feedlake.streaming import events as T
 
@@ -23,8 +25,6 @@ def at(minutes):
 
 
 def stream(spark, folder):
-    from pyspark.sql.types import StructType
-
     return T.read_event_files(spark, f"{folder}/*", StructType.fromDDL(SCHEMA), "*.parquet", files_per_trigger=1)
 
 
@@ -62,16 +62,66 @@ def test_sessions_close_after_the_gap(spark, tmp_path):
     assert {(r.desde, r.hasta, r.eventos) for r in out.collect()} == {(at(0), at(50), 2), (at(200), at(230), 1)}
 
 
+def ingested(spark, base):
+    """Ids of accepted and of rejected rows in committed batches."""
+    schema = StructType.fromDDL(SCHEMA)
+    good = T.read_committed(spark, f"{base}/a", f"{base}/m", schema)
+    bad = T.read_committed(spark, f"{base}/r", f"{base}/m", T.rejected_schema(schema))
+    return sorted(r.evento_id for r in good.collect()), sorted((r.evento_id, r.motivo_rechazo) for r in bad.collect())
+
+
+def ingest(spark, src, base):
+    T.ingest(stream(spark, src), f"{base}/a", f"{base}/r", f"{base}/m", f"{base}/c")
+
+
 def test_ingest_resumes_without_writing_twice(spark, tmp_path):
     src, base = str(tmp_path / "in"), str(tmp_path / "out")
-    run = lambda: T.ingest(stream(spark, src), f"{base}/a", f"{base}/r", f"{base}/c")
     land(spark, src, [[(1, 1, 1, "vista", at(0)), (2, None, 1, "vista", at(1))]])
-    run()
-    run()
+    ingest(spark, src, base)
+    ingest(spark, src, base)
     spark.createDataFrame([(3, 1, 1, "clic", at(2))], SCHEMA).coalesce(1).write.parquet(f"{src}/b99")
-    run()
-    assert sorted(r.evento_id for r in spark.read.parquet(f"{base}/a").collect()) == [1, 3]
-    assert [r.evento_id for r in spark.read.parquet(f"{base}/r").collect()] == [2]
+    ingest(spark, src, base)
+    assert ingested(spark, base) == ([1, 3], [(2, "falta usuario_id")])
+    rows = T.committed(spark, f"{base}/m").orderBy("lote_n").collect()
+    assert [(r.lote_n, r.aceptadas, r.rechazadas) for r in rows] == [(0, 1, 1), (1, 1, 0)] and len({r.consulta for r in rows}) == 1
+
+
+def test_a_lost_checkpoint_overwrites_nothing(spark, tmp_path):
+    src, base = str(tmp_path / "in"), str(tmp_path / "out")
+    land(spark, src, [[(1, 1, 1, "vista", at(0))], [(2, 1, 1, "vista", at(1)), (3, None, 1, "clic", at(2))]])
+    ingest(spark, src, base)
+    shutil.rmtree(f"{base}/c")
+    # The source folder was cleaned meanwhile: what the first query accepted exists nowhere else.
+    new = str(tmp_path / "new")
+    land(spark, new, [[(4, 1, 1, "vista", at(3))]])
+    ingest(spark, new, base)
+    assert ingested(spark, base) == ([1, 2, 4], [(3, "falta usuario_id")])
+    assert T.committed(spark, f"{base}/m").select("consulta").distinct().count() == 2
+
+
+def test_files_of_a_batch_that_failed_before_its_commit_are_not_read(spark, tmp_path):
+    src, base = str(tmp_path / "in"), str(tmp_path / "out")
+    land(spark, src, [[(1, 1, 1, "vista", at(0))]])
+    ingest(spark, src, base)
+    spark.createDataFrame([(9, 9, 9, "clic", at(5))], SCHEMA).write.parquet(f"{base}/a/lote=halfway")
+    assert ingested(spark, base) == ([1], [])
+
+
+def test_a_batch_replayed_after_its_commit_is_skipped(spark, tmp_path):
+    src, base = str(tmp_path / "in"), str(tmp_path / "out")
+    land(spark, src, [[(1, 1, 1, "vista", at(0))], [(2, 1, 1, "vista", at(1))]])
+    ingest(spark, src, base)
+    # As after a driver lost between the manifest row and Spark's own commit of batch 1.
+    for name in ("1", ".1.crc"):
+        (tmp_path / "out" / "c" / "commits" / name).unlink(missing_ok=True)
+    ingest(spark, src, base)
+    assert ingested(spark, base) == ([1, 2], [])
+    assert T.committed(spark, f"{base}/m").count() == 2
+
+
+def test_nothing_is_committed_before_the_first_batch(spark, tmp_path):
+    assert T.committed(spark, str(tmp_path / "none")).count() == 0
+    assert T.read_committed(spark, str(tmp_path / "a"), str(tmp_path / "none"), StructType.fromDDL(SCHEMA)).count() == 0
 
 
 def test_limit_keeps_only_busy_minutes(spark):
