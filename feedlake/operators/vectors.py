@@ -324,6 +324,101 @@ def kmeans_centres(base: DataFrame, lists: int = 50, seed: int = 42) -> np.ndarr
     return _unit(pd.Series([np.asarray(c) for c in model.clusterCenters()]))
 
 
+@dataclass(frozen=True)
+class _Lists:
+    """Rows, mean vector and variance per dimension of each inverted list: figures per list, few whatever the table's size."""
+
+    count: np.ndarray
+    mean: np.ndarray
+    variance: np.ndarray
+
+    @staticmethod
+    def of(cells: DataFrame, n_lists: int, dim: int) -> _Lists:
+        """Sums are added up in the tasks; the driver gets one row a list."""
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            n, total = np.zeros(n_lists, dtype=np.int64), np.zeros((n_lists, dim))
+            for pdf in batches:
+                if len(pdf):
+                    at = pdf["cell"].to_numpy()
+                    n += np.bincount(at, minlength=n_lists)
+                    np.add.at(total, at, _unit(pdf["v"]))
+            c = np.nonzero(n)[0]
+            if len(c):
+                yield pd.DataFrame({"cell": c.astype("int32"), "n": n[c], "total": list(total[c])})
+
+        partial = cells.mapInPandas(sums, "cell int, n bigint, total array<double>")
+        by_place = partial.select("cell", "n", F.posexplode("total").alias("place", "x")).groupBy("cell", "place").agg(
+            F.sum("n").alias("n"), F.sum("x").alias("x")).groupBy("cell").agg(
+            F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("place", "x"))).alias("total"))
+        count, mean = np.zeros(n_lists, dtype=np.int64), np.zeros((n_lists, dim))
+        for r in by_place.collect():
+            count[r.cell], mean[r.cell] = r.n, np.asarray([t.x for t in r.total]) / r.n
+        spread = np.maximum(1.0 - (mean ** 2).sum(axis=1), 1e-9) / max(dim, 1)
+        return _Lists(count, mean, spread)
+
+    def expected(self, q: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Rows of each list expected to be at least ``least`` similar to each query, similarities taken as normal in a list."""
+        z = (least[:, None] - q @ self.mean.T) / np.sqrt(2.0 * self.variance)
+        return self.count * 0.5 * _erfc(z)
+
+
+_erfc = np.vectorize(math.erfc, otypes=[float])
+
+
+def nearest_in_lists(queries: DataFrame, base: DataFrame, k: int, centres: np.ndarray, target: float = 0.95,
+                     same_space: bool = False, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Approximate ``k`` nearest rows through inverted lists, each query probing as many lists as it needs.
+
+    First every query reads its nearest lists (the root of their number); the k-th similarity found bounds the true one from
+    below. Each other list then has an expected number of better rows, from its size, mean and variance. A query stops when
+    the lists it leaves out hold at most ``(1 - target) * k`` expected rows together; a query with fewer than ``k`` rows so
+    far reads on through all. Rows read are ranked by their exact similarities. Returns the rows of ``nearest`` and, in one
+    row, (leidas, posibles): base rows compared, and those an exhaustive search compares. A null vector is an error, as in ``nearest``.
+    """
+    schema = "id bigint, other bigint, sim double, grp bigint"
+    q = cut_lineage(queries.select(F.col("id").cast("long").alias("id"), "v", F.col("level").cast("int").alias("level"),
+                                   F.lit(same_space).alias("own")))
+    b = base.select(F.col("id").cast("long").alias("id"), "v", F.col("level").cast("int").alias("level"),
+                    F.col("grp").cast("long").alias("grp"))
+    cells = cut_lineage(_in_cells(b, centres)).drop("angle")
+    lists, first = _Lists.of(cells, *centres.shape), math.ceil(math.sqrt(len(centres)))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in q.schema.fields)
+
+    def probe(later: bool):
+        def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                m = _unit(pdf["v"])
+                need = _angles(m, centres).argsort(axis=1, kind="stable").argsort(axis=1, kind="stable") < first
+                if later:
+                    better = np.where(need, 0.0, lists.expected(m, pdf["least"].fillna(-math.inf).to_numpy(dtype=np.float64)))
+                    order = better.argsort(axis=1, kind="stable")
+                    left_out = np.take_along_axis(better, order, axis=1).cumsum(axis=1) <= (1.0 - target) * k
+                    skipped = np.zeros_like(need)
+                    np.put_along_axis(skipped, order, left_out, axis=1)
+                    need = ~need & ~skipped
+                at, c = np.nonzero(need & (lists.count > 0))
+                if len(at):
+                    out = pdf.drop(columns="least", errors="ignore").iloc[at].reset_index(drop=True)
+                    out["cell"] = c.astype("int32")
+                    yield out
+
+        return visit
+
+    best, order = _best_in_block(k, None), [F.col("sim").desc(), F.col("other").asc()]
+    near = cut_lineage(q.mapInPandas(probe(False), f"{fields}, cell int"))
+    found = cut_lineage(top_per_group(_meet(near, cells, lists.count, block_rows, best, schema), ["id"], order, k, "puesto"))
+    least = found.groupBy("id").agg(F.when(F.count("*") >= k, F.min("sim")).alias("least"))
+    far = cut_lineage(q.join(least, "id", "left").select(*q.columns, "least").mapInPandas(probe(True), f"{fields}, cell int"))
+    more = _meet(far, cells, lists.count, block_rows, best, schema)
+    sizes = F.element_at(F.array(*[F.lit(int(n)) for n in lists.count]), F.col("cell") + 1)
+    read = near.select("cell").unionByName(far.select("cell")).agg(F.coalesce(F.sum(sizes.cast("long")), F.lit(0)).alias("leidas"))
+    possible = q.agg((F.count("*") * F.lit(int(lists.count.sum()))).alias("posibles"))
+    return (top_per_group(found.drop("puesto").unionByName(more), ["id"], order, k, "puesto"),
+            read.withColumn("posibles", possible.scalar()))
+
+
 def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     """Share of the exact neighbours found, over all queries."""
     hit = exact.join(approximate.select("id", "other", F.lit(1).alias("hit")), ["id", "other"], "left")

@@ -140,9 +140,9 @@ def _(d):
 def _(d):
     base = V.as_base(d.embeddings, publishable(d))
     q = base.select("id", "v", F.lit(2).alias("level"))
-    centres = V.kmeans_centres(base)
-    approx = V.nearest(q, base, 10, same_space=True, centres=centres, probes=10)
-    return V.recall(V.nearest(q, base, 10, same_space=True), approx)
+    approx, read = V.nearest_in_lists(q, base, 10, V.kmeans_centres(base), same_space=True)
+    return V.recall(V.nearest(q, base, 10, same_space=True), approx).withColumns(
+        {c: read.select(c).scalar() for c in read.columns})
 
 
 @query("x08_user_profiles", f"""

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from feedlake.operators import vectors as V
 
@@ -145,3 +146,29 @@ def test_mixed_dimensions_are_reported(spark):
                                 "contenido_id long, embedding array<double>, modelo_embedding string")
     row = V.vector_sanity(emb).first()
     assert (row.modelos, row.dimensiones, row.coherente) == (2, 2, False)
+
+
+@pytest.mark.parametrize("spread", [0.05, 3.0])
+def test_lists_reach_the_recall_asked_for_and_read_less(spark, spread):
+    rng = np.random.default_rng(5)
+    middles = unit(rng.normal(size=(12, 16)))
+    m = unit(middles[rng.integers(0, 12, 900)] + spread * rng.normal(size=(900, 16)) / 4)
+    base = spark.createDataFrame([(i, [float(x) for x in r], i % 3, 0) for i, r in enumerate(m)], "id long, v array<double>, level int, grp long").repartition(4)
+    queries = base.select("id", "v", F.lit(1).alias("level"))
+    approx, read = V.nearest_in_lists(queries, base, 5, middles, target=0.95, same_space=True)
+    got = V.recall(V.nearest(queries, base, 5, same_space=True), approx).first()
+    assert got.vecinos == 4500 and got.recall >= 0.95
+    r = read.first()
+    assert r.posibles == 900 * 900 and r.leidas < (0.5 if spread < 1 else 0.98) * r.posibles
+    rows = approx.collect()
+    assert all(x.other != x.id and x.other % 3 <= 1 for x in rows) and max(x.puesto for x in rows) == 5
+    assert all(abs(x.sim - m[x.id] @ m[x.other]) < 1e-5 for x in rows)
+
+
+def test_a_query_with_too_few_rows_reads_all_lists(spark):
+    m = np.eye(6)
+    base = spark.createDataFrame([(i, [float(x) for x in r], 0, 0) for i, r in enumerate(m)], "id long, v array<double>, level int, grp long")
+    approx, read = V.nearest_in_lists(base.select("id", "v", "level"), base, 10, m, same_space=True)
+    assert approx.count() == 30 and read.first().leidas == 36
+    none, _ = V.nearest_in_lists(base.select("id", "v", "level").limit(0), base, 10, m)
+    assert none.count() == 0
