@@ -11,6 +11,7 @@ from feedlake.operators import metrics as M
 from feedlake.operators import quality as Q
 from feedlake.plans import declared as D
 from feedlake.plans.registry import query
+from feedlake.plans.vectors_queries import PROFILE_SQL, profiles
 from feedlake.session import run_folder
 from feedlake.sources import loading as L
 from feedlake.sources import readers as R
@@ -177,10 +178,19 @@ def _(d):
     return Q.outside_declared_months(facts, ["1998-01", "1998-02", "1998-03"]).select("l_orderkey", "l_linenumber")
 
 
-@query("q07_profiles_without_consent", """
-    SELECT DISTINCT usuario_id FROM eventos WHERE usuario_id IN (SELECT id FROM usuarios WHERE NOT consentimiento_personalizacion)""")
+# Computed profiles; some are planted under a user who does not consent, as if the consent had been withdrawn afterwards.
+_WITHDRAWN = "CASE WHEN usuario_id % 23 = 0 THEN usuario_id - usuario_id % 100 + 90 ELSE usuario_id END"
+_KEPT_PROFILES = f"(SELECT {_WITHDRAWN} AS usuario_id, cantidad_eventos FROM ({PROFILE_SQL}))"
+
+
+def _kept_profiles(d):
+    return profiles(d).select(F.expr(_WITHDRAWN).alias("usuario_id"), "cantidad_eventos")
+
+
+@query("q07_profiles_without_consent", f"""
+    SELECT usuario_id, cantidad_eventos FROM {_KEPT_PROFILES} WHERE usuario_id IN (SELECT id FROM usuarios WHERE NOT consentimiento_personalizacion)""")
 def _(d):
-    return Q.profiles_without_consent(d.eventos.select("usuario_id").distinct(), d.usuarios)
+    return Q.profiles_without_consent(_kept_profiles(d), d.usuarios)
 
 
 @query("q08_outside_section_tree", """

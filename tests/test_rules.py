@@ -76,3 +76,10 @@ def test_the_reference_check_reads_each_table_once_and_joins_no_fact(spark):
     a = spark.range(10).selectExpr("id", "id AS x", "id AS y")
     plan = Q.check_references([("a", a, {"x": "t", "y": "t"})], {"t": (a, "id")})._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Range") == 2 and plan.count("Join") == 1
+
+
+def test_profiles_of_users_without_consent(spark):
+    users = spark.createDataFrame([(1, True), (2, False), (3, None)], "id long, consentimiento_personalizacion boolean")
+    profiles = spark.createDataFrame([(1, 5), (2, 6), (2, 7), (3, 8), (4, 9)], "usuario_id long, cantidad_eventos long")
+    # A consent that is not recorded is no refusal; an unknown user is a matter of the reference check.
+    assert sorted(r.cantidad_eventos for r in Q.profiles_without_consent(profiles, users).collect()) == [6, 7]
