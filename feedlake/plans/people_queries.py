@@ -113,14 +113,25 @@ def _(d):
     return reduce(DataFrame.unionByName, parts)
 
 
-@query("n08_write_check", """
-    SELECT id, CASE WHEN id % 13 <> 0 THEN 'aceptada' ELSE 'rechazada' END AS destino FROM impresiones""")
-def _(d):
-    rows = d.impresiones.withColumn("declarado", F.when(F.col("id") % 13 == 0, F.col("usuario_id") + 1)
-                                    .otherwise(F.col("usuario_id")))
-    good, bad = P.split_writes(rows, "declarado")
-    return good.select("id", F.lit("aceptada").alias("destino")).unionByName(
-        bad.select("id", F.lit("rechazada").alias("destino")))
+#: Tables that people write to: row number, owner, and the rows whose declared writer is somebody else.
+_WRITTEN = {
+    "impresiones": (lambda d: d.impresiones, "id", "usuario_id", "id % 13 = 0"),
+    "preferencias": (lambda d: d.preferencias, "usuario_id", "usuario_id", "usuario_id % 11 = 0"),
+    "consentimientos": (lambda d: d.consentimientos, "id", "usuario_id", "id % 17 = 0"),
+    "contenidos": (lambda d: d.contenidos, "id", "autor_id", "id % 19 = 0"),
+}
+
+
+@query("n08_write_check", " UNION ALL ".join(
+    f"SELECT '{table}' AS tabla, {row} AS id, CASE WHEN {other} THEN 'rechazada' ELSE 'aceptada' END AS destino FROM {table}"
+    for table, (_, row, _, other) in _WRITTEN.items()))
+def _(d):
+    parts = []
+    for table, (frame, row, owner, other) in _WRITTEN.items():
+        rows = frame(d).withColumn("declarado", F.when(F.expr(other), F.col(owner) + 1).otherwise(F.col(owner)))
+        for side, name in zip(P.split_writes(rows, "declarado", owner), ("aceptada", "rechazada"), strict=True):
+            parts.append(side.select(F.lit(table).alias("tabla"), F.col(row).alias("id"), F.lit(name).alias("destino")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("n09_column_visibility", """
