@@ -10,7 +10,8 @@ model's merges, applied to both together, give back just these two; under that r
 it is the one that the merges give for the whole text. Characters without a piece become bytes.
 
 No piece crosses the start of a run of spaces, so all paths meet there; so it is between a letter and those marks that no
-piece of the model has behind a letter. Results for the stretches between are remembered for stretches met again. Null text is encoded as the empty text (no ids). A U+2581 in a text is read as a space, which
+piece of the model has behind a letter. Results for the stretches between are remembered for stretches met again; the short
+new ones of a call are searched side by side (``lockstep``), longer ones one after the other. Null text is encoded as the empty text (no ids). A U+2581 in a text is read as a space, which
 the model cannot tell apart. Repeated rows are encoded one by one; only doc_id and text are read.
 """
 
@@ -24,11 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedlake.llm.lockstep import Lockstep
+
 SPACE = "▁"
 STRETCH = re.compile(r" +[^ ]*")
 MARKS = ".,;:!?#*$%&|<>()"
 #: Stretches a worker remembers; a limit on memory, nothing depends on it.
 REMEMBERED = 600_000
+#: Characters of a stretch that is searched side by side with others, or remembered.
+SHORT = 48
 _FOUND: dict[int, tuple] = {}
 
 
@@ -60,7 +65,7 @@ class Model:
 
     def _remember(self) -> None:
         """What a worker has found out about this model serves its later tasks too."""
-        self._follows, self._known, self._edges, self._changed = _FOUND.setdefault(self.name, ({}, {}, {}, set()))
+        self._follows, self._known, self._edges, self._changed, self._lockstep = _FOUND.setdefault(self.name, ({}, {}, {}, set(), []))
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
@@ -191,20 +196,41 @@ class Model:
             if found is not None:
                 out.append(found[0])
             else:
-                out += [self.byte_ids[b] for b in piece.encode()] if self.byte_ids else [self.unknown]
+                out += self.alone(piece)
+        return out
+
+    def alone(self, character: str) -> list[int]:
+        """Ids of a character without a piece."""
+        return [self.byte_ids[b] for b in character.encode()] if self.byte_ids else [self.unknown]
+
+    def _search(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids, as bytes, of each part; notes those whose ids do not decode to them."""
+        if not parts:
+            return {}
+        short = [p for p in parts if len(p) <= SHORT] if self.merges else []
+        if short and not self._lockstep:
+            self._lockstep.append(Lockstep(self))
+        found = self._lockstep[0].encode(short) if short else {}
+        for part in parts - found.keys():
+            found[part] = np.array([i for some in self.stream(part) for i in some], np.int32)
+        out = {part: ids.tobytes() for part, ids in found.items()}
+        # All at once where that can be: the same bytes in all, and as many in each.
+        texts, pieces = [p.encode() for p in found], list(map(self.bytes_of.get, np.concatenate(list(found.values())).tolist()))
+        if None in pieces or b"".join(pieces) != b"".join(texts) or not self._same_ends(texts, pieces, [len(x) for x in found.values()]):
+            self._changed.update([p for p, ids in found.items() if self._bytes(ids.tolist()) != p.encode()])
         return out
 
-    def _learn(self, stretches) -> dict[str, bytes]:
-        """Ids, as bytes, of stretches that are not remembered; notes those whose ids do not decode to them."""
-        out, known, changed = {}, self._known, self._changed
-        for stretch in stretches:
-            parts = self.borders.split(stretch) if self.borders else [stretch]
-            for part in parts:
-                if part not in known and part not in out:
-                    ids = [i for some in self.stream(part) for i in some]
-                    out[part] = np.array(ids, np.int32).tobytes()
-                    if self._bytes(ids) != part.encode():
-                        changed.add(part)
+    @staticmethod
+    def _same_ends(texts: list[bytes], pieces: list[bytes], n_ids: list[int]) -> bool:
+        ends = np.cumsum([0, *map(len, pieces)])[np.cumsum(n_ids)]
+        return np.array_equal(ends, np.cumsum([len(t) for t in texts]))
+
+    def _learn(self, stretches: set[str]) -> dict[str, bytes]:
+        """Ids, as bytes, of stretches that are not remembered."""
+        known, changed = self._known, self._changed
+        split = {s: self.borders.split(s) if self.borders else [s] for s in stretches}
+        out = self._search(set().union(*split.values()) - known.keys())
+        for stretch, parts in split.items():
             if len(parts) > 1:
                 out[stretch] = b"".join([out[p] if p in out else known[p] for p in parts])
                 if not changed.isdisjoint(parts):
@@ -226,7 +252,7 @@ class Model:
         out = [(b"".join(map(own.__getitem__, parts)), not self._changed or self._changed.isdisjoint(parts)) for parts in split]
         # What comes first is what comes often.
         if len(known) < REMEMBERED:
-            known.update((s, ids) for s, ids in fresh.items() if len(s) <= 48)
+            known.update((s, ids) for s, ids in fresh.items() if len(s) <= SHORT)
         self._changed.difference_update([s for s in self._changed if s not in known])
         return out
 

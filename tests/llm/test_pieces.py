@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
+from feedlake.llm import lockstep
 from feedlake.llm.pieces import Model, encode
 from tests.llm.helpers import docs, odd_rows, prose
 
@@ -33,6 +34,19 @@ def test_ids_equal_the_library(model, library):
         assert model.decode(model.encode(text)) == text.replace("▁", " ")
 
 
+def test_side_by_side_equals_one_after_the_other(model, library, monkeypatch):
+    rng = random.Random(9)
+    parts = {" " + "".join(rng.choice("abcdeorstÈÉüßж日\n\t.🙂X ") for _ in range(rng.randint(0, 30))) for _ in range(3000)}
+    expected = {p: [i for some in model.stream(p) for i in some] for p in parts}
+    for slots, cells in ((1 << 20, 1 << 20), (4, 50)):
+        monkeypatch.setattr(lockstep, "PAIRS", slots)
+        monkeypatch.setattr(lockstep, "CELLS", cells)
+        found = lockstep.Lockstep(model).encode(list(parts))
+        assert {p: ids.tolist() for p, ids in found.items()} == expected
+    assert all(ids == library.encode(p[1:]) for p, ids in expected.items() if p[1:])
+    assert lockstep.Lockstep(model).encode([]) == {}
+
+
 def test_commits_early_with_a_bounded_window(model):
     parts = list(model.stream(" " + "thequickbrownfoxjumpsoverthelazydog" * 200))
     assert len(parts) > 50 and max(map(len, parts)) < 100
