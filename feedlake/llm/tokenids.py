@@ -20,6 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,9 +30,21 @@ from feedlake.session import cut_lineage, run_folder
 
 BLOCK_IDS, STEP, FILE_BYTES = 500_000, 256, 128_000_000
 MAGIC = b"HUFIDS01"
-#: Bytes of chunks between spaces, with their ids, that a Python worker remembers; a limit on memory only.
-REMEMBERED = 24_000_000
-_KNOWN: dict[str, tuple[dict[str, bytes], list[int]]] = {}
+#: Bytes of words that a Python worker remembers with their ids; a limit on memory only.
+REMEMBERED = 32_000_000
+#: Bytes of text that are cut and encoded at once; a limit on memory only.
+CALL_BYTES = 6_000_000
+STOPS = ".,;:!?"
+
+
+class Known:
+    """Words that a worker has met, their ids one behind the other, and the number of ids of each."""
+
+    def __init__(self, kind: np.dtype):
+        self.words, self.ids, self.sizes = pa.array([], pa.large_string()), np.empty(0, kind), np.empty(0, np.int64)
+
+
+_KNOWN: dict[int, Known] = {}
 
 
 class Encoder:
@@ -54,73 +67,93 @@ class Encoder:
         self.spaced = np.zeros(self.vocabulary, bool)
         # The byte-level alphabet writes a space as U+0120.
         self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
-        self.stops = dict(zip(".,;:!?", self.whole(list(".,;:!?"))))
-        self.known, self.remembered = _KNOWN.setdefault(str(zlib.crc32(json_text.encode())), ({}, [0]))
+        self.stops = np.frombuffer(b"".join(self.whole(list(STOPS))), self.type)
+        assert len(self.stops) == len(STOPS)
+        self.known = _KNOWN.setdefault(zlib.crc32(json_text.encode()), Known(self.type))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def clean(chunk: str) -> bool:
-        return bool(chunk) and not chunk[0].isspace() and not chunk[-1].isspace()
-
-    def learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks with a space in front. A stop behind a letter is a part of its own, so it is added to its word."""
-        stopped = [c for c in chunks if c[-1] in self.stops and len(c) > 1 and c[-2].isalpha()]
-        words = set(chunks)
-        words.difference_update(stopped)
-        words.update([c[:-1] for c in stopped])
-        out = self._encoded([c for c in words if c not in self.known])
-        known, stops = self.known, self.stops
-        heads = [(c, out.get(c[:-1]) or known.get(c[:-1])) for c in stopped]
-        out.update([(c, ids + stops[c[-1]]) for c, ids in heads if ids])
-        return out
-
-    def _encoded(self, chunks: list[str]) -> dict[str, bytes]:
-        out, size = {}, self.type.itemsize
-        parts = [chunks[k:k + 256] for k in range(0, len(chunks), 256)]
-        for k in range(0, len(parts), 64):
-            some = parts[k:k + 64]
-            for part, encoded in zip(some, self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in some], add_special_tokens=False)):
-                ids = np.array(encoded.ids, self.type)
-                cuts = np.flatnonzero(self.spaced[ids])
-                raw, cuts = ids.tobytes(), (np.append(cuts, len(ids)) * size).tolist()
-                # A tokenizer that does not cut at spaces gives no ids for chunks: its texts are encoded whole.
-                if len(cuts) == len(part) + 1:
-                    out.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The first chunk of a text has no space in front and is encoded as it is."""
-        known, split, met = self.known, [], set()
-        for text in texts:
-            parts = None if any(s in text for s in self.special) else text.split(" ")
-            if parts and len(parts) > 1:
-                met.update(parts)
-            split.append(parts)
-        # Texts are put together from the chunks of this call: a small table stays in the processor's cache.
-        own = {c: known[c] for c in met if c in known}
-        passing = self.learn([c for c in met if c not in own and self.clean(c)])
-        own.update(passing)
+    def learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words with a space in front, one behind the other, and the number of ids of each; -1 where a tokenizer
+        does not cut at spaces, so that texts with this word are encoded whole."""
+        n = len(words)
+        lists = pa.LargeListArray.from_arrays(pa.array(np.append(np.arange(0, n, 256), n), pa.int64()), words)
+        texts, found, sizes = pc.binary_join(lists, pa.scalar(" ", pa.large_string())).to_pylist(), [], np.full(n, -1)
+        for k in range(0, len(texts), 64):
+            encoded = self.tokenizer.encode_batch_fast([" " + t for t in texts[k:k + 64]], add_special_tokens=False)
+            for j, e in enumerate(encoded, k):
+                ids = np.array(e.ids, self.type)
+                each = np.diff(np.append(np.flatnonzero(self.spaced[ids]), len(ids)))
+                if len(each) == min(256, n - 256 * j):
+                    sizes[256 * j:256 * j + 256] = each
+                    found.append(ids)
+        return np.concatenate([np.empty(0, self.type), *found]), sizes
+
+    def word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each of the distinct ``words`` begin and how many they are."""
+        known = self.known
+        place = pc.fill_null(pc.index_in(words, value_set=known.words), -1).to_numpy().astype(np.int64)
+        new = place < 0
+        fresh = words.filter(pa.array(new))
+        ids, sizes = self.learn(fresh)
+        place[new] = len(known.words) + np.arange(len(fresh))
+        ids, sizes = np.concatenate([known.ids, ids]), np.concatenate([known.sizes, sizes])
         # What comes first is what comes often.
-        if self.remembered[0] < REMEMBERED:
-            known.update(passing)
-            self.remembered[0] += sum(map(len, passing)) + 2 * sum(map(len, passing.values()))
-        out, first, late = [b""] * len(texts), [], []
-        for k, (text, parts) in enumerate(zip(texts, split)):
-            if parts is not None and len(parts) > 1 and self.clean(parts[0]):
-                try:
-                    out[k] = b"".join(map(own.__getitem__, parts[1:]))
-                    first.append(k)
-                    continue
-                except KeyError:
-                    pass
-            late.append(k)
-        for k, ids in zip(first, self.whole([split[k][0] for k in first])):
-            out[k] = ids + out[k]
-        for k, ids in zip(late, self.whole([texts[k] for k in late])):
-            out[k] = ids
-        return out
+        if known.words.nbytes < REMEMBERED:
+            known.words, known.ids, known.sizes = pa.concat_arrays([known.words, fresh]), ids, sizes
+        begins = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+        return ids, begins[place], sizes[place]
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with ``end`` behind it, and the number of ids of each.
+
+        Arrow cuts the texts and numbers their distinct chunks. A stop behind a letter is a part of its own, so it is taken off
+        its word. The first chunk of a text has no space in front and is encoded as it is.
+        """
+        if not len(texts):
+            return np.empty(0, self.type), np.empty(0, np.int64)
+        lists = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        numbered = lists.flatten().dictionary_encode()
+        at, chunks = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary
+        first, later = at[starts], np.ones(len(at), bool)
+        later[starts] = False
+        words = pc.replace_substring_regex(chunks, r"(\pL)[.,;:!?]$", r"\1")
+        stop = pc.index_in(pc.utf8_slice_codeunits(chunks, -1), value_set=pa.array(list(STOPS), pa.large_string()))
+        stop = np.where(pc.not_equal(words, chunks).to_numpy(zero_copy_only=False), pc.fill_null(stop, -1).to_numpy(), -1)
+        words = words.dictionary_encode()
+        word = words.indices.to_numpy().astype(np.int64)
+        plain = pc.and_(pc.equal(pc.utf8_trim_whitespace(words.dictionary), words.dictionary), pc.not_equal(words.dictionary, "")).to_numpy(zero_copy_only=False)
+        met = np.zeros(len(plain), bool)
+        met[word[at[later]]] = True
+        met &= plain
+        begin, size = np.zeros(len(plain), np.int64), np.full(len(plain), -1)
+        ids, begin[met], size[met] = self.word_ids(words.dictionary.filter(pa.array(met)))
+        begin, size = begin[word][at], size[word][at]
+        # Texts that are encoded whole: nothing to cut, a chunk that can't be encoded alone, or a special token.
+        n_chunks = np.diff(np.append(starts, len(at)))
+        whole = (n_chunks < 2) | (np.add.reduceat((size < 0) & later, starts) > 0) | ~plain[word[first]]
+        for special in self.special:
+            whole |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        own = np.array(pa.array(first).take(pa.array(np.flatnonzero(~whole))))
+        own, back = np.unique(own, return_inverse=True)
+        alone = self.whole(chunks.take(pa.array(own)).to_pylist() + texts.filter(pa.array(whole)).to_pylist())
+        lengths = np.array([len(e) for e in alone], np.int64) // self.type.itemsize
+        places = len(ids) + np.cumsum(lengths) - lengths
+        entry = np.empty(len(starts), np.int64)
+        entry[~whole], entry[whole] = back, len(own) + np.arange(whole.sum())
+        size[np.repeat(whole, n_chunks)] = 0
+        begin[starts], size[starts] = places[entry], lengths[entry]
+        # Stops behind their words and ends behind their texts are entries of one id.
+        stop = np.where(np.repeat(whole, n_chunks) | ~later, -1, stop[at])
+        n_ids = np.add.reduceat(size + (stop >= 0), starts) + 1
+        ids = np.concatenate([ids, np.frombuffer(b"".join(alone), self.type), self.stops, np.array([end], self.type)])
+        stopped, ends = np.flatnonzero(stop >= 0), np.append(starts[1:], len(at))
+        behind = np.append(stopped + 1, ends)
+        begin = np.insert(begin, behind, np.append(len(ids) - 1 - len(STOPS) + stop[stopped], np.full(len(ends), len(ids) - 1)))
+        size = np.insert(size, behind, 1)
+        return ids[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())], n_ids
 
 
 def package_merge(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -252,6 +285,15 @@ TOKENS = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("seq", pa.int
 TOKENS_DDL = "doc_id long, part int, seq long, n long, ids binary, counts array<struct<id: int, n: long>>"
 
 
+def by_bytes(batch: pa.RecordBatch):
+    """A batch in slices of about ``CALL_BYTES`` of text, one text at least."""
+    sizes = pc.binary_length(batch.column("text")).to_numpy().astype(np.int64)
+    groups = (np.cumsum(sizes) - sizes) // CALL_BYTES
+    cuts = np.flatnonzero(np.diff(groups)) + 1
+    for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)]):
+        yield batch.slice(begin, end - begin)
+
+
 def tokenise(docs: DataFrame, json_text: str, end_id: int, vocabulary: int) -> DataFrame:
     """doc_id, part, seq, n and ids (bytes), sorted by doc_id through the parts; written to the shared folder. A further row of
     each task, without a part, has the counts of its ids."""
@@ -261,17 +303,18 @@ def tokenise(docs: DataFrame, json_text: str, end_id: int, vocabulary: int) -> D
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
-        encoder, seq, part = Encoder(json_text), 0, TaskContext.get().partitionId()
-        end, total = np.array([end_id], encoder.type).tobytes(), np.zeros(vocabulary, np.int64)
+        encoder, seq, part, total = Encoder(json_text), 0, TaskContext.get().partitionId(), np.zeros(vocabulary, np.int64)
+        size = encoder.type.itemsize
         for batch in batches:
-            for b in (batch.slice(k, 3000) for k in range(0, batch.num_rows, 3000)):
-                ids = [x + end for x in encoder.encode(b.column("text").to_pylist())]
-                total += np.bincount(np.frombuffer(b"".join(ids), encoder.type), minlength=vocabulary)
+            for b in by_bytes(batch):
+                ids, n = encoder.encode(b.column("text"), end_id)
+                total += np.bincount(ids, minlength=vocabulary)
+                offsets = pa.py_buffer(np.append(0, np.cumsum(n) * size).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array([part] * len(ids), pa.int32()), pa.array(range(seq, seq + len(ids)), pa.int64()),
-                     pa.array([len(x) // len(end) for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), TOKENS.field("counts").type)],
+                    [b.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(seq, seq + len(n))), pa.array(n),
+                     pa.Array.from_buffers(pa.binary(), len(n), [None, offsets, pa.py_buffer(ids)]), pa.nulls(len(n), TOKENS.field("counts").type)],
                     schema=TOKENS)
-                seq += len(ids)
+                seq += len(n)
         used = np.flatnonzero(total)
         counts = pa.StructArray.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["id", "n"])
         yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(TOKENS)[:-1]), pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), counts)],

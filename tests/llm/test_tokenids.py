@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -64,8 +65,13 @@ def test_encoder_equals_the_library(json_text):
     parts = ["a", "don't", "é", "日本", "12", "!!", " ", "  ", "\n", "\t", " ", "　", "<|endoftext|>", "🙂", "'s", "Word", "."]
     texts = ["", " ", "a", " a", "a ", "x  y", "x \n y"] + ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(1, 30))) for _ in range(400)]
     texts += [prose(k) for k in range(20)]
-    for text, ids in zip(texts, encoder.encode(texts)):
-        assert np.frombuffer(ids, encoder.type).tolist() == library.encode(text, add_special_tokens=False).ids, text
+    texts += ["", " ", "  a b", " x", "a <|endoftext|> b", "a  b", "a\tb c", "x \ny", "one. two, three.\x1cé! ü? 日本. x1. .", "a\u3000 b", "a \x85b", "k. " * 50]
+    for some in (texts, texts[::-1], texts[:1], []):
+        ids, sizes = encoder.encode(pa.array(some, pa.string()), 7)
+        ends = np.cumsum(sizes)
+        assert len(sizes) == len(some) and len(ids) == sizes.sum()
+        for text, begin, end in zip(some, ends - sizes, ends):
+            assert ids[begin:end].tolist() == [*library.encode(text, add_special_tokens=False).ids, 7], text
 
 
 @pytest.mark.parametrize("block", [500_000, 50])
