@@ -1,6 +1,7 @@
 """Rules that are easy to get wrong, each on hand-made rows."""
 
 import datetime as dt
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,3 +168,37 @@ def test_schema_contract_lists_differences(spark):
     rows = {r.columna: (r.declarado, r.encontrado, r.cumple)
             for r in Q.check_schema("t", df, StructType.fromDDL("id BIGINT, falta DATE")).collect()}
     assert rows == {"id": ("bigint", "int", False), "extra": ("-", "string", False), "falta": ("date", "-", False)}
+
+
+def veto_rows(spark, users=40, items=60):
+    """Users and contents with several, one, no and repeated terms, and one of each without an id."""
+    prefs = [(u, 10 + u % 4, None, "no_interesa") for u in range(users)] + [(u, None, "abc"[u % 3], "no_interesa") for u in range(0, users, 2)]
+    prefs += prefs[:9] + [(None, 11, None, "no_interesa"), (None, None, "a", "no_interesa"), (99, 12, None, "sigue"), (98, None, None, "no_interesa")]
+    contents = [(c, 10 + c % 5 if c % 7 else None) for c in range(items)] + [(3, 11), (3, 12), (None, 11)]
+    tags = [(c, t) for c in range(0, items, 2) for t in ("ab", "bc", "c", "x")[c % 4]] + [(None, "a"), (5, None)]
+    pairs = {(u, c) for u, s, t, kind in prefs if kind == "no_interesa"
+             for c in [c for c, at in contents if s is not None and at == s] + [c for c, tag in tags if t is not None and tag == t]}
+    return (spark.createDataFrame(prefs, "usuario_id long, seccion_id int, etiqueta string, tipo_preferencia string"),
+            spark.createDataFrame(contents, "id long, seccion_id int"), spark.createDataFrame(tags, "contenido_id long, etiqueta string"), pairs)
+
+
+@pytest.mark.parametrize("users,items,rows", [(1, 1, 1), (3, 4, 5), (20_000, 4_000, 200_000)])
+def test_each_vetoed_pair_is_made_once_in_blocks_of_any_size(spark, monkeypatch, users, items, rows):
+    for name, n in (("VETO_USERS", users), ("VETO_CONTENTS", items), ("VETO_ROWS", rows)):
+        monkeypatch.setattr(C, name, n)
+    prefs, contents, tags, want = veto_rows(spark)
+    out = C.user_vetoes(prefs, contents, tags)
+    assert Counter(tuple(r) for r in out.select("usuario_id", "contenido_id").collect()) == Counter(want)
+    # The pairs are made after the last exchange: neither an aggregate nor a shuffle has them all.
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange") and "Aggregate" not in plan[:plan.index("MapInArrow")]
+
+
+def test_vetoes_among_given_pairs(spark):
+    prefs, contents, tags, want = veto_rows(spark)
+    asked = [(u, c) for u in [*range(0, 40, 3), None, 77] for c in [*range(0, 60, 2), None, 500]] * 2
+    among = spark.createDataFrame(asked, "usuario_id long, contenido_id long")
+    found = C.user_vetoes(prefs, contents, tags, among=among)
+    assert Counter(tuple(r) for r in found.collect()) == Counter(want & set(asked))
+    left = {tuple(r) for r in among.subtract(found).collect()}
+    assert left == set(asked) - want
