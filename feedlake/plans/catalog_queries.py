@@ -275,7 +275,7 @@ def _(d):
     SELECT DISTINCT usuario_id, contenido_id FROM impresiones EXCEPT SELECT usuario_id, contenido_id FROM vetos""")
 def _(d):
     pairs = d.impresiones.select("usuario_id", "contenido_id").distinct()
-    return pairs.subtract(C.user_vetoes(d.preferencias, d.contenidos, d.contenidos_etiquetas))
+    return pairs.subtract(C.user_vetoes(d.preferencias, d.contenidos, d.contenidos_etiquetas, among=pairs))
 
 
 # ---- unions and scalar expressions ----------------------------------------------------------------
