@@ -2,9 +2,10 @@
 
 Batch neighbours are exact and never form a cross join. Base rows are laid out once by cell around pivots, whose number
 grows with the root of the table; the triangle inequality on angles tells which cells can hold a neighbour of a query.
-Cells are cut in parts of bounded size; a task holds one part and streams the queries that must see it, so neither side of
-a cell has to fit in memory. The base is copied only to keep all tasks busy: copies times parts stays near twice the number of
-shuffle partitions, however many queries there are.
+Neighbouring cells form groups, some twenty or so, and a query goes once to each group that has a cell it must see: queries are
+copied by groups, not by cells. Groups are cut in parts of bounded size; a task holds one part and streams the queries past it,
+so neither side has to fit in memory. There a query skips the blocks of rows that cannot hold a neighbour. The base is copied
+only to keep all tasks busy: copies times parts stays near twice the number of shuffle partitions, however many queries there are.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -24,10 +26,14 @@ from feedlake.functions import expressions as E
 from feedlake.functions.ordering import top_per_group
 from feedlake.session import cut_lineage
 
-BLOCK_ROWS = 4096
+#: Base rows a task holds, and rows of them that are compared at a time.
+BLOCK_ROWS = 32768
+SCAN = 2048
 #: Pivots for each root of the number of base rows: cells hold some 2 / ROOTS * root(n) rows, and the driver that many pivots.
 ROOTS = 0.5
+#: Queries compared at a time, and rows handed on at a time.
 TILE = 512
+OUT_ROWS = 10_000
 DIGITS = 6
 SLACK = 2e-6
 
@@ -72,55 +78,90 @@ def choose_pivots(base: DataFrame, n: int) -> np.ndarray:
 
 def _arrange(queries: DataFrame, base: DataFrame, k: int | None, angle: float | None = None,
              centres: np.ndarray | None = None, probes: int | None = None, cap: int | None = None):
-    """(queries once per cell to visit, base rows with their cell, rows per cell)."""
+    """(queries once per group of cells to visit, base rows with their group, rows per group); with ``probes``, by cell."""
+    n = base.count()
     if centres is None:
-        centres = choose_pivots(base, max(1, math.ceil(ROOTS * math.sqrt(base.count()))))
+        centres = choose_pivots(base, max(1, math.ceil(ROOTS * math.sqrt(n))))
     if not len(centres):
         return queries.withColumn("cell", F.lit(0)), base.withColumn("cell", F.lit(0)), np.array([0])
     cells = cut_lineage(_in_cells(base, centres))
     bounds = _Bounds(cells, len(centres), k, angle, cap)
-    return _meeting_cells(queries, centres, bounds, probes), cells.drop("angle"), bounds.stats["count"]
+    count = bounds.stats["count"]
+    if probes is not None:
+        return _meeting_cells(queries, centres, bounds, probes), cells.drop("angle"), count
+    # As many groups as make the copies of the queries and those of the base about as many rows.
+    tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = _groups(centres, count, max(math.ceil(n / BLOCK_ROWS), round(math.sqrt(2 * tasks * n / max(queries.count(), 1)))))
+    placed = cells.drop("angle").withColumnRenamed("cell", "place").withColumn("cell", _of_cell(groups, F.col("place")))
+    return _meeting_cells(queries, centres, bounds, groups=groups), placed, np.bincount(groups, count).astype(np.int64)
+
+
+def _of_cell(values: np.ndarray, cell: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(int(x)) for x in values]), cell + 1)
+
+
+def _groups(centres: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """Group of each cell: cells in order of the nearest of ``n`` pivots, cut where a share of the rows is full."""
+    n = max(1, min(n, len(centres)))
+    a = _angles(centres, centres[:n])
+    order = np.lexsort((a.min(axis=1), a.argmin(axis=1)))
+    middle = count[order].cumsum() - count[order] / 2
+    cut = np.minimum((middle * n / max(count.sum(), 1)).astype(np.int64), n - 1)
+    out = np.zeros(len(centres), np.int64)
+    out[order] = np.unique(cut, return_inverse=True)[1]
+    return out
 
 
 def _in_cells(base: DataFrame, centres: np.ndarray) -> DataFrame:
     """Base rows with their nearest pivot and the angle to it."""
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
+        for batch in batches:
+            for pdf in _tiles(batch):
                 a = _angles(_unit(pdf["v"]), centres)
-                pdf["cell"] = a.argmin(axis=1).astype("int32")
-                pdf["angle"] = a.min(axis=1)
-                yield pdf
+                yield pdf.assign(cell=a.argmin(axis=1).astype("int32"), angle=a.min(axis=1))
+
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields)
+    return base.mapInPandas(assign, f"{names}, cell int, angle double")
+
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.mapInPandas(assign, f"{fields}, cell int, angle double")
+def _tiles(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    return (pdf.iloc[at:at + TILE] for at in range(0, len(pdf), TILE))
 
 
-def _meeting_cells(queries: DataFrame, centres: np.ndarray, bounds, probes: int | None = None) -> DataFrame:
-    """Queries repeated once per cell they must visit; ``bounds(angles, level)`` is the farthest useful angle."""
+def _repeated(pdf: pd.DataFrame, need: np.ndarray, near: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Rows once per column marked in ``need``, a bounded number at a time: a query may need all of many cells."""
+    q, c = np.nonzero(need)
+    for at in range(0, len(q), OUT_ROWS):
+        some = q[at:at + OUT_ROWS]
+        out = pdf.iloc[some].reset_index(drop=True)
+        out["cell"], out["place"] = c[at:at + OUT_ROWS].astype("int32"), near[some].astype("int32")
+        yield out
+
+
+def _meeting_cells(queries: DataFrame, centres: np.ndarray, bounds, probes: int | None = None,
+                   groups: np.ndarray | None = None) -> DataFrame:
+    """Queries repeated once per cell they must visit, or once per group of cells that has one, with their nearest pivot."""
     stats = bounds.stats
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            a = _angles(_unit(pdf["v"]), centres)
-            if probes is not None:
-                rank = a.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
-                need = rank < probes
-            else:
-                limit = bounds.limit(a, pdf["level"].to_numpy())
-                nearest = np.cos(np.maximum(a - stats["radius"], 0.0))
-                need = nearest + SLACK >= np.cos(np.minimum(limit, math.pi))[:, None]
-            need &= stats["count"] > 0
-            q, c = np.nonzero(need)
-            if len(q):
-                out = pdf.iloc[q].reset_index(drop=True)
-                out["cell"] = c.astype("int32")
-                yield out
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields)
-    return queries.mapInPandas(visit, f"{fields}, cell int")
+        for batch in batches:
+            for pdf in _tiles(batch):
+                a = _angles(_unit(pdf["v"]), centres)
+                near = a.argmin(axis=1)
+                if probes is not None:
+                    rank = a.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
+                    need = rank < probes
+                else:
+                    limit = bounds.limit(a, pdf["level"].to_numpy())
+                    nearest = np.cos(np.maximum(a - stats["radius"], 0.0))
+                    need = nearest + SLACK >= np.cos(np.minimum(limit, math.pi))[:, None]
+                need &= stats["count"] > 0
+                if groups is not None:
+                    need = np.stack([need[:, groups == g].any(axis=1) for g in range(groups.max() + 1)], axis=1)
+                yield from _repeated(pdf, need, near)
+
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields)
+    return queries.mapInPandas(visit, f"{names}, cell int, place int")
 
 
 class _Bounds:
@@ -175,6 +216,7 @@ class _Rows:
     level: np.ndarray
     grp: np.ndarray
     own: np.ndarray
+    place: np.ndarray
     v: np.ndarray
 
     @classmethod
@@ -182,11 +224,36 @@ class _Rows:
         v = np.asarray(batch.column("v").flatten(), np.float64).reshape(batch.num_rows, -1)
         size = np.linalg.norm(v, axis=1, keepdims=True)
         v = np.divide(v, size, out=np.zeros_like(v), where=size > 0)
-        return cls(*(np.asarray(batch.column(c)) for c in ("id", "level", "grp")), batch.column("own").to_numpy(zero_copy_only=False), v)
+        return cls(*(np.asarray(batch.column(c)) for c in ("id", "level", "grp")), batch.column("own").to_numpy(zero_copy_only=False),
+                   np.asarray(batch.column("place")), v)
 
     @classmethod
     def joined(cls, parts: list["_Rows"]) -> "_Rows":
-        return cls(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("id", "level", "grp", "own", "v")))
+        return cls(*(np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(cls)))
+
+    def rows(self, at: slice) -> "_Rows":
+        return _Rows(*(getattr(self, f.name)[at] for f in fields(self)))
+
+    @cached_property
+    def blocks(self) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+        """Runs of rows of neighbouring places, up to ``SCAN`` each, with their mean direction and the largest angle to it."""
+        ends, spans, start = [*np.flatnonzero(self.place[1:] != self.place[:-1]) + 1, len(self.id)], [], 0
+        for at, stop in itertools.pairwise([*ends, len(self.id)]):
+            if at > start and stop - start > SCAN // 2:
+                spans += [(i, min(i + SCAN, at)) for i in range(start, at, SCAN)]
+                start = at
+        spans += [(i, min(i + SCAN, len(self.id))) for i in range(start, len(self.id), SCAN)]
+        mean = np.stack([self.v[a:b].mean(axis=0) for a, b in spans])
+        size = np.linalg.norm(mean, axis=1, keepdims=True)
+        mean = np.divide(mean, size, out=np.zeros_like(mean), where=size > 0)
+        wide = [_angles(self.v[a:b], mean[i:i + 1]).max() if size[i, 0] > 0 else math.pi for i, (a, b) in enumerate(spans)]
+        return spans, mean, np.asarray(wide)
+
+    def reach(self, v: np.ndarray) -> np.ndarray:
+        """The highest similarity each row of ``v`` can have in each block."""
+        _, mean, wide = self.blocks
+        most = np.cos(np.maximum(_angles(v, mean) - wide, 0.0)) + SLACK
+        return np.where(np.isnan(most), 2.0, most)
 
 
 def _meet(queries: DataFrame, base: DataFrame, sizes: np.ndarray, block_rows: int, fn, schema: str) -> DataFrame:
@@ -195,7 +262,9 @@ def _meet(queries: DataFrame, base: DataFrame, sizes: np.ndarray, block_rows: in
     parts = F.create_map(*[x for c, n in enumerate(counts) for x in (F.lit(c), F.lit(n))])
     tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     copies = max(1, math.ceil(2 * tasks / sum(counts)))
-    columns = ["id", "v", "level", "grp", "own", "cell", "part", "copy", "query"]
+    columns = ["id", "v", "level", "grp", "own", "place", "cell", "part", "copy", "query"]
+    # Single precision is shuffled as such, and widened in the task.
+    kind = "array<float>" if all(df.schema["v"].dataType.simpleString() == "array<float>" for df in (queries, base)) else "array<double>"
     b = (base.withColumn("part", F.pmod(F.xxhash64("id"), parts[F.col("cell")]).cast("int"))
          .withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))))
     q = (queries.withColumn("part", F.explode(F.sequence(F.lit(0), parts[F.col("cell")] - 1)))
@@ -203,12 +272,13 @@ def _meet(queries: DataFrame, base: DataFrame, sizes: np.ndarray, block_rows: in
 
     def side(df: DataFrame, query: bool) -> DataFrame:
         names = set(df.columns)
-        return df.select("id", F.col("v").cast("array<double>").alias("v"), "level",
+        return df.select("id", F.col("v").cast(kind).alias("v"), "level",
                          (F.col("grp") if "grp" in names else F.lit(0).cast("long")).alias("grp"),
-                         (F.col("own") if "own" in names else F.lit(False)).alias("own"), "cell", "part", "copy", F.lit(query).alias("query"))
+                         (F.col("own") if "own" in names else F.lit(False)).alias("own"),
+                         (F.col("place") if "place" in names else F.lit(0)).alias("place"), "cell", "part", "copy", F.lit(query).alias("query"))
 
     spot = ["cell", "part", "copy"]
-    rows = side(b, False).union(side(q, True)).repartition(*spot).sortWithinPartitions(*spot, "query").select(*columns)
+    rows = side(b, False).union(side(q, True)).repartition(*spot).sortWithinPartitions(*spot, "query", "place").select(*columns)
 
     def stream(batches):
         current, held, base_rows = None, [], None
@@ -226,7 +296,7 @@ def _meet(queries: DataFrame, base: DataFrame, sizes: np.ndarray, block_rows: in
                     if base_rows is None:
                         base_rows = _Rows.joined(held)
                     for tile in range(0, len(run.id), TILE):
-                        found = fn(_Rows(*(getattr(run, c)[tile:tile + TILE] for c in ("id", "level", "grp", "own", "v"))), base_rows)
+                        found = fn(run.rows(slice(tile, tile + TILE)), base_rows)
                         yield pa.RecordBatch.from_pydict(found)
 
     return rows.mapInArrow(stream, schema)
@@ -244,24 +314,40 @@ def _rank(*keys: np.ndarray) -> np.ndarray:
 
 
 def _best_in_block(k: int, per_group: int | None):
-    def best(q: _Rows, base: _Rows) -> dict[str, np.ndarray]:
-        ids, groups = base.id, base.grp
-        sim = np.round(q.v @ base.v.T, DIGITS)
-        sim[(base.level[None, :] > q.level[:, None]) | ((ids[None, :] == q.id[:, None]) & q.own[:, None])] = -np.inf
-        if per_group is None and sim.shape[1] > k:
-            sim[sim < np.partition(sim, sim.shape[1] - k, axis=1)[:, [sim.shape[1] - k]]] = -np.inf
-        r, c = np.nonzero(np.isfinite(sim))
-        s = sim[r, c]
+    """The ``k`` best rows of a part for each query, block by block: a row below the k-th so far is not looked at again."""
+    def chosen(r, c, s, base):
         if per_group is not None:
-            order = np.lexsort((ids[c], -s, groups[c], r))
+            order = np.lexsort((base.id[c], -s, base.grp[c], r))
             r, c, s = r[order], c[order], s[order]
-            keep = _rank(r, groups[c]) < per_group
+            keep = _rank(r, base.grp[c]) < per_group
             r, c, s = r[keep], c[keep], s[keep]
-        order = np.lexsort((ids[c], -s, r))
+        order = np.lexsort((base.id[c], -s, r))
         r, c, s = r[order], c[order], s[order]
-        keep = _rank(r) < k
-        r, c, s = r[keep], c[keep], s[keep]
-        return {"id": q.id[r], "other": ids[c], "sim": s, "grp": groups[c]}
+        at = _rank(r)
+        return r[at < k], c[at < k], s[at < k], at[at < k]
+
+    def best(q: _Rows, base: _Rows) -> dict[str, np.ndarray]:
+        r, c, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        kth, reach, spans = np.full(len(q.id), -np.inf), base.reach(q.v), base.blocks[0]
+        for block in (-reach.mean(axis=0)).argsort(kind="stable"):
+            rows = np.flatnonzero(reach[:, block] >= kth)
+            if not len(rows):
+                continue
+            lo, hi = spans[block]
+            sim = q.v[rows] @ base.v[lo:hi].T
+            floor = kth[rows]
+            new = np.flatnonzero(np.isneginf(floor))
+            if per_group is None and len(new) and hi - lo > k:
+                ours = sim[new]
+                ours[(base.level[None, lo:hi] > q.level[rows[new], None]) | np.isnan(ours)
+                     | ((base.id[None, lo:hi] == q.id[rows[new], None]) & q.own[rows[new], None])] = -np.inf
+                floor[new] = np.partition(ours, hi - lo - k, axis=1)[:, hi - lo - k]
+            a, b = np.nonzero(sim >= (floor - SLACK)[:, None])
+            a, b, found = rows[a], b + lo, np.round(sim[a, b], DIGITS)
+            ok = np.isfinite(found) & (base.level[b] <= q.level[a]) & ~((base.id[b] == q.id[a]) & q.own[a])
+            r, c, s, at = chosen(np.r_[r, a[ok]], np.r_[c, b[ok]], np.r_[s, found[ok]], base)
+            kth[r[at == k - 1]] = s[at == k - 1]
+        return {"id": q.id[r], "other": base.id[c], "sim": s, "grp": base.grp[c]}
 
     return best
 
@@ -304,9 +390,15 @@ def near_duplicates(embeddings: DataFrame, threshold: float, block_rows: int = B
     base = cut_lineage(base)
 
     def above(q: _Rows, other: _Rows) -> dict[str, np.ndarray]:
-        sim = np.round(q.v @ other.v.T, DIGITS)
-        r, c = np.nonzero((sim > threshold) & (q.id[:, None] < other.id[None, :]))
-        return {"contenido_a": q.id[r], "contenido_b": other.id[c], "similitud": sim[r, c]}
+        reach, found = other.reach(q.v), []
+        for block, (lo, hi) in enumerate(other.blocks[0]):
+            rows = np.flatnonzero(reach[:, block] >= threshold)
+            sim = q.v[rows] @ other.v[lo:hi].T
+            r, c = np.nonzero(sim > threshold - SLACK)
+            a, b, s = rows[r], c + lo, np.round(sim[r, c], DIGITS)
+            ok = (s > threshold) & (q.id[a] < other.id[b])
+            found.append((q.id[a[ok]], other.id[b[ok]], s[ok]))
+        return {name: np.concatenate(x) for name, x in zip(("contenido_a", "contenido_b", "similitud"), zip(*found, strict=True), strict=True)}
 
     visits, cells, sizes = _arrange(base, base, None, math.acos(max(-1.0, min(1.0, threshold))))
     pairs = _meet(visits, cells, sizes, block_rows, above,
@@ -382,15 +474,14 @@ def nearest_in_lists(queries: DataFrame, base: DataFrame, k: int, centres: np.nd
                     F.col("grp").cast("long").alias("grp"))
     cells = cut_lineage(_in_cells(b, centres)).drop("angle")
     lists, first = _Lists.of(cells, *centres.shape), math.ceil(math.sqrt(len(centres)))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in q.schema.fields)
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in q.schema.fields)
 
     def probe(later: bool):
         def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
+            for pdf in (tile for batch in batches for tile in _tiles(batch)):
                 m = _unit(pdf["v"])
-                need = _angles(m, centres).argsort(axis=1, kind="stable").argsort(axis=1, kind="stable") < first
+                a = _angles(m, centres)
+                need = a.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable") < first
                 if later:
                     better = np.where(need, 0.0, lists.expected(m, pdf["least"].fillna(-math.inf).to_numpy(dtype=np.float64)))
                     order = better.argsort(axis=1, kind="stable")
@@ -398,19 +489,15 @@ def nearest_in_lists(queries: DataFrame, base: DataFrame, k: int, centres: np.nd
                     skipped = np.zeros_like(need)
                     np.put_along_axis(skipped, order, left_out, axis=1)
                     need = ~need & ~skipped
-                at, c = np.nonzero(need & (lists.count > 0))
-                if len(at):
-                    out = pdf.drop(columns="least", errors="ignore").iloc[at].reset_index(drop=True)
-                    out["cell"] = c.astype("int32")
-                    yield out
+                yield from _repeated(pdf.drop(columns="least", errors="ignore"), need & (lists.count > 0), a.argmin(axis=1))
 
         return visit
 
     best, order = _best_in_block(k, None), [F.col("sim").desc(), F.col("other").asc()]
-    near = cut_lineage(q.mapInPandas(probe(False), f"{fields}, cell int"))
+    near = cut_lineage(q.mapInPandas(probe(False), f"{names}, cell int, place int"))
     found = cut_lineage(top_per_group(_meet(near, cells, lists.count, block_rows, best, schema), ["id"], order, k, "puesto"))
     least = found.groupBy("id").agg(F.when(F.count("*") >= k, F.min("sim")).alias("least"))
-    far = cut_lineage(q.join(least, "id", "left").select(*q.columns, "least").mapInPandas(probe(True), f"{fields}, cell int"))
+    far = cut_lineage(q.join(least, "id", "left").select(*q.columns, "least").mapInPandas(probe(True), f"{names}, cell int, place int"))
     more = _meet(far, cells, lists.count, block_rows, best, schema)
     sizes = F.element_at(F.array(*[F.lit(int(n)) for n in lists.count]), F.col("cell") + 1)
     read = near.select("cell").unionByName(far.select("cell")).agg(F.coalesce(F.sum(sizes.cast("long")), F.lit(0)).alias("leidas"))

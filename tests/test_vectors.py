@@ -172,3 +172,38 @@ def test_a_query_with_too_few_rows_reads_all_lists(spark):
     assert approx.count() == 30 and read.first().leidas == 36
     none, _ = V.nearest_in_lists(base.select("id", "v", "level").limit(0), base, 10, m)
     assert none.count() == 0
+
+
+def test_queries_are_copied_by_groups_of_cells(spark):
+    """Without structure every query must see every cell, and still goes once to each group only."""
+    rng = np.random.default_rng(21)
+    m = unit(rng.normal(size=(1600, 48)))
+    base = spark.createDataFrame([(i, m[i].tolist(), 0, i % 4) for i in range(1600)], "id long, v array<float>, level int, grp long")
+    visits, placed, sizes = V._arrange(base.drop("grp"), base, 5)
+    assert placed.select("place").distinct().count() >= 16 and len(sizes) <= 4 and sizes.sum() == 1600
+    assert 1600 <= visits.count() <= 1600 * len(sizes)
+    m32 = m.astype(np.float32).astype(np.float64)
+    got = {(r.id, r.other, r.puesto) for r in V.nearest(base.drop("grp"), base, 5, same_space=True, block_rows=300).collect()}
+    assert got == brute(m32, np.zeros(1600, int), m32, np.zeros(1600, int), np.arange(1600) % 4, 5, True, None)
+
+
+def test_rows_are_handed_on_in_bounded_pieces(monkeypatch):
+    monkeypatch.setattr(V, "OUT_ROWS", 7)
+    need = np.random.default_rng(3).random((30, 9)) < 0.8
+    pieces = list(V._repeated(V.pd.DataFrame({"id": range(30)}), need, np.arange(30)))
+    assert max(map(len, pieces)) <= 7
+    assert [(r.id, r.cell, r.place) for p in pieces for r in p.itertuples()] == [(q, c, q) for q, c in zip(*np.nonzero(need))]
+
+
+def test_blocks_of_a_part_bound_what_they_hold(monkeypatch):
+    """Places of any size, a block of zero vectors among them: no row is more similar than its block's bound."""
+    monkeypatch.setattr(V, "SCAN", 16)
+    rng = np.random.default_rng(8)
+    place = np.sort(rng.integers(0, 9, 200))
+    v = unit(unit(rng.normal(size=(9, 6)))[place] + 0.3 * rng.normal(size=(200, 6)))
+    v[place == 4] = 0.0
+    rows = V._Rows(np.arange(200), np.zeros(200, int), np.zeros(200, int), np.zeros(200, bool), place, v)
+    spans = rows.blocks[0]
+    assert [i for a, b in spans for i in range(a, b)] == list(range(200)) and max(b - a for a, b in spans) <= 16
+    reach = rows.reach(v)
+    assert all((reach[:, [i]] >= v @ v[a:b].T).all() for i, (a, b) in enumerate(spans)) and (reach < 0.5).any()
