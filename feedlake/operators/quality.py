@@ -139,8 +139,8 @@ def check_key(table: str, df: DataFrame, key: list[str], name: str | None = None
 def check_keys(tables: list[tuple[str, DataFrame, list[list[str]]]]) -> DataFrame:
     """Key values that occur more than once, for every declared key: (tabla, regla, violaciones), one row a key.
 
-    Each table is read once for all its keys and all values go through one exchange, combined before it. A value is the
-    list of its columns as text, so columns of any type compare exactly; a NULL in the key never collides. Keys of empty
+    Each table is read once for all its keys and all values go through one exchange, combined before it. A value is its
+    column as text, or the list of its columns as text, so columns of any type compare exactly; a NULL in the key never collides. Keys of empty
     tables count 0.
     """
     spark = tables[0][1].sparkSession
@@ -149,15 +149,15 @@ def check_keys(tables: list[tuple[str, DataFrame, list[list[str]]]]) -> DataFram
         cells = []
         for key in keys:
             rule = "unica_" + "_".join(key)
-            names.append((table, rule))
             present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
-            text = F.to_json(F.array(*[F.col(c).cast("string") for c in key]))
-            cells.append(F.struct(F.lit(rule).alias("regla"), F.when(present, text).alias("valor")))
-        values.append(df.select(F.lit(table).alias("tabla"), F.explode(F.array(*cells)).alias("k")).select("tabla", "k.*")
-                      .filter("valor IS NOT NULL"))
-    counted = _rows(values).groupBy("tabla", "regla", "valor").agg(F.count("*").alias("n")).groupBy("tabla", "regla").agg(
-        F.count_if(F.col("n") > 1).alias("v"))
-    return _every_rule(spark.createDataFrame(names, "tabla string, regla string"), counted)
+            text = [F.col(c).cast("string") for c in key]
+            cells.append(F.struct(F.lit(len(names)).alias("r"), F.when(present, text[0] if len(key) == 1 else F.to_json(F.array(*text))).alias("valor")))
+            names.append((len(names), table, rule))
+        values.append(df.select(F.explode(F.array(*cells)).alias("k")).select("k.*").filter("valor IS NOT NULL"))
+    # Tasks hold a map of their values: a rule is a number in it, as its names would be most of each entry.
+    counted = _rows(values).groupBy("r", "valor").agg(F.count("*").alias("n")).groupBy("r").agg(F.count_if(F.col("n") > 1).alias("v"))
+    rules = spark.createDataFrame(names, "r int, tabla string, regla string")
+    return _every_rule(rules.select("tabla", "regla"), counted.join(rules, "r"))
 
 
 def _every_rule(names: DataFrame, counted: DataFrame) -> DataFrame:

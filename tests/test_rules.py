@@ -83,3 +83,13 @@ def test_profiles_of_users_without_consent(spark):
     profiles = spark.createDataFrame([(1, 5), (2, 6), (2, 7), (3, 8), (4, 9)], "usuario_id long, cantidad_eventos long")
     # A consent that is not recorded is no refusal; an unknown user is a matter of the reference check.
     assert sorted(r.cantidad_eventos for r in Q.profiles_without_consent(profiles, users).collect()) == [6, 7]
+
+
+def test_the_values_of_keys_are_held_without_the_names_of_their_rule(spark):
+    """The widest part of an entry was two texts that are the same for all values of a rule."""
+    df = spark.createDataFrame([(1, "[\"1\"]"), (1, "1"), (2, "1")], "k long, t string")
+    out = Q.check_keys([("una_tabla", df, [["k"], ["t"], ["k", "t"]]), ("otra", df.limit(0), [["k"]])])
+    assert {(r.tabla, r.regla): r.violaciones for r in out.collect()} == {
+        ("una_tabla", "unica_k"): 1, ("una_tabla", "unica_t"): 1, ("una_tabla", "unica_k_t"): 0, ("otra", "unica_k"): 0}
+    held = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x and "valor" in x]
+    assert held and not any("tabla" in x or "regla" in x for x in held)
