@@ -44,7 +44,8 @@ def _chunks(entries: DataFrame, item: str, weight: str, name: str) -> DataFrame:
 
 
 def _expand(batches):
-    """Products of the chunks that meet, equal pairs added up."""
+    """Products of the chunks that meet, equal pairs added up. With a column ``same`` (the chunks are one) the lists are of one
+    set of items: each two are one pair, the lesser first."""
     def entries(batch, name):
         column = batch.column(name)
         values = column.flatten()
@@ -65,11 +66,19 @@ def _expand(batches):
             others = np.repeat(nb[row:stop], na[row:stop])
             right = ranges(np.repeat(start_b[row:stop], na[row:stop]), others)
             left = np.repeat(left, others)
-            rows, r = np.unique(ea[left], return_inverse=True)
-            columns, c = np.unique(eb[right], return_inverse=True)
-            cells, cell = np.unique(r * len(columns) + c, return_inverse=True)
+            x, y, w = ea[left], eb[right], wa[left] * wb[right]
+            if "same" in batch.schema.names:
+                same = batch.column("same").to_numpy(zero_copy_only=False)[row:stop]
+                once = (x < y) | ~np.repeat(same, na[row:stop] * nb[row:stop])
+                x, y, w = np.minimum(x, y)[once], np.maximum(x, y)[once], w[once]
+            rows, r = np.unique(x, return_inverse=True)
+            columns, c = np.unique(y, return_inverse=True)
+            cells, cell = np.unique(r * max(len(columns), 1) + c, return_inverse=True)
             n = np.zeros(len(cells), np.int64)
-            np.add.at(n, cell, wa[left] * wb[right])
+            np.add.at(n, cell, w)
+            if not len(cells):
+                row = stop
+                continue
             yield pa.RecordBatch.from_arrays([pa.array(rows[cells // len(columns)]), pa.array(columns[cells % len(columns)]), pa.array(n)], ["r", "c", "n"])
             row = stop
 
@@ -87,12 +96,30 @@ def sparse_product(left: DataFrame, right: DataFrame) -> DataFrame:
     return met.mapInArrow(_expand, "r long, c long, n long").groupBy("r", "c").agg(F.sum("n").alias("n"))
 
 
+def _half_pairs(edges: DataFrame) -> DataFrame:
+    """(i, j, n) for all i < j that share n groups.
+
+    The product of a matrix with its own transpose: chunks are made once, and a chunk meets itself where it lies. Only groups
+    of several chunks are joined, each two chunks once.
+    """
+    chunks = cut_lineage(_chunks(edges.select(F.col("g").alias("k"), "i", F.lit(1).cast("long").alias("w")), "i", "w", "a"))
+    several = chunks.where("parts > 1")
+    ahead = several.where("part < parts - 1").select("k", "a", F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("part"))
+    across = ahead.join(several.select("k", "part", F.col("a").alias("b")), ["k", "part"]).select("a", "b", F.lit(False).alias("same"))
+    met = chunks.select("a", F.col("a").alias("b"), F.lit(True).alias("same")).unionByName(across)
+    return met.mapInArrow(_expand, "r long, c long, n long").groupBy("r", "c").agg(F.sum("n").alias("n")).toDF("i", "j", "n")
+
+
 def _pairs(edges: DataFrame) -> DataFrame:
     """(i, j, n) for all i <> j that share n groups."""
-    one = F.lit(1).cast("long")
-    left = edges.select(F.col("i").alias("r"), F.col("g").alias("k"), one.alias("x"))
-    right = edges.select(F.col("g").alias("k"), F.col("i").alias("c"), one.alias("y"))
-    return sparse_product(left, right).where("r <> c").select(F.col("r").alias("i"), F.col("c").alias("j"), "n")
+    return _both_ways(_half_pairs(edges)).select("i", "j", "n")
+
+
+def _both_ways(half: DataFrame, *swapped: tuple[str, str]) -> DataFrame:
+    """Rows (i, j, …) and the same as (j, i, …); pairs of columns in ``swapped`` change places too."""
+    names = {"i": "j", "j": "i"} | dict(swapped) | {b: a for a, b in swapped}
+    there, back = F.struct(*half.columns), F.struct(*[F.col(names.get(c, c)).alias(c) for c in half.columns])
+    return half.select(F.explode(F.array(there, back)).alias("p")).select("p.*")
 
 
 def _rank_key(n: Column, f: Column) -> Column:
@@ -109,7 +136,8 @@ def top_cooccurring(df: DataFrame, group: str, item: str, k: int, factor: Callab
     edges = cut_lineage(_edges(df, group, item))
     n = edges.groupBy("i").agg(F.count("*").alias("n_i"))
     nj = n.select(F.col("i").alias("j"), F.col("n_i").alias("n_j"))
-    scored = _pairs(edges).join(n, "i").join(nj, "j").select(
+    counted = _both_ways(_half_pairs(edges).join(n, "i").join(nj, "j"), ("n_i", "n_j"))
+    scored = counted.select(
         "i", "j", F.col("n").alias("n_ij"), score(F.col("n"), F.col("n_i"), F.col("n_j")).alias("score"),
         _rank_key(F.col("n"), factor(F.col("n_j"))).alias("__r"))
     return top_per_group(scored, ["i"], [F.col("__r").desc(), F.col("j").asc()], k, "puesto").drop("__r")

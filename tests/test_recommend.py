@@ -161,3 +161,14 @@ def test_bridges_have_no_own_section(spark):
     contents = spark.createDataFrame([(1, 10), (2, 20), (3, 20)], "id long, seccion_id int")
     rows = {(r.contenido_id, r.seccion_destino): (r.lectores, r.caminos) for r in R.bridge_contents(views, contents).collect()}
     assert rows == {(1, 20): (1, 2), (2, 10): (1, 1), (3, 10): (1, 1)}
+
+
+def test_each_two_items_are_paired_once(spark, chunk):
+    """Before the shuffle a pair is one row, the lesser item first, within a chunk and between chunks."""
+    edges = skewed(11)
+    n, _, _ = brute_pairs(edges)
+    rows = R._half_pairs(R._edges(frame(spark, edges), "usuario_id", "contenido_id")).collect()
+    assert len(rows) == len({(r.i, r.j) for r in rows}) and {(r.i, r.j): r.n for r in rows} == {(i, j): c for (i, j), c in n.items() if i < j}
+    alone = spark.createDataFrame([(u, 5) for u in range(9)], "usuario_id long, contenido_id long")
+    assert R._half_pairs(R._edges(alone, "usuario_id", "contenido_id")).collect() == []
+    assert R.item_cooccurrence(alone, 3).collect() == []
