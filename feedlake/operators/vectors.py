@@ -31,9 +31,10 @@ BLOCK_ROWS = 32768
 SCAN = 2048
 #: Pivots for each root of the number of base rows: cells hold some 2 / ROOTS * root(n) rows, and the driver that many pivots.
 ROOTS = 0.5
-#: Queries compared at a time, and rows handed on at a time.
+#: Queries compared at a time, rows handed on at a time, and rows the lists of the queries compared at a time may hold.
 TILE = 512
 OUT_ROWS = 10_000
+HELD = 524_288
 DIGITS = 6
 SLACK = 2e-6
 
@@ -256,8 +257,13 @@ class _Rows:
         return np.where(np.isnan(most), 2.0, most)
 
 
-def _meet(queries: DataFrame, base: DataFrame, sizes: np.ndarray, block_rows: int, fn, schema: str) -> DataFrame:
-    """``fn(queries, base)`` for every query and every part of a cell it must visit: a part is held, queries stream past it."""
+def _meet(queries: DataFrame, base: DataFrame, sizes: np.ndarray, block_rows: int, fn, schema: str, k: int = 1) -> DataFrame:
+    """``fn(queries, base)`` for every query and every part of a cell it must visit: a part is held, queries stream past it.
+
+    ``fn`` yields its rows in pieces. It keeps up to ``k`` rows of the part for each query, so it gets fewer queries at a time
+    where lists are long.
+    """
+    size = max(1, min(TILE, HELD // k))
     counts = [max(1, math.ceil(n / block_rows)) for n in sizes]
     parts = F.create_map(*[x for c, n in enumerate(counts) for x in (F.lit(c), F.lit(n))])
     tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -295,9 +301,9 @@ def _meet(queries: DataFrame, base: DataFrame, sizes: np.ndarray, block_rows: in
                 elif held:
                     if base_rows is None:
                         base_rows = _Rows.joined(held)
-                    for tile in range(0, len(run.id), TILE):
-                        found = fn(run.rows(slice(tile, tile + TILE)), base_rows)
-                        yield pa.RecordBatch.from_pydict(found)
+                    for tile in range(0, len(run.id), size):
+                        for found in fn(run.rows(slice(tile, tile + size)), base_rows):
+                            yield pa.RecordBatch.from_pydict(found)
 
     return rows.mapInArrow(stream, schema)
 
@@ -326,7 +332,7 @@ def _best_in_block(k: int, per_group: int | None):
         at = _rank(r)
         return r[at < k], c[at < k], s[at < k], at[at < k]
 
-    def best(q: _Rows, base: _Rows) -> dict[str, np.ndarray]:
+    def best(q: _Rows, base: _Rows) -> Iterator[dict[str, np.ndarray]]:
         r, c, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         kth, reach, spans = np.full(len(q.id), -np.inf), base.reach(q.v), base.blocks[0]
         for block in (-reach.mean(axis=0)).argsort(kind="stable"):
@@ -347,7 +353,7 @@ def _best_in_block(k: int, per_group: int | None):
             ok = np.isfinite(found) & (base.level[b] <= q.level[a]) & ~((base.id[b] == q.id[a]) & q.own[a])
             r, c, s, at = chosen(np.r_[r, a[ok]], np.r_[c, b[ok]], np.r_[s, found[ok]], base)
             kth[r[at == k - 1]] = s[at == k - 1]
-        return {"id": q.id[r], "other": base.id[c], "sim": s, "grp": base.grp[c]}
+        yield {"id": q.id[r], "other": base.id[c], "sim": s, "grp": base.grp[c]}
 
     return best
 
@@ -368,7 +374,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, per_group: int | None =
     # Both sides are read several times below (sizes, pivots, search), so each is computed once.
     q, b = cut_lineage(q), cut_lineage(b)
     visits, cells, sizes = _arrange(q, b, k, None, centres, probes, per_group)
-    found = _meet(visits, cells, sizes, block_rows, _best_in_block(k, per_group), schema)
+    found = _meet(visits, cells, sizes, block_rows, _best_in_block(k, per_group), schema, k)
     order = [F.col("sim").desc(), F.col("other").asc()]
     if per_group is not None:
         found = top_per_group(found, ["id", "grp"], order, per_group, "__g").drop("__g")
@@ -389,16 +395,16 @@ def near_duplicates(embeddings: DataFrame, threshold: float, block_rows: int = B
     base = copies.select(F.col("rep").cast("long").alias("id"), F.col("embedding").alias("v"), F.lit(0).alias("level"))
     base = cut_lineage(base)
 
-    def above(q: _Rows, other: _Rows) -> dict[str, np.ndarray]:
-        reach, found = other.reach(q.v), []
+    def above(q: _Rows, other: _Rows) -> Iterator[dict[str, np.ndarray]]:
+        reach = other.reach(q.v)
         for block, (lo, hi) in enumerate(other.blocks[0]):
             rows = np.flatnonzero(reach[:, block] >= threshold)
             sim = q.v[rows] @ other.v[lo:hi].T
             r, c = np.nonzero(sim > threshold - SLACK)
             a, b, s = rows[r], c + lo, np.round(sim[r, c], DIGITS)
             ok = (s > threshold) & (q.id[a] < other.id[b])
-            found.append((q.id[a[ok]], other.id[b[ok]], s[ok]))
-        return {name: np.concatenate(x) for name, x in zip(("contenido_a", "contenido_b", "similitud"), zip(*found, strict=True), strict=True)}
+            if ok.any():
+                yield {"contenido_a": q.id[a[ok]], "contenido_b": other.id[b[ok]], "similitud": s[ok]}
 
     visits, cells, sizes = _arrange(base, base, None, math.acos(max(-1.0, min(1.0, threshold))))
     pairs = _meet(visits, cells, sizes, block_rows, above,
@@ -495,10 +501,10 @@ def nearest_in_lists(queries: DataFrame, base: DataFrame, k: int, centres: np.nd
 
     best, order = _best_in_block(k, None), [F.col("sim").desc(), F.col("other").asc()]
     near = cut_lineage(q.mapInPandas(probe(False), f"{names}, cell int, place int"))
-    found = cut_lineage(top_per_group(_meet(near, cells, lists.count, block_rows, best, schema), ["id"], order, k, "puesto"))
+    found = cut_lineage(top_per_group(_meet(near, cells, lists.count, block_rows, best, schema, k), ["id"], order, k, "puesto"))
     least = found.groupBy("id").agg(F.when(F.count("*") >= k, F.min("sim")).alias("least"))
     far = cut_lineage(q.join(least, "id", "left").select(*q.columns, "least").mapInPandas(probe(True), f"{names}, cell int, place int"))
-    more = _meet(far, cells, lists.count, block_rows, best, schema)
+    more = _meet(far, cells, lists.count, block_rows, best, schema, k)
     sizes = F.element_at(F.array(*[F.lit(int(n)) for n in lists.count]), F.col("cell") + 1)
     read = near.select("cell").unionByName(far.select("cell")).agg(F.coalesce(F.sum(sizes.cast("long")), F.lit(0)).alias("leidas"))
     possible = q.agg((F.count("*") * F.lit(int(lists.count.sum()))).alias("posibles"))

@@ -207,3 +207,31 @@ def test_blocks_of_a_part_bound_what_they_hold(monkeypatch):
     assert [i for a, b in spans for i in range(a, b)] == list(range(200)) and max(b - a for a, b in spans) <= 16
     reach = rows.reach(v)
     assert all((reach[:, [i]] >= v @ v[a:b].T).all() for i, (a, b) in enumerate(spans)) and (reach < 0.5).any()
+
+
+def test_long_lists_are_made_for_fewer_queries_at_a_time(spark, monkeypatch):
+    """What a task holds follows neither the depth of the lists nor the size of a part."""
+    m = unit(np.random.default_rng(13).normal(size=(90, 6)))
+    base = spark.createDataFrame([(i, m[i].tolist(), 0, i % 4) for i in range(90)], "id long, v array<double>, level int, grp long")
+    monkeypatch.setattr(V, "HELD", 160)
+    got = {(r.id, r.other, r.puesto) for r in V.nearest(base.drop("grp"), base, 40, same_space=True).collect()}
+    assert got == brute(m, np.zeros(90, int), m, np.zeros(90, int), np.arange(90) % 4, 40, True, None)
+    monkeypatch.setattr(V, "_best_in_block", lambda k, cap: lambda q, rows: iter([{"id": [len(q.id)], "other": [0], "sim": [0.0], "grp": [0]}]))
+    assert {r.id for r in V.nearest(base.drop("grp"), base, 40).collect()} <= {1, 2, 3, 4}
+    assert max(r.id for r in V.nearest(base.drop("grp"), base, 2).collect()) > 4
+
+
+def test_pairs_are_handed_on_block_by_block(spark, monkeypatch):
+    """A group of near copies, where every row is a pair with every other: no piece is larger than queries times a block."""
+    monkeypatch.setattr(V, "SCAN", 8)
+    sizes, meet = [], V._meet
+    m = unit(np.ones((1, 6)) + 1e-3 * np.random.default_rng(5).normal(size=(60, 6)))
+
+    def keep(queries, base, counts, block_rows, fn, schema):
+        rows = V._Rows(np.arange(60), np.zeros(60, int), np.zeros(60, int), np.zeros(60, bool), np.zeros(60, int), m)
+        sizes.extend(len(piece["similitud"]) for piece in fn(rows, rows))
+        return meet(queries, base, counts, block_rows, fn, schema)
+
+    monkeypatch.setattr(V, "_meet", keep)
+    emb = spark.createDataFrame([(i, m[i].tolist()) for i in range(60)], "contenido_id long, embedding array<double>")
+    assert V.near_duplicates(emb, 0.9).count() == 60 * 59 // 2 == sum(sizes) and max(sizes) <= 60 * 8
