@@ -260,7 +260,7 @@ class _Rows:
 def _meet(queries: DataFrame, base: DataFrame, sizes: np.ndarray, block_rows: int, fn, schema: str, k: int = 1) -> DataFrame:
     """``fn(queries, base)`` for every query and every part of a cell it must visit: a part is held, queries stream past it.
 
-    ``fn`` yields its rows in pieces. It keeps up to ``k`` rows of the part for each query, so it gets fewer queries at a time
+    ``fn`` returns its rows, or yields them in pieces. It keeps up to ``k`` rows of the part for each query, so it gets fewer queries at a time
     where lists are long.
     """
     size = max(1, min(TILE, HELD // k))
@@ -302,8 +302,9 @@ def _meet(queries: DataFrame, base: DataFrame, sizes: np.ndarray, block_rows: in
                     if base_rows is None:
                         base_rows = _Rows.joined(held)
                     for tile in range(0, len(run.id), size):
-                        for found in fn(run.rows(slice(tile, tile + size)), base_rows):
-                            yield pa.RecordBatch.from_pydict(found)
+                        found = fn(run.rows(slice(tile, tile + size)), base_rows)
+                        for piece in [found] if isinstance(found, dict) else found:
+                            yield pa.RecordBatch.from_pydict(piece)
 
     return rows.mapInArrow(stream, schema)
 
@@ -332,7 +333,7 @@ def _best_in_block(k: int, per_group: int | None):
         at = _rank(r)
         return r[at < k], c[at < k], s[at < k], at[at < k]
 
-    def best(q: _Rows, base: _Rows) -> Iterator[dict[str, np.ndarray]]:
+    def best(q: _Rows, base: _Rows) -> dict[str, np.ndarray]:
         r, c, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         kth, reach, spans = np.full(len(q.id), -np.inf), base.reach(q.v), base.blocks[0]
         for block in (-reach.mean(axis=0)).argsort(kind="stable"):
@@ -353,7 +354,7 @@ def _best_in_block(k: int, per_group: int | None):
             ok = np.isfinite(found) & (base.level[b] <= q.level[a]) & ~((base.id[b] == q.id[a]) & q.own[a])
             r, c, s, at = chosen(np.r_[r, a[ok]], np.r_[c, b[ok]], np.r_[s, found[ok]], base)
             kth[r[at == k - 1]] = s[at == k - 1]
-        yield {"id": q.id[r], "other": base.id[c], "sim": s, "grp": base.grp[c]}
+        return {"id": q.id[r], "other": base.id[c], "sim": s, "grp": base.grp[c]}
 
     return best
 
