@@ -60,6 +60,22 @@ def test_large_families_are_split(spark, monkeypatch, family):
     check(spark, corpus(2))
 
 
+def test_families_stay_whole_when_a_join_by_key_is_dealt_anew(spark):
+    # A join planned by sorting that adaptive execution turns into a broadcast of the keys, not of the contexts: as on larger tables.
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "256KB", "spark.sql.adaptive.autoBroadcastJoinThreshold": "256KB",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "64KB",
+                "spark.sql.files.openCostInBytes": "64KB"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        check(spark, [(k, " ".join([prose(k, 30), prose(1000 + k // 2, 150), prose(3000 + k, 30), prose(2000 + (k + 1) // 2 % 150, 150)]))
+                      for k in range(300)])
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_odd_rows(spark):
     check(spark, [r[:2] for r in odd_rows() if r[0] != 6] + [(None, None)])
     long = "alpha beta gamma " * 300
