@@ -202,3 +202,32 @@ def test_vetoes_among_given_pairs(spark):
     assert Counter(tuple(r) for r in found.collect()) == Counter(want & set(asked))
     left = {tuple(r) for r in among.subtract(found).collect()}
     assert left == set(asked) - want
+
+
+def section_vetoes(spark, users, items):
+    """Every user vetoes the one section that all contents are in."""
+    prefs = spark.range(users).selectExpr("id * 7 AS usuario_id", "10 AS seccion_id", "CAST(NULL AS STRING) AS etiqueta", "'no_interesa' AS tipo_preferencia")
+    return prefs, spark.range(items).selectExpr("id * 3 AS id", "10 AS seccion_id"), spark.createDataFrame([], "contenido_id long, etiqueta string")
+
+
+def test_files_of_vetoed_pairs_stay_small(spark, tmp_path):
+    C.user_vetoes(*section_vetoes(spark, 2_000, 3_001)).write.parquet(str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(str(tmp_path / "pairs"))
+    assert pairs.count() == 2_000 * 3_001
+    assert pairs.agg(F.bit_xor(F.xxhash64("usuario_id", "contenido_id"))).first() == spark.range(2_000).select((F.col("id") * 7).alias("u")).join(
+        spark.range(3_001).select((F.col("id") * 3).alias("c"))).agg(F.bit_xor(F.xxhash64("u", "c"))).first()
+    # A pair has sixteen bytes; in pairs of one user after another with all of a block, it took one byte.
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 0.3 * 2_000 * 3_001
+
+
+def test_vetoes_travel_in_lists(spark, monkeypatch):
+    for name in ("VETO_USERS", "VETO_CONTENTS"):
+        monkeypatch.setattr(C, name, 50)
+    kept = []
+    monkeypatch.setattr(C, "cut_lineage", lambda df, cut=C.cut_lineage: kept.append(cut(df)) or kept[-1])
+    prefs, contents, tags = section_vetoes(spark, 500, 900)
+    out = C.user_vetoes(prefs, contents, tags.union(spark.range(900).selectExpr("id * 3", "'no one vetoes this'")))
+    users, items = kept
+    # What is sent to each block of the other side: a list for some fifty ids, and none for a tag without a veto.
+    assert 0 < users.count() <= 10 and 0 < items.count() <= 18
+    assert out.distinct().count() == out.count() == 500 * 900
